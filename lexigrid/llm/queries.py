@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, token_counts, token_files
+from . import packing, quality, token_counts, token_files, toxicity
 from .common import fresh_path, read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -16,6 +16,18 @@ END_ID = 2
 MAX_TOKENS = 2048
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "p_good", "kept"
+    )
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    chain = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, chain)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
     return counts.withColumn("over_limit", F.col("n_tokens") > MAX_TOKENS)
@@ -36,6 +48,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality_rules": op2_quality_rules,
+        "op4_toxicity": op4_toxicity,
         "op5_token_counts": op5_token_counts,
         "op6_token_files": op6_token_files,
         "op8_packing": op8_packing,
