@@ -23,19 +23,28 @@ def _choose(values: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """
     n = len(values)
     here = np.arange(n)
-    width = np.zeros(n, np.int64)
+    width = np.zeros(n, np.int8)
     big = values > 0
     width[big] = np.frexp(values[big].astype(np.float64))[1]
     # Doubles round up near a power of two beyond 53 bits: look again.
     near = np.flatnonzero(width > 53)
     for k in near.tolist():
         width[k] = int(values[k]).bit_length()
+    room = stop - here
+    narrow = np.cumsum(np.bincount(width, minlength=65))
     out = np.zeros(n, np.int8)
     for selector in range(len(LAYOUT) - 1, 0, -1):
         count, bits = LAYOUT[selector]
-        wide = np.where(width > bits, here, n)
-        limit = np.minimum.accumulate(wide[::-1])[::-1]
-        out[np.minimum(limit, stop) - here >= count] = selector
+        if narrow[bits] == n:
+            out[room >= count] = selector
+        elif narrow[bits] >= count:
+            wide = np.flatnonzero(width > bits)
+            runs = np.diff(wide, prepend=-1, append=n) - 1
+            if runs.max() < count:
+                continue
+            # Distance to the next value that is too wide for this selector.
+            limit = np.repeat(np.append(wide, n), runs + 1)[:n] - here
+            out[np.minimum(limit, room) >= count] = selector
     return out
 
 

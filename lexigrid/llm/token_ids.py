@@ -2,7 +2,7 @@
 
 The tokenizer drops white space and never joins across it, so a text's ids are
 its words' ids one after another, and words repeat.  The library encodes each
-word once per cache life; the cache is emptied when full.
+word once, as long as the bounded cache remembers it.
 """
 
 from __future__ import annotations
@@ -19,21 +19,51 @@ _INFORMATION_SEPARATORS = re.compile("[\x1c-\x1f]")
 _PLAIN_SPACE = re.compile(r"[ \t\n\r]+")
 
 
-class _Index(dict):
-    """Word -> row of the id table; new words are queued."""
+#: Texts without these consist of Latin letters, digits, signs and plain white
+#: space; there the tokenizer splits between signs and all else.
+_UNUSUAL = re.compile("[\x00-\x08\x0e-\x1f\x7f'\x80-\xbf\xd7\xf7\u0100-\U0010ffff]")
+_SIGNS = r"!-&(-/:-@\[-`{-~"
+_PIECES = re.compile(rf"[^\s{_SIGNS}]+|[{_SIGNS}]+")
+
+
+class _Generation(dict):
+    """Word -> row of a table of ids; a new word gets a row and is queued."""
 
     def __init__(self):
         super().__init__()
         self.queue: list[str] = []
+        self.flat, self.offset = array.array("I"), array.array("q", [0])
 
     def __missing__(self, word: str) -> int:
         row = self[word] = len(self)
         self.queue.append(word)
         return row
 
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Append the ids of the queued words, in their order."""
+        self.queue.clear()
+        ends = self.offset[-1] + np.cumsum(sizes)
+        self.flat.frombytes(ids.tobytes())
+        self.offset.frombytes(ends.astype(np.int64).tobytes())
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the rows one after another, and the number of ids of each."""
+        flat = np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.zeros(0, np.uint32)
+        return _take(flat, np.frombuffer(self.offset, np.int64), rows)
+
+
+def _take(flat: np.ndarray, offset: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first = offset[rows]
+    sizes = offset[rows + 1] - first
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
+
 
 class WordEncoder:
-    def __init__(self, path: str, max_words: int = 300_000):
+    """Cache of words in two generations: a full one becomes the older, from
+    which words still in use are taken over without the library."""
+
+    def __init__(self, path: str, max_words: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -42,13 +72,40 @@ class WordEncoder:
             "(" + "|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) + ")"
         )
         self.max_words = max_words
-        self._clear()
-
-    def _clear(self) -> None:
-        self.index, self.room = _Index(), 0
-        self.flat, self.offset = array.array("I"), array.array("q", [0])
+        self.young, self.old = _Generation(), _Generation()
+
+    def _learn(self) -> None:
+        """Find the ids of queued words, from the older generation if it can."""
+        young, old = self.young, self.old
+        known, plain, rest = [], [], []
+        for k, w in enumerate(young.queue):
+            if w in old:
+                known.append(k)
+            elif w.isalpha() and not _UNUSUAL.search(w):
+                plain.append(k)
+            else:
+                rest.append(k)
+        words, ids, sizes = young.queue, [], []
+        if known:
+            got, size = old.take(np.fromiter((old[words[k]] for k in known), np.int64, len(known)))
+            ids.append(got)
+            sizes.append(size)
+        if plain:
+            # Such words are one piece each, so the library takes them as one text.
+            got = self.library.encode(" ".join([words[k] for k in plain]), add_special_tokens=False)
+            ids.append(np.array(got.ids, np.uint32))
+            sizes.append(np.bincount(got.word_ids, minlength=len(plain)))
+        if rest:
+            got = [e.ids for e in self.library.encode_batch([words[k] for k in rest], add_special_tokens=False)]
+            ids.append(np.array([i for one in got for i in one], np.uint32))
+            sizes.append(np.array([len(one) for one in got]))
+        order = np.argsort(known + plain + rest)
+        offset = np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
+        young.add(*_take(np.concatenate(ids), offset, order))
 
     def _words(self, text: str) -> list[str]:
+        if not _UNUSUAL.search(text) and "<|" not in text:
+            return _PIECES.findall(text.lower())
         if "<|" in text:
             out: list[str] = []
             for k, part in enumerate(self.specials.split(text)):
@@ -66,27 +123,19 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of ids of each text."""
-        if len(self.index) > self.max_words or self.room > 1 << 26:
-            self._clear()
+        if len(self.young) > self.max_words or len(self.young.flat) > 1 << 24:
+            self.young, self.old = _Generation(), self.young
         words: list[str] = []
         ends = np.empty(len(texts), np.int64)
         for k, t in enumerate(texts):
             words += self._words(t)
             ends[k] = len(words)
-        rows = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        if self.index.queue:
-            for e in self.library.encode_batch(self.index.queue, add_special_tokens=False):
-                self.flat.extend(e.ids)
-                self.offset.append(len(self.flat))
-            self.room += sum(map(len, self.index.queue))
-            self.index.queue.clear()
-        flat = np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.zeros(0, np.uint32)
-        offset = np.frombuffer(self.offset, np.int64)
-        first = offset[rows]
-        size = offset[rows + 1] - first
-        after = np.concatenate(([0], np.cumsum(size)))
-        ids = flat[np.repeat(first - after[:-1], size) + np.arange(after[-1])]
-        del flat, offset  # else the arrays cannot grow
+        young = self.young
+        rows = np.fromiter(map(young.__getitem__, words), np.int64, len(words))
+        if young.queue:
+            self._learn()
+        ids, sizes = young.take(rows)
+        after = np.concatenate(([0], np.cumsum(sizes)))
         return ids, np.diff(after[ends], prepend=0)
 
 
