@@ -94,7 +94,7 @@ def votes() -> dict[str, Column]:
         "symbols_per_word": _vote(per_word > 0.1),
         "symbol_share": _vote(F.col("n_symbols") / chars > 0.05),
         "repeated_windows": _vote(F.col("n_repeat_words") > 0.2 * n),
-        "repeated_lines": _vote(F.col("n_dup_lines") > 0.3 * lines),
+        "repeated_lines": _vote((F.col("n_dup_lines") >= 3) & (F.col("n_dup_lines") > 0.3 * lines)),
         "vocabulary": _vote((distinct < 0.35) & (n >= 20) & (n < 20_000), distinct > 0.5),
         "capitals": _vote(upper > 0.3, upper < 0.1),
         "shouting": _vote(F.col("n_shouts") > 0.1 * n),
