@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import html
+import itertools
 import re
 from collections.abc import Iterable, Iterator
 
@@ -70,27 +71,21 @@ LABELLED = (
     (4, 0.0, 5, 0.0, 60, 0.0, 0, 0, 0, 1), (3, 0.0, 7, 0.0, 90, 0.0, 0, 0, 0, 1),
     (5, 0.0, 3, 1.0, 64, 0.0, 0, 0, 0, 1), (6, 0.0, 40, 0.0, 45, 0.0, 0, 0, 0, 1),
     (25, 0.2, 60, 0.1, 3, 1.0, 0, 0, 0, 1), (200, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
-    # pages with one: inside it
-    (11, 0.0, 8, 0.0, 60, 0.0, 1, 1, 0, 1), (10, 0.0, 0, 0.0, 1, 0.0, 1, 1, 0, 1),
-    (1, 0.0, 1, 0.0, 1, 0.0, 1, 1, 0, 1), (1, 0.0, 140, 0.0, 9, 0.0, 1, 1, 0, 1),
-    (2, 0.5, 60, 0.0, 40, 0.0, 1, 1, 0, 1), (90, 0.0, 1, 0.0, 2, 0.0, 1, 1, 0, 1),
-    (300, 0.02, 5, 0.0, 8, 0.0, 1, 1, 0, 1), (4, 1.0, 50, 0.0, 70, 0.0, 1, 1, 0, 1),
-    (20, 0.3, 3, 1.0, 3, 1.0, 1, 1, 0, 1), (5, 0.0, 3, 1.0, 6, 0.0, 1, 1, 0, 1),
-    # inside it, but in an advert, a form, a share bar, comments
-    (8, 0.0, 60, 0.0, 70, 0.0, 1, 1, 1, 0), (3, 1.0, 80, 0.0, 3, 1.0, 1, 1, 1, 0),
-    (40, 0.0, 45, 0.0, 50, 0.0, 1, 1, 1, 0), (2, 0.0, 2, 0.0, 0, 0.0, 1, 1, 1, 0),
-    # outside it
-    (4, 1.0, 4, 1.0, 3, 1.0, 0, 1, 1, 0), (8, 0.0, 1, 1.0, 11, 0.0, 0, 1, 1, 0),
-    (12, 0.0, 90, 0.0, 0, 0.0, 0, 1, 1, 0), (60, 0.0, 70, 0.0, 40, 0.0, 0, 1, 1, 0),
-    (50, 0.0, 8, 0.0, 90, 0.0, 0, 1, 0, 0), (9, 0.0, 30, 0.0, 20, 0.0, 0, 1, 0, 0),
-    (2, 1.0, 2, 1.0, 2, 1.0, 0, 1, 0, 0), (15, 0.0, 120, 0.0, 10, 0.0, 0, 1, 0, 0),
-    # boilerplate elements on pages without one
-    (5, 1.0, 5, 1.0, 5, 1.0, 0, 0, 1, 0), (30, 0.0, 40, 0.0, 60, 0.0, 0, 0, 1, 0),
-    (14, 0.0, 90, 0.0, 0, 0.0, 0, 0, 1, 0), (100, 0.0, 8, 0.0, 12, 0.0, 0, 0, 1, 0),
-    (9, 0.0, 100, 0.0, 90, 0.0, 0, 0, 1, 0), (22, 0.1, 0, 0.0, 70, 0.0, 0, 0, 1, 0),
 )
 
 
+#: Where a page names its article, what surrounds a block decides, whatever its
+#: size: (in_article, page_has_article, surrounded_by_boilerplate, content).
+SURROUNDINGS = ((1, 1, 0, 1), (1, 1, 1, 0), (0, 1, 0, 0), (0, 1, 1, 0), (0, 0, 1, 0))
+
+
+def labelled() -> np.ndarray:
+    """LABELLED, and for each of SURROUNDINGS blocks of many sizes."""
+    sizes = itertools.product((1, 8, 60, 400), (0, 3, 80), (0, 3, 80), (0.0, 1.0))
+    rows = [(w, link, before, 0.0, after, 0.0) for w, before, after, link in sizes]
+    return np.array([*LABELLED, *(r + s for s in SURROUNDINGS for r in rows)], float)
+
+
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 6):
     """A classification tree by Gini impurity: a share, or (feature, cut, low, high)."""
     share = float(y.mean())
@@ -125,7 +120,7 @@ def classify(tree, x: np.ndarray) -> np.ndarray:
 
 @functools.cache
 def default_tree():
-    table = np.array(LABELLED, float)
+    table = labelled()
     return grow(table[:, :-1], table[:, -1])
 
 
