@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, packing, quality, token_counts, token_files, toxicity
+from . import html_text, near_dedup, packing, quality, token_counts, token_files, toxicity
 from .common import fresh_path, read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -16,6 +16,10 @@ END_ID = 2
 MAX_TOKENS = 2048
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), percent=85)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "p_good", "kept"
@@ -52,6 +56,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op2_quality_rules": op2_quality_rules,
         "op4_toxicity": op4_toxicity,
         "op5_token_counts": op5_token_counts,
