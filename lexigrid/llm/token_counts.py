@@ -33,7 +33,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = transducer(tokenizer_path).counts
         for batch in batches:
-            n = [x for _, part in slices(batch, chars=1 << 19) for x in count(part).tolist()]
+            n = [x for _, part in slices(batch, size=1 << 19) for x in count(part).tolist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("n_bytes"), pa.array(n, pa.int64())],
                 ["doc_id", "n_bytes", "n_tokens"],

@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _INFORMATION_SEPARATORS = re.compile("[\x1c-\x1f]")
 _PLAIN_SPACE = re.compile(r"[ \t\n\r]+")
@@ -63,7 +64,7 @@ class WordEncoder:
     """Cache of words in two generations: a full one becomes the older, from
     which words still in use are taken over without the library."""
 
-    def __init__(self, path: str, max_words: int = 400_000):
+    def __init__(self, path: str, max_words: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -149,17 +150,21 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", chars: int = 1 << 20) -> Iterator[tuple[slice, list[str]]]:
-    """Parts of a batch with about ``chars`` characters, a longer text alone."""
-    values = batch.column(column).to_pylist()
+def slices(batch: pa.RecordBatch, column: str = "text", size: int = 1 << 20) -> Iterator[tuple[slice, list[str]]]:
+    """Parts of a batch with about ``size`` bytes of text, a longer text alone.
+
+    Only one part at a time is made into Python strings.
+    """
+    values = batch.column(column)
+    lengths = pc.binary_length(values).to_numpy(zero_copy_only=False)
     start = room = 0
-    for k, v in enumerate(values):
-        if k > start and room + len(v) > chars:
-            yield slice(start, k), values[start:k]
+    for k, n in enumerate(lengths.tolist()):
+        if k > start and room + n > size:
+            yield slice(start, k), values.slice(start, k - start).to_pylist()
             start, room = k, 0
-        room += len(v)
+        room += n
     if start < len(values):
-        yield slice(start, len(values)), values[start:]
+        yield slice(start, len(values)), values.slice(start).to_pylist()
 
 
 def encoded(batches: Iterable[pa.RecordBatch], path: str, end_id: int):
