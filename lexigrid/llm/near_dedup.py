@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import materialize, texts
 from .components import components
 from .token_ids import slices
+from .words import POWER, mix, word_hashes
 
 SHINGLE = 5
 #: Registers: BANDS x ROWS of them; their base, and the sketch's rate.
@@ -38,57 +39,23 @@ BLOCK = 4096
 #: five standard deviations of the estimate there.
 MARGIN = 0.18
 
-_POWER = np.uint64(0x9E3779B97F4A7C15)
-_MIX = np.uint64(0xD6E8FEB86659FD93)
 _SEEDS = np.random.default_rng(20_240_501).integers(1, 1 << 63, (2, REGISTERS), np.uint64)
 _SEEDS[0] |= np.uint64(1)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number modulo 2^64, and of its inverse."""
-    inverse = np.uint64(pow(int(_POWER), -1, 1 << 64))
-    with np.errstate(over="ignore"):
-        up = np.cumprod(np.full(n, _POWER, np.uint64), dtype=np.uint64)
-        down = np.cumprod(np.full(n, inverse, np.uint64), dtype=np.uint64)
-    return up, down
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(32))
-    h = h * _MIX
-    h ^= h >> np.uint64(29)
-    h *= _MIX
-    return h ^ (h >> np.uint64(32))
-
-
-_TABLES: list[tuple[np.ndarray, np.ndarray]] = []
-
-
 def shingle_sets(values: list[str]) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text, empty without words.
 
     A to Z are lower-cased; words are runs of bytes that are not ASCII white
     space; a text of fewer words than a shingle has one, its whole sequence.
     """
-    raw = [v.encode("utf-8", "surrogatepass").lower() + b" " for v in values]
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    ends = np.cumsum([len(r) for r in raw])
-    space = (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
-    edge = np.flatnonzero(np.diff(space.astype(np.int8), prepend=1))
-    first, last = edge[0::2], edge[1::2]  # every text ends with a space
-    if not len(first):
-        return [np.zeros(0, np.uint64)] * len(values)
-    if not _TABLES or len(_TABLES[0][0]) < len(data):
-        _TABLES[:] = [_powers(max(1 << 21, len(data)))]
-    up, down = _TABLES[0]
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)))
-    word = _mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64))
-    bounds = np.searchsorted(first, ends).tolist()
+    word, bounds = word_hashes(values)
+    bounds = bounds.tolist()
     n = len(word)
     rolling = np.zeros(max(0, n - SHINGLE + 1), np.uint64)
     for k in range(SHINGLE):
-        rolling = rolling * _POWER + word[k : n - SHINGLE + 1 + k]
-    rolling = _mix(rolling)
+        rolling = rolling * POWER + word[k : n - SHINGLE + 1 + k]
+    rolling = mix(rolling)
     out, a = [], 0
     for b in bounds:
         if b - a >= SHINGLE:
@@ -96,8 +63,8 @@ def shingle_sets(values: list[str]) -> list[np.ndarray]:
         elif b > a:
             h = np.array([b - a], np.uint64)
             for k in range(a, b):
-                h = h * _POWER + word[k]
-            out.append(_mix(h))
+                h = h * POWER + word[k]
+            out.append(mix(h))
         else:
             out.append(np.zeros(0, np.uint64))
         a = b
