@@ -20,6 +20,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return up, down
 
 
+def tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers, for ``n`` places at least."""
+    if not _tables or len(_tables[0][0]) < n:
+        _tables[:] = [_powers(max(1 << 21, n))]
+    return _tables[0]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(32))
     h = h * _MIX
@@ -38,9 +45,7 @@ def word_hashes(values: list[str]) -> tuple[np.ndarray, np.ndarray]:
     first, last = edge[0::2], edge[1::2]  # every text ends with a space
     if not len(first):
         return np.zeros(0, np.uint64), np.zeros(len(values), np.int64)
-    if not _tables or len(_tables[0][0]) < len(data):
-        _tables[:] = [_powers(max(1 << 21, len(data)))]
-    up, down = _tables[0]
+    up, down = tables(len(data))
     # Prefix sums of byte * power; a word's sum is shifted back to its start.
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64, out=total[1:])
