@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, lm_scores, near_dedup, packing, quality, token_counts, token_files, toxicity
+from . import html_text, lm_scores, near_dedup, packing, quality, substring_dedup, token_counts, token_files, toxicity
 from .common import fresh_path, read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -44,6 +44,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents")))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.cut_pieces(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), END_ID)
     packed = packing.place(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
@@ -65,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": op4_toxicity,
         "op5_token_counts": op5_token_counts,
         "op6_token_files": op6_token_files,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_packing": op8_packing,
         "op9_lm_scores": op9_lm_scores,
         "op10_html_text": op10_html_text,
