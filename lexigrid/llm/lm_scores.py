@@ -1,7 +1,7 @@
 """Operator 9: stupid-backoff scores from n-gram count tables.
 
-Documents are dealt into chunks by hash of their id.  A chunk explodes its texts
-into n-grams of every order, combines equal ones, and sends each count table
+Documents are gathered into chunks, which are written once so that a chunk stays
+the same however often a task runs.  A chunk explodes its texts into n-grams of every order, combines equal ones, and sends each count table
 partition the sorted hashes that fall into it.  A partition adds the counts of
 all chunks and answers every chunk with the totals in the chunk's order; the
 chunk joins them to its n-grams and sums the scores of each document.  An n-gram
@@ -10,19 +10,25 @@ travels once a chunk however often it occurs, so a frequent one heats nothing.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import materialize, texts
+from .token_ids import slices
 from .words import POWER, mix, word_hashes
 
 #: Highest order, the factor of one step back, and the least count of an n-gram
 #: of two or more words that is held in the tables.
 ORDER, BACKOFF, MIN_COUNT = 3, 0.4, 2
-#: Bytes of text of a chunk; there are as many partitions as chunks.
-CHUNK_BYTES = 8 << 20
+#: Bytes of text of a chunk, and for each partition of the tables.
+CHUNK_BYTES, PART_BYTES = 3 << 20, 8 << 20
 #: Bits of a hash within its partition.
 BITS = 48
 
@@ -51,8 +57,44 @@ def _placed(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(BITS)) % np.uint64(parts)) << np.uint64(BITS) | (h & np.uint64((1 << BITS) - 1))
 
 
-def _chunk_grams(values: pd.Series, parts: int, order: int):
-    word, bounds = word_hashes(values.tolist())
+def chunks(docs: DataFrame, size: int) -> DataFrame:
+    """``chunk, doc_ids, sizes, packed``: ids, byte lengths and compressed texts."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
+        held_ids: list[int | None] = []
+        held: list[bytes] = []
+        room = 0
+
+        def close() -> pa.RecordBatch:
+            cells = [uuid.uuid4().hex, held_ids, [len(r) for r in held], pack.compress(b"".join(held))]
+            kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds)], ["chunk", "doc_ids", "sizes", "packed"])
+
+        for batch in batches:
+            for part, values in slices(batch, size=1 << 19):
+                held_ids += batch.column("doc_id").slice(part.start, len(values)).to_pylist()
+                held += [v.encode("utf-8", "surrogatepass") for v in values]
+                room += sum(map(len, held[len(held) - len(values) :]))
+                if room >= size:
+                    yield close()
+                    held_ids, held, room = [], [], 0
+        if held:
+            yield close()
+
+    return docs.mapInArrow(run, "chunk string, doc_ids array<long>, sizes array<long>, packed binary")
+
+
+def _opened(sizes: np.ndarray, packed: bytes) -> list[str]:
+    whole, at = zstandard.ZstdDecompressor().decompress(packed), 0
+    out = []
+    for n in sizes.tolist():
+        out.append(whole[at : at + n].decode("utf-8", "surrogatepass"))
+        at += n
+    return out
+
+
+def _chunk_grams(values: list[str], parts: int, order: int):
+    word, bounds = word_hashes(values)
     whole, known = _grams(word, bounds, order)
     return word, bounds, known, _placed(whole[known], parts)
 
@@ -88,7 +130,7 @@ def _unsmall(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<u1" if raw[:1] == b"1" else "<u8", offset=1).astype(np.int64)
 
 
-def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, chunk_bytes: int = CHUNK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """``doc_id, n_words, log_score, mean_log_score`` by the corpus itself.
 
     ``log_score`` sums the decimal logarithms of the words' scores: the relative
@@ -97,25 +139,28 @@ def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, chunk
     score 0 and a null mean; null ids and repeated rows are scored each; an empty
     table gives an empty result; other columns are not read.
     """
-    source = texts(docs)
-    room = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = min(1 << 16, 1 + room // chunk_bytes)
-    chunked = source.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
-
-    def count(group: pd.DataFrame) -> pd.DataFrame:
-        word, _, _, placed = _chunk_grams(group["text"], parts, order)
-        unique, counts = np.unique(placed, return_counts=True)
-        bounds = np.searchsorted(unique, np.arange(parts + 1).astype(np.uint64) << np.uint64(BITS))
-        blocks = [(a, b) for a, b in zip(bounds[:-1], bounds[1:])]
-        return pd.DataFrame(
-            {
-                "chunk": group["chunk"].iloc[0],
-                "part": np.arange(parts),
-                "words": len(word),
-                "hashes": [_pack(unique[a:b]) for a, b in blocks],
-                "counts": [_small(counts[a:b]) for a, b in blocks],
-            }
-        )
+    chunked = materialize(chunks(texts(docs), chunk_bytes), "chunks")
+    room = chunked.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, n: a + n))).first()[0] or 0
+    parts = min(1 << 16, 1 + room // part_bytes)
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                values = _opened(np.array(batch.column("sizes")[k].as_py(), np.int64), batch.column("packed")[k].as_py())
+                word, _, _, placed = _chunk_grams(values, parts, order)
+                unique, counts = np.unique(placed, return_counts=True)
+                bounds = np.searchsorted(unique, np.arange(parts + 1).astype(np.uint64) << np.uint64(BITS)).tolist()
+                blocks = list(zip(bounds[:-1], bounds[1:]))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([batch.column("chunk")[k].as_py()] * parts),
+                        pa.array(np.arange(parts)),
+                        pa.array(np.full(parts, len(word))),
+                        pa.array([_pack(unique[a:b]) for a, b in blocks], pa.binary()),
+                        pa.array([_small(counts[a:b]) for a, b in blocks], pa.binary()),
+                    ],
+                    ["chunk", "part", "words", "hashes", "counts"],
+                )
 
     def total(group: pd.DataFrame) -> pd.DataFrame:
         hashes = [_unpack(raw) for raw in group["hashes"]]
@@ -132,8 +177,9 @@ def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, chunk
             }
         )
 
-    def join(texts_: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        word, bounds, known, placed = _chunk_grams(texts_["text"], parts, order)
+    def join(group: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        row = group.iloc[0]
+        word, bounds, known, placed = _chunk_grams(_opened(row["sizes"], row["packed"]), parts, order)
         answers = answers.sort_values("part")
         totals = np.concatenate([_unsmall(raw) for raw in answers["totals"]]) if len(answers) else np.zeros(0, np.int64)
         whole = max(1, int(answers["words"].iloc[0]) if len(answers) else 1)
@@ -157,15 +203,15 @@ def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, chunk
         log = np.round(sums[bounds] - sums[starts], 6)
         return pd.DataFrame(
             {
-                "doc_id": texts_["doc_id"].astype("Int64"),
+                "doc_id": pd.array([None if pd.isna(d) else int(d) for d in row["doc_ids"]], "Int64"),
                 "n_words": size,
                 "log_score": log,
                 "mean_log_score": np.where(size > 0, np.round(log / np.maximum(size, 1), 6), np.nan),
             }
         )
 
-    requests = chunked.groupBy("chunk").applyInPandas(count, "chunk long, part long, words long, hashes binary, counts binary")
-    answers = requests.groupBy("part").applyInPandas(total, "chunk long, part long, words long, totals binary")
+    requests = chunked.select("chunk", "sizes", "packed").mapInArrow(count, "chunk string, part long, words long, hashes binary, counts binary")
+    answers = requests.groupBy("part").applyInPandas(total, "chunk string, part long, words long, totals binary")
     scored = (
         chunked.groupBy("chunk")
         .cogroup(answers.groupBy("chunk"))
