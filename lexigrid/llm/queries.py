@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, lm_scores, near_dedup, packing, quality, substring_dedup, token_counts, token_files, toxicity
+from . import decontamination, html_text, lm_scores, near_dedup, packing, quality, substring_dedup, token_counts, token_files, toxicity
 from .common import fresh_path, read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -26,6 +26,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     chain = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
@@ -66,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op2_quality_rules": op2_quality_rules,
+        "op3_decontamination": op3_decontamination,
         "op4_toxicity": op4_toxicity,
         "op5_token_counts": op5_token_counts,
         "op6_token_files": op6_token_files,

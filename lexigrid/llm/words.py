@@ -35,12 +35,22 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def word_hashes(values: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words one after another, and where each text's words end."""
+#: Bytes that end words: ASCII white space, and with it ASCII signs.
+_WHITE = np.zeros(256, bool)
+_WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_SIGNS = _WHITE.copy()
+_SIGNS[[b for b in range(0x80) if not chr(b).isalnum()]] = True
+
+
+def word_hashes(values: list[str], signs: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words one after another, and where each text's words end.
+
+    With ``signs`` words also end at ASCII signs, which belong to no word.
+    """
     raw = [v.encode("utf-8", "surrogatepass").lower() + b" " for v in values]
     data = np.frombuffer(b"".join(raw), np.uint8)
     ends = np.cumsum([len(r) for r in raw])
-    space = (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
+    space = (_SIGNS if signs else _WHITE)[data]
     edge = np.flatnonzero(np.diff(space.astype(np.int8), prepend=1))
     first, last = edge[0::2], edge[1::2]  # every text ends with a space
     if not len(first):
