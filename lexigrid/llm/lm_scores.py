@@ -28,9 +28,9 @@ from .words import POWER, mix, word_hashes
 #: of two or more words that is held in the tables.
 ORDER, BACKOFF, MIN_COUNT = 3, 0.4, 2
 #: Bytes of text of a chunk, and for each partition of the tables.
-CHUNK_BYTES, PART_BYTES = 3 << 20, 8 << 20
+CHUNK_BYTES, PART_BYTES = 4 << 20, 10 << 20
 #: Bits of a hash within its partition.
-BITS = 48
+BITS = 46
 
 
 def _grams(word: np.ndarray, bounds: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,14 +53,14 @@ def _power(n: int) -> np.uint64:
 
 
 def _placed(h: np.ndarray, parts: int) -> np.ndarray:
-    """Partition and hash within it, in one number; partitions number 2^16 at most."""
+    """Partition and hash within it, in one number; the upper bits choose the partition."""
     return ((h >> np.uint64(BITS)) % np.uint64(parts)) << np.uint64(BITS) | (h & np.uint64((1 << BITS) - 1))
 
 
 def chunks(docs: DataFrame, size: int) -> DataFrame:
     """``chunk, doc_ids, sizes, packed``: ids, byte lengths and compressed texts."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3)
+        pack = zstandard.ZstdCompressor(level=6)
         held_ids: list[int | None] = []
         held: list[bytes] = []
         room = 0
@@ -100,34 +100,33 @@ def _chunk_grams(values: list[str], parts: int, order: int):
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """Ascending numbers as differences of 40 bits, or of 64 if they need it."""
+    """Ascending numbers as differences: 32 low bits plain, the others, which
+    are few and alike, compressed."""
     steps = np.diff(values, prepend=values[:1])
-    head = values[:1].astype("<u8").tobytes()
-    if len(steps) and int(steps.max()) >> 40:
-        return b"w" + head + steps.astype("<u8").tobytes()
-    high = (steps >> np.uint64(32)).astype(np.uint8)
-    return b"n" + head + (steps & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + high.tobytes()
+    high = (steps >> np.uint64(32)).astype("<u4")
+    kind = "<u1" if not len(high) or high.max() < 256 else "<u4"
+    rest = zstandard.ZstdCompressor(level=1).compress(high.astype(kind).tobytes())
+    low = (steps & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
+    return kind[-1].encode() + len(steps).to_bytes(8, "little") + values[:1].astype("<u8").tobytes() + low + rest
 
 
 def _unpack(raw: bytes) -> np.ndarray:
-    if len(raw) < 9:
+    n = int.from_bytes(raw[1:9], "little")
+    if not n:
         return np.zeros(0, np.uint64)
-    if raw[:1] == b"w":
-        steps = np.frombuffer(raw, "<u8", offset=9).astype(np.uint64)
-    else:
-        n = (len(raw) - 9) // 5
-        steps = np.frombuffer(raw, "<u4", n, 9).astype(np.uint64)
-        steps |= np.frombuffer(raw, np.uint8, n, 9 + 4 * n).astype(np.uint64) << np.uint64(32)
-    return np.frombuffer(raw, "<u8", 1, 1) + np.cumsum(steps, dtype=np.uint64)
+    steps = np.frombuffer(raw, "<u4", n, 17).astype(np.uint64)
+    high = zstandard.ZstdDecompressor().decompress(raw[17 + 4 * n :])
+    steps |= np.frombuffer(high, "<u1" if raw[:1] == b"1" else "<u4").astype(np.uint64) << np.uint64(32)
+    return np.frombuffer(raw, "<u8", 1, 9) + np.cumsum(steps, dtype=np.uint64)
 
 
 def _small(counts: np.ndarray) -> bytes:
     kind = "<u1" if not len(counts) or counts.max() < 256 else "<u8"
-    return (b"1" if kind == "<u1" else b"8") + counts.astype(kind).tobytes()
+    return kind[-1].encode() + zstandard.ZstdCompressor(level=1).compress(counts.astype(kind).tobytes())
 
 
 def _unsmall(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, "<u1" if raw[:1] == b"1" else "<u8", offset=1).astype(np.int64)
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), "<u1" if raw[:1] == b"1" else "<u8").astype(np.int64)
 
 
 def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, chunk_bytes: int = CHUNK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -141,7 +140,7 @@ def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, chunk
     """
     chunked = materialize(chunks(texts(docs), chunk_bytes), "chunks")
     room = chunked.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, n: a + n))).first()[0] or 0
-    parts = min(1 << 16, 1 + room // part_bytes)
+    parts = min(1 << (64 - BITS), 1 + room // part_bytes)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
