@@ -20,6 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .bwt import SEPARATOR, repeated
 from .common import materialize, texts
@@ -239,40 +240,47 @@ def repeated_places(keyed: DataFrame, least: int) -> DataFrame:
     return found.where("h IS NULL").select("text_key", "low", "high").unionAll(whole).unionAll(inside)
 
 
-def remove_repeats(docs: DataFrame, least: int = 400, keep: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = 400, keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_bytes`` of every row.
 
+    With ``as_text`` the rest is a string ``kept_text`` instead, without the
+    parts of characters that a cut leaves.
+
     Bytes covered by a string of ``least`` bytes that also starts anywhere else,
     in the same text or another, are removed; ``n_spans`` counts the maximal
     removed runs.  Null texts are empty; texts shorter than ``least`` lose
     nothing; repeated rows are documents like others, so long ones lose all they
     share; null ids are kept; an empty table gives an empty result.  Columns named
-    in ``keep`` are carried, others are not read.
+    in ``keep`` are carried in a struct ``carried``, where their names clash with
+    nothing; others are not read.
     """
-    keyed = texts(docs, *keep).withColumn("text_key", F.unhex(F.md5(F.col("text").cast("binary"))))
+    rest_name = "kept_text" if as_text else "kept_bytes"
+    carried = [F.struct(*(F.col(f"`{c}`") for c in keep)).alias("carried")] if keep else []
+    keyed = texts(docs, *carried).withColumn("text_key", F.unhex(F.md5(F.col("text").cast("binary"))))
     places = repeated_places(keyed.select("text_key", "text"), least)
     places = places.groupBy("text_key").agg(F.sort_array(F.collect_set(F.struct("low", "high"))).alias("places"))
     both = keyed.join(places, "text_key", "left")
     lows, highs = F.transform("places", lambda p: p["low"]), F.transform("places", lambda p: p["high"])
-    both = both.select("doc_id", "text", *keep, lows.alias("lows"), highs.alias("highs"))
-    kept_fields = [f for f in both.schema.fields if f.name in keep]
-
+    names = ["carried"] if keep else []
+    both = both.select("doc_id", "text", *names, lows.alias("lows"), highs.alias("highs"))
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, values in slices(batch):
                 own = batch.slice(part.start, len(values))
                 out = [_cut(v.encode("utf-8", "surrogatepass"), a, b, least) for v, a, b in zip(values, own.column("lows").to_pylist(), own.column("highs").to_pylist())]
+                rest = [x[3] for x in out]
+                rest = pa.array([r.decode("utf-8", "ignore") for r in rest], pa.string()) if as_text else pa.array(rest, pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [
                         own.column("doc_id"), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()),
-                        pa.array([x[2] for x in out], pa.int64()), pa.array([x[3] for x in out], pa.binary()), *(own.column(c) for c in keep),
+                        pa.array([x[2] for x in out], pa.int64()), rest, *(own.column(c) for c in names),
                     ],
-                    ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_bytes", *keep],
+                    ["doc_id", "n_bytes", "n_removed", "n_spans", rest_name, *names],
                 )
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_bytes binary"
-    schema += "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in sorted(kept_fields, key=lambda f: keep.index(f.name)))
-    return both.mapInArrow(run, schema)
+    schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, {rest_name} {'string' if as_text else 'binary'}"
+    fields = StructType.fromDDL(schema).fields + [both.schema["carried"]] * bool(keep)
+    return both.mapInArrow(run, StructType(fields))
 
 
 def _cut(raw: bytes, lows: list[int] | None, highs: list[int] | None, least: int) -> tuple[int, int, int, bytes]:

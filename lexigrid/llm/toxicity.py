@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame
@@ -179,26 +180,10 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
     toxic.
     """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table: dict[str, tuple[int, ...]] = _Features()
-        known: dict[str, tuple[int, ...]] = {}
+        predict = Predictor(chain)
         for batch in batches:
             for part, values in slices(batch):
-                held, sizes = [], []
-                for text in values:
-                    row = []
-                    words = _words(text)
-                    sizes.append(len(words))
-                    for word in words:
-                        f = known.get(word)
-                        if f is None:
-                            f = tuple(h for h in table[word] if h in chain.columns)
-                            if len(known) > 500_000:
-                                known.clear()
-                            known[word] = f
-                        if f:
-                            row.append(f)
-                    held.append(row)
-                p = chain.predict(chain.matrix(held, sizes))
+                p = predict(values)
                 bad = p[:, -1] >= chain.threshold
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -212,3 +197,43 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
 
     columns = ", ".join(f"p_{c} double" for c in CATEGORIES)
     return texts(docs).mapInArrow(run, f"doc_id long, {columns}, toxic boolean, kept boolean")
+
+
+def without_toxic(docs: DataFrame, chain: Chain) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is not toxic."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predict = Predictor(chain)
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            filled = pa.RecordBatch.from_arrays([pc.fill_null(batch.column(at), "")], ["text"])
+            for part, values in slices(filled):
+                clean = predict(values)[:, -1] < chain.threshold
+                yield batch.slice(part.start, len(values)).filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+class Predictor:
+    """Probabilities of texts; remembers which words have kept features."""
+
+    def __init__(self, chain: Chain):
+        self.chain, self.table = chain, _Features()
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def __call__(self, values: list[str]) -> np.ndarray:
+        held, sizes = [], []
+        for text in values:
+            words = _words(text)
+            row = []
+            for word in words:
+                f = self.known.get(word)
+                if f is None:
+                    f = tuple(h for h in self.table[word] if h in self.chain.columns)
+                    if len(self.known) > 500_000:
+                        self.known.clear()
+                    self.known[word] = f
+                if f:
+                    row.append(f)
+            held.append(row)
+            sizes.append(len(words))
+        return self.chain.predict(self.chain.matrix(held, sizes))
