@@ -58,7 +58,8 @@ def _placed(h: np.ndarray, parts: int) -> np.ndarray:
 
 
 def chunks(docs: DataFrame, size: int) -> DataFrame:
-    """``chunk, doc_ids, sizes, packed``: ids, byte lengths and compressed texts."""
+    """``chunk, words, doc_ids, sizes, packed``: number of words, ids, byte lengths
+    and compressed texts."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=6)
         held_ids: list[int | None] = []
@@ -66,9 +67,9 @@ def chunks(docs: DataFrame, size: int) -> DataFrame:
         room = 0
 
         def close() -> pa.RecordBatch:
-            cells = [uuid.uuid4().hex, held_ids, [len(r) for r in held], pack.compress(b"".join(held))]
-            kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds)], ["chunk", "doc_ids", "sizes", "packed"])
+            cells = [uuid.uuid4().hex, sum(len(r.split()) for r in held), held_ids, [len(r) for r in held], pack.compress(b"".join(held))]
+            kinds = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds)], ["chunk", "words", "doc_ids", "sizes", "packed"])
 
         for batch in batches:
             for part, values in slices(batch, size=1 << 19):
@@ -81,7 +82,7 @@ def chunks(docs: DataFrame, size: int) -> DataFrame:
         if held:
             yield close()
 
-    return docs.mapInArrow(run, "chunk string, doc_ids array<long>, sizes array<long>, packed binary")
+    return docs.mapInArrow(run, "chunk string, words long, doc_ids array<long>, sizes array<long>, packed binary")
 
 
 def _opened(sizes: np.ndarray, packed: bytes) -> list[str]:
@@ -139,26 +140,27 @@ def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, chunk
     table gives an empty result; other columns are not read.
     """
     chunked = materialize(chunks(texts(docs), chunk_bytes), "chunks")
-    room = chunked.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, n: a + n))).first()[0] or 0
+    room, whole = chunked.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, n: a + n)), F.sum("words")).first()
+    room, whole = room or 0, max(1, whole or 0)
     parts = min(1 << (64 - BITS), 1 + room // part_bytes)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(len(batch)):
                 values = _opened(np.array(batch.column("sizes")[k].as_py(), np.int64), batch.column("packed")[k].as_py())
-                word, _, _, placed = _chunk_grams(values, parts, order)
+                _, _, _, placed = _chunk_grams(values, parts, order)
                 unique, counts = np.unique(placed, return_counts=True)
-                bounds = np.searchsorted(unique, np.arange(parts + 1).astype(np.uint64) << np.uint64(BITS)).tolist()
-                blocks = list(zip(bounds[:-1], bounds[1:]))
+                part = (unique >> np.uint64(BITS)).astype(np.int64)
+                first = np.flatnonzero(np.diff(part, prepend=-1))
+                blocks = list(zip(first.tolist(), np.append(first[1:], len(part)).tolist()))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([batch.column("chunk")[k].as_py()] * parts),
-                        pa.array(np.arange(parts)),
-                        pa.array(np.full(parts, len(word))),
+                        pa.array([batch.column("chunk")[k].as_py()] * len(blocks), pa.string()),
+                        pa.array(part[first]),
                         pa.array([_pack(unique[a:b]) for a, b in blocks], pa.binary()),
                         pa.array([_small(counts[a:b]) for a, b in blocks], pa.binary()),
                     ],
-                    ["chunk", "part", "words", "hashes", "counts"],
+                    ["chunk", "part", "hashes", "counts"],
                 )
 
     def total(group: pd.DataFrame) -> pd.DataFrame:
@@ -171,7 +173,6 @@ def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, chunk
             {
                 "chunk": group["chunk"],
                 "part": group["part"],
-                "words": int(group["words"].sum()),
                 "totals": [_small(t) for t in np.split(totals, ends[:-1])],
             }
         )
@@ -181,7 +182,6 @@ def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, chunk
         word, bounds, known, placed = _chunk_grams(_opened(row["sizes"], row["packed"]), parts, order)
         answers = answers.sort_values("part")
         totals = np.concatenate([_unsmall(raw) for raw in answers["totals"]]) if len(answers) else np.zeros(0, np.int64)
-        whole = max(1, int(answers["words"].iloc[0]) if len(answers) else 1)
         n = len(word)
         counts = np.zeros(len(known), np.float64)
         counts[known] = totals[np.unique(placed, return_inverse=True)[1]]
@@ -209,8 +209,8 @@ def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, chunk
             }
         )
 
-    requests = chunked.select("chunk", "sizes", "packed").mapInArrow(count, "chunk string, part long, words long, hashes binary, counts binary")
-    answers = requests.groupBy("part").applyInPandas(total, "chunk string, part long, words long, totals binary")
+    requests = chunked.select("chunk", "sizes", "packed").mapInArrow(count, "chunk string, part long, hashes binary, counts binary")
+    answers = requests.groupBy("part").applyInPandas(total, "chunk string, part long, totals binary")
     scored = (
         chunked.groupBy("chunk")
         .cogroup(answers.groupBy("chunk"))
