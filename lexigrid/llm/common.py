@@ -2,56 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Batches handed to Python stay small, so that a batch of long texts fits.
-BATCH_ROWS = 512
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset (a local test session) a temporary folder is made and
-    recorded in the session, so that later calls agree on it.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="lexigrid-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts lineage.
-
-    The files go through Spark's own committer, so a lost executor or a retried
-    task leaves no partial rows behind.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from ..sources.scratch import fresh_path, materialize, shared_dir
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete an intermediate folder through the Hadoop file system it is on."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+__all__ = ["fresh_path", "materialize", "read_table", "shared_dir", "texts"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(docs: DataFrame, *extra: str) -> DataFrame:
+def texts(docs: DataFrame, *extra) -> DataFrame:
     """``doc_id`` and ``text`` (null texts become empty), other columns pruned."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),

@@ -23,8 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import materialize, texts
-from .components import components
 from .token_ids import slices
 from .words import POWER, mix, word_hashes
 
