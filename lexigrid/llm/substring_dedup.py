@@ -279,7 +279,7 @@ def remove_repeats(docs: DataFrame, least: int = 400, keep: tuple[str, ...] = ()
                 )
 
     schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, {rest_name} {'string' if as_text else 'binary'}"
-    fields = StructType.fromDDL(schema).fields + [both.schema["carried"]] * bool(keep)
+    fields = StructType.fromDDL(schema).fields + ([both.schema["carried"]] if keep else [])
     return both.mapInArrow(run, StructType(fields))
 
 
