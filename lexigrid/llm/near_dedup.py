@@ -14,6 +14,7 @@ all pairs, and a bucket of many members is compared in blocks of bounded size.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -155,8 +156,12 @@ def link_bucket(rep: np.ndarray, side: np.ndarray, regs: np.ndarray, shingles: l
     already.  With two sides only pairs across them are looked at.
     """
     n = len(rep)
-    sets = [frozenset(np.frombuffer(s, np.uint64).tolist()) for s in shingles]
-    size = np.array([len(s) for s in sets], np.int64)
+    size = np.array([len(s) // 8 for s in shingles], np.int64)
+
+    @functools.lru_cache(256)
+    def members(k: int) -> frozenset[int]:
+        return frozenset(np.frombuffer(shingles[k], np.uint64).tolist())
+
     root = np.arange(n)
     links = []
     for k in range(n - 1):
@@ -181,7 +186,7 @@ def link_bucket(rep: np.ndarray, side: np.ndarray, regs: np.ndarray, shingles: l
         for o in other[likely][order].tolist():
             if root[o] == root[k]:
                 continue
-            both = len(sets[k] & sets[o])
+            both = len(members(k) & members(o))
             if 100 * both >= percent * (size[k] + size[o] - both):
                 links.append((int(rep[k]), int(rep[o])))
                 root[root == root[o]] = root[k]

@@ -144,6 +144,11 @@ def train(texts_: list[str], toxic: list[int]) -> Chain:
     y = np.asarray(toxic, np.int64)
     chain = Chain(_associated(held, y), np.zeros((0, 0)))
     x = chain.matrix(held, sizes)
+    if not y.any():
+        # Nothing to learn from: nothing is toxic.
+        chain.weights = np.zeros((len(CATEGORIES), x.shape[1] + len(CATEGORIES)))
+        chain.weights[:, -1] = -30
+        return chain
     goals = [y * (x[:, -_MEASURES] > 0), y * (x[:, 1 - _MEASURES] > 0), y]
     fold = np.arange(len(y)) % FOLDS
     weights, earlier = [], np.zeros((len(y), 0))
