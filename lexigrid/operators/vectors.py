@@ -16,8 +16,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import materialize
-
 QUERY_BLOCK = 1024
 
 
@@ -91,8 +89,8 @@ def similar_pairs(vectors: DataFrame, threshold: float, block: int = 2000) -> Da
     table's size is.
     """
     reps = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL").groupBy("embedding").agg(F.min("vec_id").cast("long").alias("vec_id"))
-    reps = materialize(reps.select("vec_id", "embedding"), "representatives")
-    blocks = max(1, -(-reps.count() // block))
+    # By all rows, of which there may be more than representatives: files know it.
+    blocks = max(1, -(-vectors.count() // block))
     own = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
     placed = reps.select("vec_id", "embedding", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")).select(
         "vec_id", "embedding", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
