@@ -21,7 +21,7 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for k in range(8):
         key = (key << np.uint64(8)) | padded[k : n + k]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     length = 8
     while True:
         ordered = key[order]
@@ -35,7 +35,7 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
         follow = np.zeros(n, np.uint64)
         follow[: n - length] = rank[length:] + np.uint64(1)
         key = (rank << np.uint64(32)) | follow
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         length *= 2
 
 
@@ -81,7 +81,7 @@ def repeated(data: np.ndarray, least: int) -> np.ndarray:
         if not len(target):
             break
         # Places with one symbol before them form one interval of that symbol.
-        by = np.argsort(target, kind="stable")
+        by = np.argsort(target)
         target, owner, mark = target[by], owner[by], mark[by]
         new = np.empty(len(target), bool)
         new[0] = True

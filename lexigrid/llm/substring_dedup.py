@@ -30,7 +30,7 @@ from .words import mix, tables
 #: Bytes of the short strings that anchors are chosen from.
 GRAM = 80
 #: Bytes of regions in a bucket, and of one anchor before it is cut in batches.
-BUCKET_BYTES, BATCH_BYTES = 1 << 20, 4 << 20
+BUCKET_BYTES, BATCH_BYTES = 1 << 19, 4 << 20
 
 _ANCHORS = "h long, kind long, n long, text_key binary, low long, high long"
 
