@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 1024
+#: Queries and rows of a block, and the most queries that every task gets whole.
+QUERY_BLOCK, CORPUS_BLOCK, MOST_BROADCAST = 1024, 100_000, 20_000
 
 
 def block_rows(n: int, budget_bytes: int | None) -> int:
@@ -31,45 +32,64 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1) if len(column) else values.reshape(0, 0)
 
 
-def top_k(corpus: DataFrame, queries: DataFrame, k: int, min_score: float = 0.0, metric: str = "cosine") -> DataFrame:
+def _best(asked: list[tuple[int, np.ndarray]], ids: np.ndarray, rows: np.ndarray, k: int, min_score: float, metric: str, held: dict) -> None:
+    """Keep in ``held`` the k best rows of each query, those seen before included."""
+    for b in range(0, len(asked), QUERY_BLOCK):
+        part = np.array([v for _, v in asked[b : b + QUERY_BLOCK]])
+        scores = part @ rows.T
+        if metric == "distance":
+            square = np.maximum(0.0, (part * part).sum(1)[:, None] + (rows * rows).sum(1)[None, :] - 2 * scores)
+            scores = 1 - square / 2
+        for (q, _), row in zip(asked[b : b + QUERY_BLOCK], scores):
+            at = np.flatnonzero(row >= min_score)
+            at = at[np.lexsort((ids[at], -row[at]))[:k]]
+            held[q] = sorted(held.get(q, []) + list(zip((-row[at]).tolist(), ids[at].tolist())))[:k]
+
+
+def top_k(
+    corpus: DataFrame, queries: DataFrame, k: int, min_score: float = 0.0, metric: str = "cosine", most_broadcast: int = MOST_BROADCAST
+) -> DataFrame:
     """``query_id, vec_id, score, rank`` of the ``k`` best rows of each query.
 
     Both tables have ``vec_id`` and ``embedding`` (unit length).  Ties go to the
-    lesser id; scores below ``min_score`` are dropped after the k best are taken
-    for ``distance``, before for ``cosine``, which makes no difference to the
-    rows.  Null ids or vectors match nothing.
+    lesser id; scores below ``min_score`` are dropped.  Null ids or vectors match
+    nothing.  Up to ``most_broadcast`` queries are sent to all tasks; more are
+    dealt into blocks, each of which meets each block of the corpus in one task.
     """
-    sent = corpus.sparkSession.sparkContext.broadcast(
-        [(r[0], np.asarray(r[1], np.float64)) for r in queries.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select("vec_id", "embedding").sort("vec_id").collect()]
-    )
-
-    def best(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = sent.value
-        ids = np.array([i for i, _ in asked], np.int64)
-        matrix = np.array([v for _, v in asked])
-        held: dict[int, list[tuple[float, int]]] = {}
-        for batch in batches:
-            own, rows = batch.column("vec_id").to_numpy(), _matrix(batch.column("embedding"))
-            if not len(own) or not len(ids):
-                continue
-            for b in range(0, len(ids), QUERY_BLOCK):
-                part = matrix[b : b + QUERY_BLOCK]
-                scores = part @ rows.T
-                if metric == "distance":
-                    square = np.maximum(0.0, (part * part).sum(1)[:, None] + (rows * rows).sum(1)[None, :] - 2 * scores)
-                    scores = 1 - square / 2
-                for q, row in zip(ids[b : b + QUERY_BLOCK].tolist(), scores):
-                    at = np.flatnonzero(row >= min_score)
-                    at = at[np.lexsort((own[at], -row[at]))[:k]]
-                    held[q] = sorted(held.get(q, []) + list(zip((-row[at]).tolist(), own[at].tolist())))[:k]
-        flat = [(q, v, -s) for q, found in held.items() for s, v in found]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([x[0] for x in flat], pa.int64()), pa.array([x[1] for x in flat], pa.int64()), pa.array([x[2] for x in flat], pa.float64())],
-            ["query_id", "vec_id", "score"],
-        )
-
-    rows = corpus.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    found = rows.mapInArrow(best, "query_id long, vec_id long, score double")
+    known = "vec_id IS NOT NULL AND embedding IS NOT NULL"
+    asked = queries.where(known).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    rows = corpus.where(known).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    few = asked.limit(most_broadcast + 1).collect()
+    if len(few) <= most_broadcast:
+        sent = corpus.sparkSession.sparkContext.broadcast([(r[0], np.asarray(r[1], np.float64)) for r in sorted(few, key=lambda r: r[0])])
+
+        def best(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, list[tuple[float, int]]] = {}
+            for batch in batches:
+                if len(batch) and sent.value:
+                    _best(sent.value, batch.column("vec_id").to_numpy(), _matrix(batch.column("embedding")), k, min_score, metric, held)
+            flat = [(q, v, -s) for q, found in held.items() for s, v in found]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[0] for x in flat], pa.int64()), pa.array([x[1] for x in flat], pa.int64()), pa.array([x[2] for x in flat], pa.float64())],
+                ["query_id", "vec_id", "score"],
+            )
+
+        found = rows.mapInArrow(best, "query_id long, vec_id long, score double")
+    else:
+        blocks = -(-asked.count() // QUERY_BLOCK)
+        parts = max(1, -(-rows.count() // CORPUS_BLOCK))
+        dealt = asked.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("c"))
+        held_rows = rows.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias("c"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("q"))
+
+        def meet(ask: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+            held: dict[int, list[tuple[float, int]]] = {}
+            if len(ask) and len(own):
+                pairs = [(i, np.asarray(v, np.float64)) for i, v in zip(ask["vec_id"].tolist(), ask["embedding"])]
+                _best(pairs, own["vec_id"].to_numpy(), np.array(own["embedding"].tolist(), np.float64), k, min_score, metric, held)
+            return pd.DataFrame([(q, v, -s) for q, best in held.items() for s, v in best], columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+
+        keys = [F.col("q").cast("long"), F.col("c").cast("long")]
+        found = dealt.groupBy(*keys).cogroup(held_rows.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import clusters
+from ..operators.numbering import numbered
 from ..operators.structure import gate, shapes_of_arrays
 from ..operators.vectors import similar_pairs
 from ..sources import code, embed
@@ -22,8 +23,7 @@ def units(spark: SparkSession, job: Job) -> DataFrame:
     listed = [list_sources(spark, folder, job.extensions, tuple(job.exclude)) for folder in job.include]
     files = reduce(DataFrame.unionByName, listed).dropDuplicates(["path"])
     found = code.extract(files, job.min_lines, job.window_lines, job.window_overlap)
-    found = materialize(found, "units")
-    return found.withColumn("unit_id", F.row_number().over(Window.orderBy("path", "start", "end")).cast("long") - 1)
+    return numbered(found, "unit_id", "path", "start", "end")
 
 
 def check(found: DataFrame, job: Job, embedder: embed.Embedder | None = None) -> DataFrame:

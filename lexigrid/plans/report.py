@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.numbering import numbered
 
 # Suffixes by output format.
 SUFFIX = {"text": ".txt", "json": ".json", "markdown": ".md"}
@@ -65,9 +66,9 @@ def cluster_lines(members: DataFrame, units: DataFrame, output: str = "text") ->
     """``number, line`` of each member, largest cluster first."""
     held = units.select("unit_id", T.ref(F.col("path"), F.col("start"), F.col("end"), F.col("name")).alias("ref"))
     order = members.select("cluster_id", "cluster_size").distinct()
-    numbered = order.withColumn("number", F.row_number().over(Window.orderBy(F.desc("cluster_size"), "cluster_id")))
+    ranked_clusters = numbered(order, "number", F.desc("cluster_size"), "cluster_id", start=1)
     mark = (F.lit("- `"), F.lit("`")) if output == "markdown" else (F.lit("  "), F.lit(""))
-    return members.join(numbered.select("cluster_id", "number"), "cluster_id").join(held, F.col("node") == F.col("unit_id")).select(
+    return members.join(ranked_clusters.select("cluster_id", "number"), "cluster_id").join(held, F.col("node") == F.col("unit_id")).select(
         "number", "cluster_size", "node", F.concat(mark[0], "ref", mark[1]).alias("line")
     )
 

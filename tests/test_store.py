@@ -90,6 +90,8 @@ def test_search_and_join_against_loops(spark):
     v[7] = v[3]
     rows = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)] + [(None, v[0].tolist()), (99, None)], "vec_id long, embedding array<double>")
     got = top_k(rows, rows.where("vec_id < 5"), 3, 0.1).collect()
+    dealt = top_k(rows, rows.where("vec_id < 5"), 3, 0.1, most_broadcast=2).collect()
+    assert {(r["query_id"], r["vec_id"], r["rank"]) for r in dealt} == {(r["query_id"], r["vec_id"], r["rank"]) for r in got}
     for q in range(5):
         s = v @ v[q]
         best = sorted((x for x in range(80) if s[x] >= 0.1), key=lambda x: (-round(s[x], 12), x))[:3]
