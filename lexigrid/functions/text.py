@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 _ENDS = "(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$"
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, also inside lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, _ENDS, "")
 
@@ -84,31 +91,41 @@ def windows(line_array: Column, width: int = 40, overlap: int = 8, min_lines: in
     ends with the text.
     """
     step = max(width - overlap, 1)
-    n = F.size(line_array)
-    count = F.when(n <= width, 1).otherwise(F.ceil((n - width) / F.lit(step)) + 1).cast("int")
-    made = F.transform(
-        F.sequence(F.lit(0), count - 1),
-        lambda i: F.struct(
-            (i * step + 1).alias("start"), F.least(i * step + width, n).alias("end"),
-            F.array_join(F.slice(line_array, i * step + 1, F.lit(width)), "\n").alias("block"),
-        ),
-    )
+
+    def cut(rows: Column) -> Column:
+        n = F.size(rows)
+        count = F.when(n <= width, 1).otherwise(F.ceil((n - width) / F.lit(step)) + 1).cast("int")
+        return F.transform(
+            F.sequence(F.lit(0), count - 1),
+            lambda i: F.struct(
+                (i * step + 1).alias("start"), F.least(i * step + width, n).alias("end"),
+                F.array_join(F.slice(rows, i * step + 1, F.lit(width)), "\n").alias("block"),
+            ),
+        )
+
+    made = F.when(line_array.isNotNull(), _let(line_array, cut))
     return F.filter(made, lambda w: (w["end"] - w["start"] + 1 >= min_lines) & (strip(w["block"]) != ""))
 
 
 def dedent(block: Column) -> Column:
     """Common leading spaces and tabs off every line; blank lines become empty."""
     rows = F.transform(F.split(block, "\n", -1), lambda x: F.regexp_replace(x, "^[ \t]+$", ""))
-    full = F.filter(rows, lambda x: x != "")
-    margins = F.transform(full, lambda x: F.regexp_extract(x, "^[ \t]*", 0))
-    low, high = F.array_min(margins), F.array_max(margins)
+    ends = _let(
+        F.transform(F.filter(rows, lambda x: x != ""), lambda x: F.regexp_extract(x, "^[ \t]*", 0)),
+        lambda m: F.struct(F.array_min(m).alias("low"), F.array_max(m).alias("high")),
+    )
     # The common beginning of the least and the greatest is that of all.
-    shared = F.aggregate(
-        F.sequence(F.lit(0), F.least(F.length(low), F.length(high))), F.lit(0),
-        lambda best, k: F.when((k > best) & (F.left(low, k) == F.left(high, k)), k).otherwise(best),
+    shared = _let(
+        ends,
+        lambda e: F.aggregate(
+            F.sequence(F.lit(0), F.least(F.length(e["low"]), F.length(e["high"]))), F.lit(0),
+            lambda best, k: F.when((k > best) & (F.left(e["low"], k) == F.left(e["high"], k)), k).otherwise(best),
+        ),
     )
-    margin = F.coalesce(shared, F.lit(0))
-    return F.array_join(F.transform(rows, lambda x: x.substr(margin + 1, F.length(x))), "\n")
+    return _let(
+        F.struct(rows.alias("rows"), F.coalesce(shared, F.lit(0)).alias("margin")),
+        lambda s: F.array_join(F.transform(s["rows"], lambda x: x.substr(s["margin"] + 1, F.length(x))), "\n"),
+    )
 
 
 def unit_text(block: Column) -> Column:
