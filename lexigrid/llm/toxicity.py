@@ -38,7 +38,10 @@ MAX_TRAIN = 4000
 #: Largest number of features kept, and folds for the chain's training.
 MAX_FEATURES, FOLDS = 300, 4
 _PREFIXES = range(3, 9)
-_MEASURES = 6
+_MEASURES = 9
+#: Features are kept from this log lift on, and with so many clean rows a toxic
+#: one at most; from the higher lift on they are strong.
+LIFT, CLEAN_SHARE, STRONG = 1.0, 4, 4.0
 _WORDS = regex.compile(r"\p{L}+")
 
 
@@ -64,6 +67,7 @@ class Chain:
     """Trained chain: feature hash -> column, and one weight row a category."""
 
     columns: dict[int, int]
+    lifts: np.ndarray  # log lift of each kept feature
     weights: np.ndarray  # categories x (features + measures + earlier + 1)
     threshold: float = 0.5
 
@@ -75,15 +79,19 @@ class Chain:
         """
         x = np.zeros((len(held), len(self.columns) + _MEASURES), np.float32)
         for row, words, size in zip(x, held, sizes):
-            hits = 0
+            evidence = []
             for features in words:
                 at = [self.columns[f] for f in features if f in self.columns]
                 if at:
                     row[at] = 1
-                    hits += 1
+                    evidence.append(self.lifts[at].max())
+            hits = len(evidence)
             if hits:
                 log_size = np.log1p(size)
-                row[-_MEASURES:] = 1, hits > 1, np.log1p(hits), log_size, np.log1p(hits) * log_size, np.log(hits / size)
+                row[-_MEASURES:] = (
+                    1, hits > 1, np.log1p(hits), log_size, np.log1p(hits) * log_size, np.log(hits / size),
+                    max(evidence), sum(evidence) / 10, min(2, sum(e >= STRONG for e in evidence)),
+                )
         return x
 
     def predict(self, x: np.ndarray) -> np.ndarray:
@@ -118,8 +126,8 @@ def _fit(x: np.ndarray, earlier: np.ndarray, y: np.ndarray, penalty: float = 1.0
     return full
 
 
-def _associated(held: list[list[tuple[int, ...]]], toxic: np.ndarray) -> dict[int, int]:
-    """Features that toxic rows have clearly more often than others."""
+def _associated(held: list[list[tuple[int, ...]]], toxic: np.ndarray) -> tuple[dict[int, int], np.ndarray]:
+    """Features that toxic rows have clearly more often than others, and their lifts."""
     seen: dict[int, list[int]] = {}
     for words, y in zip(held, toxic.tolist()):
         for f in {f for w in words for f in w}:
@@ -130,10 +138,11 @@ def _associated(held: list[list[tuple[int, ...]]], toxic: np.ndarray) -> dict[in
     for f, (clean, bad) in seen.items():
         if bad >= 3:
             lift = np.log((bad + 0.5) / (n1 + 1)) - np.log((clean + 0.5) / (n0 + 1))
-            if lift >= 1.5 and clean <= bad:
-                scored.append((-lift * np.sqrt(bad), f))
+            if lift >= LIFT and clean <= CLEAN_SHARE * bad:
+                scored.append((-lift * np.sqrt(bad), f, lift))
     scored.sort()
-    return {f: k for k, (_, f) in enumerate(scored[:MAX_FEATURES])}
+    scored = scored[:MAX_FEATURES]
+    return {f: k for k, (_, f, _) in enumerate(scored)}, np.array([x for _, _, x in scored])
 
 
 def train(texts_: list[str], toxic: list[int]) -> Chain:
@@ -142,7 +151,7 @@ def train(texts_: list[str], toxic: list[int]) -> Chain:
     words = [_words(t) for t in texts_]
     held, sizes = [[table[w] for w in ws] for ws in words], [len(ws) for ws in words]
     y = np.asarray(toxic, np.int64)
-    chain = Chain(_associated(held, y), np.zeros((0, 0)))
+    chain = Chain(*_associated(held, y), np.zeros((0, 0)))
     x = chain.matrix(held, sizes)
     if not y.any():
         # Nothing to learn from: nothing is toxic.
