@@ -29,8 +29,8 @@ from .words import POWER, mix, word_hashes
 ORDER, BACKOFF, MIN_COUNT = 3, 0.4, 2
 #: Bytes of text of a chunk, and for each partition of the tables.
 CHUNK_BYTES, PART_BYTES = 4 << 20, 10 << 20
-#: Bits of a hash within its partition.
-BITS = 46
+#: Most bits of a hash within its partition; the rest chooses the partition.
+MOST_BITS = 46
 
 
 def _grams(word: np.ndarray, bounds: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,9 +52,15 @@ def _power(n: int) -> np.uint64:
     return np.uint64(pow(int(POWER), n, 1 << 64))
 
 
+def _bits(parts: int) -> int:
+    """Bits of a hash within one of ``parts`` partitions."""
+    return min(MOST_BITS, 64 - (parts - 1).bit_length())
+
+
 def _placed(h: np.ndarray, parts: int) -> np.ndarray:
     """Partition and hash within it, in one number; the upper bits choose the partition."""
-    return ((h >> np.uint64(BITS)) % np.uint64(parts)) << np.uint64(BITS) | (h & np.uint64((1 << BITS) - 1))
+    bits = _bits(parts)
+    return ((h >> np.uint64(bits)) % np.uint64(parts)) << np.uint64(bits) | (h & np.uint64((1 << bits) - 1))
 
 
 def chunks(docs: DataFrame, size: int) -> DataFrame:
@@ -142,7 +148,7 @@ def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, chunk
     chunked = materialize(chunks(texts(docs), chunk_bytes), "chunks")
     room, whole = chunked.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, n: a + n)), F.sum("words")).first()
     room, whole = room or 0, max(1, whole or 0)
-    parts = min(1 << (64 - BITS), 1 + room // part_bytes)
+    parts = 1 + room // part_bytes
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,7 +156,7 @@ def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, chunk
                 values = _opened(np.array(batch.column("sizes")[k].as_py(), np.int64), batch.column("packed")[k].as_py())
                 _, _, _, placed = _chunk_grams(values, parts, order)
                 unique, counts = np.unique(placed, return_counts=True)
-                part = (unique >> np.uint64(BITS)).astype(np.int64)
+                part = (unique >> np.uint64(_bits(parts))).astype(np.int64)
                 first = np.flatnonzero(np.diff(part, prepend=-1))
                 blocks = list(zip(first.tolist(), np.append(first[1:], len(part)).tolist()))
                 yield pa.RecordBatch.from_arrays(
