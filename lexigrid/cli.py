@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import argparse
 import sys
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .operators.vectors import top_k
-from .plans import dupcheck, rag, settings
+from .plans import dupcheck, rag, report, settings
 from .sources import embed
 from .sources.files import document_text, list_documents
 from .sources.store import Store
@@ -31,6 +32,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("-k", type=int, default=4)
     p.add_argument("--min-score", type=float, default=0.0)
     p = commands.add_parser("dupcheck")
+    p.add_argument("action", choices=("init", "update", "run"))
     p.add_argument("job")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("lexigrid").getOrCreate()
@@ -53,11 +55,17 @@ def main(argv: list[str] | None = None) -> int:
         found = rag.context(hits.join(chunks.select("vec_id", "path", "text"), "vec_id"))
         asked = spark.createDataFrame([(0, args.question)], "query_id long, question string").join(found, "query_id", "left")
         print(rag.messages(asked).first()["user"])
+    elif args.action != "run":
+        (settings.Job.scaffold if args.action == "init" else settings.Job.update)(args.job)
     else:
         job, notes = settings.Job.load(args.job)
         for note in notes:
             print(note, file=sys.stderr)
-        print("\n".join(dupcheck.run(spark, job)))
+        text = "\n".join(dupcheck.run(spark, job))
+        if job.output_file:
+            Path(report.report_path(job.output_file, job.output)).write_text(text + "\n")
+        else:
+            print(text)
     return 0
 
 

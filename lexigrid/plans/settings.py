@@ -66,6 +66,13 @@ def origin(source: Column, here: str) -> Column:
     )
 
 
+def require(values: dict[str, str | None], *names: str) -> None:
+    """Stop with a message if a setting that a command needs has no value."""
+    missing = [n for n in names if not values.get(n)]
+    if missing:
+        raise ValueError("not set: " + ", ".join(missing))
+
+
 def key_diff(jobs: DataFrame, known: list[str]) -> DataFrame:
     """``job_id, unknown, retired`` keys of ``jobs(job_id, json)``."""
     keys = F.json_object_keys("json")
@@ -124,6 +131,14 @@ class Job:
         Path(path).write_text(json.dumps(asdict(job), indent=2))
         return job
 
+    @classmethod
+    def scaffold(cls, path: str) -> Job:
+        """Write a new job file with every field; an existing one stays."""
+        if Path(path).exists():
+            raise FileExistsError(path)
+        Path(path).write_text(json.dumps(asdict(cls()), indent=2))
+        return cls()
+
     def overridden(self, **flags) -> Job:
         """With flags that are set; ``no_...`` flags only switch off."""
         values = asdict(self)

@@ -136,6 +136,28 @@ def test_settings(spark, tmp_path):
     assert "url" not in json.loads((tmp_path / "job.json").read_text())
     with pytest.raises(ValueError):
         settings.Job().check()
+    settings.Job.scaffold(str(tmp_path / "new.json"))
+    assert settings.Job.load(str(tmp_path / "new.json")) == (settings.Job(), [])
+    with pytest.raises(FileExistsError):
+        settings.Job.scaffold(str(tmp_path / "new.json"))
+    settings.require({"url": "u"}, "url")
+    with pytest.raises(ValueError, match="model"):
+        settings.require({"url": "u", "model": ""}, "url", "model")
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from lexigrid import cli
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.md").write_text("The orchard has nine islands.")
+    store = ["--store", f"file://{tmp_path}/store"]
+    cli.main([*store, "ingest", str(tmp_path / "in")])
+    cli.main([*store, "docs"])
+    cli.main([*store, "ask", "nine islands", "--min-score", "-1"])
+    said = capsys.readouterr().out
+    assert "+ 1" in said and "1 chunks" in said and "Context:\n[source: a.md | relevance" in said
+    cli.main([*store, "forget", "A.MD"])
+    assert capsys.readouterr().out.strip() == "1"
 
 
 CODE = '''
