@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -10,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where it is unset (a local session) a temporary
-    folder is made and recorded in the session."""
+    folder is made, recorded in the session and removed when Python ends."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="lexigrid-")
+        folder = tempfile.mkdtemp(prefix="lexigrid-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
