@@ -45,17 +45,12 @@ LIFT, CLEAN_SHARE, STRONG = 1.0, 4, 4.0
 _WORDS = regex.compile(r"\p{L}+")
 
 
-class _Features(dict):
-    """Word -> hashes of its features; emptied when full."""
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 300_000:
-            self.clear()
-        word_part = word if len(word) <= 64 else word[:64]
-        out = [xxhash.xxh3_64_intdigest("=" + word)]
-        out += [xxhash.xxh3_64_intdigest("^" + word_part[:k]) for k in _PREFIXES if len(word) >= k]
-        self[word] = tuple(out)
-        return self[word]
+def features(word: str) -> tuple[int, ...]:
+    """Hashes of a word and of its beginnings."""
+    part = word[:64]
+    out = [xxhash.xxh3_64_intdigest("=" + word)]
+    out += [xxhash.xxh3_64_intdigest("^" + part[:k]) for k in _PREFIXES if len(word) >= k]
+    return tuple(out)
 
 
 def _words(text: str) -> set[str]:
@@ -147,8 +142,8 @@ def _associated(held: list[list[tuple[int, ...]]], toxic: np.ndarray) -> tuple[d
 
 def train(texts_: list[str], toxic: list[int]) -> Chain:
     """Train the chain on labelled texts."""
-    table = _Features()
     words = [_words(t) for t in texts_]
+    table = {w: features(w) for w in set().union(*words)}
     held, sizes = [[table[w] for w in ws] for ws in words], [len(ws) for ws in words]
     y = np.asarray(toxic, np.int64)
     chain = Chain(*_associated(held, y), np.zeros((0, 0)))
@@ -231,7 +226,7 @@ class Predictor:
     """Probabilities of texts; remembers which words have kept features."""
 
     def __init__(self, chain: Chain):
-        self.chain, self.table = chain, _Features()
+        self.chain = chain
         self.known: dict[str, tuple[int, ...]] = {}
 
     def __call__(self, values: list[str]) -> np.ndarray:
@@ -242,8 +237,8 @@ class Predictor:
             for word in words:
                 f = self.known.get(word)
                 if f is None:
-                    f = tuple(h for h in self.table[word] if h in self.chain.columns)
-                    if len(self.known) > 500_000:
+                    f = tuple(h for h in features(word) if h in self.chain.columns)
+                    if len(self.known) > 150_000:
                         self.known.clear()
                     self.known[word] = f
                 if f:
