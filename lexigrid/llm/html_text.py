@@ -36,7 +36,7 @@ HINTS = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs byline comment comments consent cookie cookies "
     "disclaimer footer header masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo "
     "promoted promotion related replies share sharing sidebar social sponsor sponsored subscribe toolbar widget "
-    "complementary contentinfo search alert dialog form login signup toc".split()
+    "complementary contentinfo search alert dialog form login signup toc responses discussion disqus gdpr paywall".split()
 )
 _CONTAINERS = BLOCKS - {"p", "h1", "h2", "h3", "h4", "h5", "h6", "hr"}
 
