@@ -18,6 +18,7 @@ it is trained those come from models that have not seen the row (out of fold).
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -121,20 +122,25 @@ def _fit(x: np.ndarray, earlier: np.ndarray, y: np.ndarray, penalty: float = 1.0
     return full
 
 
-def _associated(held: list[list[tuple[int, ...]]], toxic: np.ndarray) -> tuple[dict[int, int], np.ndarray]:
-    """Features that toxic rows have clearly more often than others, and their lifts."""
-    seen: dict[int, list[int]] = {}
-    for words, y in zip(held, toxic.tolist()):
-        for f in {f for w in words for f in w}:
-            seen.setdefault(f, [0, 0])[y] += 1
+def _associated(words: list[set[str]], toxic: np.ndarray) -> tuple[dict[int, int], np.ndarray]:
+    """Features that toxic rows have clearly more often than others, and their lifts.
+
+    Only features of three toxic rows are counted in the others, which keeps the
+    driver's tables small.
+    """
+    bad = Counter(f for ws, y in zip(words, toxic) if y for f in {f for w in ws for f in features(w)})
+    bad = {f: c for f, c in bad.items() if c >= 3}
+    clean: Counter[int] = Counter()
+    for ws, y in zip(words, toxic):
+        if not y:
+            clean.update({f for w in ws for f in features(w) if f in bad})
     n1 = max(1, int(toxic.sum()))
     n0 = max(1, len(toxic) - n1)
     scored = []
-    for f, (clean, bad) in seen.items():
-        if bad >= 3:
-            lift = np.log((bad + 0.5) / (n1 + 1)) - np.log((clean + 0.5) / (n0 + 1))
-            if lift >= LIFT and clean <= CLEAN_SHARE * bad:
-                scored.append((-lift * np.sqrt(bad), f, lift))
+    for f, c in bad.items():
+        lift = np.log((c + 0.5) / (n1 + 1)) - np.log((clean[f] + 0.5) / (n0 + 1))
+        if lift >= LIFT and clean[f] <= CLEAN_SHARE * c:
+            scored.append((-lift * np.sqrt(c), f, lift))
     scored.sort()
     scored = scored[:MAX_FEATURES]
     return {f: k for k, (_, f, _) in enumerate(scored)}, np.array([x for _, _, x in scored])
@@ -143,11 +149,9 @@ def _associated(held: list[list[tuple[int, ...]]], toxic: np.ndarray) -> tuple[d
 def train(texts_: list[str], toxic: list[int]) -> Chain:
     """Train the chain on labelled texts."""
     words = [_words(t) for t in texts_]
-    table = {w: features(w) for w in set().union(*words)}
-    held, sizes = [[table[w] for w in ws] for ws in words], [len(ws) for ws in words]
     y = np.asarray(toxic, np.int64)
-    chain = Chain(*_associated(held, y), np.zeros((0, 0)))
-    x = chain.matrix(held, sizes)
+    chain = Chain(*_associated(words, y), np.zeros((0, 0)))
+    x = Predictor(chain).matrix(words)
     if not y.any():
         # Nothing to learn from: nothing is toxic.
         chain.weights = np.zeros((len(CATEGORIES), x.shape[1] + len(CATEGORIES)))
@@ -230,9 +234,11 @@ class Predictor:
         self.known: dict[str, tuple[int, ...]] = {}
 
     def __call__(self, values: list[str]) -> np.ndarray:
+        return self.chain.predict(self.matrix([_words(v) for v in values]))
+
+    def matrix(self, texts_: list[set[str]]) -> np.ndarray:
         held, sizes = [], []
-        for text in values:
-            words = _words(text)
+        for words in texts_:
             row = []
             for word in words:
                 f = self.known.get(word)
@@ -245,4 +251,4 @@ class Predictor:
                     row.append(f)
             held.append(row)
             sizes.append(len(words))
-        return self.chain.predict(self.chain.matrix(held, sizes))
+        return self.chain.matrix(held, sizes)
