@@ -178,6 +178,23 @@ def test_leaks(spark):
     assert decontamination.find_leaks(table(spark, docs), bench.where("false")).count() == 0
 
 
+def test_leaks_of_hot_items(spark):
+    """Items whose words are in a third of the documents, and in all of them."""
+    rng = random.Random(8)
+    vocabulary, common = [f"t{k}" for k in range(600)], [f"c{k}" for k in range(30)]
+    items = [(k, prose(rng, 24, vocabulary)) for k in range(4)] + [(9, " ".join(rng.sample(common, 24)))]
+    docs, planted = [], set()
+    for k in range(120):
+        held = [0] * (k % 3 == 0) + [9] * (k % 40 == 0)
+        parts = [prose(rng, 60, vocabulary), " ".join(rng.sample(common, 30))]
+        for i in held:
+            parts.insert(1, dict(items)[i])
+            planted.add((k, i))
+        docs.append((k, " ".join(parts)))
+    got = decontamination.find_leaks(table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} >= planted and all(r["cosine"] > 0 for r in got)
+
+
 # -- toxicity
 
 
