@@ -195,6 +195,46 @@ def test_leaks_of_hot_items(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got} >= planted and all(r["cosine"] > 0 for r in got)
 
 
+@pytest.mark.parametrize("room", [1 << 22, 700])
+def test_leaks_against_brute_force(spark, monkeypatch, room):
+    """Items with two in five of their words exchanged, and whole ones beside runs
+    of a repeated word, against the subsequences of all windows."""
+    monkeypatch.setattr(decontamination, "BOUND_CELLS", room, raising=False)
+    rng = random.Random(9)
+    vocabulary = [f"t{k}" for k in range(400)]
+    items = {k: prose(rng, rng.randint(10, 70), vocabulary).split() for k in range(20)}
+    docs, planted = [], set()
+    for k in range(80):
+        item = items[k % 20]
+        held = list(item)
+        if k % 2:
+            inner = len(item) - max(3, round(0.2 * len(item)))
+            for j in rng.sample(range(inner), min(inner, int(0.4 * len(item)))):
+                held[j] = "new"
+            side = [prose(rng, rng.randint(0, 400), vocabulary).split() for _ in range(2)]
+        else:
+            side = [[rng.choice(vocabulary)] * rng.randint(0, 60) for _ in range(2)]
+        docs.append((k, " ".join(side[0] + held + side[1])))
+        planted.add((k, k % 20))
+    docs += EDGES
+    expected = set()
+    for width, low, high in ((2, 0, 30), (4, 30, 999)):
+        chosen = {k: w for k, w in items.items() if low < len(w) <= high}
+        reach = max(map(len, chosen.values()))
+        for i, text in docs:
+            words = (text or "").split()
+            for at in range(0, len(words), 12):
+                window = words[max(0, at - reach) : at + 12 * width + reach]
+                for k, w in chosen.items():
+                    end = w[-max(3, round(0.2 * len(w))) :]
+                    share, answer = (decontamination.lcs(decontamination.places(x), len(x), window) / len(x) for x in (w, end))
+                    if share >= 0.9 or share >= 0.6 and answer >= 0.5:
+                        expected.add((i, k))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    got = decontamination.find_leaks(table(spark, docs), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == expected >= planted
+
+
 # -- toxicity
 
 
