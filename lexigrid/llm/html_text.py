@@ -38,6 +38,8 @@ HINTS = frozenset(
     "promoted promotion related replies share sharing sidebar social sponsor sponsored subscribe toolbar widget "
     "complementary contentinfo search alert dialog form login signup toc responses discussion disqus gdpr paywall".split()
 )
+#: Elements whose classes, ids and roles say nothing about the text inside.
+UNHINTED = frozenset("html body main article".split())
 _CONTAINERS = BLOCKS - {"p", "h1", "h2", "h3", "h4", "h5", "h6", "hr"}
 
 _TOKEN = re.compile(
@@ -124,9 +126,10 @@ def default_tree():
     return grow(table[:, :-1], table[:, -1])
 
 
-def _surrounds(name: str, attrs: str) -> bool:
-    if name in BOILERPLATE:
-        return True
+def _hinted(name: str, attrs: str) -> bool:
+    """Whether class, id or role mark an element as boilerplate."""
+    if name in UNHINTED:
+        return False
     for groups in _NAMED.findall(attrs):
         if not HINTS.isdisjoint(_WORDS.findall("".join(groups).lower())):
             return True
@@ -140,9 +143,17 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
     held: list[str] = []
     linked = 0
     in_link = False
-    # Open containers as (name, is article, is boilerplate).
-    stack: list[tuple[str, bool, bool]] = []
-    article = boilerplate = 0
+    # Open containers as (name, is article, is boilerplate by name, is by a hint).
+    stack: list[tuple[str, bool, bool, bool]] = []
+    boilerplate = 0
+    # Open articles and hinted containers by number.  Hints of what encloses the
+    # longest article do not count, which only the whole page tells.
+    articles: list[int] = []
+    hints: list[int] = []
+    n_hints = 0
+    length: list[int] = []
+    around: list[tuple[int, ...]] = []
+    under: list[tuple[int, ...]] = []
 
     def close() -> None:
         nonlocal linked
@@ -150,7 +161,10 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
         held.clear()
         if words:
             texts.append(" ".join(words))
-            rows.append([len(words), min(1.0, linked / len(words)), 0, 0, 0, 0, article > 0, 0, boilerplate > 0])
+            rows.append([len(words), min(1.0, linked / len(words)), 0, 0, 0, 0, bool(articles), 0, boilerplate > 0])
+            under.append(tuple(hints))
+            if articles:
+                length[articles[-1]] += len(words)
         linked = 0
 
     def add(raw: str) -> None:
@@ -161,7 +175,7 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
             if in_link:
                 linked += len(text.split())
 
-    has_article, at = False, 0
+    at = 0
     for m in _TOKEN.finditer(page):
         add(page[at : m.start()])
         at = m.end()
@@ -180,16 +194,24 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
         if name not in _CONTAINERS or name in VOID:
             continue
         if not m["close"]:
-            kinds = (name, name in ("article", "main"), _surrounds(name, m["attrs"]))
+            kinds = (name, name in ("article", "main"), name in BOILERPLATE, _hinted(name, m["attrs"]))
             stack.append(kinds)
-            article += kinds[1]
+            if kinds[1]:
+                articles.append(len(length))
+                length.append(0)
+                around.append(tuple(hints))
             boilerplate += kinds[2]
-            has_article |= kinds[1]
+            if kinds[3]:
+                hints.append(n_hints)
+                n_hints += 1
         elif any(k[0] == name for k in stack):
             while True:
                 kinds = stack.pop()
-                article -= kinds[1]
+                if kinds[1]:
+                    articles.pop()
                 boilerplate -= kinds[2]
+                if kinds[3]:
+                    hints.pop()
                 if kinds[0] == name:
                     break
     add(page[at:])
@@ -197,7 +219,9 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
     x = np.array(rows, float).reshape(len(rows), len(FEATURES))
     if len(x):
         x[1:, 2:4], x[:-1, 4:6] = x[:-1, 0:2], x[1:, 0:2]
-        x[:, 7] = has_article
+        x[:, 7] = bool(length)
+        excused = set(around[length.index(max(length))]) if length else set()
+        x[:, 8] = [b or not excused.issuperset(u) for b, u in zip(x[:, 8], under)]
     return texts, x
 
 

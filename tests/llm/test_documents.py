@@ -387,6 +387,23 @@ def test_test_pages(spark, sf):
         assert got[r["page_id"]] == "\n".join(b for b in blocks if b)
 
 
+@pytest.mark.parametrize(
+    "before,after",
+    [
+        ('<body class="no-sidebar"><article>', "</article></body>"),
+        ('<html class="ads"><body class="single comments-open"><main id="search"><p></p>', "</main></body></html>"),
+        ('<div class="page with-sidebar"><div id="widget"><article>', "</article></div></div>"),
+        ('<main><div class="with-sidebar"><article class="has-related">', "</article></div></main>"),
+        ('<body class="no-sidebar">', "</body>"),
+    ],
+)
+def test_hints_of_wrappers(before, after):
+    long = " ".join(["real words of a story that goes on for quite a while, as stories do, until it ends."] * 3)
+    inner = f"<p>{long}</p><div class=ad>buy</div><p>{long}</p>"
+    outer = '<div id="comments"><article><p>nice one</p></article></div><div class="sidebar">bye</div>'
+    assert html_text.main_text(before + inner + after.replace("</article>", "</article>" + outer, 1)) == f"{long}\n{long}"
+
+
 # -- pipeline
 
 
