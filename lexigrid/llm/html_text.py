@@ -28,8 +28,10 @@ BLOCKS = frozenset(
     "option p pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is no text of the page.
+#: Elements whose content is no text of the page; those of RAW run to the end of
+#: the page if they have no end tag, those of EMPTY may be closed by their own tag.
 SILENT = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "select", "textarea", "button", "title", "canvas", "audio", "video")
+RAW, EMPTY = frozenset(("script", "style")), frozenset(("svg", "math"))
 #: Elements, roles and words of class or id that mark what is no article text.
 BOILERPLATE = frozenset("nav header footer aside form menu dialog".split())
 HINTS = frozenset(
@@ -44,11 +46,12 @@ _CONTAINERS = BLOCKS - {"p", "h1", "h2", "h3", "h4", "h5", "h6", "hr"}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<silent>{'|'.join(SILENT)})\b[^>]*>.*?(?:</(?P=silent)\s*>|\Z)"
+    rf"|<(?P<silent>{'|'.join(SILENT)})(?=[\s/>])(?P<own>(?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>"
     r"|<!\[CDATA\[|<[!?][^>]*>"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
+_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in SILENT}
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
@@ -176,9 +179,19 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
                 linked += len(text.split())
 
     at = 0
-    for m in _TOKEN.finditer(page):
+    # Silent elements that have no end tag in the rest of the page.
+    endless: set[str] = set()
+    while m := _TOKEN.search(page, at):
         add(page[at : m.start()])
         at = m.end()
+        silent = (m["silent"] or "").lower()
+        if silent and not (silent in EMPTY and m["own"].endswith("/")):
+            end = None if silent in endless else _ENDS[silent].search(page, at)
+            if end:
+                at = end.end()
+            else:
+                endless.add(silent)
+                at = len(page) if silent in RAW else at
         name = m["name"]
         if name is None:
             continue

@@ -404,6 +404,19 @@ def test_hints_of_wrappers(before, after):
     assert html_text.main_text(before + inner + after.replace("</article>", "</article>" + outer, 1)) == f"{long}\n{long}"
 
 
+@pytest.mark.parametrize(
+    "tag",
+    [
+        '<svg width="1" data-x="a>b"/>', "<math />", "<video-player src=x></video-player>", "<button-group></button-group>",
+        "<SVG/><svg><text>no</text></svg >", "<button>", "<select><iframe src='x'>", "<Script>no</p></script x><STYLE>no</style>", "</video>",
+    ],
+)
+def test_silent_elements(tag):
+    texts = html_text.main_text(f"<article><p>one</p>{tag}<p>two</p><p>three {tag} four</p></article>").split("\n")
+    assert texts == ["one", "two", "three four"]
+    assert html_text.main_text("<article><p>one</p><script>two</article>") == "one"
+
+
 # -- pipeline
 
 
