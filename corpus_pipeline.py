@@ -15,9 +15,9 @@ from lexigrid.llm import decontamination, near_dedup, packing, substring_dedup,
 from lexigrid.llm.common import materialize, read_table
 from lexigrid.llm.queries import END_ID, TOKENIZER
 
-#: Similarity of near duplicates in percent, and bytes of a repeated passage:
-#: passages of over 50 words have more.
-SIMILAR, REPEATED_BYTES = 80, 250
+#: Similarity of near duplicates in percent, and bytes of a repeated passage or,
+#: where its words are short, its words.
+SIMILAR, REPEATED_BYTES, REPEATED_WORDS = 80, 250, 51
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that repeat anywhere; ``n_chars``
     follows the text."""
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    cut = substring_dedup.remove_repeats(docs, REPEATED_BYTES, keep=rest, as_text=True)
+    cut = substring_dedup.remove_repeats(docs, REPEATED_BYTES, keep=rest, as_text=True, words=REPEATED_WORDS)
     new = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
     return cut.select(*(new.get(c, F.col(f"carried.`{c}`")).alias(c) for c in docs.columns))
 

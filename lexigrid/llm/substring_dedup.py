@@ -25,7 +25,7 @@ from pyspark.sql.types import StructType
 from .bwt import SEPARATOR, repeated
 from .common import materialize, texts
 from .token_ids import slices
-from .words import mix, tables
+from .words import _WHITE, mix, tables
 
 #: Bytes of the short strings that anchors are chosen from.
 GRAM = 80
@@ -240,15 +240,52 @@ def repeated_places(keyed: DataFrame, least: int) -> DataFrame:
     return found.where("h IS NULL").select("text_key", "low", "high").unionAll(whole).unionAll(inside)
 
 
-def remove_repeats(docs: DataFrame, least: int = 400, keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+def word_windows(raw: list[bytes], words: int, below: int) -> tuple[np.ndarray, ...]:
+    """Hash, text, start and end of all strings of ``words`` whole words that have
+    fewer than ``below`` bytes."""
+    data = np.frombuffer(b"".join(r + b" " for r in raw), np.uint8)
+    starts = np.cumsum([0] + [len(r) + 1 for r in raw])
+    edge = np.flatnonzero(np.diff(_WHITE[data].astype(np.int8), prepend=1))
+    first, last = edge[0::2], edge[1::2]  # every text ends with a space
+    a, b = first[: max(0, len(first) - words + 1)], last[words - 1 :]
+    own = np.searchsorted(starts, a, "right") - 1
+    chosen = np.flatnonzero((b - a < below) & (b < starts[own + 1]))
+    a, b, own = a[chosen], b[chosen], own[chosen]
+    up, down = tables(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64, out=total[1:])
+    h = mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64) * up[1])
+    return h.view(np.int64), own, a - starts[own], b - starts[own]
+
+
+def short_places(keyed: DataFrame, words: int, least: int) -> DataFrame:
+    """``text_key, low, high``: repeated strings of ``words`` words that have fewer
+    than ``least`` bytes, of which ``high`` is the end less ``least``."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, values in slices(batch, size=1 << 19):
+                h, own, low, end = word_windows([v.encode("utf-8", "surrogatepass") for v in values], words, least)
+                keys = batch.column("text_key").slice(part.start, len(values))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h), keys.take(pa.array(own)), pa.array(low, pa.int64()), pa.array(end - least, pa.int64())],
+                    ["h", "text_key", "low", "high"],
+                )
+
+    found = materialize(keyed.mapInArrow(run, "h long, text_key binary, low long, high long"), "word-windows")
+    again = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    return found.join(again, "h").select("text_key", "low", "high")
+
+
+def remove_repeats(docs: DataFrame, least: int = 400, keep: tuple[str, ...] = (), as_text: bool = False, words: int = 0) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_bytes`` of every row.
 
     With ``as_text`` the rest is a string ``kept_text`` instead, without the
     parts of characters that a cut leaves.
 
     Bytes covered by a string of ``least`` bytes that also starts anywhere else,
-    in the same text or another, are removed; ``n_spans`` counts the maximal
-    removed runs.  Null texts are empty; texts shorter than ``least`` lose
+    in the same text or another, are removed, and with ``words`` those covered by a
+    string of so many whole words that does, though it has fewer bytes; ``n_spans``
+    counts the maximal removed runs.  Null texts are empty; texts shorter than ``least`` lose
     nothing; repeated rows are documents like others, so long ones lose all they
     share; null ids are kept; an empty table gives an empty result.  Columns named
     in ``keep`` are carried in a struct ``carried``, where their names clash with
@@ -258,6 +295,8 @@ def remove_repeats(docs: DataFrame, least: int = 400, keep: tuple[str, ...] = ()
     carried = [F.struct(*(F.col(f"`{c}`") for c in keep)).alias("carried")] if keep else []
     keyed = texts(docs, *carried).withColumn("text_key", F.unhex(F.md5(F.col("text").cast("binary"))))
     places = repeated_places(keyed.select("text_key", "text"), least)
+    if words:
+        places = places.unionAll(short_places(keyed.select("text_key", "text"), words, least))
     places = places.groupBy("text_key").agg(F.sort_array(F.collect_set(F.struct("low", "high"))).alias("places"))
     both = keyed.join(places, "text_key", "left")
     lows, highs = F.transform("places", lambda p: p["low"]), F.transform("places", lambda p: p["high"])

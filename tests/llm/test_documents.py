@@ -318,6 +318,24 @@ def test_substrings(spark, monkeypatch, batch):
     assert substring_dedup.remove_repeats(frame.where("false"), least).count() == 0
 
 
+def test_short_words_that_repeat(spark):
+    """Passages of 51 words of few bytes, in the pipeline's stage."""
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(5)
+    letters = [chr(97 + k) for k in range(26)]
+    short, fifty, inner = prose(rng, 51, letters), prose(rng, 50, letters), prose(rng, 55, letters)
+    side = iter([prose(rng, 30, [f"w{j}" for j in range(9000)]) for _ in range(20)])
+    texts = {}
+    for k, passage in enumerate((short, short, fifty, fifty, inner, inner)):
+        texts[k] = (next(side), passage, next(side))
+    rows = [(k, " ".join(x)) for k, x in texts.items()] + [(10, f"{inner}\n{next(side)}"), *EDGES]
+    got = {r["doc_id"]: r["text"] for r in pipeline.cut_repeats(spark, table(spark, rows), "").collect()}
+    for k, (a, passage, b) in texts.items():
+        assert got[k] == (f"{a} {passage} {b}" if passage == fifty else f"{a}  {b}")
+    assert got[10] == rows[6][1][len(inner) :] and got[905] == ""
+
+
 # -- language model
 
 
