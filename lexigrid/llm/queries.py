@@ -59,7 +59,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores.score(read_table(spark, sf_dir, "documents"))
+    return lm_scores.score(read_table(spark, sf_dir, "documents"), min_count=1)
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

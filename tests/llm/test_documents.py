@@ -365,6 +365,15 @@ def test_scores(spark, order, chunk):
     assert lm_scores.score(table(spark, docs).where("false"), order).count() == 0
 
 
+def test_scores_of_the_query_hold_single_ngrams(spark, tmp_path):
+    from lexigrid.llm import queries
+
+    spark.createDataFrame([(1, "a b c"), (2, "a d")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["log_score"] for r in queries.op9_lm_scores(spark, str(tmp_path)).collect()}
+    # a: 2 of 5 words; a b: 1 of 2; a b c: 1 of 1; a d: 1 of 2.
+    assert got == pytest.approx({1: math.log10(2 / 5 / 2), 2: math.log10(2 / 5 / 2)}, abs=1e-5)
+
+
 # -- pages
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{x}}</style><script>var t="</p>";</script></head><body>
