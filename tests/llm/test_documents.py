@@ -195,6 +195,35 @@ def test_leaks_of_hot_items(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got} >= planted and all(r["cosine"] > 0 for r in got)
 
 
+def test_leaks_of_a_widely_leaked_item(spark):
+    rng = random.Random(2)
+    items = [(k, prose(rng, 24, [f"t{k}x{j}" for j in range(40)])) for k in (1, 2)]
+    docs = [(k, prose(rng, 50, [f"u{j}" for j in range(90)])) for k in range(10)]
+    docs = [(k, t + " " + dict(items)[1] if k < 3 else t + " " + dict(items)[2] if k == 9 else t) for k, t in docs]
+    got = decontamination.find_leaks(table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(0, 1), (1, 1), (2, 1), (9, 2)]
+
+
+def test_recall_of_the_search(spark, sf):
+    """Cosine candidates against every item everywhere, on the test data with items
+    put into it whole and with up to two in five words exchanged."""
+    rng = random.Random(6)
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r["text"]]
+    vocabulary = [w for _, t in docs for w in t.split()]
+    planted = []
+    for k in range(300):
+        words = items[k % len(items)][1].split()
+        for j in rng.sample(range(len(words) - max(3, len(words) // 5)), int(0.1 * (k % 5) * len(words))):
+            words[j] = rng.choice(vocabulary)
+        side = rng.choice(docs)[1].split()
+        at = rng.randrange(len(side) + 1)
+        planted.append((10_000 + k, " ".join(side[:at] + words + side[at:])))
+    frame, bench = table(spark, docs + planted), spark.createDataFrame(items, "item_id long, text string")
+    every, found = ({(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(frame, bench, near).collect()} for near in (-2.0, decontamination.NEAR))
+    assert len(every) >= 240 and found <= every and len(found) >= 0.98 * len(every)
+
+
 @pytest.mark.parametrize("room", [1 << 22, 700])
 def test_leaks_against_brute_force(spark, monkeypatch, room):
     """Items with two in five of their words exchanged, and whole ones beside runs
