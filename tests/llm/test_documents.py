@@ -228,7 +228,7 @@ def test_recall_of_the_search(spark, sf):
 def test_leaks_against_brute_force(spark, monkeypatch, room):
     """Items with two in five of their words exchanged, and whole ones beside runs
     of a repeated word, against the subsequences of all windows."""
-    monkeypatch.setattr(decontamination, "BOUND_CELLS", room, raising=False)
+    monkeypatch.setattr(decontamination, "BLOCK_CELLS", room)
     rng = random.Random(9)
     vocabulary = [f"t{k}" for k in range(400)]
     items = {k: prose(rng, rng.randint(10, 70), vocabulary).split() for k in range(20)}
