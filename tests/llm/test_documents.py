@@ -473,6 +473,40 @@ def test_silent_elements(tag):
     assert html_text.main_text("<article><p>one</p><script>two</article>") == "one"
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ('<article><p>Body words here.</p><p class="cookie-notice">We use cookies.</p><span class="ad">Buy now</span>', "Body words here."),
+        ('<article><p>One.</p><div class="share-price"><p>Share prices rose.</p></div></article>', "One.\nShare prices rose."),
+        ('<div class="social-sciences"><article><p>Body words</p></article></div>', "Body words"),
+        ('<form id="aspnetForm"><nav><a href=x>a</a></nav><article><p>Body words</p></article></form>', "Body words"),
+        ('<article><p>Hello <span class="ad">x <span>y</span> z</span> world</p></article>', "Hello world"),
+        ('<article><p>One <b class="siteFooter">x<p>y</b></p><p>two</p></article>', "One\ntwo"),
+        ('<div id="aspnetForm"><form><p>' + "many words of it " * 20 + "</p></form></div>", " ".join(["many words of it"] * 20)),
+        ('<article><p>' + "a b c " * 9 + '</p></article><div id="comments"><article class="comment"><p>' + "d e f " * 12 + "</p></article></div>", " ".join(["a b c"] * 9)),
+    ],
+)
+def test_marks_of_blocks(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_words_and_links_decide():
+    """The tree is fitted to its labelled table; other word counts or link densities
+    give other verdicts."""
+    table_ = html_text.labelled()
+    x, y = table_[:, :-1], table_[:, -1] > 0
+    tree = html_text.default_tree()
+    assert (html_text.classify(tree, x) == y).mean() >= 0.99
+    for columns in ([0], [1], [0, 2, 4], [1, 3, 5]):
+        changed = x.copy()
+        changed[:, columns] = np.random.default_rng(3).permutation(x[:, columns])
+        assert (html_text.classify(tree, changed) != y).sum() >= 3
+    menu = "".join(f"<p><a href=x>{w}</a></p>" for w in ("one", "two", "three"))
+    story = "<p>" + "words of a story " * 30 + "</p>"
+    assert html_text.main_text(f"<body>{menu}{story}{story}{menu}</body>").count("\n") == 1
+    assert html_text.main_text(f"<body>{menu}{menu}</body>") == ""
+
+
 # -- pipeline
 
 
