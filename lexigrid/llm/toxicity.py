@@ -1,25 +1,25 @@
 """Operator 4: toxicity by a classifier chain of linear models.
 
-Features of a document are its distinct words (runs of letters, lower-cased) and
-their beginnings of 3 to 8 letters, hashed to 64 bits.  Beginnings matter because
-in compounding languages the offending part opens many different words.
+The chain predicts the categories that the labels name, one after another:
 
-The chain predicts three categories one after another, each by a logistic
-regression over the features that the labelled rows associate with toxicity:
+* ``junk``: the text is of low quality (``quality`` is 0),
+* ``toxic``: it is toxic.
 
-* ``marked``: the text holds a word or beginning that toxic rows share,
-* ``repeated``: it holds at least two such words,
-* ``toxic``: the label.
+Each is a logistic regression over evidence from words and measures of signs.  Its
+evidence is which words, and beginnings of words of 3 to 8 letters, are more frequent
+in labelled rows of the category; beginnings matter because in compounding languages
+the offending part opens many different words.  Words are runs of letters, lower-cased.
+A later model also sees the earlier categories' probabilities.
 
-The labels give only the last; the first two follow from labelled toxic rows and
-the associated features.  A later model sees the earlier probabilities, and when
-it is trained those come from models that have not seen the row (out of fold).
+Everything that is learned from labels is learned out of fold: the evidence of a
+training row comes from the other folds' rows, and so do the earlier probabilities,
+whose models select their words and are fitted without the row's fold.  Rows of
+equal text share a fold.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,23 +27,25 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import texts
 from .token_ids import slices
 
-CATEGORIES = ("marked", "repeated", "toxic")
+CATEGORIES = ("junk", "toxic")
 #: Largest number of labelled rows that the models are trained on.
 MAX_TRAIN = 4000
-#: Largest number of features kept, and folds for the chain's training.
-MAX_FEATURES, FOLDS = 300, 4
+#: Folds of the training rows.
+FOLDS = 4
 _PREFIXES = range(3, 9)
-_MEASURES = 9
-#: Features are kept from this log lift on, and with so many clean rows a toxic
-#: one at most; from the higher lift on they are strong.
-LIFT, CLEAN_SHARE, STRONG = 1.0, 4, 4.0
+#: A word or beginning is evidence if so many rows of the category have it, from this
+#: log lift on, and with so many other rows a row of the category at most; from the
+#: higher lift on it is strong.
+LEAST_ROWS, LIFT, OTHERS, STRONG = 3, 1.0, 4, 4.0
 _WORDS = regex.compile(r"\p{L}+")
+#: Bytes that are counted in a text: signs, digits, capitals, ends of lines.
+_COUNTED = tuple(np.array([ord(c) for c in cs]) for cs in ("#*$%&|<>", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "\n", "!?"))
 
 
 def features(word: str) -> tuple[int, ...]:
@@ -54,58 +56,42 @@ def features(word: str) -> tuple[int, ...]:
     return tuple(out)
 
 
-def _words(text: str) -> set[str]:
-    return set(_WORDS.findall(text.lower()))
-
-
-@dataclass
-class Chain:
-    """Trained chain: feature hash -> column, and one weight row a category."""
-
-    columns: dict[int, int]
-    lifts: np.ndarray  # log lift of each kept feature
-    weights: np.ndarray  # categories x (features + measures + earlier + 1)
-    threshold: float = 0.5
-
-    def matrix(self, held: list[list[tuple[int, ...]]], sizes: list[int]) -> np.ndarray:
-        """Presence of each kept feature, and measures of the words that have any.
-
-        ``sizes`` has the number of distinct words: in a long text a marked word
-        is more likely to be there by chance.
-        """
-        x = np.zeros((len(held), len(self.columns) + _MEASURES), np.float32)
-        for row, words, size in zip(x, held, sizes):
-            evidence = []
-            for features in words:
-                at = [self.columns[f] for f in features if f in self.columns]
-                if at:
-                    row[at] = 1
-                    evidence.append(self.lifts[at].max())
-            hits = len(evidence)
-            if hits:
-                log_size = np.log1p(size)
-                row[-_MEASURES:] = (
-                    1, hits > 1, np.log1p(hits), log_size, np.log1p(hits) * log_size, np.log(hits / size),
-                    max(evidence), sum(evidence) / 10, min(2, sum(e >= STRONG for e in evidence)),
-                )
-        return x
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        p = np.zeros((len(x), len(CATEGORIES)))
-        for k in range(len(CATEGORIES)):
-            p[:, k] = _apply(self.weights[k], x, p[:, :k])
-        return p
-
-
-def _apply(w: np.ndarray, x: np.ndarray, earlier: np.ndarray) -> np.ndarray:
-    n, k = x.shape[1], earlier.shape[1]
-    z = x @ w[:n] + earlier @ w[n : n + k] + w[-1]
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
-
-def _fit(x: np.ndarray, earlier: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 12) -> np.ndarray:
+def read(text: str) -> tuple[set[str], list[float]]:
+    """A text's distinct words, and measures of its signs."""
+    words = _WORDS.findall(text.lower())
+    raw = text.encode("utf-8", "surrogatepass")
+    counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
+    known = set(words)
+    shares = [float(np.log1p(100 * counts[c].sum() / (len(raw) + 1))) for c in _COUNTED]
+    return known, [*shares, len(known) / (len(words) + 1), float(np.log1p(len(words)))]
+
+
+def _evidence(held: Sequence[tuple[int, ...]], size: int, lifts: dict[int, float]) -> list[float]:
+    """Measures of the words that speak for a category, of ``size`` distinct words:
+    in a long text one is more likely to be there by chance."""
+    found = []
+    for fs in held:
+        best = max((lifts[f] for f in fs if f in lifts), default=0.0)
+        if best:
+            found.append(best)
+    hits = len(found)
+    if not hits:
+        return [0.0] * 9
+    log_size = float(np.log1p(size))
+    more = float(np.log1p(hits))
+    return [
+        1, hits > 1, more, log_size, more * log_size, float(np.log(hits / size)),
+        max(found), sum(found) / 10, min(2, sum(e >= STRONG for e in found)),
+    ]
+
+
+def _apply(w: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
+
+
+def _fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 12) -> np.ndarray:
     """Logistic regression by Newton steps with a quadratic penalty."""
-    a = np.hstack([x, earlier, np.ones((len(x), 1))]).astype(np.float64)
+    a = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(a.shape[1])
     ridge = np.full(a.shape[1], penalty)
     ridge[-1] = 1e-6
@@ -117,71 +103,134 @@ def _fit(x: np.ndarray, earlier: np.ndarray, y: np.ndarray, penalty: float = 1.0
         w += step
         if np.abs(step).max() < 1e-6:
             break
-    full = np.zeros(x.shape[1] + len(CATEGORIES))
-    full[: a.shape[1] - 1], full[-1] = w[:-1], w[-1]
-    return full
+    return w
+
+
+def folds(values: list[str]) -> np.ndarray:
+    """The fold of each text; equal texts share one."""
+    return np.array([xxhash.xxh3_64_intdigest(v.encode("utf-8", "surrogatepass")) % FOLDS for v in values], np.int64)
+
+
+class Training:
+    """Labelled rows by fold, and evidence that leaves folds out."""
+
+    def __init__(self, rows: list[tuple[set[str], list[float]]], fold: np.ndarray, y: np.ndarray):
+        self.fold, self.y = fold, y
+        self.signs = np.array([s for _, s in rows], float).reshape(len(rows), -1)
+        self.sizes = [len(words) for words, _ in rows]
+        # Only features of rows of the category can be evidence for it.
+        own = [np.array(sorted({f for w in words for f in features(w)}), np.uint64) for (words, _), label in zip(rows, y.tolist()) if label]
+        every, counts = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, np.uint64), np.zeros(0, int))
+        self.names = every[counts >= LEAST_ROWS]
+        at = {f: k for k, f in enumerate(self.names.tolist())}
+        known: dict[str, tuple[int, ...]] = {}
+        self.words: list[list[tuple[int, ...]]] = []
+        for words, _ in rows:
+            held = []
+            for w in words:
+                kept = known.get(w)
+                if kept is None:
+                    kept = known[w] = tuple(f for f in features(w) if f in at)
+                if kept:
+                    held.append(kept)
+            self.words.append(held)
+        self.counts = np.zeros((2, FOLDS, len(self.names)), np.int64)
+        for fs, label, k in zip(self.words, y.tolist(), fold.tolist()):
+            self.counts[label, k, [at[f] for f in {f for word in fs for f in word}]] += 1
+        self.tables: dict[frozenset[int], dict[int, float]] = {}
+
+    def lifts(self, without: frozenset[int] = frozenset()) -> dict[int, float]:
+        """Features that rows of the category have clearly more often than others,
+        with their log lifts less two standard errors, counted without some folds."""
+        if without not in self.tables:
+            used = [k for k in range(FOLDS) if k not in without]
+            rest, own = self.counts[:, used].sum(1)
+            inside = np.isin(self.fold, used)
+            n1, n0 = (max(1, int((inside & (self.y == label)).sum())) for label in (1, 0))
+            lift = np.log((own + 0.5) / (n1 + 1)) - np.log((rest + 0.5) / (n0 + 1)) - 2 / np.sqrt(np.maximum(1, own))
+            kept = (own >= LEAST_ROWS) & (lift >= LIFT) & (rest <= OTHERS * own)
+            self.tables[without] = dict(zip(self.names[kept].tolist(), lift[kept].tolist()))
+        return self.tables[without]
+
+    def matrix(self, rows: np.ndarray, without: frozenset[int] = frozenset(), and_own: bool = True) -> np.ndarray:
+        """Evidence and signs of rows, from folds but ``without`` and, with
+        ``and_own``, each row's own."""
+        out = []
+        for r in rows.tolist():
+            lifts = self.lifts(without | {int(self.fold[r])} if and_own else without)
+            out.append(_evidence(self.words[r], self.sizes[r], lifts))
+        return np.hstack([np.array(out, float).reshape(len(out), 9), self.signs[rows]])
+
+    def unseen(self, earlier: np.ndarray) -> np.ndarray:
+        """Each row's probability by a model whose words and weights come from the
+        other folds only."""
+        p = np.zeros(len(self.y))
+        for k in range(FOLDS):
+            test, rest = np.flatnonzero(self.fold == k), np.flatnonzero(self.fold != k)
+            if not len(test) or not len(rest):
+                continue
+            w = _fit(np.hstack([self.matrix(rest, frozenset([k])), earlier[rest]]), self.y[rest])
+            p[test] = _apply(w, np.hstack([self.matrix(test, frozenset([k])), earlier[test]]))
+        return p
 
+    def weights(self, earlier: np.ndarray) -> np.ndarray:
+        every = np.arange(len(self.y))
+        return _fit(np.hstack([self.matrix(every), earlier]), self.y)
 
-def _associated(words: list[set[str]], toxic: np.ndarray) -> tuple[dict[int, int], np.ndarray]:
-    """Features that toxic rows have clearly more often than others, and their lifts.
 
-    Only features of three toxic rows are counted in the others, which keeps the
-    driver's tables small.
-    """
-    bad = Counter(f for ws, y in zip(words, toxic) if y for f in {f for w in ws for f in features(w)})
-    bad = {f: c for f, c in bad.items() if c >= 3}
-    clean: Counter[int] = Counter()
-    for ws, y in zip(words, toxic):
-        if not y:
-            clean.update({f for w in ws for f in features(w) if f in bad})
-    n1 = max(1, int(toxic.sum()))
-    n0 = max(1, len(toxic) - n1)
-    scored = []
-    for f, c in bad.items():
-        lift = np.log((c + 0.5) / (n1 + 1)) - np.log((clean[f] + 0.5) / (n0 + 1))
-        if lift >= LIFT and clean[f] <= CLEAN_SHARE * c:
-            scored.append((-lift * np.sqrt(c), f, lift))
-    scored.sort()
-    scored = scored[:MAX_FEATURES]
-    return {f: k for k, (_, f, _) in enumerate(scored)}, np.array([x for _, _, x in scored])
-
-
-def train(texts_: list[str], toxic: list[int]) -> Chain:
-    """Train the chain on labelled texts."""
-    words = [_words(t) for t in texts_]
-    y = np.asarray(toxic, np.int64)
-    chain = Chain(*_associated(words, y), np.zeros((0, 0)))
-    x = Predictor(chain).matrix(words)
-    if not y.any():
-        # Nothing to learn from: nothing is toxic.
-        chain.weights = np.zeros((len(CATEGORIES), x.shape[1] + len(CATEGORIES)))
-        chain.weights[:, -1] = -30
-        return chain
-    goals = [y * (x[:, -_MEASURES] > 0), y * (x[:, 1 - _MEASURES] > 0), y]
-    fold = np.arange(len(y)) % FOLDS
-    weights, earlier = [], np.zeros((len(y), 0))
-    for goal in goals:
-        weights.append(_fit(x, earlier, goal))
-        unseen = np.zeros(len(y))
-        for k in range(FOLDS):
-            own = fold == k
-            if own.any() and not own.all():
-                unseen[own] = _apply(_fit(x[~own], earlier[~own], goal[~own]), x[own], earlier[own])
-        earlier = np.hstack([earlier, unseen[:, None]])
-    chain.weights = np.array(weights)
+@dataclass
+class Chain:
+    """A trained chain: of each category the features with their lifts, and weights."""
+
+    lifts: list[dict[int, float]]
+    weights: list[np.ndarray]
+    threshold: float = 0.5
+
+    def predict(self, held: list[tuple[list[tuple[int, ...]], int, list[float]]]) -> np.ndarray:
+        """Probabilities of texts, given as (features of words, words, signs)."""
+        p = np.zeros((len(held), len(self.weights)))
+        signs = np.array([s for _, _, s in held], float).reshape(len(held), -1)
+        for k, (lifts, w) in enumerate(zip(self.lifts, self.weights)):
+            x = np.array([_evidence(fs, size, lifts) for fs, size, _ in held], float).reshape(len(held), 9)
+            p[:, k] = _apply(w, np.hstack([x, signs, p[:, :k]]))
+        return p
+
+
+def train(values: list[str], labels: list[np.ndarray]) -> Chain:
+    """Train the chain on labelled texts, with 0 or 1 of each category."""
+    chain, earlier = Chain([], []), np.zeros((len(values), 0))
+    fold = folds(values)
+    rows = [read(v) for v in values]
+    for k, y in enumerate(labels):
+        if not y.any():
+            # Nothing to learn from: nothing is in the category.
+            chain.lifts.append({})
+            chain.weights.append(np.append(np.zeros(9 + len(read("")[1]) + k), -30.0))
+            earlier = np.hstack([earlier, np.zeros((len(values), 1))])
+            continue
+        own = Training(rows, fold, y)
+        chain.lifts.append(own.lifts())
+        chain.weights.append(own.weights(earlier))
+        if k + 1 < len(labels):
+            earlier = np.hstack([earlier, own.unseen(earlier)[:, None]])
     return chain
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Chain:
-    """Train on at most ``max_train`` labelled rows, chosen by hash of the id."""
+    """Train on at most ``max_train`` labelled rows, chosen by hash of the id.
+
+    ``labels`` has ``doc_id``, ``toxic`` and, if junk is to be told, ``quality``; a
+    row without a ``toxic`` label is not used, one without ``quality`` is no junk.
+    """
+    junk: Column = F.when(F.col("quality") == 0, 1).otherwise(0) if "quality" in labels.columns else F.lit(0)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).select(
-        F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("toxic")
+        F.col("doc_id").cast("long"), junk.alias("junk"), F.col("toxic").cast("int").alias("toxic")
     )
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = known.groupBy("doc_id").agg(F.max("junk").alias("junk"), F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     rows = texts(docs).join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(max_train)
-    got = rows.select("text", "toxic").collect()
-    return train([r["text"] for r in got], [int(r["toxic"] > 0) for r in got])
+    got = rows.select("text", *CATEGORIES).collect()
+    return train([r["text"] for r in got], [np.array([int(r[c] > 0) for r in got], np.int64) for c in CATEGORIES])
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
@@ -231,24 +280,19 @@ class Predictor:
 
     def __init__(self, chain: Chain):
         self.chain = chain
+        self.kept = frozenset().union(*chain.lifts)
         self.known: dict[str, tuple[int, ...]] = {}
 
+    def _of(self, word: str) -> tuple[int, ...]:
+        out = self.known.get(word)
+        if out is None:
+            if len(self.known) > 150_000:
+                self.known.clear()
+            out = self.known[word] = tuple(f for f in features(word) if f in self.kept)
+        return out
+
     def __call__(self, values: list[str]) -> np.ndarray:
-        return self.chain.predict(self.matrix([_words(v) for v in values]))
-
-    def matrix(self, texts_: list[set[str]]) -> np.ndarray:
-        held, sizes = [], []
-        for words in texts_:
-            row = []
-            for word in words:
-                f = self.known.get(word)
-                if f is None:
-                    f = tuple(h for h in features(word) if h in self.chain.columns)
-                    if len(self.known) > 150_000:
-                        self.known.clear()
-                    self.known[word] = f
-                if f:
-                    row.append(f)
-            held.append(row)
-            sizes.append(len(words))
-        return self.chain.matrix(held, sizes)
+        held = []
+        for words, signs in map(read, values):
+            held.append(([f for w in words if (f := self._of(w))], len(words), signs))
+        return self.chain.predict(held)

@@ -295,6 +295,39 @@ def test_toxicity(spark):
     assert toxicity.score(frame, nothing).where("toxic").count() == 0
 
 
+def test_no_held_out_row_touches_selection():
+    """Other labels and texts in one fold change no table, weight or probability that
+    is to be out of that fold."""
+    rng = random.Random(5)
+    values = [prose(rng, 30, [f"w{k}" for k in range(200)]) + (" idiotic moron" if k % 4 == 0 else "") for k in range(400)]
+    y, fold = np.array([int(k % 4 == 0) for k in range(400)]), toxicity.folds(values)
+    rows = [toxicity.read(v) for v in values]
+    other_rows, other_y = list(rows), y.copy()
+    for r in np.flatnonzero(fold == 1):
+        other_rows[r] = (rows[r][0] | {"madeup", "w1"}, rows[r][1])
+        other_y[r] = 1 - y[r]
+    one, two = toxicity.Training(rows, fold, y), toxicity.Training(other_rows, fold, other_y)
+    assert one.lifts(frozenset([1])) == two.lifts(frozenset([1])) and one.lifts() != two.lifts()
+    earlier = np.zeros((400, 0))
+    own = np.flatnonzero(fold == 1)
+    assert len(own) > 50 and (fold == toxicity.folds(values)).all()
+    # The fold's own rows are asked with their unchanged texts.
+    two.words, two.signs, two.sizes = one.words, one.signs, one.sizes
+    assert np.allclose(one.unseen(earlier)[own], two.unseen(earlier)[own], atol=1e-9)
+    assert not np.allclose(one.unseen(earlier)[fold == 2], two.unseen(earlier)[fold == 2], atol=1e-9)
+
+
+def test_junk_comes_before_toxic(spark):
+    rng = random.Random(6)
+    docs = [(k, prose(rng, 40, [f"w{j}" for j in range(90)]) + " $$$ ###" * 30 * (k % 5 == 0) + " idiot" * (k % 3 == 0)) for k in range(300)]
+    labels = spark.createDataFrame([(k, int(k % 5 > 0), int(k % 3 == 0)) for k in range(300)] + [(1, None, 0)], "doc_id long, quality int, toxic int")
+    chain = toxicity.fit(table(spark, docs), labels)
+    rows = {r["doc_id"]: r for r in toxicity.score(table(spark, docs), chain).collect()}
+    assert sum((rows[k]["p_junk"] >= 0.5) == (k % 5 == 0) for k in range(300)) >= 295
+    assert sum(rows[k]["toxic"] == (k % 3 == 0) for k in range(300)) >= 295
+    assert len(chain.weights[1]) == len(chain.weights[0]) + 1
+
+
 # -- repeated substrings
 
 
