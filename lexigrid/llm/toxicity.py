@@ -138,6 +138,10 @@ class Training:
         for fs, label, k in zip(self.words, y.tolist(), fold.tolist()):
             self.counts[label, k, [at[f] for f in {f for word in fs for f in word}]] += 1
         self.tables: dict[frozenset[int], dict[int, float]] = {}
+        # Most features are evidence whatever folds are left out, or never.
+        left_out = {frozenset((j, k)) for j in range(FOLDS) for k in range(FOLDS)} | {frozenset()}
+        ever = frozenset().union(*map(self.lifts, left_out))
+        self.words = [[kept for fs in held if (kept := tuple(f for f in fs if f in ever))] for held in self.words]
 
     def lifts(self, without: frozenset[int] = frozenset()) -> dict[int, float]:
         """Features that rows of the category have clearly more often than others,
