@@ -20,6 +20,9 @@ from .common import materialize, texts
 _SPACE = " \t\n\x0b\x0c\r"
 _SPLIT = "[\\x20\\x09-\\x0D]+"
 WINDOW = 8
+#: Words of a block in which different words are counted, so that a long text, which
+#: comes back to its words, is measured like a short one.
+BLOCK = 200
 #: Base rules: least words, and most percent of words in repeated windows.
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 #: EM: rounds, first share of bad documents, and added counts.
@@ -32,8 +35,9 @@ def measures(docs: DataFrame) -> DataFrame:
     """Word, symbol, line and repetition measures of every whole text.
 
     ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    n_lines, n_distinct, n_upper, n_shouts``; null and empty texts measure 0;
-    other columns are not read; repeated rows and null ids are kept.
+    n_lines, n_distinct, n_upper, n_shouts``; ``n_distinct`` adds up the different
+    words of blocks of BLOCK words; null and empty texts measure 0; other columns are
+    not read; repeated rows and null ids are kept.
     """
     trimmed = F.trim(F.col("text"), F.lit(_SPACE))
     step = texts(docs).select("doc_id", "text", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, _SPLIT)).alias("w"))
@@ -61,7 +65,7 @@ def measures(docs: DataFrame) -> DataFrame:
         (F.length("joined") - F.length(F.regexp_replace("joined", "[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size("lines").cast("long").alias("n_lines"),
-        F.size(F.array_distinct("h1")).cast("long").alias("n_distinct"),
+        F.size(F.array_distinct(F.transform("h1", lambda h, i: F.xxhash64(h, F.floor(i / BLOCK))))).cast("long").alias("n_distinct"),
         F.length(F.regexp_replace("joined", "[^\\p{Lu}]+", "")).cast("long").alias("n_upper"),
         (F.length("joined") - F.length(F.regexp_replace("joined", "!+", ""))).cast("long").alias("n_shouts"),
         pairs.alias("s"),
@@ -95,7 +99,7 @@ def votes() -> dict[str, Column]:
         "symbol_share": _vote(F.col("n_symbols") / chars > 0.05),
         "repeated_windows": _vote(F.col("n_repeat_words") > 0.2 * n),
         "repeated_lines": _vote((F.col("n_dup_lines") >= 3) & (F.col("n_dup_lines") > 0.3 * lines)),
-        "vocabulary": _vote((distinct < 0.35) & (n >= 20) & (n < 20_000), distinct > 0.5),
+        "vocabulary": _vote((distinct < 0.35) & (n >= 20), distinct > 0.5),
         "capitals": _vote(upper > 0.3, upper < 0.1),
         "shouting": _vote(F.col("n_shouts") > 0.1 * n),
         "word_length": _vote((length < 3) | (length > 10), (length >= 4) & (length <= 8)),

@@ -123,6 +123,41 @@ def test_quality(spark):
     assert quality.judge(table(spark, docs).where("false")).count() == 0
 
 
+def test_quality_against_a_plain_em(spark):
+    """Votes and expectation-maximisation again, in arrays over documents."""
+    rng = random.Random(14)
+    good = [f"word{j}" for j in range(900)]
+    docs = [(k, prose(rng, rng.randint(5, 300), good)) for k in range(150)]
+    docs += [(200 + k, " ".join(w + rng.choice(["$$$", "###", ""]) for w in prose(rng, 60, good).split())) for k in range(30)]
+    docs += [(300 + k, prose(rng, rng.choice([40, 25_000]), good[:3]).upper()) for k in range(12)]
+    docs += [(400 + k, (prose(rng, 12, good) + "!\n") * 6) for k in range(12)] + EDGES
+    rows = quality.judge(table(spark, docs)).collect()
+    names = [c for c in rows[0].asDict() if c.startswith("vote_")]
+    v = np.array([[r[c] for c in names] for r in rows]) + 1
+    first = np.array([quality.FIRST_VOTES[x] for x in (-1, 0, 1)])  # vote, bad or good
+    bad, p = quality.FIRST_BAD, np.repeat(first[None], len(names), 0)
+    for _ in range(quality.ROUNDS):
+        logs = np.log([bad, 1 - bad]) + sum(np.log(p[k][v[:, k]]) for k in range(len(names)))
+        post = np.exp(logs - logs.max(1, keepdims=True))
+        post /= post.sum(1, keepdims=True)
+        counts = np.stack([[post[v[:, k] == x].sum(0) for x in range(3)] for k in range(len(names))]) + quality.SMOOTH * first[None]
+        p = counts / counts.sum(1, keepdims=True)
+        bad = (post[:, 0].sum() + quality.SMOOTH * quality.FIRST_BAD) / (len(rows) + quality.SMOOTH)
+    logs = np.log([bad, 1 - bad]) + sum(np.log(p[k][v[:, k]]) for k in range(len(names)))
+    assert [r["p_good"] for r in rows] == pytest.approx((1 / (1 + np.exp(logs[:, 0] - logs[:, 1]))).tolist(), abs=1e-6)
+    assert all(r["kept"] == (not r["base_failed"] and r["p_good"] >= 0.5) for r in rows)
+    by_id = {r["doc_id"]: r for r in rows}
+    assert all(by_id[300 + k]["vote_vocabulary"] == -1 and not by_id[300 + k]["kept"] for k in range(12))
+    assert sum(by_id[k]["kept"] for k in range(150)) >= 130
+
+
+def test_long_texts_are_measured_like_short_ones(spark):
+    rng = random.Random(15)
+    words = [f"v{k}" for k in range(3000)]
+    rows = {r["doc_id"]: r for r in quality.measures(table(spark, [(1, prose(rng, 200, words)), (2, prose(rng, 60_000, words))])).collect()}
+    assert abs(rows[1]["n_distinct"] / 200 - rows[2]["n_distinct"] / 60_000) < 0.05
+
+
 def test_em_finds_the_rules_worth():
     rng = random.Random(1)
     counts = collections.Counter()
