@@ -6,11 +6,14 @@ partition the sorted hashes that fall into it.  A partition adds the counts of
 all chunks and answers every chunk with the totals in the chunk's order; the
 chunk joins them to its n-grams and sums the scores of each document.  An n-gram
 travels once a chunk however often it occurs, so a frequent one heats nothing.
+
+Every n-gram of a document is in tables that are made from it too.  So documents are
+also scored by the tables less their own n-grams, where stepping back matters.
 """
 
 from __future__ import annotations
 
-import uuid
+import secrets
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,9 +27,9 @@ from .common import materialize, texts
 from .token_ids import slices
 from .words import POWER, mix, word_hashes
 
-#: Highest order, the factor of one step back, and the least count of an n-gram
-#: of two or more words that is held in the tables.
-ORDER, BACKOFF, MIN_COUNT = 3, 0.4, 2
+#: Highest order, the factor of one step back, and the count of a word that nothing
+#: else holds.
+ORDER, BACKOFF, UNSEEN = 3, 0.4, 0.5
 #: Bytes of text of a chunk, and for each partition of the tables.
 CHUNK_BYTES, PART_BYTES = 4 << 20, 10 << 20
 #: Most bits of a hash within its partition; the rest chooses the partition.
@@ -73,8 +76,8 @@ def chunks(docs: DataFrame, size: int) -> DataFrame:
         room = 0
 
         def close() -> pa.RecordBatch:
-            cells = [uuid.uuid4().hex, sum(len(r.split()) for r in held), held_ids, [len(r) for r in held], pack.compress(b"".join(held))]
-            kinds = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+            cells = [secrets.randbits(63), sum(len(r.split()) for r in held), held_ids, [len(r) for r in held], pack.compress(b"".join(held))]
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds)], ["chunk", "words", "doc_ids", "sizes", "packed"])
 
         for batch in batches:
@@ -88,7 +91,7 @@ def chunks(docs: DataFrame, size: int) -> DataFrame:
         if held:
             yield close()
 
-    return docs.mapInArrow(run, "chunk string, words long, doc_ids array<long>, sizes array<long>, packed binary")
+    return docs.mapInArrow(run, "chunk long, words long, doc_ids array<long>, sizes array<long>, packed binary")
 
 
 def _opened(sizes: np.ndarray, packed: bytes) -> list[str]:
@@ -136,14 +139,36 @@ def _unsmall(raw: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), "<u1" if raw[:1] == b"1" else "<u8").astype(np.int64)
 
 
-def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, chunk_bytes: int = CHUNK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
-    """``doc_id, n_words, log_score, mean_log_score`` by the corpus itself.
-
-    ``log_score`` sums the decimal logarithms of the words' scores: the relative
-    frequency of the longest n-gram that the tables hold, times the backoff
-    factor for every step back.  Null, empty and wordless texts have 0 words,
-    score 0 and a null mean; null ids and repeated rows are scored each; an empty
-    table gives an empty result; other columns are not read.
+def _word_scores(counts: np.ndarray, whole: np.ndarray, place: np.ndarray, order: int) -> np.ndarray:
+    """The logarithm of each word's score from the counts of the n-grams that end
+    there, by order, in tables of ``whole`` words."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        # A text's first words have no longer n-gram to step back from.
+        most = np.minimum(order - 1, place)
+        score = np.log10(np.maximum(counts[0], UNSEEN) / whole) + most * np.log10(BACKOFF)
+        for k in range(1, order):
+            before = np.concatenate(([0.0], counts[k - 1][:-1]))
+            held = counts[k] > 0
+            score[held] = (np.log10(counts[k]) - np.log10(before) + (most - k) * np.log10(BACKOFF))[held]
+    return score
+
+
+def _sums(score: np.ndarray, bounds: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    sums = np.concatenate(([0.0], np.cumsum(score)))
+    return sums[bounds] - sums[starts]
+
+
+def score(docs: DataFrame, order: int = ORDER, chunk_bytes: int = CHUNK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
+    """``doc_id, n_words, log_score, mean_log_score, held_out_score``.
+
+    ``log_score`` sums the decimal logarithms of the words' scores by the tables of
+    all documents: the relative frequency of the longest n-gram that the tables hold,
+    times the backoff factor for every step back; ``mean_log_score`` is that a word.
+    ``held_out_score`` is the mean by the tables less the document's own n-grams, so
+    that a document does not vouch for itself; a word of no other document counts
+    UNSEEN times.  Null, empty and wordless texts have 0 words, score 0 and null
+    means; null ids and repeated rows are scored each, and a repeated row vouches for
+    its like; an empty table gives an empty result; other columns are not read.
     """
     chunked = materialize(chunks(texts(docs), chunk_bytes), "chunks")
     room, whole = chunked.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, n: a + n)), F.sum("words")).first()
@@ -161,7 +186,7 @@ def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, chunk
                 blocks = list(zip(first.tolist(), np.append(first[1:], len(part)).tolist()))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([batch.column("chunk")[k].as_py()] * len(blocks), pa.string()),
+                        pa.array([batch.column("chunk")[k].as_py()] * len(blocks), pa.int64()),
                         pa.array(part[first]),
                         pa.array([_pack(unique[a:b]) for a, b in blocks], pa.binary()),
                         pa.array([_small(counts[a:b]) for a, b in blocks], pa.binary()),
@@ -189,37 +214,37 @@ def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, chunk
         answers = answers.sort_values("part")
         totals = np.concatenate([_unsmall(raw) for raw in answers["totals"]]) if len(answers) else np.zeros(0, np.int64)
         n = len(word)
-        counts = np.zeros(len(known), np.float64)
-        counts[known] = totals[np.unique(placed, return_inverse=True)[1]]
-        counts = counts.reshape(order, n)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            score = np.log10(counts[0] / whole) + (order - 1) * np.log10(BACKOFF)
-            place = np.arange(n) - np.repeat(np.concatenate(([0], bounds[:-1])), np.diff(bounds, prepend=0))
-            # A text's first words have no longer n-gram to step back from.
-            score -= np.maximum(0, order - 1 - place) * np.log10(BACKOFF)
-            for k in range(1, order):
-                before = np.concatenate(([0.0], counts[k - 1][:-1]))
-                steps = np.minimum(order - 1, place) - k
-                held = counts[k] >= min_count
-                score[held] = (np.log10(counts[k]) - np.log10(before) + steps * np.log10(BACKOFF))[held]
-        sums = np.concatenate(([0.0], np.cumsum(score)))
         starts = np.concatenate(([0], bounds[:-1]))
         size = bounds - starts
-        log = np.round(sums[bounds] - sums[starts], 6)
+        owner = np.repeat(np.arange(len(bounds)), size)
+        place = np.arange(n) - starts[owner]
+        gram = np.unique(placed, return_inverse=True)[1]
+        counts, own = np.zeros(len(known)), np.zeros(len(known))
+        counts[known] = totals[gram]
+        # How often the document itself has each of its n-grams.
+        pair, times = np.unique(np.tile(owner, order)[known] * (len(totals) + 1) + gram, return_inverse=True, return_counts=True)[1:]
+        own[known] = times[pair]
+        counts, own = counts.reshape(order, n), own.reshape(order, n)
+        log = np.round(_sums(_word_scores(counts, np.full(n, whole), place, order), bounds, starts), 6)
+        rest = np.maximum(1, whole - size)[owner]
+        held_out = _sums(_word_scores(counts - own, rest, place, order), bounds, starts)
         return pd.DataFrame(
             {
                 "doc_id": pd.array([None if pd.isna(d) else int(d) for d in row["doc_ids"]], "Int64"),
                 "n_words": size,
                 "log_score": log,
                 "mean_log_score": np.where(size > 0, np.round(log / np.maximum(size, 1), 6), np.nan),
+                "held_out_score": np.where(size > 0, np.round(held_out / np.maximum(size, 1), 6), np.nan),
             }
         )
 
-    requests = chunked.select("chunk", "sizes", "packed").mapInArrow(count, "chunk string, part long, hashes binary, counts binary")
-    answers = requests.groupBy("part").applyInPandas(total, "chunk string, part long, totals binary")
+    requests = chunked.select("chunk", "sizes", "packed").mapInArrow(count, "chunk long, part long, hashes binary, counts binary")
+    # One partition of the tables a task.
+    placed_requests = requests.repartitionById(parts, F.col("part").cast("int"))
+    answers = placed_requests.groupBy("part").applyInPandas(total, "chunk long, part long, totals binary")
     scored = (
         chunked.groupBy("chunk")
         .cogroup(answers.groupBy("chunk"))
-        .applyInPandas(join, "doc_id long, n_words long, log_score double, mean_log_score double")
+        .applyInPandas(join, "doc_id long, n_words long, log_score double, mean_log_score double, held_out_score double")
     )
-    return scored.withColumn("mean_log_score", F.when(~F.isnan("mean_log_score"), F.col("mean_log_score")))
+    return scored.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("mean_log_score", "held_out_score")})

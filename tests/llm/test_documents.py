@@ -443,21 +443,32 @@ def test_scores(spark, order, chunk):
     words = [((t or "").encode().lower().split()) for _, t in docs]
     counts = [collections.Counter(tuple(w[i : i + n]) for w in words for i in range(len(w) - n + 1)) for n in range(1, order + 1)]
     total, expected = sum(map(len, words)), []
-    for (i, _), w in zip(docs, words):
+
+    def scored(w, own, whole):
         s = 0.0
         for k in range(len(w)):
             factor = 1.0
             for n in range(min(order - 1, k), -1, -1):
                 gram = tuple(w[k - n : k + 1])
-                if n == 0 or counts[n][gram] >= 2:
-                    s += math.log10(factor * counts[n][gram] / (counts[n - 1][gram[:-1]] if n else total))
+                many = counts[n][gram] - own[n][gram]
+                if n == 0:
+                    s += math.log10(factor * max(many, lm_scores.UNSEEN) / whole)
+                elif many > 0:
+                    s += math.log10(factor * many / (counts[n - 1][gram[:-1]] - own[n - 1][gram[:-1]]))
                     break
                 factor *= lm_scores.BACKOFF
-        expected.append((str(i), len(w), round(s, 4)))
+        return s
+
+    none = [collections.Counter()] * order
+    for (i, _), w in zip(docs, words):
+        own = [collections.Counter(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) for n in range(1, order + 1)]
+        held_out = scored(w, own, max(1, total - len(w))) / len(w) if w else 0
+        expected.append((str(i), len(w), round(scored(w, none, total), 4), round(held_out, 4)))
     got = lm_scores.score(table(spark, docs), order, chunk_bytes=chunk, part_bytes=chunk).collect()
-    found = sorted((str(r["doc_id"]), r["n_words"], r["log_score"]) for r in got)
+    found = sorted((str(r["doc_id"]), r["n_words"], r["log_score"], r["held_out_score"] or 0) for r in got)
     assert [x[:2] for x in found] == [x[:2] for x in sorted(expected)]
     assert [x[2] for x in found] == pytest.approx([x[2] for x in sorted(expected)], abs=1e-4)
+    assert [x[3] for x in found] == pytest.approx([x[3] for x in sorted(expected)], abs=2e-4)
     assert all((r["mean_log_score"] is None) == (r["n_words"] == 0) for r in got)
     assert lm_scores.score(table(spark, docs).where("false"), order).count() == 0
 
