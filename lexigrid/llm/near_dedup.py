@@ -9,7 +9,8 @@ and smaller, and what may reach the threshold is verified on the full sets.
 
 Documents with equal sets are one class with one representative, so copies are
 never compared.  A bucket returns links that connect what belongs together, not
-all pairs, and a bucket of many members is compared in blocks of bounded size.
+all pairs.  A bucket of very many members is first compared with a few of its own,
+block by block; then only what that left outside its largest group meets all others.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
@@ -34,8 +35,9 @@ SHINGLE = 5
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
 BASE, RATE, LIMIT = 1.005, 20.0, 65_534
-#: Members of a bucket that are compared in one task; more are cut in blocks.
-BLOCK = 4096
+#: Members of a bucket that are compared in one task; more are cut in blocks, which
+#: first meet so many members of their bucket.
+BLOCK, PIVOTS = 4096, 6
 #: A pair is verified if its estimate is at most this much below the threshold,
 #: five standard deviations of the estimate there.
 MARGIN = 0.18
@@ -104,9 +106,9 @@ def estimate(more: np.ndarray, less: np.ndarray, same: np.ndarray, n_u: np.ndarr
     return at
 
 
-def sketch(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, set_key, registers``; key and registers are null for
-    documents without words."""
+def sketch(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """``doc_id, n_shingles, set_key, registers, row_key``; key and registers are null
+    for documents without words."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, values in slices(batch, size=1 << 19):
@@ -123,11 +125,13 @@ def sketch(docs: DataFrame) -> DataFrame:
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(keys, pa.binary()),
                         pa.array(regs, pa.binary()),
+                        batch.column("row_key").slice(part.start, len(values)),
                     ],
-                    ["doc_id", "n_shingles", "set_key", "registers"],
+                    ["doc_id", "n_shingles", "set_key", "registers", "row_key"],
                 )
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, registers binary")
+    row = (F.lit(None) if row is None else row).cast("long").alias("row_key")
+    return texts(docs, row).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, registers binary, row_key long")
 
 
 def _sets_of(docs: DataFrame) -> DataFrame:
@@ -149,11 +153,14 @@ def _sets_of(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "rep long, registers binary, set_key binary, own_key binary, shingles binary")
 
 
-def link_bucket(rep: np.ndarray, side: np.ndarray, regs: np.ndarray, shingles: list[bytes], percent: int) -> list[tuple[int, int]]:
+def link_bucket(
+    rep: np.ndarray, side: np.ndarray, regs: np.ndarray, shingles: list[bytes], percent: int, known: np.ndarray | None = None
+) -> list[tuple[int, int]]:
     """Links that connect all members of a bucket that belong together.
 
     Every pair is either verified, or out of reach by its estimate, or connected
-    already.  With two sides only pairs across them are looked at.
+    already; those with equal ``known`` are connected from the start.  With two sides
+    only pairs across them are looked at.
     """
     n = len(rep)
     size = np.array([len(s) // 8 for s in shingles], np.int64)
@@ -162,7 +169,7 @@ def link_bucket(rep: np.ndarray, side: np.ndarray, regs: np.ndarray, shingles: l
     def members(k: int) -> frozenset[int]:
         return frozenset(np.frombuffer(shingles[k], np.uint64).tolist())
 
-    root = np.arange(n)
+    root = np.arange(n) if known is None else np.unique(known, return_inverse=True)[1]
     links = []
     for k in range(n - 1):
         other = np.arange(k + 1, n)
@@ -193,18 +200,68 @@ def link_bucket(rep: np.ndarray, side: np.ndarray, regs: np.ndarray, shingles: l
     return links
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row.
+def _linked(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: links inside the groups ``bucket, low, high`` of ``placed``, which
+    has ``rep, side, known`` too."""
+    def link(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["side", "rep"])
+        regs = np.frombuffer(b"".join(group["registers"]), "<u2").reshape(len(group), REGISTERS)
+        # Each alone, but for those that are known to belong together.
+        known = group["known"].to_numpy() if group["known"].notna().all() else None
+        found = link_bucket(group["rep"].to_numpy(), group["side"].to_numpy(), regs, group["shingles"].tolist(), percent, known)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return placed.join(sets, "rep").groupBy("bucket", "low", "high").applyInPandas(link, "a long, b long")
+
+
+def _large_links(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of buckets of more than BLOCK members, from ``rep, bucket, members``.
+
+    Every member meets PIVOTS of its bucket.  What these stars connect is one group;
+    members outside their bucket's largest meet all the others.  So a group of copies
+    costs its size, and only what is unlike it costs more.
+    """
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    none = F.lit(None).cast("long").alias("known")
+    least = [F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), "rep")).alias(f"p{k}") for k in range(PIVOTS)]
+    pivots = large.groupBy("bucket").agg(F.max("members").alias("members"), *least)
+    pivots = pivots.select("bucket", "members", F.explode(F.array_distinct(F.array(*(F.col(f"p{k}.rep") for k in range(PIVOTS))))).alias("rep"))
+    zero, one = F.lit(0), F.lit(1)
+    stars = large.select("rep", "bucket", own.alias("low"), zero.alias("high"), zero.alias("side"), none).unionAll(
+        pivots.select("rep", "bucket", F.explode(F.sequence(zero, blocks - 1)).alias("low"), zero.alias("high"), one.alias("side"), none)
+    )
+    links = materialize(_linked(stars, sets, percent), "stars")
+    roots = components(links)
+    labelled = large.join(roots, large.rep == roots.node, "left").select("rep", "bucket", "members", F.coalesce("root", "rep").alias("known"))
+    labelled = materialize(labelled, "labelled")
+    groups = labelled.groupBy("bucket", "known").agg(F.count("*").alias("n"))
+    largest = groups.groupBy("bucket").agg(F.max_by("known", F.struct("n", "known")).alias("main"), (F.sum("n") - F.max("n")).alias("rest"))
+    both = labelled.join(largest.where("rest > 0"), "bucket")
+    rest_blocks = F.ceil(F.col("rest") / BLOCK).cast("int")
+    outside = both.where("known <> main").select(
+        "rep", "bucket", F.pmod(F.xxhash64("rep"), rest_blocks).cast("int").alias("low"),
+        F.explode(F.sequence(zero, blocks - 1)).alias("high"), zero.alias("side"), "known",
+    )
+    every = both.select(
+        "rep", "bucket", F.explode(F.sequence(zero, rest_blocks - 1)).alias("low"), own.alias("high"), one.alias("side"), "known"
+    )
+    return links.unionAll(_linked(outside.unionAll(every), sets, percent))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, row: Column | None = None) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every row, and ``row_key`` if
+    ``row`` gives one.
 
     Documents whose sets have ``100 * |A & B| >= percent * |A | B|`` are linked;
     ``component_id`` is the least ``doc_id`` reachable by links and ``kept`` says
     that it is the row's own.  Null, empty and wordless texts have no shingles
     and no links.  A row with a null ``doc_id`` is not linked, has a null
     component and is kept.  Rows that share a ``doc_id`` are linked each by their own
-    text, and all kept if the component is their own id.  An empty table gives an empty result; other
-    columns are not read.
+    text, and all kept if the component is their own id.  An empty table gives an empty
+    result; other columns are not read.
     """
-    sketched = materialize(sketch(docs), "sketch")
+    sketched = materialize(sketch(docs, row), "sketch")
     known = sketched.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     classes = materialize(
         known.groupBy("set_key").agg(F.min(F.struct("doc_id", "registers")).alias("x"), F.count("*").alias("copies"))
@@ -227,25 +284,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     one = texts(docs).where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "rep").join(involved, "rep")
     # Rows that share an id may differ in text: each set goes with its registers.
     sets = materialize(_sets_of(one).where("own_key = set_key").dropDuplicates(["rep", "set_key"]).drop("own_key", "set_key"), "sets")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    placed = members.select(
-        "rep", "bucket", block.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
-    ).select(
-        "rep", "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block"
-    )
-
-    def link(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["block", "rep"])
-        regs = np.frombuffer(b"".join(group["registers"]), "<u2").reshape(len(group), REGISTERS)
-        found = link_bucket(group["rep"].to_numpy(), group["block"].to_numpy(), regs, group["shingles"].tolist(), percent)
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    links = placed.join(sets, "rep").groupBy("bucket", "low", "high").applyInPandas(link, "a long, b long")
+    alone = members.where(F.col("members") <= BLOCK).select(
+        "rep", "bucket", F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("known")
+    )
+    links = _linked(alone, sets, percent)
+    if (members.agg(F.max("members")).first()[0] or 0) > BLOCK:
+        links = links.unionAll(_large_links(members.where(F.col("members") > BLOCK), sets, percent))
     roots = components(links)
     owner = classes.join(roots, classes.rep == roots.node, "left").where("copies > 1 OR root IS NOT NULL").select(
         "set_key", F.coalesce("root", "rep").alias("component")
     )
-    out = sketched.select("doc_id", "n_shingles", "set_key").join(owner, "set_key", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    names = ["row_key"] if row is not None else []
+    out = sketched.select("doc_id", "n_shingles", "set_key", *names).join(owner, "set_key", "left")
+    out = out.select("doc_id", "n_shingles", *names, F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 from .common import materialize, texts
 from .token_ids import encoded
 
+#: Runs of the packing that are sent to every task; more are joined by a shuffle.
+MOST_RUNS = 100_000
+
 _PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, task int, nth long"
 
 
@@ -122,14 +125,15 @@ def place(pieces: DataFrame, size: int = 4096) -> DataFrame:
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum(F.col("last") + 1).alias("n")).collect()}
     runs = _runs(pack_histogram(histogram, size))
     # The patterns come from a histogram of at most `size` lengths, so this table
-    # stays small whatever the corpus is.
+    # stays small whatever the corpus is; that is checked.
     table = spark.createDataFrame(runs, "length long, low long, high long, first_sequence long, offset long")
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select(
         "task", "length", F.coalesce(F.sum(F.col("last") + 1).over(before), F.lit(0)).alias("base")
     )
     ranked = pieces.join(base, ["task", "length"]).withColumn("rank", F.col("base") + F.col("nth"))
-    t = F.broadcast(table.withColumnRenamed("length", "of_length"))
+    t = table.withColumnRenamed("length", "of_length")
+    t = F.broadcast(t) if len(runs) <= MOST_RUNS else t
     found = ranked.join(t, (F.col("length") == F.col("of_length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     return found.withColumn("sequence_id", F.col("first_sequence") + F.col("rank") - F.col("low")).drop(
         "task", "nth", "base", "rank", "of_length", "low", "high", "first_sequence"
@@ -140,6 +144,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, size: int = 4096) ->
     """``doc_id, start, length, ids, doc_tokens, sequence_id, offset`` per piece.
 
     A null or empty text is one piece, its end token; a null ``doc_id`` is kept;
-    repeated rows are packed each; other columns are not read.
+    repeated rows are packed each; other columns are not read.  Which of equally long
+    pieces goes to which of their places follows their order in the table's files.
     """
     return place(cut_pieces(docs, tokenizer_path, end_id, size), size)

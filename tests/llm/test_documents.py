@@ -78,6 +78,24 @@ def test_near_duplicates(spark, monkeypatch, percent, block):
     assert near_dedup.near_duplicates(table(spark, docs).where("false"), percent).count() == 0
 
 
+def test_large_bucket_of_unlike_copies(spark, monkeypatch):
+    """Copies of copies that no few members reach, some alike and some not, in blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 6)
+    monkeypatch.setattr(near_dedup, "PIVOTS", 1)
+    rng = random.Random(12)
+    text = prose(rng, 150, [f"w{k}" for k in range(400)]).split()
+    docs = []
+    for k in range(60):
+        docs.append((k, " ".join(text)))
+        for _ in range(4):
+            text[rng.randrange(len(text))] = f"z{rng.randrange(999)}"
+        if k % 15 == 14:
+            text[:70] = prose(rng, 70, [f"y{k}{j}" for j in range(300)]).split()
+    got = near_dedup.near_duplicates(table(spark, docs), 80, row=F.col("doc_id") + 1000).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == classes(docs, 80)
+    assert all(r["row_key"] == r["doc_id"] + 1000 for r in got) and len({r["component_id"] for r in got}) > 1
+
+
 def test_repeated_ids(spark):
     docs = [(1, "a b c d e f"), (1, "q r s t u v"), (2, "q r s t u v"), (2, "q r s t u v")]
     got = sorted((r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(table(spark, docs)).collect())
