@@ -3,12 +3,16 @@
 A stage takes the documents that the one before kept and returns documents; the
 last returns packed pieces.  Every stage's result is written to the shared folder
 and read again, so a lost executor costs work of one stage at most.
+
+In every stage null ids are kept, null texts are empty, other columns stay whatever
+their names, and an empty table gives an empty one.  A verdict holds for a row, not
+for its id: rows that share an id are told apart by their texts.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrid.llm import decontamination, near_dedup, packing, substring_dedup, toxicity
@@ -20,20 +24,46 @@ from lexigrid.llm.queries import END_ID, TOKENIZER
 SIMILAR, REPEATED_BYTES, REPEATED_WORDS = 80, 250, 51
 
 
+def _row_key() -> Column:
+    """A row's id and text as one number."""
+    return F.xxhash64("doc_id", "text")
+
+
+def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows whose key is not in the column ``key``."""
+    name = "key"
+    while name in docs.columns:
+        name += "_"
+    keyed = docs.withColumn(name, _row_key())
+    return keyed.join(keys.select(F.col("key").alias(name)).distinct(), name, "left_anti").select(*(f"`{c}`" for c in docs.columns))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain does not call toxic."""
+    """Documents that the classifier chain does not call toxic; null and empty texts
+    are not, and each of repeated rows is judged alike."""
     return toxicity.without_toxic(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the least id."""
-    gone = near_dedup.near_duplicates(docs, SIMILAR).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near duplicates, that of the least id.
+
+    Of repeated rows, alike in id and text, one stays; rows of one id with other
+    texts stay or go by their own; rows without words or id stay.
+    """
+    verdicts = near_dedup.near_duplicates(docs, SIMILAR, row=_row_key()).select("doc_id", "n_shingles", "kept", F.col("row_key").alias("key"))
+    verdicts = materialize(verdicts, "verdicts")
+    repeated = verdicts.where("kept AND doc_id IS NOT NULL AND n_shingles > 0").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    gone = verdicts.where("NOT kept").select("key")
+    if repeated.isEmpty():
+        return _without(docs, gone)
+    repeated = materialize(repeated.select("key"), "repeated")
+    several = docs.join(repeated, _row_key() == F.col("key"), "left_semi")
+    return _without(docs, gone.unionAll(repeated)).unionAll(several.dropDuplicates(["doc_id", "text"]))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that repeat anywhere; ``n_chars``
-    follows the text."""
+    """All documents, without the passages that repeat anywhere, in another row or
+    the same; ``n_chars`` follows the text.  Repeated rows lose what they share."""
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     cut = substring_dedup.remove_repeats(docs, REPEATED_BYTES, keep=rest, as_text=True, words=REPEATED_WORDS)
     new = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
@@ -41,13 +71,15 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    leaks = decontamination.find_leaks(docs, read_table(spark, sf_dir, "benchmark"))
-    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Documents that hold no benchmark item, those without an id included; each of
+    repeated rows is judged alike."""
+    leaks = decontamination.find_leaks(docs.select(_row_key().alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
+    return _without(docs, leaks.select(F.col("doc_id").alias("key")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their sequences."""
+    """Pieces of all documents with their sequences; a null or empty text is one
+    piece, its end token, and repeated rows are packed each."""
     pieces = packing.cut_pieces(docs, public_tokenizers.path(TOKENIZER), END_ID)
     packed = packing.place(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
