@@ -135,34 +135,30 @@ def sketch(docs: DataFrame, row: Column | None = None) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame) -> DataFrame:
+    """``node, registers, shingles`` of ``docs(set_key, registers, text)``; rows with
+    the text of another set, whose id they share, are left out."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, values in slices(batch, size=1 << 19):
                 raw = [s.tobytes() for s in shingle_sets(values)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("rep").slice(part.start, len(values)),
-                        batch.column("registers").slice(part.start, len(values)),
-                        batch.column("set_key").slice(part.start, len(values)),
-                        pa.array([xxhash.xxh3_128_digest(r) for r in raw], pa.binary()),
-                        pa.array(raw, pa.binary()),
-                    ],
-                    ["rep", "registers", "set_key", "own_key", "shingles"],
-                )
+                own = batch.slice(part.start, len(values))
+                right = [xxhash.xxh3_128_digest(r) == k for r, k in zip(raw, own.column("set_key").to_pylist())]
+                rows = [own.column("set_key"), own.column("registers"), pa.array(raw, pa.binary())]
+                yield pa.RecordBatch.from_arrays(rows, ["node", "registers", "shingles"]).filter(pa.array(right, pa.bool_()))
 
-    return docs.mapInArrow(run, "rep long, registers binary, set_key binary, own_key binary, shingles binary")
+    return docs.mapInArrow(run, "node binary, registers binary, shingles binary")
 
 
 def link_bucket(
-    rep: np.ndarray, side: np.ndarray, regs: np.ndarray, shingles: list[bytes], percent: int, known: np.ndarray | None = None
-) -> list[tuple[int, int]]:
+    node: np.ndarray, side: np.ndarray, regs: np.ndarray, shingles: list[bytes], percent: int, known: np.ndarray | None = None
+) -> list[tuple]:
     """Links that connect all members of a bucket that belong together.
 
     Every pair is either verified, or out of reach by its estimate, or connected
     already; those with equal ``known`` are connected from the start.  With two sides
     only pairs across them are looked at.
     """
-    n = len(rep)
+    n = len(node)
     size = np.array([len(s) // 8 for s in shingles], np.int64)
 
     @functools.lru_cache(256)
@@ -195,56 +191,56 @@ def link_bucket(
                 continue
             both = len(members(k) & members(o))
             if 100 * both >= percent * (size[k] + size[o] - both):
-                links.append((int(rep[k]), int(rep[o])))
+                links.append((node[k], node[o]))
                 root[root == root[o]] = root[k]
     return links
 
 
 def _linked(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``a, b``: links inside the groups ``bucket, low, high`` of ``placed``, which
-    has ``rep, side, known`` too."""
+    has ``node, side, known`` too."""
     def link(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["side", "rep"])
+        group = group.sort_values(["side", "node"])
         regs = np.frombuffer(b"".join(group["registers"]), "<u2").reshape(len(group), REGISTERS)
         # Each alone, but for those that are known to belong together.
         known = group["known"].to_numpy() if group["known"].notna().all() else None
-        found = link_bucket(group["rep"].to_numpy(), group["side"].to_numpy(), regs, group["shingles"].tolist(), percent, known)
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        found = link_bucket(group["node"].to_numpy(), group["side"].to_numpy(), regs, group["shingles"].tolist(), percent, known)
+        return pd.DataFrame(found, columns=["a", "b"])
 
-    return placed.join(sets, "rep").groupBy("bucket", "low", "high").applyInPandas(link, "a long, b long")
+    return placed.join(sets, "node").groupBy("bucket", "low", "high").applyInPandas(link, "a binary, b binary")
 
 
 def _large_links(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of buckets of more than BLOCK members, from ``rep, bucket, members``.
+    """Links of buckets of more than BLOCK members, from ``node, bucket, members``.
 
     Every member meets PIVOTS of its bucket.  What these stars connect is one group;
     members outside their bucket's largest meet all the others.  So a group of copies
     costs its size, and only what is unlike it costs more.
     """
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    none = F.lit(None).cast("long").alias("known")
-    least = [F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), "rep")).alias(f"p{k}") for k in range(PIVOTS)]
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    none = F.lit(None).cast("binary").alias("known")
+    least = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node")).alias(f"p{k}") for k in range(PIVOTS)]
     pivots = large.groupBy("bucket").agg(F.max("members").alias("members"), *least)
-    pivots = pivots.select("bucket", "members", F.explode(F.array_distinct(F.array(*(F.col(f"p{k}.rep") for k in range(PIVOTS))))).alias("rep"))
+    pivots = pivots.select("bucket", "members", F.explode(F.array_distinct(F.array(*(F.col(f"p{k}.node") for k in range(PIVOTS))))).alias("node"))
     zero, one = F.lit(0), F.lit(1)
-    stars = large.select("rep", "bucket", own.alias("low"), zero.alias("high"), zero.alias("side"), none).unionAll(
-        pivots.select("rep", "bucket", F.explode(F.sequence(zero, blocks - 1)).alias("low"), zero.alias("high"), one.alias("side"), none)
+    stars = large.select("node", "bucket", own.alias("low"), zero.alias("high"), zero.alias("side"), none).unionAll(
+        pivots.select("node", "bucket", F.explode(F.sequence(zero, blocks - 1)).alias("low"), zero.alias("high"), one.alias("side"), none)
     )
     links = materialize(_linked(stars, sets, percent), "stars")
     roots = components(links)
-    labelled = large.join(roots, large.rep == roots.node, "left").select("rep", "bucket", "members", F.coalesce("root", "rep").alias("known"))
+    labelled = large.join(roots, "node", "left").select("node", "bucket", "members", F.coalesce("root", "node").alias("known"))
     labelled = materialize(labelled, "labelled")
     groups = labelled.groupBy("bucket", "known").agg(F.count("*").alias("n"))
     largest = groups.groupBy("bucket").agg(F.max_by("known", F.struct("n", "known")).alias("main"), (F.sum("n") - F.max("n")).alias("rest"))
     both = labelled.join(largest.where("rest > 0"), "bucket")
     rest_blocks = F.ceil(F.col("rest") / BLOCK).cast("int")
     outside = both.where("known <> main").select(
-        "rep", "bucket", F.pmod(F.xxhash64("rep"), rest_blocks).cast("int").alias("low"),
+        "node", "bucket", F.pmod(F.xxhash64("node"), rest_blocks).cast("int").alias("low"),
         F.explode(F.sequence(zero, blocks - 1)).alias("high"), zero.alias("side"), "known",
     )
     every = both.select(
-        "rep", "bucket", F.explode(F.sequence(zero, rest_blocks - 1)).alias("low"), own.alias("high"), one.alias("side"), "known"
+        "node", "bucket", F.explode(F.sequence(zero, rest_blocks - 1)).alias("low"), own.alias("high"), one.alias("side"), "known"
     )
     return links.unionAll(_linked(outside.unionAll(every), sets, percent))
 
@@ -273,27 +269,28 @@ def near_duplicates(docs: DataFrame, percent: int = 80, row: Column | None = Non
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
         lambda i: F.xxhash64(F.col("registers").substr(i * width + 1, F.lit(width)), i),
     )
-    banded = classes.select("rep", F.explode(bands).alias("bucket"))
+    # A class is known by its set's key, as rows of one id may be of several.
+    banded = classes.select(F.col("set_key").alias("node"), F.explode(bands).alias("bucket"))
     buckets = banded.groupBy("bucket").agg(
-        F.count("*").alias("members"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who")
+        F.count("*").alias("members"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")
     ).where("members > 1")
     # Bands that gather the same members are one bucket.
     buckets = buckets.groupBy("members", "who").agg(F.min("bucket").alias("bucket"))
     members = materialize(banded.join(buckets.select("bucket", "members"), "bucket").distinct(), "members")
-    involved = members.select("rep").distinct().join(classes.select("rep", "set_key", "registers"), "rep")
+    involved = members.select(F.col("node").alias("set_key")).distinct().join(classes.select("rep", "set_key", "registers"), "set_key")
     one = texts(docs).where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "rep").join(involved, "rep")
-    # Rows that share an id may differ in text: each set goes with its registers.
-    sets = materialize(_sets_of(one).where("own_key = set_key").dropDuplicates(["rep", "set_key"]).drop("own_key", "set_key"), "sets")
+    sets = materialize(_sets_of(one.select("set_key", "registers", "text")).dropDuplicates(["node"]), "sets")
     alone = members.where(F.col("members") <= BLOCK).select(
-        "rep", "bucket", F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("known")
+        "node", "bucket", F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(0).alias("side"), F.lit(None).cast("binary").alias("known")
     )
     links = _linked(alone, sets, percent)
     if (members.agg(F.max("members")).first()[0] or 0) > BLOCK:
         links = links.unionAll(_large_links(members.where(F.col("members") > BLOCK), sets, percent))
-    roots = components(links)
-    owner = classes.join(roots, classes.rep == roots.node, "left").where("copies > 1 OR root IS NOT NULL").select(
-        "set_key", F.coalesce("root", "rep").alias("component")
-    )
+    roots = components(links).withColumnRenamed("node", "set_key")
+    held = classes.select("set_key", "rep", "copies").join(roots, "set_key", "left").where("copies > 1 OR root IS NOT NULL")
+    held = held.select("set_key", F.coalesce("root", "set_key").alias("root"), "rep")
+    least = held.groupBy("root").agg(F.min("rep").alias("component"))
+    owner = held.select("set_key", "root").join(least, "root").select("set_key", "component")
     names = ["row_key"] if row is not None else []
     out = sketched.select("doc_id", "n_shingles", "set_key", *names).join(owner, "set_key", "left")
     out = out.select("doc_id", "n_shingles", *names, F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))

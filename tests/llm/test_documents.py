@@ -607,6 +607,33 @@ def test_words_and_links_decide():
 # -- pipeline
 
 
+def test_stages_judge_rows(spark, sf, tmp_path):
+    """Rows that share an id, or have none, with texts that do not share a fate."""
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(3000)]
+    a, b, c = (prose(rng, 80, words) for _ in range(3))
+    item = prose(rng, 30, [f"t{k}" for k in range(400)])
+    rows = [(1, a), (2, a + " end"), (2, b), (3, c), (3, c), (None, c), (4, None), (4, None), (5, ""), (None, None)]
+    frame = table(spark, rows).withColumn("key", F.lit("own"))
+    left = pipeline.drop_near_duplicates(spark, frame, "")
+    assert left.columns == frame.columns
+    assert sorted(map(str, left.select("doc_id", "text").collect())) == sorted(
+        f"Row(doc_id={i}, text={t!r})" for i, t in [(1, a), (2, b), (3, c), (None, c), (4, None), (4, None), (5, ""), (None, None)]
+    )
+    spark.createDataFrame([(7, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, a), (1, b + " " + item), (None, item + " " + c), (None, b), (2, None), (3, item), (3, item)]
+    left = pipeline.drop_leaks(spark, table(spark, rows), str(tmp_path))
+    assert sorted(map(str, left.select("doc_id", "text").collect())) == sorted(f"Row(doc_id={i}, text={t!r})" for i, t in [(1, a), (None, b), (2, None)])
+    for stage in (pipeline.drop_near_duplicates, pipeline.cut_repeats, pipeline.drop_leaks):
+        assert stage(spark, table(spark, rows).where("false"), str(tmp_path)).count() == 0
+    assert pipeline.pack(spark, table(spark, rows).where("false"), "").count() == 0
+    # Each of a text of 200 kilobytes with two different ids: one document stays.
+    long = prose(rng, 40_000, words)
+    assert pipeline.drop_near_duplicates(spark, table(spark, [(8, long), (9, long + " more")]), "").count() == 1
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as pipeline
 
