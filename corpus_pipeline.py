@@ -29,13 +29,13 @@ def _row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows whose key is not in the column ``key``."""
+def _matched(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Rows whose key is in the column ``key`` (``left_semi``) or not (``left_anti``)."""
     name = "key"
     while name in docs.columns:
         name += "_"
     keyed = docs.withColumn(name, _row_key())
-    return keyed.join(keys.select(F.col("key").alias(name)).distinct(), name, "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    return keyed.join(keys.select(F.col("key").alias(name)).distinct(), name, how).select(*(f"`{c}`" for c in docs.columns))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +55,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     repeated = verdicts.where("kept AND doc_id IS NOT NULL AND n_shingles > 0").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     gone = verdicts.where("NOT kept").select("key")
     if repeated.isEmpty():
-        return _without(docs, gone)
+        return _matched(docs, gone, "left_anti")
     repeated = materialize(repeated.select("key"), "repeated")
-    several = docs.join(repeated, _row_key() == F.col("key"), "left_semi")
-    return _without(docs, gone.unionAll(repeated)).unionAll(several.dropDuplicates(["doc_id", "text"]))
+    several = _matched(docs, repeated, "left_semi").dropDuplicates(["doc_id", "text"])
+    return _matched(docs, gone.unionAll(repeated), "left_anti").unionAll(several)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,7 +74,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, those without an id included; each of
     repeated rows is judged alike."""
     leaks = decontamination.find_leaks(docs.select(_row_key().alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
-    return _without(docs, leaks.select(F.col("doc_id").alias("key")))
+    return _matched(docs, leaks.select(F.col("doc_id").alias("key")), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
