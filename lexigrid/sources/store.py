@@ -1,20 +1,27 @@
-"""A document store: versions of two Parquet tables and a pointer to the newest.
+"""A document store: two tables in buckets of paths, and numbered versions of them.
 
-A write makes a whole new version in new folders and then moves the pointer, so
-readers see one version or the other, and a failed write changes nothing.
+A write makes new folders for the buckets that it changes and then publishes a new
+version, a small file that names each bucket's folder.  Versions are numbered and the
+greatest counts; older ones and their folders stay until they are removed.  So
+readers see one version or the other, and a write that fails anywhere changes
+nothing.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .scratch import materialize
 
 DOCUMENTS = "path string, sha256 string, chunks int, added_at timestamp"
 CHUNKS = "path string, ord int, text string, vec array<float>"
+#: Buckets of a new store.
+BUCKETS = 32
 
 
 def with_status(incoming: DataFrame, stored: DataFrame) -> DataFrame:
@@ -43,73 +50,138 @@ def chunk_rows(docs: DataFrame, size: int = 1200, overlap: int = 200) -> DataFra
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.root, self._buckets = spark, root.rstrip("/"), buckets
+
+    # Versions
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
     def _fs(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/current")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
-    def version(self) -> str | None:
-        fs, path = self._fs()
-        if not fs.exists(path):
-            return None
-        return self.spark.read.text(f"{self.root}/current").first()[0]
-
-    def documents(self) -> DataFrame:
-        v = self.version()
-        return self.spark.read.schema(DOCUMENTS).parquet(f"{self.root}/{v}/documents") if v else self.spark.createDataFrame([], DOCUMENTS)
-
-    def chunks(self) -> DataFrame:
-        v = self.version()
-        return self.spark.read.schema(CHUNKS).parquet(f"{self.root}/{v}/chunks") if v else self.spark.createDataFrame([], CHUNKS)
-
-    def _commit(self, documents: DataFrame, chunks: DataFrame) -> None:
-        v = uuid.uuid4().hex
-        documents.select("path", "sha256", "chunks", "added_at").write.parquet(f"{self.root}/{v}/documents")
-        chunks.select("path", "ord", "text", "vec").write.parquet(f"{self.root}/{v}/chunks")
-        next_pointer = f"{self.root}/next-{v}"
-        self.spark.createDataFrame([(v,)], "value string").coalesce(1).write.text(next_pointer)
-        fs, path = self._fs()
-        fs.delete(path, True)
-        fs.rename(self.spark._jvm.org.apache.hadoop.fs.Path(next_pointer), path)
+        return self._path("versions").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def versions(self) -> list[int]:
+        """Numbers of the published versions, in order."""
+        fs, folder = self._fs(), self._path("versions")
+        names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def version(self) -> int | None:
+        return max(self.versions(), default=None)
+
+    def _manifest(self, number: int | None = None) -> dict:
+        """What a version holds: folder of each bucket, their number, vectors' size."""
+        number = self.version() if number is None else number
+        if number is None:
+            return {"buckets": self._buckets, "folders": {}, "dim": None}
+        return json.loads(self.spark.read.text(f"{self.root}/versions/{number:012d}", wholetext=True).first()[0])
+
+    def _publish(self, number: int, manifest: dict) -> None:
+        """The one step that makes a version current."""
+        fs, ready = self._fs(), self._path(f"versions/.{uuid.uuid4().hex}")
+        out = fs.create(ready, False)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        target = self._path(f"versions/{number:012d}")
+        if fs.exists(target) or not fs.rename(ready, target):
+            raise RuntimeError(f"another write published version {number} of {self.root}")
+
+    def clean(self, keep: int = 1) -> int:
+        """Remove all but the newest ``keep`` versions and folders that only they or
+        failed writes used; how many folders.  No write may run meanwhile."""
+        fs, numbers = self._fs(), self.versions()
+        used = {folder for n in numbers[-keep:] for folder in self._manifest(n)["folders"].values()}
+        for n in numbers[:-keep]:
+            fs.delete(self._path(f"versions/{n:012d}"), False)
+        there = [f.getPath().getName() for f in fs.listStatus(self._path("data"))] if fs.exists(self._path("data")) else []
+        gone = [name for name in there if name not in used]
+        for name in gone:
+            fs.delete(self._path(f"data/{name}"), True)
+        return len(gone)
+
+    # Tables
+
+    def _read(self, table: str, schema: str, buckets: list[int] | None) -> DataFrame:
+        folders = {int(k): v for k, v in self._manifest()["folders"].items()}
+        wanted = sorted(folders) if buckets is None else [b for b in buckets if b in folders]
+        paths = [f"{self.root}/data/{folders[b]}/{table}/bucket={b}" for b in wanted]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def documents(self, buckets: list[int] | None = None) -> DataFrame:
+        return self._read("documents", DOCUMENTS, buckets)
+
+    def chunks(self, buckets: list[int] | None = None) -> DataFrame:
+        return self._read("chunks", CHUNKS, buckets)
+
+    def _bucket(self, buckets: int) -> Column:
+        return F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int").alias("bucket")
+
+    def _commit(self, touched: list[int], documents: DataFrame, chunks: DataFrame) -> None:
+        """Write the whole content of the touched buckets and publish it."""
+        number, manifest = self.version(), self._manifest()
+        folder = uuid.uuid4().hex
+        bucket = self._bucket(manifest["buckets"])
+        for name, rows, schema in (("documents", documents, DOCUMENTS), ("chunks", chunks, CHUNKS)):
+            columns = [c.split()[0] for c in schema.split(", ")]
+            # Spark splits what is too large for one task.
+            rows.select(*columns, bucket).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.root}/data/{folder}/{name}")
+        written = self.spark.read.schema(f"{CHUNKS}, bucket int").parquet(f"{self.root}/data/{folder}/chunks")
+        low, high = written.agg(F.min(F.size("vec")), F.max(F.size("vec"))).first()
+        dims = {x for x in (manifest["dim"], low, high) if x is not None}
+        if len(dims) > 1:
+            raise ValueError(f"vectors of {sorted(dims)} numbers do not go into one store")
+        held = {str(r[0]) for r in self.spark.read.schema(f"{DOCUMENTS}, bucket int").parquet(f"{self.root}/data/{folder}/documents").select("bucket").distinct().collect()}
+        folders = {k: v for k, v in manifest["folders"].items() if int(k) not in touched} | dict.fromkeys(held, folder)
+        self._publish((number or 0) + 1, {"buckets": manifest["buckets"], "folders": folders, "dim": next(iter(dims), None)})
+
+    # Operations
 
     def ingest(self, incoming: DataFrame, embedder=None, size: int = 1200, overlap: int = 200, force: bool = False) -> DataFrame:
-        """Upsert ``incoming(path, sha256, text)``; returns ``path, status, chunks``.
+        """Upsert ``incoming(path, sha256, text)``; returns ``path, status, chunks,
+        message``.
 
         An unchanged hash skips a document, whatever the chunking was; a document
-        without chunks keeps what the store has.
+        without chunks keeps what the store has, and so does one whose ``error`` says
+        why it was not read.  Of rows that share a path the one of the greatest hash
+        and text counts.
         """
         from . import embed as E
 
-        E_ = embedder or E.HashEmbedder()
-        seen = with_status(incoming.dropDuplicates(["path"]), self.documents())
+        if "error" not in incoming.columns:
+            incoming = incoming.withColumn("error", F.lit(None).cast("string"))
+        one = incoming.groupBy("path").agg(F.max(F.struct("sha256", "text", "error")).alias("x")).select("path", "x.*")
+        seen = with_status(one, self.documents())
         work = seen.where("status <> 'unchanged'") if not force else seen
+        buckets = self._manifest()["buckets"]
         cut = work.withColumn("parts", T.chunk(F.col("text"), size, overlap)).withColumn("chunks", F.coalesce(F.size("parts"), F.lit(0)))
-        full = cut.where("chunks > 0").persist()
-        rows = full.select("path", F.posexplode("parts").alias("ord", "text")).withColumn("hash", E.text_hash())
-        vectors = E.embed(rows.select("hash", "text").dropDuplicates(["hash"]), E_)
-        fresh = rows.join(vectors.select("hash", F.col("vector").alias("vec")), "hash")
-        documents = full.select("path", "sha256", "chunks", F.current_timestamp().alias("added_at"))
-        report = seen.select("path", "status").join(cut.select("path", "chunks"), "path", "left").withColumn(
-            "status", F.when((F.col("status") != "unchanged") & (F.coalesce("chunks", F.lit(0)) == 0), "empty").otherwise(F.col("status"))
-        )
-        from .scratch import materialize
-
-        report = materialize(report.select("path", "status", F.coalesce("chunks", F.lit(0)).alias("chunks")), "ingest")
-        self._commit(upsert(self.documents(), documents), upsert(self.chunks(), fresh.select("path", "ord", "text", "vec")))
-        full.unpersist()
+        cut = materialize(cut.select("path", "sha256", "parts", F.greatest("chunks", F.lit(0)).alias("chunks"), self._bucket(buckets)), "ingest-cut")
+        failed = F.col("error").isNotNull()
+        skipped = (F.col("status") == "unchanged") & ~F.lit(force)
+        status = F.when(failed, "error").when(~skipped & (F.coalesce("chunks", F.lit(0)) == 0), "empty").otherwise(F.col("status"))
+        report = seen.select("path", "status", "error").join(cut.select("path", "chunks"), "path", "left")
+        report = report.select("path", status.alias("status"), F.coalesce("chunks", F.lit(0)).alias("chunks"), F.col("error").alias("message"))
+        report = materialize(report, "ingest")
+        full = cut.where("chunks > 0")
+        touched = [r[0] for r in full.select("bucket").distinct().collect()]  # at most the number of buckets
+        if touched:
+            rows = full.select("path", F.posexplode("parts").alias("ord", "text")).withColumn("hash", E.text_hash())
+            vectors = E.embed(rows.select("hash", "text").dropDuplicates(["hash"]), embedder or E.HashEmbedder())
+            fresh = rows.join(vectors.select("hash", F.col("vector").alias("vec")), "hash")
+            documents = full.select("path", "sha256", "chunks", F.current_timestamp().alias("added_at"))
+            self._commit(touched, upsert(self.documents(touched), documents), upsert(self.chunks(touched), fresh.select("path", "ord", "text", "vec")))
         return report
 
     def forget(self, pattern: str) -> int:
         """Drop documents whose path matches, with their chunks; how many."""
-        gone = self.documents().where(matches(F.col("path"), pattern))
-        count = gone.count()
-        if count:
+        gone = self.documents().where(matches(F.col("path"), pattern)).select("path", self._bucket(self._manifest()["buckets"]))
+        counts = {r["bucket"]: r["n"] for r in gone.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
+        if counts:
+            touched = sorted(counts)
             self._commit(
-                self.documents().join(gone.select("path"), "path", "left_anti"), self.chunks().join(gone.select("path"), "path", "left_anti")
+                touched, self.documents(touched).join(gone.select("path"), "path", "left_anti"), self.chunks(touched).join(gone.select("path"), "path", "left_anti")
             )
-        return count
+        return sum(counts.values())
 
     def listing(self) -> DataFrame:
         """One line a document, by path."""

@@ -61,6 +61,44 @@ def test_store_ingest_is_incremental(spark, tmp_path):
     assert [r["path"] for r in store.chunks().collect()] == ["/b"]
 
 
+def test_store_changes_nothing_if_a_write_fails(spark, tmp_path):
+    class Broken(Store):
+        def _publish(self, number, manifest):
+            raise OSError("no more")
+
+    root = f"file://{tmp_path}/store"
+    store, schema = Store(spark, root, buckets=4), "path string, sha256 string, text string"
+    store.ingest(spark.createDataFrame([(f"/{k}", str(k), f"text {k}") for k in range(9)], schema))
+    before = sorted(r["path"] for r in store.documents().collect())
+    folders = store._manifest()["folders"]
+    for act in (lambda s: s.ingest(spark.createDataFrame([("/0", "x", "new"), ("/99", "x", "y")], schema)), lambda s: s.forget("/")):
+        with pytest.raises(OSError):
+            act(Broken(spark, root))
+        assert sorted(r["path"] for r in store.documents().collect()) == before and store.version() == 1
+    # Two writers of one version: the second fails.
+    with pytest.raises(RuntimeError):
+        store._publish(1, store._manifest())
+    # Only buckets that change are written.
+    store.ingest(spark.createDataFrame([("/0", "x", "new")], schema))
+    after = store._manifest()["folders"]
+    assert store.version() == 2 and sum(after[k] != folders[k] for k in folders) == 1
+    old = Store(spark, root)
+    assert {r["path"]: r["text"] for r in old.chunks().collect()} == {f"/{k}": f"text {k}" if k else "new" for k in range(9)}
+    assert store.clean() == 2 and store.versions() == [2] and store.documents().count() == 9
+    with pytest.raises(ValueError, match="numbers"):
+        store.ingest(spark.createDataFrame([("/z", "z", "z")], schema), embed.HashEmbedder(dim=8))
+    assert store.version() == 2
+    assert store.forget("%") == 9 and store.documents().count() == 0
+
+
+def test_ingest_takes_one_row_a_path_and_reports_errors(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    rows = [("/a", "1", "one", None), ("/a", "2", "two", None), ("/b", "3", None, "BadZipFile: no"), ("/c", "4", "x", None)]
+    got = store.ingest(spark.createDataFrame(rows, "path string, sha256 string, text string, error string")).collect()
+    assert {r["path"]: (r["status"], r["message"]) for r in got} == {"/a": ("new", None), "/b": ("error", "BadZipFile: no"), "/c": ("new", None)}
+    assert {r["path"]: r["text"] for r in store.chunks().collect()} == {"/a": "two", "/c": "x"}
+
+
 def test_stream_runs_twice(spark, tmp_path):
     folder = tmp_path / "in"
     rows = spark.createDataFrame([("/a", "1", "x"), ("/b", "2", "y")], "path string, sha256 string, text string")
