@@ -101,12 +101,20 @@ def classes(vectors: DataFrame) -> DataFrame:
     return known.join(reps, ["key", "embedding"]).select("vec_id", "rep", "embedding")
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, block: int = 2000) -> DataFrame:
+#: Rows of a block of the join, at most, and bytes of similarities that a task holds.
+JOIN_BLOCK, JOIN_BYTES = 16_384, 64 << 20
+#: What single precision may be off, for unit vectors of up to some thousand numbers.
+_SLACK = 1e-4
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, block: int = JOIN_BLOCK, budget_bytes: int = JOIN_BYTES) -> DataFrame:
     """``i, j, similarity`` of all pairs of representatives with ``i < j`` and
     similarity of at least the threshold; equal vectors have one representative.
 
-    Blocks have a fixed number of rows, so a task holds two of them whatever the
-    table's size is.
+    Blocks have a fixed number of rows, so a task holds two of them and a slice of
+    their similarities that fits the budget, whatever the table's size is.  A slice is
+    multiplied in single precision; what comes near the threshold is multiplied again
+    in double.  Null ids or vectors are in no pair.
     """
     reps = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL").groupBy("embedding").agg(F.min("vec_id").cast("long").alias("vec_id"))
     # By all rows, of which there may be more than representatives: files know it.
@@ -116,18 +124,26 @@ def similar_pairs(vectors: DataFrame, threshold: float, block: int = 2000) -> Da
         "vec_id", "embedding", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
     )
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        ids, side = group["vec_id"].to_numpy(), group["own"].to_numpy()
-        matrix = np.array(group["embedding"].tolist(), np.float64)
+    def compare(group: pa.Table) -> pa.Table:
+        ids, side = group.column("vec_id").to_numpy(), group.column("own").to_numpy()
+        matrix = group.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        single, wide = matrix.astype(np.float32), matrix.astype(np.float64)
+        first = np.flatnonzero(side == side.min())
+        second = np.flatnonzero(side != side.min()) if side.min() != side.max() else first
+        rows = block_rows(len(first), max(4 * len(first), budget_bytes * len(first) // max(1, len(second))))
         found = []
-        for start in range(0, len(ids), 512):
-            scores = matrix[start : start + 512] @ matrix.T
-            a, b = np.nonzero(scores >= threshold)
-            keep = ids[a + start] < ids[b]
-            if side.min() != side.max():
-                keep &= side[a + start] != side[b]
-            found.append((ids[a + start][keep], ids[b][keep], scores[a, b][keep]))
+        right = np.ascontiguousarray(single[second].T)
+        for start in range(0, len(first), rows):
+            left = first[start : start + rows]
+            a, b = np.nonzero(single[left] @ right >= threshold - _SLACK)
+            a, b = left[a], second[b]
+            if first is second:
+                once = ids[a] < ids[b]
+                a, b = a[once], b[once]
+            scores = np.einsum("ij,ij->i", wide[a], wide[b])
+            near = scores >= threshold
+            found.append((np.minimum(ids[a], ids[b])[near], np.maximum(ids[a], ids[b])[near], scores[near]))
         i, j, s = (np.concatenate(x) for x in zip(*found))
-        return pd.DataFrame({"i": i, "j": j, "similarity": s})
+        return pa.table({"i": i, "j": j, "similarity": s})
 
-    return placed.groupBy("low", "high").applyInPandas(compare, "i long, j long, similarity double")
+    return placed.groupBy("low", "high").applyInArrow(compare, "i long, j long, similarity double")

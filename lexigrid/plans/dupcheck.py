@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,26 +18,32 @@ from . import report as R
 from .settings import Job
 
 
+def files(spark: SparkSession, job: Job) -> DataFrame:
+    """Source files of a job, each once."""
+    return list_sources(spark, job.include, job.extensions, tuple(job.exclude))
+
+
 def units(spark: SparkSession, job: Job) -> DataFrame:
-    """Numbered units of all files of a job, each file once."""
-    listed = [list_sources(spark, folder, job.extensions, tuple(job.exclude)) for folder in job.include]
-    files = reduce(DataFrame.unionByName, listed).dropDuplicates(["path"])
-    found = code.extract(files, job.min_lines, job.window_lines, job.window_overlap)
+    """Numbered units of all files of a job."""
+    found = code.extract(files(spark, job), job.min_lines, job.window_lines, job.window_overlap)
     return numbered(found, "unit_id", "path", "start", "end")
 
 
-def check(found: DataFrame, job: Job, embedder: embed.Embedder | None = None) -> DataFrame:
+def check(found: DataFrame, job: Job, embedder: embed.Embedder | None = None, cache: embed.VectorCache | None = None, budget_bytes: int | None = None) -> DataFrame:
     """Gated pairs ``i, j, similarity, structural, distinct`` of units.
 
     Units of equal text are one vector in the comparison and are paired with
-    each other afterwards, each with the next.
+    each other afterwards, each with the next.  With a cache only texts that it does
+    not know are embedded.
     """
+    embedder = embedder or embed.HashEmbedder()
     texts = found.withColumn("hash", embed.text_hash()).withColumn("pos", F.col("unit_id"))
-    vectors = embed.embed(texts.dropDuplicates(["hash"]), embedder or embed.HashEmbedder())
+    distinct = texts.dropDuplicates(["hash"])
+    vectors = cache.fill(distinct, embedder) if cache else embed.embed(distinct, embedder)
     held = materialize(texts.join(vectors.select("hash", "vector"), "hash").select("unit_id", F.col("vector").alias("embedding")), "vectors")
     by_vector = Window.partitionBy("embedding")
     members = held.select("unit_id", F.min("unit_id").over(by_vector).alias("rep"))
-    base = similar_pairs(held.select(F.col("unit_id").alias("vec_id"), "embedding"), job.threshold)
+    base = similar_pairs(held.select(F.col("unit_id").alias("vec_id"), "embedding"), job.threshold, **({"budget_bytes": budget_bytes} if budget_bytes else {}))
     a = members.select(F.col("rep").alias("i"), F.col("unit_id").alias("a"))
     b = members.select(F.col("rep").alias("j"), F.col("unit_id").alias("b"))
     across = base.join(a, "i").join(b, "j").select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "similarity")
@@ -49,13 +55,27 @@ def check(found: DataFrame, job: Job, embedder: embed.Embedder | None = None) ->
     ).drop("structural_plain")
 
 
-def run(spark: SparkSession, job: Job, embedder: embed.Embedder | None = None) -> list[str]:
-    """A report's lines."""
+def run(
+    spark: SparkSession, job: Job, embedder: embed.Embedder | None = None, cache: embed.VectorCache | None = None,
+    say: Callable[[str], None] | None = None, budget_bytes: int | None = None,
+) -> list[str]:
+    """A report's lines; ``say`` is told what was read and found, before any limit.
+    A task's similarities fit ``budget_bytes``, 0 or None for the usual bound."""
     job.check()
     found = units(spark, job)
-    pairs = materialize(check(found, job, embedder), "pairs")
+    counted = found.agg(F.countDistinct("path").alias("files"), F.count("*").alias("units")).first()
+    if say:
+        say(f"{counted['files']} files, {counted['units']} units")
+    if counted["units"] < 2:
+        raise ValueError("a duplicate check needs two units at least")
+    pairs = materialize(check(found, job, embedder, cache, budget_bytes), "pairs")
+    if say:
+        say(f"{pairs.count()} pairs")
     if job.report == "clusters":
-        lines = R.cluster_lines(clusters(pairs.select(F.col("i").alias("a"), F.col("j").alias("b"))), found, job.output)
+        groups = materialize(clusters(pairs.select(F.col("i").alias("a"), F.col("j").alias("b"))), "clusters")
+        if say:
+            say(f"{groups.select('cluster_id').distinct().count()} clusters")
+        lines = R.cluster_lines(groups, found, job.output)
         rows = lines.orderBy("number", "node")
         out, last = [], 0
         for r in rows.toLocalIterator():

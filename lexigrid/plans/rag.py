@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-# The texts that messages are made from.
 SYSTEM = (
-    "You answer questions using the provided context excerpts. "
-    "Cite the source filenames you used. If the context does not contain the "
-    "answer, say so plainly instead of guessing."
+    "Answer from the excerpts that come with the question, and name the files that "
+    "you used. Where they do not hold the answer, say that they do not."
 )
+PLAIN_SYSTEM = "You are a helpful assistant."
+# What stands between blocks, and where there are none.
 SEPARATOR = "\n\n---\n\n"
 NOTHING = "(no matching context found in the local store)"
 

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import json
+import ssl
 import urllib.request
-from collections.abc import Iterable, Iterator
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -41,6 +43,15 @@ class HashEmbedder:
         return out
 
 
+def post(url: str, body: dict, api_key: str = "", timeout: int | None = 300, verify: bool = True, ca_bundle: str = ""):
+    """The open answer of a service to a JSON request; no timeout of 0 or None."""
+    headers = {"Content-Type": "application/json", **({"Authorization": f"Bearer {api_key}"} if api_key else {})}
+    context = ssl.create_default_context(cafile=ca_bundle or None) if url.startswith("https") else None
+    if context and not verify:
+        context.check_hostname, context.verify_mode = False, ssl.CERT_NONE
+    return urllib.request.urlopen(urllib.request.Request(url, json.dumps(body).encode(), headers), timeout=timeout or None, context=context)
+
+
 @dataclass
 class EndpointEmbedder:
     """An embeddings service; rows come back by their ``index``."""
@@ -49,18 +60,32 @@ class EndpointEmbedder:
     model: str
     api_key: str = ""
     batch: int = 64
-    timeout: int = 60
+    timeout: int = 300
+    verify: bool = True
+    ca_bundle: str = ""
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        request = urllib.request.Request(
-            self.url, json.dumps({"model": self.model, "input": texts}).encode(),
-            {"Content-Type": "application/json", **({"Authorization": f"Bearer {self.api_key}"} if self.api_key else {})},
-        )
-        with urllib.request.urlopen(request, timeout=self.timeout) as answer:
+        with post(self.url, {"model": self.model, "input": texts}, self.api_key, self.timeout, self.verify, self.ca_bundle) as answer:
             rows = json.load(answer)["data"]
         return [r["embedding"] for r in sorted(rows, key=lambda r: r["index"])]
 
 
+def embed_list(texts: list[str], embedder: Embedder, on_batch: Callable[[int, list[list[float]]], None] | None = None) -> list[list[float]]:
+    """Unit vectors of a few texts, batch by batch; ``on_batch`` is told the place of
+    each batch and its vectors."""
+    if embedder.batch < 1:
+        raise ValueError("a batch holds at least one text")
+    out: list[list[float]] = []
+    for start in range(0, len(texts), embedder.batch):
+        vectors = np.array(embedder.embed(texts[start : start + embedder.batch]), np.float64)
+        size = np.linalg.norm(vectors, axis=1, keepdims=True)
+        part = (vectors / np.where(size == 0, 1.0, size)).astype(np.float32).tolist()
+        out += part
+        if on_batch:
+            on_batch(start, part)
+    return out
+
+
 def embed(texts: DataFrame, embedder: Embedder) -> DataFrame:
     """``hash, model, vector`` of ``texts(hash, text)``, batch by batch."""
     if embedder.batch < 1:
@@ -104,3 +129,38 @@ def embed_all(texts: DataFrame, cache: DataFrame, embedder: Embedder) -> tuple[D
     fresh = embed(cache_misses(texts, cache, embedder.model), embedder)
     known = cache.where(F.col("model") == embedder.model).select("hash", "model", "vector").unionByName(fresh)
     return texts.join(known.select("hash", "vector"), "hash"), fresh
+
+
+class VectorCache:
+    """Vectors by hash and model in a folder; what is added is there at once, so an
+    interrupted run goes on where it stopped."""
+
+    def __init__(self, spark: SparkSession, root: str, rows_per_commit: int = 100_000):
+        self.spark, self.root, self.rows_per_commit = spark, root.rstrip("/"), rows_per_commit
+
+    def _folder(self, model: str) -> str:
+        return f"{self.root}/{hashlib.sha256(model.encode()).hexdigest()[:16]}"
+
+    def rows(self, model: str) -> DataFrame:
+        """``hash, model, vector`` of a model, one row a hash."""
+        schema = "hash string, model string, vector array<float>"
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._folder(model))
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], schema)
+        held = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(self._folder(model))
+        return held.where(F.col("model") == model).dropDuplicates(["hash"])
+
+    def fill(self, texts: DataFrame, embedder: Embedder, on_commit: Callable[[int, int], None] | None = None) -> DataFrame:
+        """Vectors of all of ``texts(hash, text)``, in commits of about
+        ``rows_per_commit``; ``on_commit`` is told how many are done and there are."""
+        from .scratch import materialize
+
+        missing = materialize(cache_misses(texts.select("hash", "text"), self.rows(embedder.model), embedder.model), "missing")
+        count = missing.count()
+        parts = -(-count // self.rows_per_commit)
+        for k in range(parts):
+            part = missing.where(F.pmod(F.xxhash64("hash"), F.lit(parts)) == k)
+            embed(part, embedder).write.parquet(f"{self._folder(embedder.model)}/{uuid.uuid4().hex}")
+            if on_commit:
+                on_commit(k + 1, parts)
+        return self.rows(embedder.model).join(texts.select("hash").distinct(), "hash", "left_semi")

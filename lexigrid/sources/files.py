@@ -6,7 +6,7 @@ import io
 import os
 import re
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -35,23 +35,54 @@ def plain_path(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/+", "/")
 
 
-def list_documents(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """``path, content`` of files whose name is not hidden and whose suffix is known."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
+def _found(spark: SparkSession, path: str) -> bool | None:
+    """Whether a path is a folder; none if there is nothing."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.getFileStatus(p).isDirectory() if fs.exists(p) else None
+
+
+def list_documents(
+    spark: SparkSession, paths: str | list[str], recursive: bool = True, on_missing: Callable[[str], None] | None = None
+) -> DataFrame:
+    """``path, content`` of folders' files whose name is not hidden and whose suffix is
+    known, and of files that are named themselves, whatever their suffix; each once.
+    Spark reads no hidden files, named or not.
+
+    A path where nothing is is left out, and ``on_missing`` is told.
+    """
+    given = [paths] if isinstance(paths, str) else list(paths)
+    kinds = {p: _found(spark, p) for p in dict.fromkeys(given)}
+    for p, kind in kinds.items():
+        if kind is None and on_missing:
+            on_missing(p)
+    out = spark.createDataFrame([], "path string, content binary")
     path = plain_path(F.col("path"))
-    known = F.lower(T.suffix(path)).isin(*TEXT_SUFFIXES, *RICH_SUFFIXES)
-    return files.where(known & ~T.basename(path).startswith(".")).select(path.alias("path"), "content").distinct()
-
-
-def list_sources(spark: SparkSession, folder: str, extensions: list[str], excludes: tuple[str, ...] = DEFAULT_EXCLUDES) -> DataFrame:
-    """``path, content`` of source files; an exclude is any part of a path."""
+    folders, files = [p for p, kind in kinds.items() if kind], [p for p, kind in kinds.items() if kind is False]
+    if folders:
+        read = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folders)
+        known = F.lower(T.suffix(path)).isin(*TEXT_SUFFIXES, *RICH_SUFFIXES)
+        out = out.unionAll(read.where(known & ~T.basename(path).startswith(".")).select(path.alias("path"), "content"))
+    if files:
+        out = out.unionAll(spark.read.format("binaryFile").load(files).select(path.alias("path"), "content"))
+    return out.dropDuplicates(["path"])
+
+
+def list_sources(spark: SparkSession, paths: str | list[str], extensions: list[str], excludes: tuple[str, ...] = DEFAULT_EXCLUDES) -> DataFrame:
+    """``path, content`` of source files; an exclude is any part of a path, and holds
+    for what is found in folders, not for files that are named themselves."""
     wanted = [(e if e.startswith(".") else "." + e).lower() for e in extensions]
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    out = spark.createDataFrame([], "path string, content binary")
     path = plain_path(F.col("path"))
-    out = files.where(T.suffix(path).isin(*wanted))
-    for part in excludes:
-        out = out.where(~path.contains(part))
-    return out.select(path.alias("path"), "content").distinct()
+    for given in dict.fromkeys([paths] if isinstance(paths, str) else paths):
+        kind = _found(spark, given)
+        if kind is None:
+            continue
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(given).where(T.suffix(path).isin(*wanted))
+        for part in excludes if kind else ():
+            files = files.where(~path.contains(part))
+        out = out.unionAll(files.select(path.alias("path"), "content"))
+    return out.dropDuplicates(["path"])
 
 
 def read_docx(content: bytes) -> str:
