@@ -6,7 +6,14 @@ vector whose id is divisible by 50, against all vectors.
 
 from __future__ import annotations
 
+import dataclasses
+import hashlib
+import io
+import json
+import tempfile
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,11 +21,13 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators.components import clusters
-from ..operators.structure import gate, idf, score_pairs, shapes_of_arrays
-from ..operators.vectors import classes, similar_pairs, top_k
+from ..operators.numbering import numbered
+from ..operators.structure import gate, idf, overlaps, score_pairs, shapes_of_arrays
+from ..operators.vectors import block_rows, classes, similar_pairs, top_k
 from ..sources import code, embed
-from ..sources.store import Store, matches, upsert, with_status
-from ..sources.scratch import fresh_path
+from ..sources.files import document_text, list_documents, list_sources
+from ..sources.scratch import fresh_path, materialize
+from ..sources.store import Store, listed, matches, upsert, with_status
 from ..streaming.ingest import ingest_stream
 from . import rag, report, settings
 
@@ -276,12 +285,91 @@ def report_json(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("i", "j", "p.similarity", "p.structural", "p.distinctiveness", F.col("p.a.start").alias("a_start"), F.col("p.b.start").alias("b_start"))
 
 
-@query()
+_CLUSTERS = f"""
+    {_GATED}, links AS (SELECT i AS a, j AS b FROM gated UNION ALL SELECT j, i FROM gated),
+    reach AS (SELECT DISTINCT a AS node, a AS other FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a),
+    roots AS (SELECT node, min(other) AS root FROM reach GROUP BY node),
+    members AS (SELECT node, root, count(*) OVER (PARTITION BY root) AS cluster_size FROM roots)
+"""
+
+
+@query(f"""
+    WITH RECURSIVE {_CLUSTERS}
+    SELECT dense_rank() OVER (ORDER BY cluster_size DESC, root) AS number, cluster_size, node, '- `' || {_REF.format("a")} || '`' AS line
+    FROM members JOIN units a ON a.page_id = node
+""")
 def report_clusters(spark: SparkSession, d: str) -> DataFrame:
     pairs = _gated(spark, d).select(F.col("i").alias("a"), F.col("j").alias("b"))
     return report.cluster_lines(clusters(pairs), _page_units(spark, d), "markdown")
 
 
+@query(f"""
+    WITH RECURSIVE {_CLUSTERS}
+    SELECT (SELECT count(*) FROM pages) AS units, (SELECT count(*) FROM gated) AS pairs, (SELECT count(DISTINCT root) FROM members) AS clusters
+""")
+def summary_counts(spark: SparkSession, d: str) -> DataFrame:
+    pairs = materialize(_gated(spark, d).select(F.col("i").alias("a"), F.col("j").alias("b")), "pairs")
+    one = _page_units(spark, d).agg(F.count("*").alias("units")).join(pairs.agg(F.count("*").alias("pairs")))
+    return one.join(clusters(pairs).agg(F.countDistinct("cluster_id").alias("clusters")))
+
+
+@query(f"WITH {_GATED} SELECT i, j, round(similarity, 6) AS similarity FROM gated ORDER BY gated.similarity DESC, i, j LIMIT 5")
+def report_top(spark: SparkSession, d: str) -> DataFrame:
+    """The report's best pairs, where its limit is the feature."""
+    return report.ranked(_gated(spark, d), 5).select("i", "j", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"""
+    WITH {_GATED}, ranked AS (SELECT *, row_number() OVER (ORDER BY similarity DESC, i, j) AS number FROM gated)
+    SELECT {_TEXT_LINE} AS line FROM ranked JOIN units a ON a.page_id = i JOIN units b ON b.page_id = j
+""")
+def report_sink(spark: SparkSession, d: str) -> DataFrame:
+    rows = numbered(_report(spark, d), "number", F.desc("similarity"), "i", "j")
+    return report.save(rows.select("number", report.pair_line("text").alias("line")), fresh_path(spark, "report"))
+
+
+_PATHS = tuple((p, o) for p in ("r", "r.txt", "a.b/r.MD", "r.json", "r.markdown", "r.csv", "x.d/r.text") for o in report.SUFFIX)
+_SUFFIX_SQL = "CASE output WHEN 'text' THEN '.txt' WHEN 'json' THEN '.json' ELSE '.md' END"
+
+
+@query("""
+    WITH v(path, output) AS (VALUES """ + ", ".join(f"('{p}', '{o}')" for p, o in _PATHS) + f"""),
+    s AS (SELECT *, lower(regexp_extract(path, '[^/](\\.[^./]+)$', 1)) AS suffix FROM v)
+    SELECT path, output, CASE WHEN suffix NOT IN ('.txt', '.text', '.json', '.md', '.markdown') OR suffix = {_SUFFIX_SQL}
+      OR (output = 'text' AND suffix = '.text') OR (output = 'markdown' AND suffix = '.markdown') THEN path
+      ELSE left(path, length(path) - length(suffix)) || {_SUFFIX_SQL} END AS fixed FROM s
+""")
+def report_paths(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(p, o, report.report_path(p, o)) for p, o in _PATHS], "path string, output string, fixed string")
+
+
+@query(r"""
+    WITH w AS (SELECT doc_id, unnest(range(0, CASE WHEN n <= 8 THEN 1 ELSE (n - 8 + 5) // 6 + 1 END)) AS k, n, source
+               FROM (SELECT doc_id, len(string_split(text, chr(10))) AS n, source FROM documents WHERE text IS NOT NULL)),
+    u AS (SELECT source AS path, doc_id * 100000 + k AS unit_id, doc_id * 40 + k * 6 + 1 AS a, doc_id * 40 + least(k * 6 + 8, n) AS b FROM w)
+    SELECT x.unit_id AS i, y.unit_id AS j FROM u x JOIN u y ON x.path = y.path AND x.unit_id < y.unit_id AND y.a - x.a < 45
+    WHERE NOT (x.a <= y.b AND y.a <= x.b)
+""")
+def overlap_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Line windows, some of which overlap, as pairs that come within 45 lines."""
+    n = F.size(F.split("text", "\n", -1))
+    docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "source", n.alias("n"))
+    count = F.when(F.col("n") <= 8, 1).otherwise(F.ceil((F.col("n") - 8) / F.lit(6)) + 1).cast("int")
+    k = docs.withColumn("k", F.explode(F.sequence(F.lit(0), count - 1)))
+    base = F.col("doc_id") * 40
+    units = k.select(F.col("source").alias("path"), (F.col("doc_id") * 100_000 + F.col("k")).alias("unit_id"), (base + F.col("k") * 6 + 1).alias("start"), (base + F.least(F.col("k") * 6 + 8, "n")).alias("end"))
+    one = F.struct("unit_id", "path", "start", "end")
+    # Neighbours by blocks of lines, so that pairs grow with the rows.
+    a = units.select("path", F.floor(F.col("start") / 45).alias("block"), one.alias("a"))
+    b = units.select("path", F.explode(F.array(F.floor(F.col("start") / 45), F.floor(F.col("start") / 45) - 1)).alias("block"), one.alias("b"))
+    near = a.join(b, ["path", "block"]).where("a.unit_id < b.unit_id AND b.start - a.start < 45")
+    lower = units.select("path", F.floor(F.col("start") / 45).alias("block"), one.alias("b"))
+    upper = units.select("path", (F.floor(F.col("start") / 45) - 1).alias("block"), one.alias("a"))
+    back = upper.join(lower, ["path", "block"]).where("a.unit_id < b.unit_id AND b.start - a.start < 45")
+    both = near.select("a", "b").unionAll(back.select("a", "b"))
+    return both.where(~overlaps("a", "b")).select(F.col("a.unit_id").alias("i"), F.col("b.unit_id").alias("j"))
+
+
 # -- texts ------------------------------------------------------------------
 
 # Documents have no blank lines: doubled newlines make paragraphs of lines.
@@ -311,12 +399,31 @@ def chunk_hard_split(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.col("ord").cast("long").alias("ord"), F.length("c").cast("long").alias("n"), F.md5(F.col("c").cast("binary")).alias("chunk_md5"))
 
 
-@query()
+# The fold over a document's paragraphs, one a round.
+@query(f"""
+    WITH RECURSIVE p AS (
+      SELECT doc_id, list_filter(list_transform(string_split(regexp_replace({_SQL_STRIP.format(_PARAGRAPHS)}, '\\n{{3,}}', chr(10) || chr(10), 'g'),
+             chr(10) || chr(10)), lambda x: {_SQL_STRIP.format("x")}), lambda x: x <> '') AS p FROM documents WHERE text IS NOT NULL),
+    fold AS (
+      SELECT doc_id, 0 AS k, []::VARCHAR[] AS done, '' AS held FROM p WHERE len(p) > 0
+      UNION ALL
+      SELECT doc_id, k + 1, list_concat(done_before, CASE WHEN start_text <> '' AND NOT fits THEN [start_text] ELSE []::VARCHAR[] END),
+             CASE WHEN start_text = '' THEN rest WHEN fits THEN start_text || chr(10) || chr(10) || rest
+                  ELSE {_SQL_STRIP.format("right(start_text, 200) || chr(10) || chr(10) || rest")} END
+      FROM (SELECT *, length(start_text) + length(rest) + 2 <= 1200 AS fits FROM (
+        SELECT doc_id, k, list_concat(done, CASE WHEN cuts > 0 AND held <> '' THEN [held] ELSE []::VARCHAR[] END,
+                 list_transform(range(0, cuts), lambda i: substr(para, i * 1000 + 1, 1200))) AS done_before,
+               CASE WHEN cuts > 0 THEN '' ELSE held END AS start_text, CASE WHEN cuts > 0 THEN substr(para, cuts * 1000 + 1) ELSE para END AS rest
+        FROM (SELECT f.*, p.p[k + 1] AS para, CASE WHEN length(p.p[k + 1]) > 1200 THEN (length(p.p[k + 1]) - 1200 + 999) // 1000 ELSE 0 END AS cuts
+              FROM fold f JOIN p USING (doc_id) WHERE k < len(p.p))))),
+    last AS (SELECT doc_id, unnest(list_concat(done, [held])) AS c, unnest(range(0, len(done) + 1)) AS ord FROM fold JOIN p USING (doc_id) WHERE k = len(p))
+    SELECT doc_id, ord, length(c) AS n, md5(c) AS chunk_md5 FROM last
+""")
 def chunk_pack(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select(
         "doc_id", F.posexplode(T.chunk(F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")))).alias("ord", "c")
     )
-    return rows.select("doc_id", "ord", F.length("c").alias("n"), F.md5(F.col("c").cast("binary")).alias("chunk_md5"))
+    return rows.select("doc_id", F.col("ord").cast("long").alias("ord"), F.length("c").cast("long").alias("n"), F.md5(F.col("c").cast("binary")).alias("chunk_md5"))
 
 
 @query("""
@@ -335,16 +442,95 @@ def line_windows(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query()
+@query(r"""
+    WITH l AS (SELECT doc_id, list_transform(string_split('    ' || replace(text, chr(10), chr(10) || '      ') || chr(10), chr(10)),
+                 lambda x: CASE WHEN regexp_matches(x, '^[ \t]+$') THEN '' ELSE x END) AS l FROM documents),
+    m AS (SELECT doc_id, l, coalesce(list_min(list_transform(list_filter(l, lambda x: x <> ''), lambda x: length(regexp_extract(x, '^[ \t]*')))), 0) AS m FROM l)
+    SELECT doc_id, md5(regexp_replace(array_to_string(list_transform(l, lambda x: substr(x, m + 1)), chr(10)), '^\n+|\n+$', '', 'g')) AS unit_md5 FROM m
+""".replace("\\\\", "\\"))
 def dedent_units(spark: SparkSession, d: str) -> DataFrame:
     indented = F.concat(F.lit("    "), F.replace(F.col("text"), F.lit("\n"), F.lit("\n      ")), F.lit("\n"))
     return table(spark, d, "documents").select("doc_id", F.md5(T.unit_text(indented).cast("binary")).alias("unit_md5"))
 
 
-@query()
-def extract_units(spark: SparkSession, d: str) -> DataFrame:
+_WINDOW_UNITS = """
+    WITH l AS (SELECT {path} AS path, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL AND source IS NOT NULL),
+    c AS (SELECT *, len(l) AS n, CASE WHEN len(l) <= 8 THEN 1 ELSE (len(l) - 8 + 5) // 6 + 1 END AS k FROM l),
+    w AS (SELECT path, l, n, unnest(range(0, k)) AS i FROM c),
+    b AS (SELECT path, i * 6 + 1 AS first, least(i * 6 + 8, n) AS last, array_to_string(l[i * 6 + 1 : least(i * 6 + 8, n)], chr(10)) AS block FROM w),
+    u AS (SELECT path, first, last, block FROM b WHERE last - first + 1 >= 2 AND regexp_matches(block, '\\S'))
+"""
+
+
+@query(f"""
+    {_WINDOW_UNITS.format(path=_SQL_PATH)}
+    SELECT path, 'window' AS kind, first AS "start", last AS "end", md5(regexp_replace(block, '^\\n+|\\n+$', '', 'g')) AS unit_md5 FROM u
+""")
+def extract_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Files without a parser give line windows."""
     files = table(spark, d, "documents").select(_path().alias("path"), F.col("text").cast("binary").alias("content"))
-    return code.extract(files.where("path IS NOT NULL AND content IS NOT NULL"), 2, 8, 2).select("path", "kind", "start", "end", F.md5(F.col("text").cast("binary")).alias("unit_md5"))
+    found = code.extract(files.where("path IS NOT NULL AND content IS NOT NULL"), 2, 8, 2)
+    return found.select("path", "kind", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.md5(F.col("text").cast("binary")).alias("unit_md5"))
+
+
+# A Python file of each document: a function, a class with a method, and a short one.
+_SOURCE = (
+    "import os", "", "def run_{id}(first, second):", "    {lang} = first", "    total = {lang} + second", "    return total", "",
+    "class Kind_{id}:", "    def act(self, value_{id}):", "        for {lang} in value_{id}:", "            print({lang})", "        return self", "",
+    "def short(x):", "    return x", "",
+)
+
+
+def _source_text() -> F.Column:
+    parts = "\n".join(_SOURCE).replace("{id}", "\0id\0").replace("{lang}", "\0lang\0").split("\0")
+    return F.concat(*(F.col("doc_id").cast("string") if p == "id" else F.col("lang") if p == "lang" else F.lit(p) for p in parts))
+
+
+def _source_sql(lines: tuple[str, ...], cut: int = 0) -> str:
+    text = "\n".join(x[cut:] for x in lines)
+    text = text.replace("'", "''").replace("\n", "' || chr(10) || '").replace("{id}", "' || doc_id || '").replace("{lang}", "' || lang || '")
+    return f"'{text}'"
+
+
+@query(f"""
+    WITH s AS (SELECT '/src/' || source || '/' || doc_id || '.py' AS path, doc_id, lang FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL)
+    SELECT path, 'function' AS kind, 'run_' || doc_id AS name, 3 AS "start", 6 AS "end", md5({_source_sql(_SOURCE[2:6])}) AS unit_md5,
+           array_to_string(list_sort(['run_' || doc_id, 'first', 'second', lang, 'total']), ' ') AS idents FROM s
+    UNION ALL
+    SELECT path, 'class', 'Kind_' || doc_id, 8, 12, md5({_source_sql(_SOURCE[7:12])}),
+           array_to_string(list_sort(['Kind_' || doc_id, 'act', 'self', 'value_' || doc_id, lang, 'print']), ' ') FROM s
+    UNION ALL
+    SELECT path, 'function', 'act', 9, 12, md5({_source_sql(_SOURCE[8:12], 4)}),
+           array_to_string(list_sort(['act', 'self', 'value_' || doc_id, lang, 'print']), ' ') FROM s
+""")
+def extract_units(spark: SparkSession, d: str) -> DataFrame:
+    """Definitions of parsed files, with names, lines, texts and identifiers."""
+    docs = table(spark, d, "documents").where("source IS NOT NULL AND lang IS NOT NULL")
+    path = F.concat(F.lit("/src/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".py"))
+    found = code.extract(docs.select(path.alias("path"), _source_text().cast("binary").alias("content")), 4)
+    return found.select(
+        "path", "kind", "name", "start", "end", F.md5(F.col("text").cast("binary")).alias("unit_md5"), F.array_join(F.array_sort("idents"), " ").alias("idents")
+    )
+
+
+@query(f"""
+    {_WINDOW_UNITS.format(path=_SQL_PATH)}
+    SELECT row_number() OVER (ORDER BY path, first, last) - 1 AS unit_id, path, first AS "start", last AS "end" FROM u
+""")
+def unit_order(spark: SparkSession, d: str) -> DataFrame:
+    found = table(spark, d, "documents").where("source IS NOT NULL").select(_path().alias("path"), F.explode(T.windows(T.lines(F.col("text")), 8, 2, 2)).alias("w"))
+    units = found.select("path", F.col("w.start").cast("long").alias("start"), F.col("w.end").cast("long").alias("end"))
+    return numbered(units, "unit_id", "path", "start", "end")
+
+
+@query("""
+    SELECT doc_id, len(l) AS n, md5(array_to_string(l, '|')) AS lines_md5
+    FROM (SELECT doc_id, list_transform(string_split(replace(text, chr(10), chr(13) || chr(13) || chr(10)) || chr(10), chr(10)), lambda x: rtrim(x, chr(13))) AS l FROM documents)
+""")
+def source_lines(spark: SparkSession, d: str) -> DataFrame:
+    wide = F.concat(F.replace(F.col("text"), F.lit("\n"), F.lit("\r\r\n")), F.lit("\n"))
+    rows = table(spark, d, "documents").select("doc_id", T.lines(wide).alias("l"))
+    return rows.select("doc_id", F.size("l").cast("long").alias("n"), F.md5(F.array_join("l", "|").cast("binary")).alias("lines_md5"))
 
 
 _TYPES = (
@@ -485,6 +671,118 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     return store.documents().select("path", "sha256", F.col("chunks").cast("long").alias("chunks"))
 
 
+# First everything but German, then all of it: French ones without a text by then, and
+# Spanish ones changed.
+_STRIPPED = _SQL_STRIP.format("coalesce(text, '')")
+_INGESTED = f"""
+    s AS (SELECT {_SQL_PATH} AS path, lang, {_STRIPPED} AS t, text FROM documents WHERE source IS NOT NULL),
+    n AS (SELECT *, CASE WHEN t = '' THEN 0 WHEN length(t) > 1200 THEN (length(t) - 1200 + 999) // 1000 + 1 ELSE 1 END AS n FROM s)
+"""
+
+
+def _ingested(spark: SparkSession, d: str) -> tuple[Store, DataFrame]:
+    docs = table(spark, d, "documents").where("doc_id IS NOT NULL AND source IS NOT NULL")
+    text = F.coalesce("text", F.lit(""))
+    store = Store(spark, fresh_path(spark, "store"))
+    rows = docs.select(_path().alias("path"), F.sha2(text.cast("binary"), 256).alias("sha256"), "text", "lang")
+    store.ingest(rows.where("lang <> 'de'").drop("lang"))
+    gone = F.col("lang") == "fr"
+    changed = F.col("lang").isin("fr", "es")
+    later = rows.select(
+        "path", F.when(changed, F.sha2("sha256", 256)).otherwise(F.col("sha256")).alias("sha256"),
+        F.when(~gone, F.col("text")).alias("text"), F.when(gone & F.col("text").like("%a%"), "unreadable").alias("error"),
+    )
+    return store, store.ingest(later)
+
+
+@query(f"""
+    WITH {_INGESTED}
+    SELECT path, CASE WHEN lang = 'fr' AND text LIKE '%a%' THEN 'error' WHEN lang = 'fr' THEN 'empty' WHEN lang = 'en' AND n > 0 THEN 'unchanged'
+                      WHEN n = 0 THEN 'empty' WHEN lang = 'de' THEN 'new' WHEN lang = 'es' THEN 'changed' ELSE 'unchanged' END AS status,
+           CASE WHEN lang IN ('de', 'es') THEN n ELSE 0 END AS chunks, CASE WHEN lang = 'fr' AND text LIKE '%a%' THEN 'unreadable' END AS message FROM n
+""")
+def ingest_status(spark: SparkSession, d: str) -> DataFrame:
+    return _ingested(spark, d)[1].select("path", "status", F.col("chunks").cast("long").alias("chunks"), "message")
+
+
+@query(f"""
+    WITH {_INGESTED}, kept AS (SELECT * FROM n WHERE NOT path ILIKE '%SRC1_/%')
+    SELECT path, unnest(range(0, n)) AS ord FROM kept
+""")
+def forget_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks that stay when documents are forgotten."""
+    store, _ = _ingested(spark, d)
+    store.forget("SRC1_/")
+    return store.chunks().select("path", F.col("ord").cast("long").alias("ord"))
+
+
+@query(f"""
+    SELECT path, printf('%5d chunks  %s  %s', chunks, strftime(TIMESTAMP '2024-03-01 10:05:59' + to_minutes(CAST(doc_id AS INTEGER)), '%Y-%m-%d %H:%M'), path) AS line
+    FROM (SELECT {_SQL_PATH} AS path, doc_id, length(text) % 7 AS chunks FROM documents WHERE source IS NOT NULL AND text IS NOT NULL)
+""")
+def docs_listing(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").where("source IS NOT NULL AND text IS NOT NULL")
+    at = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-03-01 10:05:59")) + 60 * F.col("doc_id"))
+    return listed(docs.select(_path().alias("path"), (F.length("text") % 7).alias("chunks"), at.alias("added_at"))).select("path", "line")
+
+
+@query(f"WITH {_CACHE} SELECT DISTINCT hash, 64 AS dim FROM texts")
+def cache_resume(spark: SparkSession, d: str) -> DataFrame:
+    """The cache filled with some texts, then with all, in commits of 100."""
+    cache, texts = embed.VectorCache(spark, fresh_path(spark, "cache"), 100 + table(spark, d, "documents").count() // 4), _texts(spark, d)
+    cache.fill(texts.where("lang = 'en'"), embed.HashEmbedder())
+    return cache.fill(texts, embed.HashEmbedder()).select("hash", F.size("vector").alias("dim"))
+
+
+def _docx(*lines: str) -> bytes:
+    out = io.BytesIO()
+    body = "".join(f"<w:p><w:r><w:t>{x}</w:t></w:r></w:p>" for x in lines)
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
+    return out.getvalue()
+
+
+# Files of many kinds, and what is read from them; none is left out.
+_FILES: tuple[tuple[str, bytes, str | None], ...] = (
+    ("a.TXT", b"one\r\ntwo\rthree", "one|two|three"), ("sub/b.md", "é # b".encode(), "é # b"), ("sub/c.py", b"x = '\xff'", "x = '\ufffd'"),
+    ("sub/vendor/d.py", b"d", "d"), ("e.docx", _docx("p", "q"), "p|q"), ("f.docx", b"no archive", None), (".hidden.md", b"h", ""), ("g.bin", b"g", ""),
+    ("sub/.dir/h.py", b"h = 1", ""), ("i", b"no suffix", ""), ("named.odd", b"named", "named"),
+)
+
+
+def _files(spark: SparkSession) -> str:
+    root = fresh_path(spark, "files")
+    jvm = spark._jvm.org.apache.hadoop.fs
+    for name, content, _ in _FILES:
+        path = jvm.Path(f"{root}/{name}")
+        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+        out.write(bytearray(content))
+        out.close()
+    return root
+
+
+@query("""
+    SELECT name, sha256, CASE WHEN ok THEN said END AS said, NOT ok AS failed
+    FROM (VALUES """ + ", ".join(
+        f"('{n}', '{hashlib.sha256(c).hexdigest()}', '{(t or '').replace(chr(39), chr(39) * 2)}', {str(t is not None).lower()})" for n, c, t in _FILES if t != ""
+    ) + """) v(name, sha256, said, ok)
+""")
+def files_read(spark: SparkSession, d: str) -> DataFrame:
+    """A folder and a named file, listed and read; unreadable ones say so."""
+    root = _files(spark)
+    rows = document_text(list_documents(spark, [root, f"{root}/named.odd", root]))
+    name = F.regexp_extract("path", "/files-[0-9a-f]+/(.*)$", 1)
+    return rows.select(name.alias("name"), "sha256", F.replace("text", F.lit("\n"), F.lit("|")).alias("said"), F.col("error").isNotNull().alias("failed"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', {len(c)})" for n, c, _ in _FILES if n in ("sub/c.py", "a.TXT")) + ") v(name, n)")
+def sources_listed(spark: SparkSession, d: str) -> DataFrame:
+    """Source files by extension without the excluded folders; each once."""
+    root = _files(spark)
+    rows = list_sources(spark, [root, f"{root}/sub"], ["PY", ".txt"])
+    return rows.select(F.regexp_extract("path", "/files-[0-9a-f]+/(.*)$", 1).alias("name"), F.length("content").alias("n"))
+
+
 # -- retrieval --------------------------------------------------------------
 
 _HITS = f"""
@@ -627,6 +925,136 @@ def endpoint_urls(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("url", T.endpoint(F.col("url"), "/embeddings").alias("endpoint"))
 
 
+@query(f"""
+    WITH {_HITS}, asked AS (SELECT item_id AS query_id, text AS question FROM benchmark)
+    SELECT query_id, md5(CASE WHEN coalesce(context, '') <> '' THEN 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: ' || question ELSE question END) AS user_md5
+    FROM asked LEFT JOIN contexts USING (query_id)
+""")
+def chat_messages(spark: SparkSession, d: str) -> DataFrame:
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    rows = rag.messages(asked.join(_contexts(spark, d), "query_id", "left"), rag.PLAIN_SYSTEM, chat=True)
+    return rows.select("query_id", F.md5(F.col("user").cast("binary")).alias("user_md5"))
+
+
+_FOLDERS = ("/", "/a", "/a/b", "/a/bc", "/a/b/c", "/x")
+
+
+@query("""
+    SELECT folder, 4 - len(string_split(folder, '/')) AS distance FROM (VALUES """ + ", ".join(f"('{x}')" for x in _FOLDERS) + """) v(folder)
+    WHERE folder = '/' OR '/a/b/c' = folder OR starts_with('/a/b/c', folder || '/')
+""")
+def settings_chain(spark: SparkSession, d: str) -> DataFrame:
+    return settings.config_chain(spark.createDataFrame([(x,) for x in _FOLDERS], "folder string"), "/a/b/c")
+
+
+_HELD = (("bool", "false"), ("bool", "0"), ("bool", '"x"'), ("int", "7"), ("int", "true"), ("int", '"7"'), ("str", '""'), ("str", '"v"'), ("str", "null"), ("str", "3"))
+
+
+@query("""
+    SELECT kind, value, CASE kind WHEN 'bool' THEN value IN ('true', 'false') WHEN 'int' THEN regexp_matches(value, '^-?[0-9]+$')
+      ELSE value <> '""' AND starts_with(value, '"') END AS holds
+    FROM (VALUES """ + ", ".join(f"('{k}', '{v}')" for k, v in _HELD) + """) v(kind, value)
+""")
+def setting_kinds(spark: SparkSession, d: str) -> DataFrame:
+    rows = [(k, v, settings.Setting("s", "S", k).holds(json.loads(v))) for k, v in _HELD]
+    return spark.createDataFrame(rows, "kind string, value string, holds boolean")
+
+
+_WRITES = ({"url": "u", "model": ""}, {"model": "m", "api_key": None}, {"url": "", "timeout": 5})
+
+
+@query("SELECT * FROM (VALUES ('url', 'u'), ('model', 'm'), ('timeout', '5')) v(key, value)")
+def settings_written(spark: SparkSession, d: str) -> DataFrame:
+    """Writes merge, and what is empty changes nothing."""
+    with tempfile.TemporaryDirectory() as folder:
+        for values in _WRITES:
+            held = settings.merge_write(f"{folder}/x/config.json", values)
+    return spark.createDataFrame([(k, str(v)) for k, v in held.items()], "key string, value string")
+
+
+_OVERRIDES = (
+    (1, 0.9, True, None, False, None), (2, 0.9, True, 0.5, True, 3), (3, 0.7, False, None, True, 0), (4, 0.7, False, 0.0, False, None),
+)
+
+
+@query("""
+    SELECT job_id, coalesce(flag, threshold) AS threshold, filter_callers AND NOT off AS filter_callers, top_n
+    FROM (VALUES """ + ", ".join(
+        f"({a}, {b}::DOUBLE, {str(c).lower()}, {'NULL' if e is None else e}::DOUBLE, {str(f).lower()}, {'NULL' if g is None else g}::INTEGER)" for a, b, c, e, f, g in _OVERRIDES
+    ) + """) v(job_id, threshold, filter_callers, flag, off, top_n)
+""")
+def job_overrides(spark: SparkSession, d: str) -> DataFrame:
+    rows = []
+    for job_id, threshold, callers, flag, off, top in _OVERRIDES:
+        job = settings.Job(threshold=threshold, filter_callers=callers).overridden(threshold=flag, no_filter_callers=off, top_n=top)
+        rows.append((job_id, job.threshold, job.filter_callers, job.top_n))
+    return spark.createDataFrame(rows, "job_id int, threshold double, filter_callers boolean, top_n int")
+
+
+@query("""
+    WITH j(job_id, json) AS (VALUES """ + ", ".join(f"({a}, '{b}')" for a, b in _JOBS) + """)
+    SELECT job_id, f.field, CASE WHEN list_contains(json_keys(json), f.field) THEN json_extract(json, '$.' || f.field)::VARCHAR ELSE f.value END AS value
+    FROM j, (VALUES """ + ", ".join(f"('{k}', '{json.dumps(v, separators=(',', ':'))}')" for k, v in dataclasses.asdict(settings.Job()).items()) + """) f(field, value)
+""")
+def job_update(spark: SparkSession, d: str) -> DataFrame:
+    """Updated job files: every field, given or by default, and nothing else."""
+    rows = []
+    with tempfile.TemporaryDirectory() as folder:
+        for job_id, text in _JOBS:
+            path = Path(folder, "job.json")
+            path.write_text(text)
+            settings.Job.update(str(path))
+            rows += [(job_id, k, json.dumps(v, separators=(",", ":"))) for k, v in json.loads(path.read_text()).items()]
+    return spark.createDataFrame(rows, "job_id int, field string, value string")
+
+
+_CHECKED = (("[]", "[]", "pairwise", "text"), ("s", "[]", "pairwise", "text"), ("s", ".c", "clusters", "json"), ("s", ".c", "tree", "json"), ("s", ".c", "pairwise", "xml"))
+
+
+@query("""
+    SELECT include, extensions, report, output, include <> '[]' AND extensions <> '[]' AND report IN ('pairwise', 'clusters') AND output IN ('text', 'json', 'markdown') AS sound
+    FROM (VALUES """ + ", ".join(f"('{a}', '{b}', '{c}', '{e}')" for a, b, c, e in _CHECKED) + """) v(include, extensions, report, output)
+""")
+def job_checks(spark: SparkSession, d: str) -> DataFrame:
+    def sound(a: str, b: str, c: str, e: str) -> bool:
+        try:
+            settings.Job(include=[] if a == "[]" else [a], extensions=[] if b == "[]" else [b], report=c, output=e).check()
+        except ValueError:
+            return False
+        return True
+
+    return spark.createDataFrame([(*x, sound(*x)) for x in _CHECKED], "include string, extensions string, report string, output string, sound boolean")
+
+
+_NEEDED = (("u", "m"), ("", "m"), ("u", ""), ("", ""))
+
+
+@query("""
+    SELECT url, model, concat_ws(', ', CASE WHEN url = '' THEN 'url' END, CASE WHEN model = '' THEN 'model' END) AS missing
+    FROM (VALUES """ + ", ".join(f"('{a}', '{b}')" for a, b in _NEEDED) + """) v(url, model)
+""")
+def settings_required(spark: SparkSession, d: str) -> DataFrame:
+    def missing(url: str, model: str) -> str:
+        try:
+            settings.require({"url": url, "model": model}, "url", "model")
+        except ValueError as e:
+            return str(e).removeprefix("not set: ")
+        return ""
+
+    return spark.createDataFrame([(u, m, missing(u, m)) for u, m in _NEEDED], "url string, model string, missing string")
+
+
+_BUDGETS = tuple((n, b) for n in (1, 10, 1000, 4000) for b in (0, 1, 16_000, 1 << 31))
+
+
+@query("""
+    SELECT n, budget, CASE WHEN budget = 0 THEN n ELSE greatest(1, least(n, budget // (4 * n))) END AS rows
+    FROM (VALUES """ + ", ".join(f"({n}, {b})" for n, b in _BUDGETS) + """) v(n, budget)
+""")
+def memory_budget(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(n, b, block_rows(n, b)) for n, b in _BUDGETS], "n long, budget long, rows long")
+
+
 @query("SELECT user_id, count(*) AS events, max(event_id) AS last_event FROM events GROUP BY user_id")
 def event_upsert(spark: SparkSession, d: str) -> DataFrame:
     """The last-wins upsert on an event table, keyed by user."""

@@ -81,3 +81,10 @@ def report_path(path: str, output: str) -> str:
     if m is None or m[0].lower() in ACCEPTED[output] or m[0].lower() not in known:
         return path
     return path[: m.start()] + SUFFIX[output]
+
+
+def save(lines: DataFrame, path: str) -> DataFrame:
+    """Write ``number, line`` as a folder of text files in the order of numbers, and
+    give what is there."""
+    lines.sort("number").select("line").write.mode("overwrite").text(path)
+    return lines.sparkSession.read.text(path).select(F.col("value").alias("line"))

@@ -49,6 +49,12 @@ def chunk_rows(docs: DataFrame, size: int = 1200, overlap: int = 200) -> DataFra
     return docs.select("path", F.posexplode(T.chunk(F.col("text"), size, overlap)).alias("ord", "text"))
 
 
+def listed(documents: DataFrame) -> DataFrame:
+    """``path, chunks, line``: one line a document, by path."""
+    line = F.format_string("%5d chunks  %s  %s", "chunks", F.date_format("added_at", "yyyy-MM-dd HH:mm"), "path")
+    return documents.orderBy("path").select("path", "chunks", line.alias("line"))
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
         self.spark, self.root, self._buckets = spark, root.rstrip("/"), buckets
@@ -184,6 +190,4 @@ class Store:
         return sum(counts.values())
 
     def listing(self) -> DataFrame:
-        """One line a document, by path."""
-        line = F.format_string("%5d chunks  %s  %s", "chunks", F.date_format("added_at", "yyyy-MM-dd HH:mm"), "path")
-        return self.documents().orderBy("path").select("path", "chunks", line.alias("line"))
+        return listed(self.documents())
