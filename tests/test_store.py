@@ -110,6 +110,18 @@ def test_stream_runs_twice(spark, tmp_path):
     assert store.documents().count() == 2 and store.chunks().count() == 2
 
 
+def test_scratch_tables(spark):
+    import types
+
+    from lexigrid.sources import scratch
+
+    scratch.materialize(spark.range(3), "t")
+    assert scratch.clean(spark) >= 1 and scratch.clean(spark) == 0
+    cluster = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda *_: None), sparkContext=types.SimpleNamespace(master="local-cluster[2,1,1024]"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.shared_dir(cluster)
+
+
 def test_cache(spark):
     texts = spark.createDataFrame([(0, "a"), (1, "b"), (2, "a"), (3, "")], "pos int, text string").withColumn("hash", embed.text_hash())
     none = spark.createDataFrame([], "hash string, model string, vector array<float>")
