@@ -292,6 +292,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, row: Column | None = Non
     least = held.groupBy("root").agg(F.min("rep").alias("component"))
     owner = held.select("set_key", "root").join(least, "root").select("set_key", "component")
     names = ["row_key"] if row is not None else []
-    out = sketched.select("doc_id", "n_shingles", "set_key", *names).join(owner, "set_key", "left")
+    out = sketched.select("doc_id", "n_shingles", "set_key", *names)
+    # Rows without words, of which there may be many, have no key to be dealt by.
+    empty = out.where("set_key IS NULL").withColumn("component", F.lit(None).cast("long"))
+    out = out.where("set_key IS NOT NULL").join(owner, "set_key", "left").unionByName(empty)
     out = out.select("doc_id", "n_shingles", *names, F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

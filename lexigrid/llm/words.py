@@ -9,6 +9,8 @@ import numpy as np
 
 POWER = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
+#: Bytes of text that are hashed at once.
+STEP = 1 << 22
 _tables: list[tuple[np.ndarray, np.ndarray]] = []
 
 
@@ -55,9 +57,23 @@ def word_hashes(values: list[str], signs: bool = False) -> tuple[np.ndarray, np.
     first, last = edge[0::2], edge[1::2]  # every text ends with a space
     if not len(first):
         return np.zeros(0, np.uint64), np.zeros(len(values), np.int64)
-    up, down = tables(len(data))
+    return np.concatenate([_hashed(data, first[a:b], last[a:b]) for a, b in _groups(first)]), np.searchsorted(first, ends)
+
+
+def _groups(first: np.ndarray) -> list[tuple[int, int]]:
+    """Words by number, so that those of a group begin within STEP bytes: a text of any
+    length is hashed in bounded memory but for its longest word."""
+    cuts = np.searchsorted(first, np.arange(int(first[0]), int(first[-1]) + 1, STEP))
+    cuts = np.unique(np.append(cuts, len(first))).tolist()
+    return list(zip(cuts[:-1], cuts[1:]))
+
+
+def _hashed(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of the words from ``first`` to before ``last``."""
+    base = int(first[0])
+    part, first, last = data[base : int(last[-1])], first - base, last - base
+    up, down = tables(len(part))
     # Prefix sums of byte * power; a word's sum is shifted back to its start.
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64, out=total[1:])
-    h = mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64))
-    return h, np.searchsorted(first, ends)
+    total = np.zeros(len(part) + 1, np.uint64)
+    np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], dtype=np.uint64, out=total[1:])
+    return mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64))

@@ -78,6 +78,31 @@ def test_near_duplicates(spark, monkeypatch, percent, block):
     assert near_dedup.near_duplicates(table(spark, docs).where("false"), percent).count() == 0
 
 
+@pytest.mark.parametrize("step", [1, 7, 1 << 22])
+def test_words_are_hashed_in_groups(monkeypatch, step):
+    from lexigrid.llm import words
+
+    rng = random.Random(step)
+    values = [prose(rng, rng.randint(0, 30), [*WORDS, "é" * 9, "\t", "A.b"]) for _ in range(50)] + ["", "x" * 500]
+    expected = [words.word_hashes(values, signs) for signs in (False, True)]
+    monkeypatch.setattr(words, "STEP", step)
+    for signs in (False, True):
+        for a, b in zip(words.word_hashes(values, signs), expected[signs]):
+            assert (a == b).all()
+
+
+def test_very_long_text(spark):
+    """A text of many megabytes beside a near copy and short ones."""
+    rng = random.Random(31)
+    long = " ".join(prose(rng, 2000, [f"w{k}" for k in range(5000)]) for _ in range(400))
+    docs = table(spark, [(1, long), (2, long + " more of it"), (3, "short"), (4, None)])
+    got = {r["doc_id"]: r for r in near_dedup.near_duplicates(docs).collect()}
+    assert got[2]["component_id"] == 1 and got[1]["n_shingles"] > 790_000 and got[3]["kept"] and got[4]["kept"]
+    assert {r["doc_id"]: r["n_words"] for r in lm_scores.score(docs).collect()} == {1: 800_000, 2: 800_003, 3: 1, 4: 0}
+    rest = {r["doc_id"]: r["n_bytes"] - r["n_removed"] for r in substring_dedup.remove_repeats(docs).collect()}
+    assert rest == {1: 0, 2: len(" more of it"), 3: 5, 4: 0}
+
+
 def test_large_bucket_of_unlike_copies(spark, monkeypatch):
     """Copies of copies that no few members reach, some alike and some not, in blocks."""
     monkeypatch.setattr(near_dedup, "BLOCK", 6)
