@@ -177,8 +177,9 @@ def do_model(s: Session) -> None:
 def do_ingest(s: Session) -> None:
     missing = lambda p: print(f"nothing at {p}", file=sys.stderr)
     docs = document_text(list_documents(s.spark, s.args.paths, not s.args.no_recursive, missing))
-    new = 0
-    for r in s.store.ingest(docs, s.embedder(), s.args.chunk_size, s.args.overlap, s.args.force).orderBy("path").toLocalIterator():
+    new, store = 0, s.store
+    cache = embed.VectorCache(s.spark, f"{store.root}/vectors")
+    for r in store.ingest(docs, s.embedder(), s.args.chunk_size, s.args.overlap, s.args.force, cache).orderBy("path").toLocalIterator():
         new += r["chunks"] if r["status"] in ("new", "changed") or s.args.force else 0
         print(MARKS.get(r["status"], "+"), r["chunks"], r["path"], *([r["message"]] if r["message"] else []))
     print(f"{new} chunks written", file=sys.stderr)

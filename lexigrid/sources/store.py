@@ -143,14 +143,15 @@ class Store:
 
     # Operations
 
-    def ingest(self, incoming: DataFrame, embedder=None, size: int = 1200, overlap: int = 200, force: bool = False) -> DataFrame:
+    def ingest(self, incoming: DataFrame, embedder=None, size: int = 1200, overlap: int = 200, force: bool = False, cache=None) -> DataFrame:
         """Upsert ``incoming(path, sha256, text)``; returns ``path, status, chunks,
         message``.
 
         An unchanged hash skips a document, whatever the chunking was; a document
         without chunks keeps what the store has, and so does one whose ``error`` says
         why it was not read.  Of rows that share a path the one of the greatest hash
-        and text counts.
+        and text counts.  With a cache (:class:`.embed.VectorCache`) only texts that it
+        does not know are embedded.
         """
         from . import embed as E
 
@@ -172,7 +173,8 @@ class Store:
         touched = [r[0] for r in full.select("bucket").distinct().collect()]  # at most the number of buckets
         if touched:
             rows = full.select("path", F.posexplode("parts").alias("ord", "text")).withColumn("hash", E.text_hash())
-            vectors = E.embed(rows.select("hash", "text").dropDuplicates(["hash"]), embedder or E.HashEmbedder())
+            distinct, embedder = rows.select("hash", "text").dropDuplicates(["hash"]), embedder or E.HashEmbedder()
+            vectors = cache.fill(distinct, embedder) if cache else E.embed(distinct, embedder)
             fresh = rows.join(vectors.select("hash", F.col("vector").alias("vec")), "hash")
             documents = full.select("path", "sha256", "chunks", F.current_timestamp().alias("added_at"))
             self._commit(touched, upsert(self.documents(touched), documents), upsert(self.chunks(touched), fresh.select("path", "ord", "text", "vec")))

@@ -13,7 +13,8 @@ def test_oracles_name_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["knn_topk_batch", "gated_pairs", "line_windows", "context_budget", "cache_upsert", "report_json", "sim_clusters"])
+@pytest.mark.parametrize("name", ["knn_topk_batch", "gated_pairs", "line_windows", "context_budget", "cache_upsert", "report_json", "sim_clusters",
+                                  "chunk_pack", "dedent_units", "extract_units", "unit_order", "ingest_status", "files_read", "report_clusters", "overlap_gate", "cache_resume", "job_update"])
 def test_oracle(spark, sf, name):
     import os
 
