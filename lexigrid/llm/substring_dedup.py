@@ -272,7 +272,8 @@ def short_places(keyed: DataFrame, words: int, least: int) -> DataFrame:
                 )
 
     found = materialize(keyed.mapInArrow(run, "h long, text_key binary, low long, high long"), "word-windows")
-    again = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # Written, so that Spark can split the rows of a very frequent hash in the join.
+    again = materialize(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "word-windows-again")
     return found.join(again, "h").select("text_key", "low", "high")
 
 
