@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,3 +26,21 @@ def normalize(a: Column) -> Column:
 def distance_score(distance: Column) -> Column:
     """Cosine of unit vectors from their distance."""
     return 1 - distance * distance / 2
+
+
+def pack(vector: Column) -> Column:
+    """A vector as little-endian single-precision bytes, for interchange."""
+    @F.pandas_udf("binary")
+    def packed(column: pd.Series) -> pd.Series:
+        return column.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+    return packed(vector)
+
+
+def unpack(raw: Column) -> Column:
+    """The vector of :func:`pack`."""
+    @F.pandas_udf("array<float>")
+    def unpacked(column: pd.Series) -> pd.Series:
+        return column.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))
+
+    return unpacked(raw)

@@ -6,13 +6,16 @@ vector whose id is divisible by 50, against all vectors.
 
 from __future__ import annotations
 
+import contextlib
 import dataclasses
 import hashlib
+import http.server
 import io
 import json
 import tempfile
+import threading
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +27,7 @@ from ..operators.components import clusters
 from ..operators.numbering import numbered
 from ..operators.structure import gate, idf, overlaps, score_pairs, shapes_of_arrays
 from ..operators.vectors import block_rows, classes, similar_pairs, top_k
-from ..sources import code, embed
+from ..sources import chat, code, embed
 from ..sources.files import document_text, list_documents, list_sources
 from ..sources.scratch import fresh_path, materialize
 from ..sources.store import Store, listed, matches, upsert, with_status
@@ -93,6 +96,15 @@ def l2_normalize(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query("""
+    SELECT vec_id, 4 * len(embedding) AS n_bytes, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total FROM embeddings
+""")
+def vector_pack(spark: SparkSession, d: str) -> DataFrame:
+    packed = _vectors(spark, d).withColumn("raw", V.pack(F.col("embedding"))).withColumn("v", V.unpack(F.col("raw")))
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return packed.select("vec_id", F.length("raw").cast("long").alias("n_bytes"), F.round(total, 6).alias("total"))
+
+
 _KNN = """
     WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
     s AS (SELECT q.vec_id AS query_id, c.vec_id, {score} AS score FROM e q, e c WHERE q.vec_id % 50 = 0),
@@ -936,6 +948,61 @@ def chat_messages(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("query_id", F.md5(F.col("user").cast("binary")).alias("user_md5"))
 
 
+class _Service(http.server.BaseHTTPRequestHandler):
+    """A stand-in for the embeddings and chat services: a text's vector is its length
+    and 1, in rows out of order; an answer is the last message in capitals."""
+
+    def do_POST(self) -> None:
+        body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        self.send_response(200)
+        self.end_headers()
+        if self.path.endswith("/embeddings"):
+            rows = [{"index": k, "embedding": [len(t), 1]} for k, t in enumerate(body["input"])]
+            self.wfile.write(json.dumps({"data": rows[::-1]}).encode())
+            return
+        said = body["messages"][-1]["content"].upper()
+        if body["stream"]:
+            for word in said.split(" "):
+                self.wfile.write(f"data: {json.dumps({'choices': [{'delta': {'content': word}}]})}\n\n".encode())
+            self.wfile.write(b"data: [DONE]\n\n")
+        else:
+            self.wfile.write(json.dumps({"choices": [{"message": {"content": said}}]}).encode())
+
+    def log_message(self, *_: object) -> None:
+        pass
+
+
+@contextlib.contextmanager
+def _service() -> Iterator[str]:
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), _Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        yield f"http://127.0.0.1:{server.server_port}/v1"
+    finally:
+        server.shutdown()
+
+
+@query("""
+    SELECT sha256(text) AS hash, round(length(text) / sqrt(length(text) ** 2 + 1), 5) AS first_value
+    FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)
+""")
+def service_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors from a service on this machine, batch by batch."""
+    with _service() as url:
+        texts = _texts(spark, d).select("hash", "text").dropDuplicates(["hash"])
+        found = materialize(embed.embed(texts, embed.EndpointEmbedder(f"{url}/embeddings", "m", batch=16)), "service")
+    return found.select("hash", F.round(F.col("vector")[0].cast("double"), 5).alias("first_value"))
+
+
+@query("SELECT * FROM (VALUES ('whole', 'NINE ISLES'), ('stream', 'NINEISLES')) v(mode, content)")
+def service_chat(spark: SparkSession, d: str) -> DataFrame:
+    asked = [{"role": "user", "content": "nine isles"}]
+    with _service() as url:
+        service = chat.ChatEndpoint(f"{url}/chat/completions", "m")
+        rows = [("whole", service.answer(asked)), ("stream", "".join(service.stream(asked)))]
+    return spark.createDataFrame(rows, "mode string, content string")
+
+
 _FOLDERS = ("/", "/a", "/a/b", "/a/bc", "/a/b/c", "/x")
 
 
