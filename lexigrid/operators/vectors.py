@@ -16,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries and rows of a block, and the most queries that every task gets whole.
-QUERY_BLOCK, CORPUS_BLOCK, MOST_BROADCAST = 1024, 100_000, 20_000
+#: Queries and rows of a block, and the most queries, and bytes of their vectors in
+#: double precision, that every task gets whole.
+QUERY_BLOCK, CORPUS_BLOCK, MOST_BROADCAST, MOST_BYTES = 1024, 100_000, 20_000, 32 << 20
 
 
 def block_rows(n: int, budget_bytes: int | None) -> int:
@@ -53,12 +54,15 @@ def top_k(
 
     Both tables have ``vec_id`` and ``embedding`` (unit length).  Ties go to the
     lesser id; scores below ``min_score`` are dropped.  Null ids or vectors match
-    nothing.  Up to ``most_broadcast`` queries are sent to all tasks; more are
-    dealt into blocks, each of which meets each block of the corpus in one task.
+    nothing.  Up to ``most_broadcast`` queries, of MOST_BYTES at most, are sent to all
+    tasks; more are dealt into blocks, each of which meets each block of the corpus in
+    one task.
     """
     known = "vec_id IS NOT NULL AND embedding IS NOT NULL"
     asked = queries.where(known).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     rows = corpus.where(known).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    one = asked.select(F.size("embedding")).first()
+    most_broadcast = min(most_broadcast, MOST_BYTES // (8 * max(1, one[0] if one else 1)))
     few = asked.limit(most_broadcast + 1).collect()
     if len(few) <= most_broadcast:
         sent = corpus.sparkSession.sparkContext.broadcast([(r[0], np.asarray(r[1], np.float64)) for r in sorted(few, key=lambda r: r[0])])
