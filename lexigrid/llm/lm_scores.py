@@ -194,19 +194,24 @@ def score(docs: DataFrame, order: int = ORDER, chunk_bytes: int = CHUNK_BYTES, p
                     ["chunk", "part", "hashes", "counts"],
                 )
 
-    def total(group: pd.DataFrame) -> pd.DataFrame:
-        hashes = [_unpack(raw) for raw in group["hashes"]]
-        counts = np.concatenate([_unsmall(raw) for raw in group["counts"]])
-        unique, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-        totals = np.bincount(inverse, weights=counts, minlength=len(unique)).astype(np.int64)[inverse]
-        ends = np.cumsum([len(h) for h in hashes])
-        return pd.DataFrame(
-            {
-                "chunk": group["chunk"],
-                "part": group["part"],
-                "totals": [_small(t) for t in np.split(totals, ends[:-1])],
-            }
-        )
+    def total(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[int, bytes, bytes]]] = {}
+        for batch in batches:
+            for part, *row in zip(*(batch.column(c).to_pylist() for c in ("part", "chunk", "hashes", "counts"))):
+                held.setdefault(part, []).append(tuple(row))
+        for part, rows in held.items():
+            hashes = [_unpack(raw) for _, raw, _ in rows]
+            counts = np.concatenate([_unsmall(raw) for _, _, raw in rows])
+            unique, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
+            totals = np.bincount(inverse, weights=counts, minlength=len(unique)).astype(np.int64)[inverse]
+            ends = np.cumsum([len(h) for h in hashes])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([chunk for chunk, _, _ in rows], pa.int64()), pa.array(np.full(len(rows), part, np.int64)),
+                    pa.array([_small(t) for t in np.split(totals, ends[:-1])], pa.binary()),
+                ],
+                ["chunk", "part", "totals"],
+            )
 
     def join(group: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         row = group.iloc[0]
@@ -240,8 +245,7 @@ def score(docs: DataFrame, order: int = ORDER, chunk_bytes: int = CHUNK_BYTES, p
 
     requests = chunked.select("chunk", "sizes", "packed").mapInArrow(count, "chunk long, part long, hashes binary, counts binary")
     # One partition of the tables a task.
-    placed_requests = requests.repartitionById(parts, F.col("part").cast("int"))
-    answers = placed_requests.groupBy("part").applyInPandas(total, "chunk long, part long, totals binary")
+    answers = requests.repartitionById(parts, F.col("part").cast("int")).mapInArrow(total, "chunk long, part long, totals binary")
     scored = (
         chunked.groupBy("chunk")
         .cogroup(answers.groupBy("chunk"))
