@@ -290,7 +290,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, row: Column | None = Non
     held = classes.select("set_key", "rep", "copies").join(roots, "set_key", "left").where("copies > 1 OR root IS NOT NULL")
     held = held.select("set_key", F.coalesce("root", "set_key").alias("root"), "rep")
     least = held.groupBy("root").agg(F.min("rep").alias("component"))
-    owner = held.select("set_key", "root").join(least, "root").select("set_key", "component")
+    # Written, so that Spark can split the rows of a frequent set in the join.
+    owner = materialize(held.select("set_key", "root").join(least, "root").select("set_key", "component"), "owners")
     names = ["row_key"] if row is not None else []
     out = sketched.select("doc_id", "n_shingles", "set_key", *names)
     # Rows without words, of which there may be many, have no key to be dealt by.

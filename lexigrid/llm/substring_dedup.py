@@ -199,10 +199,14 @@ def _across_batches(regions: DataFrame, parts: int, least: int) -> DataFrame:
 
 
 def repeated_places(keyed: DataFrame, least: int) -> DataFrame:
-    """``text_key, low, high``: first and last starts of runs of repeated strings."""
+    """``text_key, low, high``: first and last starts of runs of repeated strings.
+
+    What rows are joined to is written first: then Spark splits a frequent key's rows.
+    """
     found = materialize(anchors(keyed, least), "anchors")
     regions = found.where("h IS NOT NULL")
     shared = regions.groupBy("h").agg(F.sum("n").alias("total"), (F.min("kind") != F.max("kind")).alias("mixed")).where("total > 1")
+    shared = materialize(shared, "shared")
     candidates = materialize(regions.join(shared.select("h", "mixed"), "h"), "candidates")
     kinds = candidates.groupBy("h", "kind", "mixed").agg(
         F.sum("n").alias("n"), F.min(F.struct("text_key", "low", "high")).alias("x")
@@ -210,6 +214,7 @@ def repeated_places(keyed: DataFrame, least: int) -> DataFrame:
     whole = candidates.join(kinds.where("n > 1").select("h", "kind"), ["h", "kind"]).select("text_key", "low", "high").distinct()
     mixed = kinds.where("mixed").select("h", "kind", "n", "x.*", (F.col("x.high") - F.col("x.low") + least + 1).alias("bytes"))
     per_anchor = mixed.groupBy("h").agg(F.sum("bytes").alias("anchor_bytes"), F.min("n").alias("least_n")).where("least_n = 1")
+    per_anchor = materialize(per_anchor, "per-anchor")
     wanted = materialize(mixed.join(per_anchor.select("h", "anchor_bytes"), "h"), "wanted")
     room = wanted.agg(F.sum("bytes"), F.sum(F.when(F.col("anchor_bytes") > BATCH_BYTES, F.col("bytes")))).first()
     buckets, hot_bytes = 1 + (room[0] or 0) // BUCKET_BYTES, room[1] or 0
@@ -299,6 +304,7 @@ def remove_repeats(docs: DataFrame, least: int = 400, keep: tuple[str, ...] = ()
     if words:
         places = places.unionAll(short_places(keyed.select("text_key", "text"), words, least))
     places = places.groupBy("text_key").agg(F.sort_array(F.collect_set(F.struct("low", "high"))).alias("places"))
+    places = materialize(places, "places")
     both = keyed.join(places, "text_key", "left")
     lows, highs = F.transform("places", lambda p: p["low"]), F.transform("places", lambda p: p["high"])
     names = ["carried"] if keep else []
