@@ -35,7 +35,9 @@ def _matched(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     while name in docs.columns:
         name += "_"
     keyed = docs.withColumn(name, _row_key())
-    return keyed.join(keys.select(F.col("key").alias(name)).distinct(), name, how).select(*(f"`{c}`" for c in docs.columns))
+    # Written, so that Spark can split the rows of a frequent key in the join.
+    keys = materialize(keys.select(F.col("key").alias(name)).distinct(), "keys")
+    return keyed.join(keys, name, how).select(*(f"`{c}`" for c in docs.columns))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
