@@ -14,6 +14,8 @@ from .common import fresh_path, read_table
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 MAX_TOKENS = 2048
+#: Passages of so many words, many of which have under 400 bytes, are told of.
+PASSAGE_WORDS = 51
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +51,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.digest(substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents")))
+    return substring_dedup.digest(substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), marks=PASSAGE_WORDS))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

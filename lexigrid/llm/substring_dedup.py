@@ -25,10 +25,12 @@ from pyspark.sql.types import StructType
 from .bwt import SEPARATOR, repeated
 from .common import materialize, texts
 from .token_ids import slices
-from .words import _WHITE, mix, tables
+from .words import _WHITE, POWER, mix, tables
 
 #: Bytes of the short strings that anchors are chosen from.
 GRAM = 80
+#: Words of the short strings that anchors of strings of words are chosen from.
+WORD_GRAM = 12
 #: Bytes of regions in a bucket, and of one anchor before it is cut in batches.
 BUCKET_BYTES, BATCH_BYTES = 1 << 19, 4 << 20
 
@@ -47,17 +49,23 @@ def _sliding_least(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(backward[: n - width + 1], forward[width - 1 : n])
 
 
-def anchors_of(raw: list[bytes], least: int) -> tuple[np.ndarray, ...]:
+def _summed(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of texts, their bytes one after another, and prefix sums for hashes."""
+    sizes = np.array([len(r) for r in raw], np.int64)
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    up, _ = tables(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64, out=total[1:])
+    return sizes, data, total
+
+
+def anchors_of(sizes: np.ndarray, data: np.ndarray, total: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
     """Anchor hash, hash of the region, text, first and last start of each region."""
     gram = min(GRAM, least)
-    sizes = np.array([len(r) for r in raw])
-    data = np.frombuffer(b"".join(raw), np.uint8)
     none = tuple(np.zeros(0, np.int64) for _ in range(5))
     if len(data) < least:
         return none
     up, down = tables(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64, out=total[1:])
     n = len(data) - gram + 1
     h = mix((total[gram:] - total[:n]) * down[:n])
     # By the upper half of the hash; among equal ones the first.
@@ -66,7 +74,7 @@ def anchors_of(raw: list[bytes], least: int) -> tuple[np.ndarray, ...]:
     anchor = (_sliding_least(key, width) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     ends = np.cumsum(sizes)
     starts = ends - sizes
-    owner = np.repeat(np.arange(len(raw)), sizes)[: len(anchor)]
+    owner = np.repeat(np.arange(len(sizes)), sizes)[: len(anchor)]
     place = np.flatnonzero(np.arange(len(anchor)) + least <= ends[owner])
     if not len(place):
         return none
@@ -82,14 +90,62 @@ def anchors_of(raw: list[bytes], least: int) -> tuple[np.ndarray, ...]:
     return h[at].view(np.int64), kind.view(np.int64), own, low - starts[own], high - starts[own]
 
 
-def anchors(docs: DataFrame, least: int) -> DataFrame:
+def word_anchors(sizes: np.ndarray, data: np.ndarray, total: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, hash and number of places of the anchors of all strings of ``words``
+    words: the least hash of WORD_GRAM words in each.
+
+    Equal strings of words have equal anchors, so a text none of whose anchors stands
+    anywhere else shares no string of so many words.
+    """
+    _, down = tables(len(data) + 1)
+    ends = np.cumsum(sizes)
+    white, edge = _WHITE[data], np.zeros(len(data) + 1, bool)
+    edge[ends] = True
+    begins, stops = ~white, ~white
+    begins[1:] &= white[:-1] | edge[1:-1]
+    stops[:-1] &= white[1:] | edge[1:-1]
+    first, last = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    gram = min(WORD_GRAM, words)
+    if len(first) < words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    owner = np.searchsorted(ends, first, "right")
+    word = mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64))
+    n = len(word) - gram + 1
+    h = np.zeros(n, np.uint64)
+    for k in range(gram):
+        h = h * POWER + word[k : k + n]
+    h = mix(h)
+    key = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
+    anchor = (_sliding_least(key, words - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    inside = np.flatnonzero(owner[: len(anchor)] == owner[words - 1 :])
+    at = np.unique(anchor[inside])
+    own, hashed = owner[at], h[at].view(np.int64)
+    order = np.lexsort((hashed, own))
+    own, hashed = own[order], hashed[order]
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1]) | (hashed[1:] != hashed[:-1])
+    lead = np.flatnonzero(new)
+    return own[lead], hashed[lead], np.diff(np.append(lead, len(own)))
+
+
+def anchors(docs: DataFrame, least: int, marks: int = 0) -> DataFrame:
     """One row for each region; regions that repeat inside a text count ``n``
-    times in one row, and their places are rows without an anchor."""
+    times in one row, and their places are rows without an anchor.  With ``marks``
+    the anchors of strings of so many words are rows with a ``low`` of -1."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, values in slices(batch, size=1 << 19):
                 raw = [v.encode("utf-8", "surrogatepass") for v in values]
-                h, kind, own, low, high = anchors_of(raw, least)
+                keys = batch.column("text_key").slice(part.start, len(values))
+                prepared = _summed(raw)
+                if marks:
+                    own, h, count = word_anchors(*prepared, marks)
+                    low = pa.array(np.full(len(h), -1))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(h, pa.int64()), pa.nulls(len(h), pa.int64()), pa.array(count, pa.int64()), keys.take(pa.array(own)), low, low],
+                        ["h", "kind", "n", "text_key", "low", "high"],
+                    )
+                h, kind, own, low, high = anchors_of(*prepared, least)
                 if not len(h):
                     continue
                 order = np.lexsort((low, kind, h, own))
@@ -105,7 +161,6 @@ def anchors(docs: DataFrame, least: int) -> DataFrame:
                 begin = np.flatnonzero(~joined)
                 end = np.append(begin[1:], len(known))[: len(begin)] - 1
                 lead = order[lead]
-                keys = batch.column("text_key").slice(part.start, len(values))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(h[lead], pa.int64()), pa.array(kind[lead], pa.int64()), pa.array(count, pa.int64()),
@@ -198,13 +253,15 @@ def _across_batches(regions: DataFrame, parts: int, least: int) -> DataFrame:
     return regions.groupBy("batch").cogroup(met.groupBy("batch")).applyInPandas(decide, "text_key binary, low long, high long")
 
 
-def repeated_places(keyed: DataFrame, least: int) -> DataFrame:
+def repeated_places(keyed: DataFrame, least: int, marks: int = 0) -> DataFrame:
     """``text_key, low, high``: first and last starts of runs of repeated strings.
+    With ``marks`` a text's number of anchors of so many words that stand elsewhere
+    too is a row with that number, negative, as ``low``.
 
     What rows are joined to is written first: then Spark splits a frequent key's rows.
     """
-    found = materialize(anchors(keyed, least), "anchors")
-    regions = found.where("h IS NOT NULL")
+    found = materialize(anchors(keyed, least, marks), "anchors")
+    regions = found.where("kind IS NOT NULL")
     shared = regions.groupBy("h").agg(F.sum("n").alias("total"), (F.min("kind") != F.max("kind")).alias("mixed")).where("total > 1")
     shared = materialize(shared, "shared")
     candidates = materialize(regions.join(shared.select("h", "mixed"), "h"), "candidates")
@@ -242,7 +299,13 @@ def repeated_places(keyed: DataFrame, least: int) -> DataFrame:
         inside = cool.unionAll(hot)
     else:
         inside = cut.groupBy("batch").applyInPandas(expand, places)
-    return found.where("h IS NULL").select("text_key", "low", "high").unionAll(whole).unionAll(inside)
+    places = found.where("h IS NULL").select("text_key", "low", "high").unionAll(whole).unionAll(inside)
+    if not marks:
+        return places
+    marked = found.where("low = -1").select("h", "n", "text_key")
+    again = materialize(marked.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "marks")
+    number = marked.join(again, "h").select("h", "text_key").distinct().groupBy("text_key").agg(F.count("*").alias("n"))
+    return places.unionAll(number.select("text_key", -F.col("n"), F.lit(None).cast("long")))
 
 
 def word_windows(raw: list[bytes], words: int, below: int) -> tuple[np.ndarray, ...]:
@@ -282,8 +345,8 @@ def short_places(keyed: DataFrame, words: int, least: int) -> DataFrame:
     return found.join(again, "h").select("text_key", "low", "high")
 
 
-def remove_repeats(docs: DataFrame, least: int = 400, keep: tuple[str, ...] = (), as_text: bool = False, words: int = 0) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_bytes`` of every row.
+def remove_repeats(docs: DataFrame, least: int = 400, keep: tuple[str, ...] = (), as_text: bool = False, words: int = 0, marks: int = 0) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_bytes, n_shared_anchors`` of every row.
 
     With ``as_text`` the rest is a string ``kept_text`` instead, without the
     parts of characters that a cut leaves.
@@ -291,7 +354,9 @@ def remove_repeats(docs: DataFrame, least: int = 400, keep: tuple[str, ...] = ()
     Bytes covered by a string of ``least`` bytes that also starts anywhere else,
     in the same text or another, are removed, and with ``words`` those covered by a
     string of so many whole words that does, though it has fewer bytes; ``n_spans``
-    counts the maximal removed runs.  Null texts are empty; texts shorter than ``least`` lose
+    counts the maximal removed runs.  ``n_shared_anchors`` tells more and removes
+    nothing: with ``marks``, of how many anchors of strings of so many words others
+    stand elsewhere; 0 means that no such string of the text does.  Null texts are empty; texts shorter than ``least`` lose
     nothing; repeated rows are documents like others, so long ones lose all they
     share; null ids are kept; an empty table gives an empty result.  Columns named
     in ``keep`` are carried in a struct ``carried``, where their names clash with
@@ -300,15 +365,18 @@ def remove_repeats(docs: DataFrame, least: int = 400, keep: tuple[str, ...] = ()
     rest_name = "kept_text" if as_text else "kept_bytes"
     carried = [F.struct(*(F.col(f"`{c}`") for c in keep)).alias("carried")] if keep else []
     keyed = texts(docs, *carried).withColumn("text_key", F.unhex(F.md5(F.col("text").cast("binary"))))
-    places = repeated_places(keyed.select("text_key", "text"), least)
+    places = repeated_places(keyed.select("text_key", "text"), least, marks)
     if words:
         places = places.unionAll(short_places(keyed.select("text_key", "text"), words, least))
-    places = places.groupBy("text_key").agg(F.sort_array(F.collect_set(F.struct("low", "high"))).alias("places"))
+    at = F.when(F.col("low") >= 0, F.struct("low", "high"))
+    places = places.groupBy("text_key").agg(
+        F.sort_array(F.collect_set(at)).alias("places"), F.sum(F.when(F.col("low") < 0, -F.col("low"))).alias("shared")
+    )
     places = materialize(places, "places")
     both = keyed.join(places, "text_key", "left")
     lows, highs = F.transform("places", lambda p: p["low"]), F.transform("places", lambda p: p["high"])
     names = ["carried"] if keep else []
-    both = both.select("doc_id", "text", *names, lows.alias("lows"), highs.alias("highs"))
+    both = both.select("doc_id", "text", *names, lows.alias("lows"), highs.alias("highs"), F.coalesce("shared", F.lit(0).cast("long")).alias("shared"))
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, values in slices(batch):
@@ -319,12 +387,12 @@ def remove_repeats(docs: DataFrame, least: int = 400, keep: tuple[str, ...] = ()
                 yield pa.RecordBatch.from_arrays(
                     [
                         own.column("doc_id"), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()),
-                        pa.array([x[2] for x in out], pa.int64()), rest, *(own.column(c) for c in names),
+                        pa.array([x[2] for x in out], pa.int64()), rest, own.column("shared"), *(own.column(c) for c in names),
                     ],
-                    ["doc_id", "n_bytes", "n_removed", "n_spans", rest_name, *names],
+                    ["doc_id", "n_bytes", "n_removed", "n_spans", rest_name, "n_shared_anchors", *names],
                 )
 
-    schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, {rest_name} {'string' if as_text else 'binary'}"
+    schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, {rest_name} {'string' if as_text else 'binary'}, n_shared_anchors long"
     fields = StructType.fromDDL(schema).fields + ([both.schema["carried"]] if keep else [])
     return both.mapInArrow(run, StructType(fields))
 
@@ -346,4 +414,4 @@ def _cut(raw: bytes, lows: list[int] | None, highs: list[int] | None, least: int
 
 def digest(rows: DataFrame) -> DataFrame:
     """The digest columns of :func:`remove_repeats`."""
-    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"), "n_shared_anchors")

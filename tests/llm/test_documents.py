@@ -451,13 +451,37 @@ def test_substrings(spark, monkeypatch, batch):
             if windows[raw[k : k + least]] > 1:
                 gone[k : k + least] = True
         rest = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-        expected.append((i, len(raw), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(rest).hexdigest()))
+        expected.append((i, len(raw), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(rest).hexdigest(), 0))
     assert sorted(map(str, map(tuple, rows))) == sorted(map(str, expected))
     carried = substring_dedup.remove_repeats(frame, least, keep=("lows", "text_key"), as_text=True)
     assert carried.where("carried.lows = 2 AND carried.text_key = 'k'").count() == len(docs)
     assert substring_dedup.remove_repeats(frame.where("false"), least).count() == 0
 
 
+def test_shared_anchors(spark):
+    """Texts that share 51 words are told of, and those that share no 12 are not."""
+    rng = random.Random(41)
+    words = [f"w{k}" for k in range(30_000)]
+    shared = [prose(rng, n, words) for n in (51, 51, 60, 80)]
+    docs = [(k, prose(rng, rng.randint(0, 200), words)) for k in range(40)]
+    docs += [(100 + k, f"{prose(rng, rng.randint(0, 90), words)} {shared[k % 4]}\n{prose(rng, rng.randint(0, 90), words)}") for k in range(12)]
+    docs += [(200, prose(rng, 51, ["a"])), (201, prose(rng, 70, words)), (202, " ".join([prose(rng, 60, words)] * 2))]
+    docs += [(300, docs[3][1]), (301, docs[3][1])] + EDGES
+    rows = {r["doc_id"]: r["n_shared_anchors"] for r in substring_dedup.digest(substring_dedup.remove_repeats(table(spark, docs), 400, marks=51)).collect()}
+    texts, seen, grams = dict(docs), collections.Counter(), collections.Counter()
+    for t in (t for _, t in docs if t):
+        w = t.split()
+        seen.update(tuple(w[k : k + 51]) for k in range(len(w) - 50))
+        grams.update(tuple(w[k : k + 12]) for k in range(len(w) - 11))
+    for i, t in docs:
+        w = (t or "").split()
+        if any(seen[tuple(w[k : k + 51])] > 1 for k in range(len(w) - 50)):
+            assert rows[i] > 0, i
+        if not any(grams[tuple(w[k : k + 12])] > 1 for k in range(len(w) - 11)):
+            assert rows[i] == 0, i
+    assert all(rows[100 + k] for k in range(12)) and sum(rows[k] > 0 for k in range(40)) <= 1 + (len(texts[3].split()) > 50) and rows[201] == 0 and rows[202] > 0
+
+
 def test_short_words_that_repeat(spark):
     """Passages of 51 words of few bytes, in the pipeline's stage."""
     import corpus_pipeline as pipeline
