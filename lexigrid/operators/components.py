@@ -89,7 +89,10 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         held = materialize(rows, "edges")
         return held, tuple(held.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    now, mark = written(_joined(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))).distinct())
+    # A shuffle first: a task that makes edges in Python does not hold a second worker
+    # that joins them.
+    pairs = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    now, mark = written(_joined(pairs))
     for _ in range(max_rounds):
         before = mark
         now, mark = written(_star(_star(_joined(now), True), False))
