@@ -34,7 +34,7 @@ WORD_GRAM = 12
 #: Bytes of regions in a bucket, and of one anchor before it is cut in batches.
 BUCKET_BYTES, BATCH_BYTES = 1 << 19, 4 << 20
 
-_ANCHORS = "h long, kind long, n long, text_key binary, low long, high long"
+_ANCHORS = "h long, kind long, n long, text_key binary, low long, high long, marks array<long>"
 
 
 def _sliding_least(key: np.ndarray, width: int) -> np.ndarray:
@@ -90,9 +90,9 @@ def anchors_of(sizes: np.ndarray, data: np.ndarray, total: np.ndarray, least: in
     return h[at].view(np.int64), kind.view(np.int64), own, low - starts[own], high - starts[own]
 
 
-def word_anchors(sizes: np.ndarray, data: np.ndarray, total: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, hash and number of places of the anchors of all strings of ``words``
-    words: the least hash of WORD_GRAM words in each.
+def word_anchors(sizes: np.ndarray, data: np.ndarray, total: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Text and hash of the anchors of all strings of ``words`` words: the least hash
+    of WORD_GRAM words in each, once a place.
 
     Equal strings of words have equal anchors, so a text none of whose anchors stands
     anywhere else shares no string of so many words.
@@ -107,7 +107,7 @@ def word_anchors(sizes: np.ndarray, data: np.ndarray, total: np.ndarray, words:
     first, last = np.flatnonzero(begins), np.flatnonzero(stops) + 1
     gram = min(WORD_GRAM, words)
     if len(first) < words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     owner = np.searchsorted(ends, first, "right")
     word = mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64))
     n = len(word) - gram + 1
@@ -119,19 +119,15 @@ def word_anchors(sizes: np.ndarray, data: np.ndarray, total: np.ndarray, words:
     anchor = (_sliding_least(key, words - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     inside = np.flatnonzero(owner[: len(anchor)] == owner[words - 1 :])
     at = np.unique(anchor[inside])
-    own, hashed = owner[at], h[at].view(np.int64)
-    order = np.lexsort((hashed, own))
-    own, hashed = own[order], hashed[order]
-    new = np.ones(len(own), bool)
-    new[1:] = (own[1:] != own[:-1]) | (hashed[1:] != hashed[:-1])
-    lead = np.flatnonzero(new)
-    return own[lead], hashed[lead], np.diff(np.append(lead, len(own)))
+    return owner[at], h[at].view(np.int64)
 
 
 def anchors(docs: DataFrame, least: int, marks: int = 0) -> DataFrame:
     """One row for each region; regions that repeat inside a text count ``n``
     times in one row, and their places are rows without an anchor.  With ``marks``
-    the anchors of strings of so many words are rows with a ``low`` of -1."""
+    a text's anchors of strings of so many words are one row with a ``low`` of -1."""
+    names, marked = ["h", "kind", "n", "text_key", "low", "high", "marks"], pa.list_(pa.int64())
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, values in slices(batch, size=1 << 19):
@@ -139,12 +135,11 @@ def anchors(docs: DataFrame, least: int, marks: int = 0) -> DataFrame:
                 keys = batch.column("text_key").slice(part.start, len(values))
                 prepared = _summed(raw)
                 if marks:
-                    own, h, count = word_anchors(*prepared, marks)
-                    low = pa.array(np.full(len(h), -1))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h, pa.int64()), pa.nulls(len(h), pa.int64()), pa.array(count, pa.int64()), keys.take(pa.array(own)), low, low],
-                        ["h", "kind", "n", "text_key", "low", "high"],
-                    )
+                    own, h = word_anchors(*prepared, marks)
+                    some, count = np.unique(own, return_counts=True)
+                    held = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32()), pa.array(h, pa.int64()))
+                    none, below = pa.nulls(len(some), pa.int64()), pa.array(np.full(len(some), -1))
+                    yield pa.RecordBatch.from_arrays([none, none, none, keys.take(pa.array(some)), below, below, held], names)
                 h, kind, own, low, high = anchors_of(*prepared, least)
                 if not len(h):
                     continue
@@ -165,17 +160,18 @@ def anchors(docs: DataFrame, least: int, marks: int = 0) -> DataFrame:
                     [
                         pa.array(h[lead], pa.int64()), pa.array(kind[lead], pa.int64()), pa.array(count, pa.int64()),
                         keys.take(pa.array(own[lead])), pa.array(low[lead], pa.int64()), pa.array(high[lead], pa.int64()),
+                        pa.nulls(len(lead), marked),
                     ],
-                    ["h", "kind", "n", "text_key", "low", "high"],
+                    names,
                 )
                 if len(known):
                     blank = pa.nulls(len(begin), pa.int64())
                     yield pa.RecordBatch.from_arrays(
                         [
                             blank, blank, blank, keys.take(pa.array(own[known[begin]])),
-                            pa.array(low[known[begin]], pa.int64()), pa.array(high[known[end]], pa.int64()),
+                            pa.array(low[known[begin]], pa.int64()), pa.array(high[known[end]], pa.int64()), pa.nulls(len(begin), marked),
                         ],
-                        ["h", "kind", "n", "text_key", "low", "high"],
+                        names,
                     )
 
     return docs.mapInArrow(run, _ANCHORS)
@@ -299,11 +295,11 @@ def repeated_places(keyed: DataFrame, least: int, marks: int = 0) -> DataFrame:
         inside = cool.unionAll(hot)
     else:
         inside = cut.groupBy("batch").applyInPandas(expand, places)
-    places = found.where("h IS NULL").select("text_key", "low", "high").unionAll(whole).unionAll(inside)
+    places = found.where("h IS NULL AND low >= 0").select("text_key", "low", "high").unionAll(whole).unionAll(inside)
     if not marks:
         return places
-    marked = found.where("low = -1").select("h", "n", "text_key")
-    again = materialize(marked.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "marks")
+    marked = found.where("low = -1").select("text_key", F.explode("marks").alias("h"))
+    again = materialize(marked.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "marks")
     number = marked.join(again, "h").select("h", "text_key").distinct().groupBy("text_key").agg(F.count("*").alias("n"))
     return places.unionAll(number.select("text_key", -F.col("n"), F.lit(None).cast("long")))
 
