@@ -19,13 +19,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star step on edges (u, v): neighbours are hung on the least node.
 
     A node's least neighbour comes from an aggregate that combines before the
-    shuffle, so a node with very many neighbours is not gathered anywhere.
+    shuffle, so a node with very many neighbours is not gathered anywhere; it is
+    written, so that Spark can split such a node's rows in the join.
     """
     if large:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = materialize(least, "least")
     joined = both.join(least, "u")
     if large:
         out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
