@@ -300,7 +300,7 @@ def repeated_places(keyed: DataFrame, least: int, marks: int = 0) -> DataFrame:
         return places
     marked = found.where("low = -1").select("text_key", F.explode("marks").alias("h"))
     again = materialize(marked.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "marks")
-    number = marked.join(again, "h").select("h", "text_key").distinct().groupBy("text_key").agg(F.count("*").alias("n"))
+    number = marked.join(again, "h").groupBy("text_key").agg(F.size(F.collect_set("h")).cast("long").alias("n"))
     return places.unionAll(number.select("text_key", -F.col("n"), F.lit(None).cast("long")))
 
 
