@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import materialize, texts
 from .token_ids import encoded
 
-#: Runs of the packing that are sent to every task; more are joined by a shuffle.
+#: Rows of runs of the packing that are sent to every task; more are joined by a shuffle.
 MOST_RUNS = 100_000
 
 _PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, task int, nth long"
@@ -66,10 +66,11 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, size: int = 40
     return texts(docs).mapInArrow(run, _PIECES)
 
 
-def pack_histogram(counts: dict[int, int], size: int) -> list[tuple[int, list[int]]]:
-    """Patterns as (number of sequences, lengths in order), shortest pack first."""
-    open_packs: list[tuple[int, int, tuple[int, ...]]] = []  # (tokens, -count, lengths)
-    full: list[tuple[int, list[int]]] = []
+def _packs(counts: dict[int, int], size: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
+    """Patterns as (number of sequences, (length, how often in a row) in order),
+    shortest pack first."""
+    open_packs: list[tuple[int, int, int, tuple[tuple[int, int], ...]]] = []  # (tokens, tie, count, lengths)
+    full: list[tuple[int, tuple[tuple[int, int], ...]]] = []
     tie = 0
     for length in sorted(counts, reverse=True):
         left = counts[length]
@@ -90,30 +91,55 @@ def pack_histogram(counts: dict[int, int], size: int) -> list[tuple[int, list[in
             else:
                 used, lengths, taken, fits = 0, (), left, 1
             left -= taken * fits
-            used, lengths = used + fits * length, lengths + (length,) * fits
+            used += fits * length
+            # A length that follows itself is one entry: short ones may come thousands of times.
+            if lengths and lengths[-1][0] == length:
+                lengths = (*lengths[:-1], (length, lengths[-1][1] + fits))
+            else:
+                lengths = (*lengths, (length, fits))
             if used == size:
-                full.append((taken, list(lengths)))
+                full.append((taken, lengths))
             else:
                 tie += 1
                 heapq.heappush(open_packs, (used, tie, taken, lengths))
-    return full + [(many, list(lengths)) for _, _, many, lengths in sorted(open_packs)]
+    return full + [(many, lengths) for _, _, many, lengths in sorted(open_packs)]
+
+
+def pack_histogram(counts: dict[int, int], size: int) -> list[tuple[int, list[int]]]:
+    """Patterns as (number of sequences, lengths in order), shortest pack first."""
+    return [(many, [n for n, k in lengths for _ in range(k)]) for many, lengths in _packs(counts, size)]
 
 
-def _runs(patterns: list[tuple[int, list[int]]]) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, rank after the last, first sequence, offset)."""
+def _runs(patterns: list[tuple[int, tuple[tuple[int, int], ...]]]) -> list[tuple[int, int, int, int, int, int]]:
+    """(length, first rank, rank after the last, sequences, first sequence, offset):
+    ranks go through a run's sequences, and then through them again one length on."""
     rank: dict[int, int] = {}
     runs, sequence = [], 0
     for many, lengths in patterns:
         offset = 0
-        for length in lengths:
+        for length, fits in lengths:
             at = rank.get(length, 0)
-            runs.append((length, at, at + many, sequence, offset))
-            rank[length] = at + many
-            offset += length
+            runs.append((length, at, at + many * fits, many, sequence, offset))
+            rank[length] = at + many * fits
+            offset += length * fits
         sequence += many
     return runs
 
 
+def _blocks(runs: list[tuple[int, int, int, int, int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, ...]]]:
+    """(length, ranks of a block), and the runs with each block that they reach into.
+
+    A length has as many blocks as runs at most, so a rank meets the few runs of its
+    block, not all of its length: together they make at most twice as many rows.
+    """
+    of: dict[int, tuple[int, int]] = {}
+    for length, _, high, *_ in runs:
+        of[length] = of.get(length, (0, 0))[0] + 1, high
+    steps = {length: -(-ranks // many) for length, (many, ranks) in of.items()}
+    dealt = [(r[0], k, *r[1:]) for r in runs for k in range(r[1] // steps[r[0]], (r[2] - 1) // steps[r[0]] + 1)]
+    return list(steps.items()), dealt
+
+
 def place(pieces: DataFrame, size: int = 4096) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces from :func:`cut_pieces`.
 
@@ -123,20 +149,24 @@ def place(pieces: DataFrame, size: int = 4096) -> DataFrame:
     pieces = materialize(pieces, "pieces")
     counts = pieces.groupBy("task", "length").agg(F.max("nth").alias("last"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum(F.col("last") + 1).alias("n")).collect()}
-    runs = _runs(pack_histogram(histogram, size))
-    # The patterns come from a histogram of at most `size` lengths, so this table
-    # stays small whatever the corpus is; that is checked.
-    table = spark.createDataFrame(runs, "length long, low long, high long, first_sequence long, offset long")
+    steps, dealt = _blocks(_runs(_packs(histogram, size)))
+    # The patterns come from a histogram of at most `size` lengths, so these tables
+    # stay small whatever the corpus is; that is checked.
+    table = spark.createDataFrame(dealt, "of_length int, of_block int, low long, high long, sequences long, first_sequence long, first_offset long")
+    step = spark.createDataFrame(steps, "length long, step long")
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select(
         "task", "length", F.coalesce(F.sum(F.col("last") + 1).over(before), F.lit(0)).alias("base")
-    )
+    ).join(F.broadcast(step), "length")
     ranked = pieces.join(base, ["task", "length"]).withColumn("rank", F.col("base") + F.col("nth"))
-    t = table.withColumnRenamed("length", "of_length")
-    t = F.broadcast(t) if len(runs) <= MOST_RUNS else t
-    found = ranked.join(t, (F.col("length") == F.col("of_length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
-    return found.withColumn("sequence_id", F.col("first_sequence") + F.col("rank") - F.col("low")).drop(
-        "task", "nth", "base", "rank", "of_length", "low", "high", "first_sequence"
+    ranked = ranked.withColumn("block", F.expr("CAST(rank DIV step AS int)"))
+    t = F.broadcast(table) if len(dealt) <= MOST_RUNS else table
+    of_run = (F.col("length").cast("int") == F.col("of_length")) & (F.col("block") == F.col("of_block"))
+    found = ranked.join(t, of_run & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
+    at = F.col("rank") - F.col("low")
+    found = found.withColumn("offset", F.col("first_offset") + F.expr("(rank - low) DIV sequences") * F.col("length"))
+    return found.withColumn("sequence_id", F.col("first_sequence") + at % F.col("sequences")).drop(
+        "task", "nth", "base", "step", "rank", "block", "of_length", "of_block", "low", "high", "sequences", "first_sequence", "first_offset"
     )
 
 

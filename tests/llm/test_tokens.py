@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -129,6 +130,34 @@ def test_packing(docs, library):
     assert packing.pack(docs.where("false"), PATH, 2, size).count() == 0
 
 
+def test_packing_many_short_pieces(spark):
+    """Runs of a length don't grow with how often it fills up a sequence."""
+    rng = np.random.default_rng(0)
+    size = 512
+    lengths = np.concatenate([rng.integers(2, size + 1, 3000), np.ones(15_000, int)])
+    counts = dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True))))
+    patterns = packing._packs(counts, size)
+    runs = packing._runs(patterns)
+    of_one = [r for r in runs if r[0] == 1]
+    assert len(of_one) <= len(patterns) and sum(r[2] - r[1] for r in of_one) == counts[1]
+    steps, dealt = packing._blocks(runs)
+    assert len(dealt) <= 2 * len(runs)
+    met = {}
+    for n, block, *_ in dealt:
+        met[n, block] = met.get((n, block), 0) + 1
+    # How many runs all pieces are compared with.
+    assert sum(k * dict(steps)[n] for (n, _), k in met.items()) <= 4 * len(lengths)
+    rows = spark.range(len(lengths)).select(F.col("id").alias("doc_id"))
+    rows = rows.join(spark.createDataFrame(list(enumerate(lengths.tolist())), "doc_id long, length long"), "doc_id")
+    nth = F.row_number().over(Window.partitionBy("task", "length").orderBy("doc_id")) - 1
+    pieces = rows.withColumn("task", (F.col("doc_id") % 3).cast("int")).withColumn("nth", nth.cast("long"))
+    placed = packing.place(pieces, size).toPandas().sort_values(["sequence_id", "offset"])
+    assert sorted(placed["doc_id"]) == list(range(len(lengths)))
+    follows = placed.groupby("sequence_id")["length"].cumsum() - placed["length"]
+    assert (follows == placed["offset"]).all() and (placed["offset"] + placed["length"]).max() <= size
+    assert placed["sequence_id"].nunique() <= 1.01 * lengths.sum() / size + 1
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_histogram(seed):
     rng = random.Random(seed)
