@@ -33,3 +33,16 @@ def test_oracle(spark, sf, name):
         return sorted(str([round(r[k], 6) if isinstance(r[k], float) else r[k] for k in at]) for r in found)
 
     assert rows([tuple(r) for r in df.collect()], df.columns) == rows(expected.fetchall(), list(expected.columns))
+
+
+def test_files_of_the_query_are_the_same_in_every_process(monkeypatch):
+    import time
+
+    from lexigrid.plans import catalogue
+
+    now = time.time()
+    made = []
+    for later in (0, 1000):
+        monkeypatch.setattr(time, "time", lambda later=later: now + later)
+        made.append(catalogue._docx("p", "q"))
+    assert made[0] == made[1]
