@@ -4,8 +4,8 @@ Documents are read as passages of two or four neighbouring cells of words, short
 ones for short benchmark items.  A passage is
 a TF-IDF vector over the benchmark's vocabulary, in which a word counts once a cell,
 however often it stands there, and one that most documents have counts little, but
-counts.  A distributed randomised singular value decomposition of a bounded sample of
-passages and of the items, either half of the weight, gives a latent space.  Every passage of
+counts.  A distributed randomised singular value decomposition of all documents' cells
+and of the items, either half of the weight, gives a latent space.  Every passage of
 every document is searched in it: items whose cosine reaches NEAR are candidates.
 They are verified by the longest common subsequence of words, of the whole item and
 of its end, where the answer stands; a bound from the words that both have, which no
@@ -38,8 +38,6 @@ RANK, OVERSAMPLE = 128, 16
 #: into other documents the least cosine is 0.93, of 600 with two in five of their
 #: words exchanged 0.62.
 NEAR = 0.4
-#: Words of the documents that the latent space is fitted on, at most about so many.
-SAMPLE_WORDS = 4_000_000
 #: Least weight of a word, so that items of frequent words only keep a vector.
 LEAST_WEIGHT = 1e-3
 #: Shares of the item's words, and of its end, that must appear in order:
@@ -266,8 +264,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, near: float = NEAR) -> Dat
     terms = len(items.words) + 1
     rows = materialize(_sequences(texts(docs), items), "sequences")
     # How many documents have each word of the vocabulary.
-    n_docs, n_words = rows.agg(F.sum(F.size("doc_ids")), F.sum(F.length("numbers")) / 4).first()
-    n_docs, share = n_docs or 0, min(1.0, SAMPLE_WORDS / max(1.0, n_words or 0))
+    n_docs = rows.agg(F.sum(F.size("doc_ids"))).first()[0] or 0
     shard = F.spark_partition_id().cast("long").alias("shard")
     in_batches = rows.where("df IS NOT NULL").select(F.lit(0).cast("long").alias("block"), shard, F.col("df").alias("part"))
     counted = _added(in_batches, "<i8").first()
@@ -284,8 +281,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, near: float = NEAR) -> Dat
     weighted = test * weight[:, None]
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """This task's share of (passages' transpose) (passages) (test matrix)."""
-        total, seen = np.zeros((terms, rank), np.float32), False
+        """This task's share of (cells' transpose) (cells) (test matrix)."""
+        # In doubles: a task adds up all its documents.
+        total, seen = np.zeros((terms, rank)), False
         for batch in batches:
             for sizes, numbers in zip(batch.column("sizes").to_pylist(), batch.column("numbers").to_pylist()):
                 own = _Rows(sizes, numbers, weight)
@@ -308,8 +306,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, near: float = NEAR) -> Dat
             ["block", "part"],
         )
 
-    chosen = rows.where(F.pmod(F.xxhash64("doc_ids"), F.lit(1 << 20)) < round(share * (1 << 20)))
-    parts = chosen.select("sizes", "numbers").mapInArrow(spread, "block long, part binary")
+    parts = rows.select("sizes", "numbers").mapInArrow(spread, "block long, part binary")
     # As many numbers as the vocabulary and the rank make, whatever the corpus is.
     summed = {r["block"]: np.frombuffer(r["part"], np.float64) for r in _added(parts.select("block", shard, "part"), "<f4").collect()}
     image = np.concatenate([summed[b] for b in sorted(summed)]).reshape(terms, rank) if summed else np.zeros((terms, rank))

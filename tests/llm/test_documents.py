@@ -302,6 +302,44 @@ def test_recall_of_the_search(spark, sf):
     assert len(every) >= 240 and found <= every and len(found) >= 0.98 * len(every)
 
 
+def test_latent_space_is_of_all_documents(spark, monkeypatch):
+    """The matrix that is decomposed has the cells of every document, in 4.5 million words."""
+    rng = random.Random(31)
+    words = [f"b{k}" for k in range(30)]
+    docs = []
+    for k in range(300):
+        text = ["x"] * 15_000
+        for at in rng.sample(range(15_000), 200):
+            text[at] = rng.choice(words)
+        docs.append((k, " ".join(text)))
+    bench = spark.createDataFrame([(0, " ".join(words))], "item_id long, text string")
+    seen, added = [], decontamination._added
+
+    def spied(rows, kind):
+        out = added(rows, kind)
+        if kind == "<f4":
+            seen.extend(out.collect())
+        return out
+
+    monkeypatch.setattr(decontamination, "_added", spied)
+    decontamination.find_leaks(table(spark, docs), bench)
+    got = np.concatenate([np.frombuffer(r["part"]) for r in sorted(seen, key=lambda r: r["block"])]).reshape(len(words) + 1, -1)
+    number = decontamination.Items([(0, " ".join(words))]).sequences[0]
+    of = dict(zip(words, number))
+    df = np.bincount([n for _, t in docs for n in {of.get(w, 0) for w in t.split()}], minlength=len(words) + 1)
+    weight = np.maximum(1e-3, np.log((len(docs) + 1) / np.maximum(1, df)))
+    test = np.random.default_rng(11).standard_normal(got.shape) * weight[:, None]
+    expected = np.zeros(got.shape)
+    for _, t in docs:
+        t = [of.get(w, 0) for w in t.split()]
+        for at in range(0, len(t), 12):
+            cell = sorted(set(t[at : at + 12]) - {0})
+            if cell:
+                expected[cell] += test[cell].sum(0) / (weight[cell] ** 2).sum()
+    expected *= weight[:, None]
+    assert np.abs(got - expected).max() <= 1e-3 * np.abs(expected).max()
+
+
 @pytest.mark.parametrize("room", [1 << 22, 700])
 def test_leaks_against_brute_force(spark, monkeypatch, room):
     """Items with two in five of their words exchanged, and whole ones beside runs
