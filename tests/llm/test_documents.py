@@ -302,7 +302,8 @@ def test_recall_of_the_search(spark, sf):
     assert len(every) >= 240 and found <= every and len(found) >= 0.98 * len(every)
 
 
-def test_latent_space_is_of_all_documents(spark, monkeypatch):
+@pytest.mark.parametrize("where", ["operator", "pipeline"])
+def test_latent_space_is_of_all_documents(spark, tmp_path, monkeypatch, where):
     """The matrix that is decomposed has the cells of every document, in 4.5 million words."""
     rng = random.Random(31)
     words = [f"b{k}" for k in range(30)]
@@ -322,7 +323,13 @@ def test_latent_space_is_of_all_documents(spark, monkeypatch):
         return out
 
     monkeypatch.setattr(decontamination, "_added", spied)
-    decontamination.find_leaks(table(spark, docs), bench)
+    if where == "operator":
+        decontamination.find_leaks(table(spark, docs), bench)
+    else:
+        import corpus_pipeline as pipeline
+
+        bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+        pipeline.drop_leaks(spark, table(spark, docs), str(tmp_path))
     got = np.concatenate([np.frombuffer(r["part"]) for r in sorted(seen, key=lambda r: r["block"])]).reshape(len(words) + 1, -1)
     number = decontamination.Items([(0, " ".join(words))]).sequences[0]
     of = dict(zip(words, number))
