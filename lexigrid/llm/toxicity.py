@@ -19,7 +19,7 @@ equal text share a fold.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Collection, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -114,7 +114,7 @@ def folds(values: list[str]) -> np.ndarray:
 class Training:
     """Labelled rows by fold, and evidence that leaves folds out."""
 
-    def __init__(self, rows: list[tuple[set[str], list[float]]], fold: np.ndarray, y: np.ndarray):
+    def __init__(self, rows: list[tuple[Collection[str], list[float]]], fold: np.ndarray, y: np.ndarray):
         self.fold, self.y = fold, y
         self.signs = np.array([s for _, s in rows], float).reshape(len(rows), -1)
         self.sizes = [len(words) for words, _ in rows]
@@ -123,6 +123,7 @@ class Training:
         every, counts = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, np.uint64), np.zeros(0, int))
         self.names = every[counts >= LEAST_ROWS]
         at = {f: k for k, f in enumerate(self.names.tolist())}
+        same = {f: f for f in at}
         known: dict[str, tuple[int, ...]] = {}
         self.words: list[list[tuple[int, ...]]] = []
         for words, _ in rows:
@@ -130,7 +131,7 @@ class Training:
             for w in words:
                 kept = known.get(w)
                 if kept is None:
-                    kept = known[w] = tuple(f for f in features(w) if f in at)
+                    kept = known[w] = tuple(same[f] for f in features(w) if f in same)
                 if kept:
                     held.append(kept)
             self.words.append(held)
@@ -204,7 +205,9 @@ def train(values: list[str], labels: list[np.ndarray]) -> Chain:
     """Train the chain on labelled texts, with 0 or 1 of each category."""
     chain, earlier = Chain([], []), np.zeros((len(values), 0))
     fold = folds(values)
-    rows = [read(v) for v in values]
+    # Rows share their words: as sets of their own they would be most of the memory.
+    one: dict[str, str] = {}
+    rows = [(tuple(one.setdefault(w, w) for w in words), signs) for words, signs in map(read, values)]
     for k, y in enumerate(labels):
         if not y.any():
             # Nothing to learn from: nothing is in the category.

@@ -6,6 +6,7 @@ import html
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -418,6 +419,19 @@ def test_toxicity(spark):
     assert toxicity.score(frame, nothing).where("toxic").count() == 0
 
 
+def test_training_shares_words():
+    """What the driver holds to train follows the vocabulary, not all rows' words."""
+    rng = random.Random(7)
+    vocabulary = [f"word{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyzabcd'[k // 100]}" for k in range(1000)]
+    values = [" ".join(rng.sample(vocabulary, 300)) + (" idiot moron" if k % 5 == 0 else "") for k in range(500)]
+    y = np.array([int(k % 5 == 0) for k in range(500)])
+    tracemalloc.start()
+    toxicity.train(values, [y])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 8e6
+
+
 def test_no_held_out_row_touches_selection():
     """Other labels and texts in one fold change no table, weight or probability that
     is to be out of that fold."""
