@@ -44,7 +44,7 @@ def _grams(word: np.ndarray, bounds: np.ndarray, order: int) -> tuple[np.ndarray
     hashes, known, rolling = [], [], np.zeros(len(word), np.uint64)
     for n in range(1, order + 1):
         shifted = np.zeros(len(word), np.uint64)
-        shifted[n - 1 :] = word[: len(word) - n + 1]
+        shifted[n - 1 :] = word[: max(0, len(word) - n + 1)]
         rolling = rolling + shifted * _power(n)
         hashes.append(mix(rolling + np.uint64(n)))
         known.append(place >= n - 1)

@@ -46,23 +46,24 @@ _SEEDS = np.random.default_rng(20_240_501).integers(1, 1 << 63, (2, REGISTERS),
 _SEEDS[0] |= np.uint64(1)
 
 
-def shingle_sets(values: list[str]) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text, empty without words.
+def shingle_sets(values: list[str], shingle: int = SHINGLE) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's shingles of ``shingle`` words, empty
+    without words.
 
     A to Z are lower-cased; words are runs of bytes that are not ASCII white
     space; a text of fewer words than a shingle has one, its whole sequence.
     """
     word, bounds = word_hashes(values)
     bounds = bounds.tolist()
-    n = len(word)
-    rolling = np.zeros(max(0, n - SHINGLE + 1), np.uint64)
-    for k in range(SHINGLE):
-        rolling = rolling * POWER + word[k : n - SHINGLE + 1 + k]
+    n = max(0, len(word) - shingle + 1)
+    rolling = np.zeros(n, np.uint64)
+    for k in range(shingle):
+        rolling = rolling * POWER + word[k : k + n]
     rolling = mix(rolling)
     out, a = [], 0
     for b in bounds:
-        if b - a >= SHINGLE:
-            out.append(np.unique(rolling[a : b - SHINGLE + 1]))
+        if b - a >= shingle:
+            out.append(np.unique(rolling[a : b - shingle + 1]))
         elif b > a:
             h = np.array([b - a], np.uint64)
             for k in range(a, b):

@@ -25,7 +25,7 @@ from pyspark.sql.types import StructType
 from .bwt import SEPARATOR, repeated
 from .common import materialize, texts
 from .token_ids import slices
-from .words import _WHITE, POWER, mix, tables
+from .words import _WHITE, POWER, hash_words, mix, tables, window_hashes
 
 #: Bytes of the short strings that anchors are chosen from.
 GRAM = 80
@@ -65,7 +65,7 @@ def anchors_of(sizes: np.ndarray, data: np.ndarray, total: np.ndarray, least: in
     none = tuple(np.zeros(0, np.int64) for _ in range(5))
     if len(data) < least:
         return none
-    up, down = tables(len(data) + 1)
+    _, down = tables(len(data) + 1)
     n = len(data) - gram + 1
     h = mix((total[gram:] - total[:n]) * down[:n])
     # By the upper half of the hash; among equal ones the first.
@@ -84,20 +84,19 @@ def anchors_of(sizes: np.ndarray, data: np.ndarray, total: np.ndarray, least: in
     first = np.flatnonzero(new)
     low, high = place[first], place[np.append(first[1:], len(place)) - 1]
     at, own = at[first], own[first]
-    stop = high + least
-    kind = mix((total[stop] - total[low]) * down[low] + (stop - low).astype(np.uint64) * up[1])
-    kind = mix(kind + (at - low).astype(np.uint64))
+    # A region's bytes and where its anchor stands in them.
+    whole = hash_words(data, low, high + least - low)
+    kind = mix(whole * POWER + (at - low).astype(np.uint64))
     return h[at].view(np.int64), kind.view(np.int64), own, low - starts[own], high - starts[own]
 
 
-def word_anchors(sizes: np.ndarray, data: np.ndarray, total: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+def word_anchors(sizes: np.ndarray, data: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Text and hash of the anchors of all strings of ``words`` words: the least hash
     of WORD_GRAM words in each, once a place.
 
     Equal strings of words have equal anchors, so a text none of whose anchors stands
     anywhere else shares no string of so many words.
     """
-    _, down = tables(len(data) + 1)
     ends = np.cumsum(sizes)
     white, edge = _WHITE[data], np.zeros(len(data) + 1, bool)
     edge[ends] = True
@@ -109,7 +108,7 @@ def word_anchors(sizes: np.ndarray, data: np.ndarray, total: np.ndarray, words:
     if len(first) < words:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     owner = np.searchsorted(ends, first, "right")
-    word = mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64))
+    word = hash_words(data, first, last - first)
     n = len(word) - gram + 1
     h = np.zeros(n, np.uint64)
     for k in range(gram):
@@ -135,7 +134,7 @@ def anchors(docs: DataFrame, least: int, marks: int = 0) -> DataFrame:
                 keys = batch.column("text_key").slice(part.start, len(values))
                 prepared = _summed(raw)
                 if marks:
-                    own, h = word_anchors(*prepared, marks)
+                    own, h = word_anchors(*prepared[:2], marks)
                     some, count = np.unique(own, return_counts=True)
                     held = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32()), pa.array(h, pa.int64()))
                     none, below = pa.nulls(len(some), pa.int64()), pa.array(np.full(len(some), -1))
@@ -212,12 +211,10 @@ def _across_batches(regions: DataFrame, parts: int, least: int) -> DataFrame:
     """Repeats between batches of the same anchor, and inside each batch."""
     def hashes(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         data, starts = _joined(group)
-        up, down = tables(len(data) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64, out=total[1:])
+        every = window_hashes(mix(data.astype(np.uint64) + np.uint64(1)), least)
         counts = (group["high"] - group["low"] + 1).to_numpy()
         at = np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-        return mix((total[at + least] - total[at]) * down[at]), counts
+        return every[at], counts
 
     def send(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["kind", "text_key"])
@@ -315,10 +312,13 @@ def word_windows(raw: list[bytes], words: int, below: int) -> tuple[np.ndarray,
     own = np.searchsorted(starts, a, "right") - 1
     chosen = np.flatnonzero((b - a < below) & (b < starts[own + 1]))
     a, b, own = a[chosen], b[chosen], own[chosen]
-    up, down = tables(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64, out=total[1:])
-    h = mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64) * up[1])
+    if not len(first):
+        return np.zeros(0, np.int64), own, a, b
+    # Words with the white space after them, the last one without.
+    whole = hash_words(data, first, np.append(first[1:], len(data)) - first)
+    h = hash_words(data, first, last - first)[words - 1 :][chosen]
+    if words > 1:
+        h = mix(window_hashes(whole, words - 1)[chosen] * POWER + h)
     return h.view(np.int64), own, a - starts[own], b - starts[own]
 
 

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .words import mix, tables
+from .words import hash_words
 
 _INFORMATION_SEPARATORS = re.compile("[\x1c-\x1f]")
 _PLAIN_SPACE = re.compile(r"[ \t\n\r]+")
@@ -188,10 +188,7 @@ class WordEncoder:
         stop = np.append(new[1:], len(data))
         word = kind[new] > 0
         first, last = new[word], stop[word]
-        up, down = tables(len(data))
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64, out=total[1:])
-        h = mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64)) | np.uint64(1)
+        h = hash_words(data, first, last - first) | np.uint64(1)
         rows, known = self.table.find(h)
         if not known.all():
             lost = np.flatnonzero(~known)

@@ -6,6 +6,7 @@ Words are runs of bytes that are not ASCII white space, with A to Z lower-cased.
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 POWER = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -71,9 +72,43 @@ def _groups(first: np.ndarray) -> list[tuple[int, int]]:
 def _hashed(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Hashes of the words from ``first`` to before ``last``."""
     base = int(first[0])
-    part, first, last = data[base : int(last[-1])], first - base, last - base
-    up, down = tables(len(part))
-    # Prefix sums of byte * power; a word's sum is shifted back to its start.
-    total = np.zeros(len(part) + 1, np.uint64)
-    np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], dtype=np.uint64, out=total[1:])
-    return mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64))
+    return hash_words(data[base : int(last[-1])], first - base, last - first)
+
+
+#: Bytes of words that are hashed together; longer ones are hashed alone.
+TOGETHER = 64
+_KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def hash_words(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hash of the ``size`` bytes from each ``first`` on, eight bytes at a time.
+
+    Every eight bytes are mixed before the next come in, so that no pattern of bytes
+    cancels out, as it may in a sum of powers; words of eight bytes and less have
+    different hashes.
+    """
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded.data, 0, (1,))
+    h = mix((eight[first] & _KEPT[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * POWER))
+    rest = np.flatnonzero((size > 8) & (size <= TOGETHER))
+    at, left = first[rest] + 8, size[rest] - 8
+    while len(rest):
+        h[rest] = mix(h[rest] * POWER ^ (eight[at] & _KEPT[np.minimum(left, 8)]))
+        more = left > 8
+        rest, at, left = rest[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > TOGETHER).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(data[first[k] : first[k] + size[k]])
+    return h
+
+
+def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """Hash of every ``n`` hashes in a row, from those of half as many; the last half
+    overlaps where ``n`` is no power of two."""
+    if len(h) < n:
+        return np.zeros(0, np.uint64)
+    reach = 1
+    while 2 * reach <= n:
+        h = mix(h[: len(h) - reach] * POWER + h[reach:])
+        reach *= 2
+    over = n - reach
+    return mix(h[: len(h) - over] * POWER + h[over:]) if over else h
