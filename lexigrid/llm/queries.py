@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    decontamination, filter_audit, html_text, lm_scores, near_dedup, packing, quality, resampling, substring_dedup, token_counts, token_files, toxicity,
+    decontamination, filter_audit, html_text, jaccard_join, lm_scores, near_dedup, packing, quality, resampling, substring_dedup, token_counts, token_files, toxicity,
 )
 from .common import fresh_path, read_table
 
@@ -78,6 +78,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(read_table(spark, sf_dir, "documents"), percent=90)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
@@ -92,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_html_text": op10_html_text,
         "op11_target_resampling": op11_target_resampling,
         "op12_filter_audit": op12_filter_audit,
+        "op13_jaccard_join": op13_jaccard_join,
     }
 
 
@@ -113,6 +118,23 @@ OP1_SQL = r"""
     FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN roots USING (doc_id)
 """
 
+#: The same for shingles of three words.
+OP13_SQL = r"""
+    WITH RECURSIVE words AS (
+      SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    shingles AS (SELECT DISTINCT doc_id, CASE WHEN len(w) >= 3 THEN w[k : k + 2] ELSE w END AS s
+                 FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS k FROM words WHERE len(w) > 0)),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+    links AS (SELECT s.a, s.b FROM shared s JOIN sizes x ON x.doc_id = s.a JOIN sizes y ON y.doc_id = s.b WHERE 100 * s.n >= 90 * (x.n + y.n - s.n)),
+    both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach AS (SELECT a AS doc_id, b AS other FROM both_ways UNION SELECT r.doc_id, e.b FROM reach r JOIN both_ways e ON r.other = e.a),
+    roots AS (SELECT doc_id, min(other) AS root FROM reach GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(root, d.doc_id)) AS component_id
+    FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN roots USING (doc_id)
+"""
+
 
 #: CRC-32 is computed a half byte at a time over the hexadecimal digits of the features.
 OP11_SQL = r"""
@@ -168,4 +190,4 @@ OP12_SQL = r"""
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express an operator; the others are tested against brute
     force, the tokenizers library, round trips and held-out labels."""
-    return {"op1_minhash_near_dedup": OP1_SQL, "op11_target_resampling": OP11_SQL, "op12_filter_audit": OP12_SQL}
+    return {"op1_minhash_near_dedup": OP1_SQL, "op11_target_resampling": OP11_SQL, "op12_filter_audit": OP12_SQL, "op13_jaccard_join": OP13_SQL}
