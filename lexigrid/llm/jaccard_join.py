@@ -8,7 +8,7 @@ is.  Each document chooses its own ``l`` by what its candidates are expected to
 a longer prefix is read more, but only what shares ``l`` tokens of it is verified.
 Two documents are compared at the lesser ``l`` of both.
 
-Documents with equal sets are one class.  The classes with a token are paired if they
+Documents with equal sets are one class.  Tokens are met within bands of sizes.  The classes with a token are paired if they
 are few; more meet a few of their own first, those are verified and joined, and then only
 members outside a token's largest group meet the others, in blocks, where sizes and
 parity bitmaps, which bound the overlap from above, leave out most pairs.  What is
@@ -18,6 +18,7 @@ copies costs its size.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -42,7 +43,7 @@ class Sizes(NamedTuple):
     """Where groups are treated in another way, which changes no result."""
 
     #: A token that more windows hold comes last.
-    hot: int = 64
+    hot: int = 1024
     #: Classes of a token that are paired.
     few: int = 64
     #: Members of a block of a larger group.
@@ -74,8 +75,8 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
 
 
 def sketch(docs: DataFrame, percent: int) -> DataFrame:
-    """``doc_id, n_shingles, set_key, first_tokens`` of every row; the key is null
-    without words."""
+    """``doc_id, n_shingles, set_key, text_key, first_tokens`` of every row; the key
+    of the set is null without words."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, values in slices(batch, size=1 << 19):
@@ -84,11 +85,15 @@ def sketch(docs: DataFrame, percent: int) -> DataFrame:
                 windows = [s[:w] for s, w in zip(sets, window_size(n, percent).tolist())]
                 keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(part.start, len(values)), pa.array(n), pa.array(keys, pa.binary()), _lists(windows)],
-                    ["doc_id", "n_shingles", "set_key", "first_tokens"],
+                    [batch.column("doc_id").slice(part.start, len(values)), pa.array(n), pa.array(keys, pa.binary()), batch.column("text_key").slice(part.start, len(values)), _lists(windows)],
+                    ["doc_id", "n_shingles", "set_key", "text_key", "first_tokens"],
                 )
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, first_tokens array<long>")
+    return _keyed(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, text_key long, first_tokens array<long>")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return texts(docs).withColumn("text_key", F.xxhash64("text"))
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
@@ -99,24 +104,20 @@ def bitmap(tokens: np.ndarray) -> bytes:
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node, n, tokens, parities`` of the classes ``wanted(node, rep, set_key)``;
-    rows with the text of another set, whose id they share, are left out."""
+    """``node, n, tokens, parities`` of the classes ``wanted(node, rep, text_key)``,
+    each from one row with that id and text."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, values in slices(batch, size=1 << 19):
                 sets = shingle_sets(values, SHINGLE)
-                own = batch.slice(part.start, len(values))
-                right = [xxhash.xxh3_128_digest(s.tobytes()) == k for s, k in zip(sets, own.column("set_key").to_pylist())]
-                sets = [s for s, r in zip(sets, right) if r]
-                nodes = own.column("node").filter(pa.array(right, pa.bool_()))
                 yield pa.RecordBatch.from_arrays(
-                    [nodes, pa.array([len(s) for s in sets], pa.int64()), _lists(sets), pa.array([bitmap(s) for s in sets], pa.binary())],
+                    [batch.column("node").slice(part.start, len(values)), pa.array([len(s) for s in sets], pa.int64()), _lists(sets), pa.array([bitmap(s) for s in sets], pa.binary())],
                     ["node", "n", "tokens", "parities"],
                 )
 
-    one = texts(docs).where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "rep").join(wanted.select("node", "rep", "set_key"), "rep")
-    found = one.select("node", "set_key", "text").mapInArrow(run, "node long, n long, tokens array<long>, parities binary")
-    return found.dropDuplicates(["node"])
+    keys = ["rep", "text_key"]
+    rows = _keyed(docs).where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "rep").join(wanted.select("node", *keys), keys)
+    return rows.dropDuplicates(keys).select("node", "text").mapInArrow(run, "node long, n long, tokens array<long>, parities binary")
 
 
 def choose(n: np.ndarray, window: np.ndarray, owner: np.ndarray, pos: np.ndarray, df: np.ndarray, percent: int, hot_over: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,16 +148,22 @@ def choose(n: np.ndarray, window: np.ndarray, owner: np.ndarray, pos: np.ndarray
 
 def _prefixes(seen: DataFrame, percent: int, hot: int) -> DataFrame:
     """``node, n, need, level, token`` of the prefixes from ``node, n, width, pos,
-    token, df``; ``need`` is the set's ``l``."""
+    token, df``; ``need`` is the set's ``l``.  Without a ``width`` the rows of a set
+    are its window, and their places follow from their order."""
     names = ["node", "n", "need", "level", "token"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, width = batch.column("n").to_numpy(), batch.column("width").to_numpy()
-            held = batch.column("held")
-            owner = np.repeat(np.arange(len(n)), held.value_lengths().to_numpy())
+            n, held = batch.column("n").to_numpy(), batch.column("held")
+            counts = held.value_lengths().to_numpy()
+            owner = np.repeat(np.arange(len(n)), counts)
             flat = held.flatten()
             pos, token, df = (flat.field(k).to_numpy() for k in range(3))
+            width = batch.column("width")
+            if width.null_count:
+                width, pos = counts, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+            else:
+                width = width.to_numpy()
             need, level = choose(n, width, owner, pos, df, percent, hot)
             kept = level <= need[owner]
             own = owner[kept]
@@ -167,31 +174,32 @@ def _prefixes(seen: DataFrame, percent: int, hot: int) -> DataFrame:
     return lists.mapInArrow(run, "node long, n long, need long, level long, token long")
 
 
-def _exploded(tokens: str, width: Column) -> list[Column]:
-    return ["node", "n", width.cast("long").alias("width"), F.posexplode(tokens).alias("pos", "token")]
-
-
 def prefixes(docs: DataFrame, classes: DataFrame, percent: int, hot: int) -> DataFrame:
-    """``node, n, need, level, token`` of every class's prefix, tokens that nothing
-    else can share left out."""
-    spread = classes.select(*_exploded("first_tokens", F.size("first_tokens"))).withColumn("pos", F.col("pos").cast("long"))
+    """``node, n, need, level, token`` of every class's prefix; tokens that nothing
+    else can share may be left out."""
+    width = F.size("first_tokens").cast("long").alias("width")
+    spread = classes.select("node", "n", width, F.posexplode("first_tokens").alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
     often = materialize(spread.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "often")
     seen = materialize(spread.join(often, "token").select("node", "n", "width", "pos", "token", "df"), "seen")
     # Windows with too many tokens that come last do not hold the prefix.
     t = F.ceil(F.lit(percent) * F.col("n") / 100)
     wanted = F.col("n") - t + F.least(F.lit(LEVELS), t)
-    short = seen.where(F.col("df") > hot).groupBy("node", "n", "width").agg(F.count("*").alias("hot"))
-    short = materialize(short.where((F.col("width") < F.col("n")) & (F.col("width") - F.col("hot") < wanted)).select("node"), "short")
+    short = seen.where(F.col("df") > hot).groupBy("node", "n", "width").agg(F.count("*").alias("last"))
+    short = materialize(short.where((F.col("width") < F.col("n")) & (F.col("width") - F.col("last") < wanted)).select("node", "width"), "short")
     if short.isEmpty():
         return _prefixes(seen, percent, hot)
-    whole = _whole_sets(docs, classes.join(short, "node")).select(*_exploded("tokens", F.col("n")))
-    whole = whole.withColumn("pos", F.col("pos").cast("long")).join(often, "token", "left")
-    whole = materialize(whole.withColumn("df", F.coalesce("df", F.lit(1).cast("long"))).select(*seen.columns), "whole")
-    # Tokens of whole sets that others may hold in their windows, each alone.
-    late = materialize(whole.where("df = 1").select("token").distinct(), "late")
+    # Of these sets, all tokens that do not come last, and of those that do the
+    # window's, are enough: together they are no fewer than the window.
+    last = materialize(often.where(F.col("df") > hot), "last")
+    whole = _whole_sets(docs, classes.join(short.select("node"), "node")).join(short, "node")
+    whole = whole.select("node", "n", "width", F.posexplode("tokens").alias("pos", "token")).join(last, "token", "left").where("df IS NULL OR pos < width")
+    whole = whole.select("node", "n", F.lit(None).cast("long").alias("width"), F.col("pos").cast("long").alias("pos"), "token", F.coalesce("df", F.lit(1).cast("long")).alias("df"))
+    begun = materialize(_prefixes(whole, percent, hot), "begun")
+    # Tokens of theirs that others may hold in their windows, each alone.
+    late = materialize(begun.select("token").distinct().join(often, "token", "left_anti"), "late")
     met = spread.join(late, "token").withColumn("df", F.lit(1).cast("long")).select(*seen.columns)
-    held = seen.unionAll(met).join(short, "node", "left_anti").unionByName(whole)
-    return _prefixes(held, percent, hot)
+    held = seen.unionAll(met).join(short.select("node"), "node", "left_anti")
+    return _prefixes(held, percent, hot).unionAll(begun)
 
 
 def _similar_sizes(a: Column, b: Column, percent: int) -> Column:
@@ -217,7 +225,7 @@ def _folded(bits: np.ndarray, width: int) -> np.ndarray:
 def possible_pairs(left: dict, right: dict, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of both sides that may be similar and are not known to be connected.
 
-    A side has ``node, n, need, level, known, outside, parities``.  Rows of the right
+    A side has ``node, n, need, level, own, known, outside, parities``.  Rows of the right
     side that are also on some left side meet those of greater ``node`` only.
     """
     found = [np.zeros((2, 0), np.int64)]
@@ -235,6 +243,7 @@ def possible_pairs(left: dict, right: dict, percent: int) -> tuple[np.ndarray, n
                 most = total - 2 * -(-percent * total // (100 + percent))
                 ok = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (known != left["known"][row]) & (node != left["node"][row])
                 ok &= ~right["outside"][cols] | (node > left["node"][row])
+                ok &= right["own"][cols] | left["own"][row]
                 ok &= np.maximum(right["level"][cols], left["level"][row]) <= np.minimum(right["need"][cols], left["need"][row])
                 at = np.flatnonzero(ok)
                 at = at[np.bitwise_count(x[k] ^ y[at]).sum(1, dtype=np.int64) <= most[at]]
@@ -244,7 +253,7 @@ def possible_pairs(left: dict, right: dict, percent: int) -> tuple[np.ndarray, n
 
 def _block_pairs(placed: DataFrame, percent: int) -> DataFrame:
     """``a, b, weight, need`` from blocks ``bucket, low, high`` of two sides."""
-    names = ["node", "n", "need", "level", "known", "outside"]
+    names = ["node", "n", "need", "level", "own", "known", "outside"]
 
     def meet(group: pa.Table) -> pa.Table:
         side = group.column("side").to_numpy()
@@ -265,7 +274,7 @@ def _large_groups(large: DataFrame, sets: DataFrame, percent: int, sizes: Sizes)
     """Verified links of stars, and ``a, b, weight, need`` of what may be similar
     besides, of tokens with many classes."""
     least = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n")).alias(f"p{k}") for k in range(sizes.pivots)]
-    pivots = large.groupBy("bucket").agg(*least).select("bucket", F.explode(F.array_distinct(F.array(*(F.struct(f"p{k}.node", f"p{k}.n") for k in range(sizes.pivots))))).alias("p"))
+    pivots = large.where("own").groupBy("bucket").agg(*least).select("bucket", F.explode(F.array_distinct(F.array(*(F.struct(f"p{k}.node", f"p{k}.n") for k in range(sizes.pivots))))).alias("p"))
     pivots = materialize(pivots.select("bucket", F.col("p.node").alias("b"), F.col("p.n").alias("m")), "pivots")
     near = large.join(pivots, "bucket").where((F.col("node") != F.col("b")) & _similar_sizes(F.col("n"), F.col("m"), percent))
     order = Window.partitionBy("node").orderBy(F.desc("shared"), "b")
@@ -282,7 +291,7 @@ def _large_groups(large: DataFrame, sets: DataFrame, percent: int, sizes: Sizes)
     both = both.join(sets.select("node", "parities"), "node")
     zero = F.lit(0)
     blocks, rest_blocks = (F.ceil(F.col(c) / sizes.block).cast("int") for c in ("members", "rest"))
-    columns = ["bucket", "node", "n", "need", "level", "known", "outside", "parities", "weight"]
+    columns = ["bucket", "node", "n", "need", "level", "own", "known", "outside", "parities", "weight"]
 
     def own(count: Column) -> Column:
         return F.pmod(F.xxhash64("node"), count).cast("int")
@@ -304,9 +313,9 @@ def join(docs: DataFrame, percent: int = 90, sizes: Sizes = Sizes()) -> DataFram
     """
     sketched = materialize(sketch(docs, percent), "sketch")
     known = sketched.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    rep = F.min(F.struct("doc_id", "n_shingles", "first_tokens")).alias("x")
+    rep = F.min(F.struct("doc_id", "text_key", "n_shingles", "first_tokens")).alias("x")
     classes = known.groupBy("set_key").agg(rep, F.count("*").alias("copies")).select(
-        "set_key", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles").alias("n"), F.col("x.first_tokens").alias("first_tokens"), "copies"
+        "set_key", F.col("x.doc_id").alias("rep"), "x.text_key", F.col("x.n_shingles").alias("n"), "x.first_tokens", "copies"
     )
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     links = materialize(_links(docs, classes, percent, sizes), "links")
@@ -326,32 +335,43 @@ def join(docs: DataFrame, percent: int = 90, sizes: Sizes = Sizes()) -> DataFram
 
 def _links(docs: DataFrame, classes: DataFrame, percent: int, sizes: Sizes) -> DataFrame:
     """``a, b``: links that connect all classes that belong together."""
-    rows = materialize(prefixes(docs, classes, percent, sizes.hot), "prefixes")
-    who = F.sum(F.xxhash64("node", "need", "level").cast("decimal(38,0)")).alias("who")
-    groups = rows.groupBy("token").agg(F.count("*").alias("members"), who).where("members > 1")
+    rows = materialize(_banded(prefixes(docs, classes, percent, sizes.hot), percent), "prefixes")
+    who = F.sum(F.xxhash64("node", "need", "level", "own").cast("decimal(38,0)")).alias("who")
+    groups = rows.groupBy("bucket").agg(F.count("*").alias("members"), F.max("own").alias("any_own"), who).where("members > 1 AND any_own")
     # Tokens of the same members are one bucket.
-    buckets = groups.groupBy("members", "who").agg(F.min("token").alias("token"), F.count("*").alias("weight"))
-    buckets = materialize(buckets.select("token", "members", "weight"), "buckets")
-    placed = materialize(rows.join(buckets, "token").withColumnRenamed("token", "bucket"), "placed")
+    buckets = groups.groupBy("members", "who").agg(F.min("bucket").alias("bucket"), F.count("*").alias("weight"))
+    buckets = materialize(buckets.select("bucket", "members", "weight"), "buckets")
+    placed = materialize(rows.join(buckets, "bucket"), "placed")
     few, large = placed.where(F.col("members") <= sizes.few), placed.where(F.col("members") > sizes.few).drop("members")
 
     a, b = few.alias("a"), few.alias("b")
     levels = F.greatest("a.level", "b.level") <= F.least("a.need", "b.need")
-    meet = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.node") < F.col("b.node")) & levels & _similar_sizes(F.col("a.n"), F.col("b.n"), percent)
+    meet = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.node") < F.col("b.node")) & levels & (F.col("a.own") | F.col("b.own")) & _similar_sizes(F.col("a.n"), F.col("b.n"), percent)
     pairs = a.join(b, meet).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.weight").alias("weight"), F.least("a.need", "b.need").alias("need"))
     if large.isEmpty():
         enough = materialize(_enough(pairs), "candidates")
         nodes = enough.select(F.col("a").alias("node")).union(enough.select("b")).distinct()
         return _verified(enough, materialize(_whole_sets(docs, classes.join(nodes, "node")), "sets"), percent)
-    # Pairs of the first kind with enough in common by themselves or not: a pair may
-    # share tokens of both kinds.
+    # A pair may share tokens of both kinds.  With too few of the first kind it is one
+    # of large groups too, or nothing.
     pairs = materialize(pairs.groupBy("a", "b").agg(F.sum("weight").alias("weight"), F.min("need").alias("need")), "pairs")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct()
+    full = pairs.where("weight >= need")
+    nodes = full.select(F.col("a").alias("node")).union(full.select("b")).union(large.select("node")).distinct()
     sets = materialize(_whole_sets(docs, classes.join(nodes, "node")), "sets")
     links, more = _large_groups(large, sets, percent, sizes)
     return links.unionAll(_verified(materialize(_enough(pairs.unionAll(more)), "candidates"), sets, percent))
 
 
+def _banded(rows: DataFrame, percent: int) -> DataFrame:
+    """``rows`` of prefixes dealt by token and band of sizes, into their ``own`` bucket
+    and that of the next band, as similar sizes are at most one band apart."""
+    # A little wider than the ratio of similar sizes, for what logarithms are off.
+    width = -math.log(percent / 100) * (1 + 1e-9) + 1e-12
+    band = F.floor(F.log(F.col("n").cast("double")) / width)
+    both = F.explode(F.array(*(F.struct((band + k).alias("band"), F.lit(k == 0).alias("own")) for k in range(2)))).alias("x")
+    return rows.select("node", "n", "need", "level", "token", both).select("node", "n", "need", "level", F.xxhash64("token", "x.band").alias("bucket"), "x.own")
+
+
 def _enough(pairs: DataFrame) -> DataFrame:
     """Pairs that share as many tokens of their prefixes as they need."""
     return pairs.groupBy("a", "b").agg(F.sum("weight").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("a", "b")
