@@ -18,12 +18,14 @@ copies costs its size.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -206,11 +208,37 @@ def _similar_sizes(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _apart(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """Parities of each ``x`` and ``y`` that differ, on the lesser number of bits."""
+    out = np.zeros(len(x), np.int64)
+    sizes = np.array([[len(p), len(q)] for p, q in zip(x, y)]).reshape(-1, 2)
+    for w, v in np.unique(sizes, axis=0).tolist():
+        at = np.flatnonzero((sizes == (w, v)).all(1))
+        bits = [_folded(np.frombuffer(b"".join(side[k] for k in at), np.uint64).reshape(len(at), -1), min(w, v) // 8) for side in (x, y)]
+        out[at] = np.bitwise_count(bits[0] ^ bits[1]).sum(1, dtype=np.int64)
+    return out
+
+
+def most_apart(total: np.ndarray, percent: int) -> np.ndarray:
+    """Most tokens that only one of two similar sets has, of ``total`` in both."""
+    return total - 2 * -(-percent * total // (100 + percent))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose full sets are similar."""
-    a = sets.select(F.col("node").alias("a"), F.col("tokens").alias("tokens_a"))
-    b = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tokens_b"))
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", F.size("tokens_a").alias("x"), F.size("tokens_b").alias("y"), F.size(F.array_intersect("tokens_a", "tokens_b")).alias("both"))
+    """The pairs ``a, b`` whose full sets are similar; those whose parities are too
+    far apart are left out first."""
+    def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            apart = _apart(batch.column("parities_a").to_pylist(), batch.column("parities_b").to_pylist())
+            yield batch.select(["a", "b"]).filter(pa.array(apart <= most_apart(total, percent)))
+
+    def of(side: str, *columns: str) -> DataFrame:
+        return sets.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns))
+
+    looked = pairs.join(of("a", "n", "parities"), "a").join(of("b", "n", "parities"), "b").mapInArrow(near, "a long, b long")
+    both = looked.join(of("a", "tokens"), "a").join(of("b", "tokens"), "b")
+    both = both.select("a", "b", F.size("tokens_a").alias("x"), F.size("tokens_b").alias("y"), F.size(F.array_intersect("tokens_a", "tokens_b")).alias("both"))
     return both.where(100 * F.col("both").cast("long") >= percent * (F.col("x") + F.col("y") - F.col("both")).cast("long")).select("a", "b")
 
 
@@ -225,73 +253,87 @@ def _folded(bits: np.ndarray, width: int) -> np.ndarray:
 def possible_pairs(left: dict, right: dict, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of both sides that may be similar and are not known to be connected.
 
-    A side has ``node, n, need, level, own, known, outside, parities``.  Rows of the right
-    side that are also on some left side meet those of greater ``node`` only.
+    A side has ``node, n, known, outside, parities``.  Rows of the right side that are
+    also on some left side meet those of greater ``node`` only.
     """
     found = [np.zeros((2, 0), np.int64)]
     widths = [np.array([len(p) for p in side["parities"]]) for side in (left, right)]
     for w in np.unique(widths[0]).tolist():
         for v in np.unique(widths[1]).tolist():
-            if max(w, v) > 2 * min(w, v):  # sizes differ by more than a similar set's do
+            if max(w, v) > 2 * min(w, v) and percent > 50:  # sizes differ by more than a similar set's do
                 continue
             rows, cols = np.flatnonzero(widths[0] == w), np.flatnonzero(widths[1] == v)
             bits = [np.frombuffer(b"".join(side["parities"][at]), np.uint64).reshape(len(at), -1) for side, at in ((left, rows), (right, cols))]
             x, y = (_folded(b, min(w, v) // 8) for b in bits)
-            n, known, node = right["n"][cols], right["known"][cols], right["node"][cols]
+            n, known, node, out = (right[c][cols] for c in ("n", "known", "node", "outside"))
             for k, row in enumerate(rows.tolist()):
-                m, total = left["n"][row], left["n"][row] + n
-                most = total - 2 * -(-percent * total // (100 + percent))
+                m = left["n"][row]
                 ok = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (known != left["known"][row]) & (node != left["node"][row])
-                ok &= ~right["outside"][cols] | (node > left["node"][row])
-                ok &= right["own"][cols] | left["own"][row]
-                ok &= np.maximum(right["level"][cols], left["level"][row]) <= np.minimum(right["need"][cols], left["need"][row])
-                at = np.flatnonzero(ok)
-                at = at[np.bitwise_count(x[k] ^ y[at]).sum(1, dtype=np.int64) <= most[at]]
+                at = np.flatnonzero(ok & (~out | (node > left["node"][row])))
+                at = at[np.bitwise_count(x[k] ^ y[at]).sum(1, dtype=np.int64) <= most_apart(n[at] + m, percent)]
                 found.append(np.stack((np.full(len(at), row), cols[at])))
     return tuple(np.concatenate(found, axis=1))
 
 
 def _block_pairs(placed: DataFrame, percent: int) -> DataFrame:
-    """``a, b, weight, need`` from blocks ``bucket, low, high`` of two sides."""
-    names = ["node", "n", "need", "level", "own", "known", "outside"]
-
-    def meet(group: pa.Table) -> pa.Table:
-        side = group.column("side").to_numpy()
+    """``a, b, weight, need`` from blocks ``group, low, high`` of two sides; ``weight``
+    is of the tokens in the group that both prefixes share."""
+    def meet(block: pa.Table) -> pa.Table:
         sides = []
         for k in range(2):
-            part = group.filter(pa.array(side == k))
-            sides.append({c: part.column(c).to_numpy() for c in names} | {"parities": np.array(part.column("parities").to_pylist() + [None], object)[:-1]})
-        a, b = possible_pairs(*sides, percent)
-        x, y = sides[0]["node"][a], sides[1]["node"][b]
-        need = np.minimum(sides[0]["need"][a], sides[1]["need"][b])
-        weight = np.full(len(a), group.column("weight")[0].as_py(), np.int64)
-        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "weight": weight, "need": need})
-
-    return placed.groupBy("bucket", "low", "high").applyInArrow(meet, "a long, b long, weight long, need long")
+            part = block.filter(pc.equal(block.column("side"), k)).combine_chunks()
+            side = {c: part.column(c).to_numpy() for c in ("node", "n", "need", "known", "outside")}
+            parities = np.empty(len(part), object)
+            parities[:] = part.column("parities").to_pylist()
+            sides.append(side | {"parities": parities, "marks": part.column("marks")})
+
+        @functools.cache
+        def marks(k: int, row: int) -> dict[int, tuple]:
+            return {m["bucket"]: (m["level"], m["own"], m["weight"]) for m in sides[k]["marks"][row].as_py()}
+
+        found = []
+        for x, y in zip(*(at.tolist() for at in possible_pairs(*sides, percent))):
+            need = min(sides[0]["need"][x], sides[1]["need"][y])
+            one, other = marks(0, x), marks(1, y)
+            both = ((one[b], other[b]) for b in one.keys() & other.keys())
+            weight = sum(p[2] for p, q in both if max(p[0], q[0]) <= need and (p[1] or q[1]))
+            if weight:
+                i, j = sides[0]["node"][x], sides[1]["node"][y]
+                found.append((min(i, j), max(i, j), weight, need))
+        columns = np.array(found, np.int64).reshape(-1, 4).T
+        return pa.table(dict(zip(("a", "b", "weight", "need"), columns)))
+
+    return placed.groupBy("group", "low", "high").applyInArrow(meet, "a long, b long, weight long, need long")
 
 
 def _large_groups(large: DataFrame, sets: DataFrame, percent: int, sizes: Sizes) -> tuple[DataFrame, DataFrame]:
     """Verified links of stars, and ``a, b, weight, need`` of what may be similar
-    besides, of tokens with many classes."""
+    besides, of buckets with many classes.
+
+    Buckets with the same first pivot, which all hold it, are one group.
+    """
     least = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n")).alias(f"p{k}") for k in range(sizes.pivots)]
-    pivots = large.where("own").groupBy("bucket").agg(*least).select("bucket", F.explode(F.array_distinct(F.array(*(F.struct(f"p{k}.node", f"p{k}.n") for k in range(sizes.pivots))))).alias("p"))
-    pivots = materialize(pivots.select("bucket", F.col("p.node").alias("b"), F.col("p.n").alias("m")), "pivots")
-    near = large.join(pivots, "bucket").where((F.col("node") != F.col("b")) & _similar_sizes(F.col("n"), F.col("m"), percent))
+    pivots = materialize(large.where("own").groupBy("bucket").agg(*least), "pivots")
+    every = F.array_distinct(F.array(*(F.struct(f"p{k}.node", f"p{k}.n") for k in range(sizes.pivots))))
+    stars = pivots.select("bucket", F.explode(every).alias("p")).select("bucket", F.col("p.node").alias("b"), F.col("p.n").alias("m"))
+    near = large.join(stars, "bucket").where((F.col("node") != F.col("b")) & _similar_sizes(F.col("n"), F.col("m"), percent))
     order = Window.partitionBy("node").orderBy(F.desc("shared"), "b")
     stars = near.groupBy("node", "b").agg(F.sum("weight").alias("shared")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= sizes.stars)
     stars = materialize(stars.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct(), "star-pairs")
     links = materialize(_verified(stars, sets, percent), "stars")
 
-    labelled = large.join(components(links), "node", "left").withColumn("known", F.coalesce("root", "node")).drop("root")
+    placed = large.join(pivots.select("bucket", F.col("p0.node").alias("group")), "bucket")
+    marked = placed.groupBy("group", "node", "n", "need").agg(F.collect_list(F.struct("bucket", "level", "own", "weight")).alias("marks"))
+    labelled = marked.join(components(links), "node", "left").withColumn("known", F.coalesce("root", "node")).drop("root")
     labelled = materialize(labelled, "labelled")
-    groups = labelled.groupBy("bucket", "known").agg(F.count("*").alias("c"))
-    largest = groups.groupBy("bucket").agg(F.max_by("known", F.struct("c", "known")).alias("main"), F.sum("c").alias("members"), (F.sum("c") - F.max("c")).alias("rest"))
+    groups = labelled.groupBy("group", "known").agg(F.count("*").alias("c"))
+    largest = groups.groupBy("group").agg(F.max_by("known", F.struct("c", "known")).alias("main"), F.sum("c").alias("members"), (F.sum("c") - F.max("c")).alias("rest"))
     largest = materialize(largest.where("rest > 0"), "largest")
-    both = labelled.join(largest, "bucket").withColumn("outside", F.col("known") != F.col("main"))
+    both = labelled.join(largest, "group").withColumn("outside", F.col("known") != F.col("main"))
     both = both.join(sets.select("node", "parities"), "node")
     zero = F.lit(0)
     blocks, rest_blocks = (F.ceil(F.col(c) / sizes.block).cast("int") for c in ("members", "rest"))
-    columns = ["bucket", "node", "n", "need", "level", "own", "known", "outside", "parities", "weight"]
+    columns = ["group", "node", "n", "need", "known", "outside", "parities", "marks"]
 
     def own(count: Column) -> Column:
         return F.pmod(F.xxhash64("node"), count).cast("int")
