@@ -20,10 +20,11 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -56,6 +57,8 @@ class Sizes(NamedTuple):
     stars: int = 3
 
 
+#: Bits of the table by which texts are looked up: 2 MB.
+MARKS = 1 << 24
 #: Tokens read in a verification for each that is read in a prefix.
 VERIFY = 1 / 16
 
@@ -118,10 +121,30 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 )
 
     keys = ["rep", "text_key"]
-    rows = _keyed(docs).where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "rep").join(wanted.select("node", *keys), keys)
+    place = F.pmod(F.xxhash64("rep"), F.lit(MARKS))
+    named = _keyed(docs).where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "rep")
+    rows = named.where(_marked(wanted.select(place.alias("p")))(place)).join(wanted.select("node", *keys), keys)
     return rows.dropDuplicates(keys).select("node", "text").mapInArrow(run, "node long, n long, tokens array<long>, parities binary")
 
 
+def _marked(places: DataFrame) -> Callable[[Column], Column]:
+    """Whether a place below MARKS is one of ``places(p)``; of them a bit each is sent
+    to the tasks.  It keeps most texts that are not asked for out of a join, and none
+    that is."""
+    words = places.select(F.expr("p div 64").alias("w"), F.expr("shiftleft(1L, CAST(p % 64 AS INT))").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v"))
+    # At most MARKS / 64 rows.
+    held, table = words.toArrow(), np.zeros(MARKS >> 6, np.int64)
+    table[held.column("w").to_numpy()] = held.column("v").to_numpy()
+    sent = places.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def marked(p: pd.Series) -> pd.Series:
+        at = p.to_numpy()
+        return pd.Series((sent.value[at >> 6] >> (at & 63) & 1).astype(bool))
+
+    return marked
+
+
 def choose(n: np.ndarray, window: np.ndarray, owner: np.ndarray, pos: np.ndarray, df: np.ndarray, percent: int, hot_over: int) -> tuple[np.ndarray, np.ndarray]:
     """Each set's ``l``, and each token's level: the least ``l`` whose prefix holds it.
 
