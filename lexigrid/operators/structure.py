@@ -93,17 +93,19 @@ def calls(a: str, b: str) -> Column:
 
 def gate(
     pairs: DataFrame, units: DataFrame, shape: DataFrame, min_structure: float = 0.5, min_distinct: float = 0.10,
-    filter_callers: bool = True, weighted: bool = True,
+    filter_callers: bool = True, weighted: bool = True, located: bool = True,
 ) -> DataFrame:
     """Pairs that survive the gates, cheap ones first; no signal passes.
 
-    ``units`` has ``unit_id, path, start, end, name, idents``.
+    ``units`` has ``unit_id, path, start, end, name, idents``.  Without ``located``
+    overlapping lines are no reason to drop a pair.
     """
     held = units.select("unit_id", F.struct("path", "start", "end", "name", "idents").alias("u"))
     both = pairs.join(held.select(F.col("unit_id").alias("i"), F.col("u").alias("a")), "i").join(
         held.select(F.col("unit_id").alias("j"), F.col("u").alias("b")), "j"
     )
-    both = both.where(~overlaps("a", "b"))
+    if located:
+        both = both.where(~overlaps("a", "b"))
     if filter_callers:
         both = both.where(~calls("a", "b"))
     scored = score_pairs(both.select(*[f"`{c}`" for c in pairs.columns]), shape, weighted)

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators.components import clusters
+from ..operators.copies import copy_classes, located_pairs
 from ..operators.numbering import numbered
 from ..operators.structure import gate, idf, overlaps, score_pairs, shapes_of_arrays
 from ..operators.vectors import block_rows, classes, similar_pairs, top_k
@@ -382,6 +383,24 @@ def overlap_gate(spark: SparkSession, d: str) -> DataFrame:
     return both.where(~overlaps("a", "b")).select(F.col("a.unit_id").alias("i"), F.col("b.unit_id").alias("j"))
 
 
+@query("""
+    WITH lines AS (SELECT doc_id, unnest(range(1, len(l))) AS k, l FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
+    units AS (SELECT doc_id * 100000 + k AS unit_id, doc_id, k AS a, k + 1 AS b, l[k] || chr(10) || l[k + 1] AS t FROM lines),
+    linked AS (SELECT x.unit_id, x.t FROM units x WHERE EXISTS (SELECT 1 FROM units y WHERE y.t = x.t AND NOT (x.doc_id = y.doc_id AND x.a <= y.b AND y.a <= x.b)))
+    SELECT unit_id, min(unit_id) OVER (PARTITION BY t) AS cluster_id, count(*) OVER (PARTITION BY t) AS cluster_size FROM linked
+""")
+def copy_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Two lines in a row that stand elsewhere too, without those that they overlap."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.split("text", "\n", -1).alias("l"))
+    k = docs.where(F.size("l") > 1).select("doc_id", "l", F.explode(F.sequence(F.lit(1), F.size("l") - 1)).alias("start"))
+    both = F.concat(F.element_at("l", F.col("start")), F.lit("\n"), F.element_at("l", F.col("start") + 1))
+    units = k.select((F.col("doc_id") * 100_000 + F.col("start")).alias("unit_id"), F.format_string("%020d", "doc_id").alias("path"), "start", (F.col("start") + 1).alias("end"), both.alias("t"))
+    classes, members = copy_classes(units, "t")
+    own = classes.where("members > 1").select(F.col("cls").alias("i"), F.col("cls").alias("j"))
+    pairs = located_pairs(own, classes, members)
+    return clusters(pairs.select(F.col("i").alias("a"), F.col("j").alias("b"))).select(F.col("node").alias("unit_id"), "cluster_id", "cluster_size")
+
+
 # -- texts ------------------------------------------------------------------
 
 # Documents have no blank lines: doubled newlines make paragraphs of lines.

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.vectors import dot
 from ..operators.components import clusters
+from ..operators.copies import copy_classes, located_pairs
 from ..operators.numbering import numbered
 from ..operators.structure import gate, shapes_of_arrays
+from ..operators.vectors import classes as vector_classes
 from ..operators.vectors import similar_pairs
 from ..sources import code, embed
 from ..sources.files import list_sources
@@ -32,27 +35,32 @@ def units(spark: SparkSession, job: Job) -> DataFrame:
 def check(found: DataFrame, job: Job, embedder: embed.Embedder | None = None, cache: embed.VectorCache | None = None, budget_bytes: int | None = None) -> DataFrame:
     """Gated pairs ``i, j, similarity, structural, distinct`` of units.
 
-    Units of equal text are one vector in the comparison and are paired with
-    each other afterwards, each with the next.  With a cache only texts that it does
-    not know are embedded.
+    Units of equal text, name and shape are a class, and classes are compared: copies
+    are linked with the first and last of theirs, not each with each (see
+    :mod:`..operators.copies`), so clusters are those of all pairs.  Classes of equal
+    vectors are paired like others, with their own square as similarity.  With a cache
+    only texts that it does not know are embedded.
     """
     embedder = embedder or embed.HashEmbedder()
     texts = found.withColumn("hash", embed.text_hash()).withColumn("pos", F.col("unit_id"))
     distinct = texts.dropDuplicates(["hash"])
     vectors = cache.fill(distinct, embedder) if cache else embed.embed(distinct, embedder)
-    held = materialize(texts.join(vectors.select("hash", "vector"), "hash").select("unit_id", F.col("vector").alias("embedding")), "vectors")
-    by_vector = Window.partitionBy("embedding")
-    members = held.select("unit_id", F.min("unit_id").over(by_vector).alias("rep"))
-    base = similar_pairs(held.select(F.col("unit_id").alias("vec_id"), "embedding"), job.threshold, **({"budget_bytes": budget_bytes} if budget_bytes else {}))
-    a = members.select(F.col("rep").alias("i"), F.col("unit_id").alias("a"))
-    b = members.select(F.col("rep").alias("j"), F.col("unit_id").alias("b"))
+    classes, members = copy_classes(texts, "hash", "name", "idents", "types")
+    one = texts.select(F.col("unit_id").alias("cls"), "hash").join(classes.select("cls", "members"), "cls")
+    held = materialize(one.join(vectors.select("hash", "vector"), "hash").select(F.col("cls").alias("vec_id"), F.col("vector").alias("embedding"), "members"), "vectors")
+    base = similar_pairs(held.select("vec_id", "embedding"), job.threshold, **({"budget_bytes": budget_bytes} if budget_bytes else {}))
+    alike = materialize(vector_classes(held.select("vec_id", "embedding")).select("vec_id", "rep", dot(F.col("embedding"), F.col("embedding")).alias("similarity")), "alike")
+    a, b = alike.select(F.col("rep").alias("i"), F.col("vec_id").alias("a")), alike.select(F.col("rep").alias("j"), F.col("vec_id").alias("b"))
     across = base.join(a, "i").join(b, "j").select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "similarity")
-    chain = F.lead("unit_id").over(Window.partitionBy("rep").orderBy("unit_id"))
-    alike = members.select(F.col("unit_id").alias("i"), chain.alias("j"), F.lit(1.0).alias("similarity")).where("j IS NOT NULL")
+    near = alike.where(F.col("similarity") >= job.threshold)
+    same = near.select("rep", F.col("vec_id").alias("i"), "similarity").join(near.select("rep", F.col("vec_id").alias("j")), "rep").where("i < j").select("i", "j", "similarity")
+    own = near.join(held.where("members > 1").select("vec_id"), "vec_id").select(F.col("vec_id").alias("i"), F.col("vec_id").alias("j"), "similarity")
     shaped = found.where("types IS NOT NULL")
-    return gate(
-        across.unionByName(alike), found, shapes_of_arrays(shaped), job.min_structure, job.min_distinct, job.filter_callers, job.idf_weighting
+    gated = gate(
+        across.unionByName(same).unionByName(own), found, shapes_of_arrays(shaped), job.min_structure, job.min_distinct, job.filter_callers,
+        job.idf_weighting, located=False,
     ).drop("structural_plain")
+    return located_pairs(materialize(gated, "gated"), classes, members)
 
 
 def run(
