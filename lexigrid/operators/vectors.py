@@ -9,6 +9,7 @@ members of a class are reported as members, not as pairs.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
+
 #: Queries and rows of a block, and the most queries, and bytes of their vectors in
 #: double precision, that every task gets whole.
 QUERY_BLOCK, CORPUS_BLOCK, MOST_BROADCAST, MOST_BYTES = 1024, 100_000, 20_000, 32 << 20
@@ -111,29 +114,139 @@ JOIN_BLOCK, JOIN_BYTES = 16_384, 64 << 20
 _SLACK = 1e-4
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, block: int = JOIN_BLOCK, budget_bytes: int = JOIN_BYTES) -> DataFrame:
-    """``i, j, similarity`` of all pairs of representatives with ``i < j`` and
-    similarity of at least the threshold; equal vectors have one representative.
+#: Cells of the join at most, vectors that their centres are fitted on at most, and
+#: rows that a cell has at least on average.
+MOST_CELLS, CELL_SAMPLE, CELL_ROWS = 256, 8192, 4096
+#: What a bound may be off by rounding.
+_BOUND_SLACK = 1e-6
+
+
+def _centres(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
+    """Centres of ``k`` cells: each first one is drawn by its squared distance to those
+    before, then by Lloyd's rounds.  They decide what is compared where, never whether."""
+    rng = np.random.default_rng(17)
+    centres, far = sample[:1], np.full(len(sample), np.inf)
+    while len(centres) < min(k, len(sample)):
+        far = np.minimum(far, ((sample - centres[-1]) ** 2).sum(1))
+        if not far.any():
+            break
+        centres = np.vstack((centres, sample[rng.choice(len(sample), p=far / far.sum())]))
+    for _ in range(rounds):
+        near = np.argmin((centres * centres).sum(1) - 2 * sample @ centres.T, axis=1)
+        count = np.bincount(near, minlength=len(centres))
+        total = np.zeros_like(centres)
+        np.add.at(total, near, sample)
+        centres = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], centres)
+    return centres
+
 
-    Blocks have a fixed number of rows, so a task holds two of them and a slice of
-    their similarities that fits the budget, whatever the table's size is.  A slice is
-    multiplied in single precision; what comes near the threshold is multiplied again
-    in double.  Null ids or vectors are in no pair.
+@dataclass
+class JoinPlan:
+    """Rows in blocks, and the pairs of blocks that may hold similar rows."""
+
+    rows: DataFrame
+    pairs: DataFrame
+    blocks: int
+
+    def skipped(self) -> float:
+        """Share of the pairs of blocks that are not compared."""
+        every = self.blocks * (self.blocks + 1) // 2
+        return 1 - self.pairs.count() / every if every else 0.0
+
+
+def plan_join(vectors: DataFrame, threshold: float, block: int = JOIN_BLOCK, cell_rows: int = CELL_ROWS) -> JoinPlan:
+    """Blocks ``vec_id, embedding, block`` of representatives of equal vectors, and
+    ``low, high`` of the pairs of blocks that the bounds do not rule out.
+
+    A row belongs to the nearest of some centres, in there to a ring of distances from
+    it, and where a ring has more rows than a block to a part of it.  Two rows of
+    squares x and y have a product of at least the threshold only if their distance is
+    at most the root of ``x + y - 2 threshold``, and the triangle inequality bounds the
+    distance of rows of two rings from below; nor is a product greater than that of the
+    lengths.  Both are proofs, so the join stays exact.
     """
     reps = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL").groupBy("embedding").agg(F.min("vec_id").cast("long").alias("vec_id"))
-    # By all rows, of which there may be more than representatives: files know it.
-    blocks = max(1, -(-vectors.count() // block))
-    own = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
-    placed = reps.select("vec_id", "embedding", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")).select(
-        "vec_id", "embedding", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
+    reps = materialize(reps, "representatives")
+    spark, n = reps.sparkSession, reps.count()
+    cells = max(1, min(MOST_CELLS, n // cell_rows))
+    # A bounded sample, spread by the hash of the id.
+    sample = reps.orderBy(F.xxhash64("vec_id"), "vec_id").limit(CELL_SAMPLE if cells > 1 else 1).select("embedding").collect()
+    centres = _centres(np.array([r[0] for r in sample], np.float64), cells) if sample else np.zeros((1, 0))
+    sent = spark.sparkContext.broadcast(centres)
+
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            own, c = _matrix(batch.column("embedding")), sent.value
+            cell = np.argmin((c * c).sum(1) - 2 * own @ c.T, axis=1)
+            far = np.sqrt(((own - c[cell]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("vec_id"), batch.column("embedding"), pa.array(cell, pa.int64()), pa.array(far), pa.array((own * own).sum(1))],
+                ["vec_id", "embedding", "cell", "far", "square"],
+            )
+
+    kind = reps.schema["embedding"].dataType.simpleString()
+    placed = materialize(reps.select("vec_id", "embedding").mapInArrow(place, f"vec_id long, embedding {kind}, cell long, far double, square double"), "cells")
+    # One row a cell.
+    spans = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("far").alias("low"), F.max("far").alias("high"))
+    width = F.greatest((F.col("high") - F.col("low")) / F.ceil(F.col("n") / block), F.lit(1e-9))
+    rings = placed.join(F.broadcast(spans.select("cell", F.col("low").alias("from"), width.alias("width"))), "cell")
+    rings = rings.withColumn("ring", F.floor((F.col("far") - F.col("from")) / F.col("width")).cast("long")).drop("from", "width")
+    parts = rings.groupBy("cell", "ring").agg(F.ceil(F.count("*") / block).alias("parts"))
+    part = F.pmod(F.xxhash64("vec_id"), F.col("parts"))
+    name = F.shiftleft("cell", 48) + F.shiftleft("ring", 20) + part
+    rows = materialize(rings.join(parts, ["cell", "ring"]).select("vec_id", "embedding", "cell", "far", "square", name.alias("block")), "blocks")
+
+    blocks = materialize(rows.groupBy("block").agg(F.min("cell").alias("cell"), F.min("far").alias("near"), F.max("far").alias("far"), F.max("square").alias("square")), "bounds")
+    apart = np.sqrt(np.maximum(0, ((centres[:, None] - centres[None]) ** 2).sum(2)))
+    # A pair of cells a row, of MOST_CELLS squared at most.
+    between = spark.createDataFrame([(i, j, float(apart[i, j])) for i in range(len(centres)) for j in range(len(centres))], "cell_a long, cell_b long, apart double")
+    a = blocks.select(*(F.col(c).alias(f"{c}_a") for c in blocks.columns))
+    b = blocks.select(*(F.col(c).alias(f"{c}_b") for c in blocks.columns))
+    gap = F.greatest(
+        F.col("apart") - F.col("far_a") - F.col("far_b"), F.col("near_a") - F.col("apart") - F.col("far_b"), F.col("near_b") - F.col("apart") - F.col("far_a"), F.lit(0.0)
     )
+    reach = F.col("square_a") + F.col("square_b") - 2 * threshold + _BOUND_SLACK
+    may = (gap <= _BOUND_SLACK) | (gap * gap <= reach)
+    if threshold > 0:
+        may &= F.sqrt(F.col("square_a")) * F.sqrt(F.col("square_b")) + _BOUND_SLACK >= threshold
+    pairs = a.join(F.broadcast(between), "cell_a").join(b, "cell_b").where((F.col("block_a") <= F.col("block_b")) & may)
+    pairs = materialize(pairs.select(F.col("block_a").alias("low"), F.col("block_b").alias("high")), "block-pairs")
+    return JoinPlan(rows.select("vec_id", "embedding", "block"), pairs, blocks.count())
+
+
+def similar_pairs(
+    vectors: DataFrame, threshold: float, block: int = JOIN_BLOCK, budget_bytes: int = JOIN_BYTES, cell_rows: int = CELL_ROWS
+) -> DataFrame:
+    """``i, j, similarity`` of all pairs of representatives with ``i < j`` and
+    similarity of at least the threshold; equal vectors have one representative.
+
+    Blocks have a bounded number of rows, so a task holds two of them and a slice of
+    their similarities that fits the budget, whatever the table's size is; pairs of
+    blocks that :func:`plan_join` rules out are not compared.  A slice is multiplied in
+    single precision; what comes near the threshold is multiplied again in double.
+    Null ids or vectors are in no pair.
+    """
+    if vectors.count() <= block:  # one block, which meets itself
+        known = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL").groupBy("embedding").agg(F.min("vec_id").cast("long").alias("vec_id"))
+        none = F.lit(0).cast("long")
+        return _compared(known.select("vec_id", "embedding", none.alias("own"), none.alias("low"), none.alias("high")), threshold, budget_bytes)
+    plan = plan_join(vectors, threshold, block, cell_rows)
+    rows = plan.rows.withColumnRenamed("block", "own")
+    placed = rows.join(plan.pairs.withColumn("own", F.col("low")), "own").unionByName(rows.join(plan.pairs.where("low < high").withColumn("own", F.col("high")), "own"))
+    return _compared(placed, threshold, budget_bytes)
+
 
+def _compared(placed: DataFrame, threshold: float, budget_bytes: int) -> DataFrame:
+    """Pairs of the rows of blocks ``low`` and ``high``, each row in its ``own``."""
     def compare(group: pa.Table) -> pa.Table:
         ids, side = group.column("vec_id").to_numpy(), group.column("own").to_numpy()
         matrix = group.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
         single, wide = matrix.astype(np.float32), matrix.astype(np.float64)
         first = np.flatnonzero(side == side.min())
-        second = np.flatnonzero(side != side.min()) if side.min() != side.max() else first
+        low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
+        second = np.flatnonzero(side == high) if low < high else first
         rows = block_rows(len(first), max(4 * len(first), budget_bytes * len(first) // max(1, len(second))))
         found = []
         right = np.ascontiguousarray(single[second].T)

@@ -139,6 +139,13 @@ def sim_pairs(spark: SparkSession, d: str) -> DataFrame:
     return similar_pairs(_vectors(spark, d), THETA).select("i", "j", F.round("similarity", 6).alias("similarity"))
 
 
+@query(f"WITH {_PAIRS.format(THETA)} SELECT i, j, round(similarity, 6) AS similarity FROM pairs")
+def sim_pairs_bounded(spark: SparkSession, d: str) -> DataFrame:
+    """The same in small blocks, of whose pairs the bounds leave some out."""
+    pairs = similar_pairs(_vectors(spark, d), THETA, block=128, cell_rows=100)
+    return pairs.select("i", "j", F.round("similarity", 6).alias("similarity"))
+
+
 @query(f"""
     WITH RECURSIVE {_PAIRS.format(THETA)},
     links AS (SELECT i AS a, j AS b FROM pairs UNION ALL SELECT j, i FROM pairs UNION ALL
