@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators.components import clusters
+from ..operators import inverted
 from ..operators.copies import copy_classes, located_pairs
+from ..operators.intervals import overlapping
 from ..operators.numbering import numbered
 from ..operators.structure import gate, idf, overlaps, score_pairs, shapes_of_arrays
 from ..operators.vectors import block_rows, classes, similar_pairs, top_k
@@ -127,6 +129,22 @@ def knn_distance_score(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("query_id", "vec_id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query()
+def knn_inverted(spark: SparkSession, d: str) -> DataFrame:
+    """By an inverted file of all vectors: the bytes of the nearest cells, then whole vectors."""
+    vectors = _vectors(spark, d)
+    hits = inverted.build(spark, fresh_path(spark, "inverted"), vectors).search(_asked(vectors), 10)
+    return hits.select("query_id", "vec_id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(_KNN.format(score="list_dot_product(q.v, c.v)"))
+def knn_inverted_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The same, and then all that its bounds do not rule out."""
+    vectors = _vectors(spark, d)
+    hits = inverted.build(spark, fresh_path(spark, "inverted"), vectors).search(_asked(vectors), 4, exact=True)
+    return hits.select("query_id", "vec_id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 _PAIRS = """
     e AS (SELECT min(vec_id) AS vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings GROUP BY embedding),
     pairs AS (SELECT a.vec_id AS i, b.vec_id AS j, list_dot_product(a.v, b.v) AS similarity
@@ -390,6 +408,17 @@ def overlap_gate(spark: SparkSession, d: str) -> DataFrame:
     return both.where(~overlaps("a", "b")).select(F.col("a.unit_id").alias("i"), F.col("b.unit_id").alias("j"))
 
 
+@query("""
+    WITH u AS (SELECT source AS path, doc_id AS id, doc_id AS a, doc_id + len(string_split(text, chr(10))) - 1 AS b FROM documents WHERE text IS NOT NULL)
+    SELECT x.id AS i, y.id AS j FROM u x JOIN u y ON x.path = y.path AND x.id < y.id AND x.a <= y.b AND y.a <= x.b
+""")
+def overlap_join(spark: SparkSession, d: str) -> DataFrame:
+    """Documents laid out by id, a line each, in their source: which of them share lines."""
+    n = F.size(F.split("text", "\n", -1))
+    docs = table(spark, d, "documents").where("text IS NOT NULL").select("source", F.col("doc_id").alias("id"), F.col("doc_id").alias("start"), (F.col("doc_id") + n - 1).alias("end"))
+    return overlapping(docs, ["source"]).select("i", "j")
+
+
 @query("""
     WITH lines AS (SELECT doc_id, unnest(range(1, len(l))) AS k, l FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
     units AS (SELECT doc_id * 100000 + k AS unit_id, doc_id, k AS a, k + 1 AS b, l[k] || chr(10) || l[k + 1] AS t FROM lines),

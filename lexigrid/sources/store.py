@@ -9,7 +9,6 @@ nothing.
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .scratch import materialize
+from .versions import Versions
 
 DOCUMENTS = "path string, sha256 string, chunks int, added_at timestamp"
 CHUNKS = "path string, ord int, text string, vec array<float>"
@@ -55,43 +55,19 @@ def listed(documents: DataFrame) -> DataFrame:
     return documents.orderBy("path").select("path", "chunks", line.alias("line"))
 
 
-class Store:
+class Store(Versions):
     def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
-        self.spark, self.root, self._buckets = spark, root.rstrip("/"), buckets
+        super().__init__(spark, root)
+        self._buckets = buckets
 
     # Versions
 
-    def _path(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-
-    def _fs(self):
-        return self._path("versions").getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def versions(self) -> list[int]:
-        """Numbers of the published versions, in order."""
-        fs, folder = self._fs(), self._path("versions")
-        names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
-        return sorted(int(n) for n in names if n.isdigit())
-
-    def version(self) -> int | None:
-        return max(self.versions(), default=None)
-
     def _manifest(self, number: int | None = None) -> dict:
         """What a version holds: folder of each bucket, their number, vectors' size."""
         number = self.version() if number is None else number
         if number is None:
             return {"buckets": self._buckets, "folders": {}, "dim": None}
-        return json.loads(self.spark.read.text(f"{self.root}/versions/{number:012d}", wholetext=True).first()[0])
-
-    def _publish(self, number: int, manifest: dict) -> None:
-        """The one step that makes a version current."""
-        fs, ready = self._fs(), self._path(f"versions/.{uuid.uuid4().hex}")
-        out = fs.create(ready, False)
-        out.write(bytearray(json.dumps(manifest).encode()))
-        out.close()
-        target = self._path(f"versions/{number:012d}")
-        if fs.exists(target) or not fs.rename(ready, target):
-            raise RuntimeError(f"another write published version {number} of {self.root}")
+        return self._content(number)
 
     def clean(self, keep: int = 1) -> int:
         """Remove all but the newest ``keep`` versions and folders that only they or
