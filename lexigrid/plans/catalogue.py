@@ -28,6 +28,7 @@ from ..operators import inverted
 from ..operators.copies import copy_classes, located_pairs
 from ..operators.intervals import overlapping
 from ..operators.numbering import numbered
+from ..operators.shape_join import links, similar_shapes
 from ..operators.structure import gate, idf, overlaps, score_pairs, shapes_of_arrays
 from ..operators.vectors import block_rows, classes, similar_pairs, top_k
 from ..sources import chat, code, embed
@@ -228,6 +229,38 @@ def bigram_idf(spark: SparkSession, d: str) -> DataFrame:
     return weights.select("bigram", "df", F.round("weight", 9).alias("weight"))
 
 
+SHAPE_THETA = 0.6
+# Both sides' bigrams are multiplied out over all pairs of representatives.
+_ALIKE = f"""
+    {_SHAPES}, {_IDF},
+    signed AS (SELECT unit_id, string_agg(bigram || ' ' || n, ';' ORDER BY bigram) AS sign FROM shapes GROUP BY unit_id),
+    members AS (SELECT unit_id, min(unit_id) OVER (PARTITION BY sign) AS rep FROM signed),
+    own AS (SELECT s.unit_id, s.bigram, s.n, coalesce(w.weight, 1) AS weight FROM shapes s JOIN idf w USING (bigram) WHERE s.unit_id IN (SELECT rep FROM members)),
+    totals AS (SELECT unit_id, sum(n * weight) AS total FROM own GROUP BY unit_id),
+    met AS (SELECT x.unit_id AS i, y.unit_id AS j, sum(least(x.n, y.n) * x.weight) AS shared FROM own x JOIN own y ON x.bigram = y.bigram AND x.unit_id < y.unit_id GROUP BY ALL),
+    alike AS (SELECT i, j, shared / (a.total + b.total - shared) AS structural FROM met JOIN totals a ON a.unit_id = i JOIN totals b ON b.unit_id = j
+              WHERE shared / (a.total + b.total - shared) >= {SHAPE_THETA})
+"""
+
+
+@query(f"WITH {_ALIKE} SELECT i, j, round(structural, 6) AS structural FROM alike")
+def structure_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Classes of pages of one shape whose shapes are similar, without vectors."""
+    pairs, _ = similar_shapes(_page_shapes(spark, d), SHAPE_THETA)
+    return pairs.select("i", "j", F.round("structural", 6).alias("structural"))
+
+
+@query(f"""
+    WITH {_ALIKE}, sizes AS (SELECT rep, count(*) AS members FROM members GROUP BY rep),
+    ends AS (SELECT i AS own, j AS other FROM alike UNION ALL SELECT j, i FROM alike),
+    others AS (SELECT own, sum(members) AS others FROM ends JOIN sizes ON rep = other GROUP BY own)
+    SELECT unit_id AS page_id, rep, (members - 1 + coalesce(others, 0))::BIGINT AS links FROM members JOIN sizes USING (rep) LEFT JOIN others ON own = rep
+""")
+def structure_join(spark: SparkSession, d: str) -> DataFrame:
+    """Every shaped page, its class, and how many pages have a similar shape."""
+    return links(*similar_shapes(_page_shapes(spark, d), SHAPE_THETA)).select(F.col("unit_id").alias("page_id"), "rep", "links")
+
+
 # Both sides of the union are written out here, unlike in the operator.
 _SCORED = f"""
     {_PAIRS.format(PAIR_THETA)}, {_SHAPES}, {_IDF},

@@ -14,7 +14,7 @@ def test_oracles_name_queries():
 
 
 @pytest.mark.parametrize("name", ["knn_topk_batch", "gated_pairs", "line_windows", "context_budget", "cache_upsert", "report_json", "sim_clusters",
-                                  "chunk_pack", "dedent_units", "extract_units", "unit_order", "ingest_status", "files_read", "report_clusters", "overlap_gate", "overlap_join", "knn_inverted_exact", "cache_resume", "job_update"])
+                                  "chunk_pack", "dedent_units", "extract_units", "unit_order", "ingest_status", "files_read", "report_clusters", "overlap_gate", "overlap_join", "knn_inverted_exact", "structure_join", "structure_pairs", "cache_resume", "job_update"])
 def test_oracle(spark, sf, name):
     import os
 
