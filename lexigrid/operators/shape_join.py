@@ -82,7 +82,8 @@ def similar_shapes(shape: DataFrame, threshold: float, part: int = PART) -> tupl
     """
     if not 0 < threshold <= 1:
         raise ValueError(f"a threshold of {threshold} is not above 0 and at most 1")
-    known = shape.where("unit_id IS NOT NULL AND bigram IS NOT NULL AND n > 0").select("unit_id", "bigram", "n")
+    # Written, as it is read for classes, document frequencies and rows.
+    known = materialize(shape.where("unit_id IS NOT NULL AND bigram IS NOT NULL AND n > 0").select("unit_id", "bigram", "n"), "shapes-known")
     classes = shape_classes(known)
     rows = weighed(known, classes)
     pairs = materialize(candidates(rows, threshold, part), "shape-candidates")
