@@ -12,8 +12,13 @@ before it.
 
 Texts are cut into chunks of equal length that are run in lockstep.  The state
 in which a chunk is entered is unknown at first; the first byte of a word forgets
-it, so a chunk's state map is "run the head, then a constant".  The maps of
-neighbouring chunks are composed by a scan, in which only heads are run again.
+it, so a chunk with one has a constant state map.  The map of a chunk inside a long
+word is held as the entries that were asked for.  It is nearly always constant too, as
+a vocabulary forgets what lies some tokens back.  So a scan composes the maps with the
+exits known so far, all chunks for which an entry was missing are run in lockstep, and
+the scan is repeated until none is missing: a round or two, whatever the length of the
+word.  Chunks of equal bytes share a map, so that words of one repeated piece, which
+never forget, are composed by looking up.
 
 Memory is bounded: tables hold at most ``max_states`` states and are rebuilt
 when full, which changes no result.
@@ -46,20 +51,26 @@ def byte_alphabet() -> dict[int, str]:
     return table
 
 
-def _code_points() -> str:
-    return "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+#: Code points of a page of the tables, which are made for the pages that texts have.
+PAGE = 0x1000
 
 
-def _class_table() -> np.ndarray:
-    """Class of every code point, as the tokenizers library's patterns see it."""
-    whole = _code_points()
-    kinds = np.full(len(whole), _OTHER, np.uint8)
+def _page_points(page: int) -> list[int]:
+    return [c for c in range(page * PAGE, (page + 1) * PAGE) if not 0xD800 <= c < 0xE000]
+
+
+def _page_classes(page: int) -> np.ndarray:
+    """Class of every code point of a page, as the tokenizers library's patterns see
+    it."""
+    table, points = np.full(PAGE, _OTHER, np.uint8), _page_points(page)
+    if not points:
+        return table
+    whole, kinds = "".join(map(chr, points)), np.full(len(points), _OTHER, np.uint8)
     for pattern, kind in ((r"\p{L}+", _LETTER), (r"\p{N}+", _NUMBER), (r"\s+", _SPACE)):
         split = pre_tokenizers.Split(Regex(pattern), behavior="removed", invert=True)
         for _, (start, stop) in split.pre_tokenize_str(whole):
             kinds[start:stop] = kind
-    table = np.full(0x110000, _OTHER, np.uint8)
-    table[np.frombuffer(whole.encode("utf-32-le"), np.uint32)] = kinds
+    table[np.array(points) - page * PAGE] = kinds
     return table
 
 
@@ -70,19 +81,18 @@ def _normalize(text: str) -> str:
     return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
 
-def _odd_table(library) -> np.ndarray:
-    """Code points that Python and the library know differently (versions of
-    Unicode); a text with one of them is left to the library."""
-    odd = np.zeros(0x110000, bool)
-    for c in range(0, 0x110000, 0x1000):
-        block = [chr(x) for x in range(c, c + 0x1000) if not 0xD800 <= x < 0xE000 and x != 0x7C]
-        theirs = library.normalize_str("|".join(block)).split("|")
-        for char, said in zip(block, theirs):
-            if unicodedata.category(char) == "Cn":
-                odd[ord(char)] = True
-            elif said != _normalize(char) and not (said == " " and char.isspace()):
-                odd[ord(char)] = True
-    odd[0xD800:0xE000] = True
+def _page_odd(library, page: int) -> np.ndarray:
+    """Code points of a page that Python and the library know differently (versions
+    of Unicode), and surrogates; a text with one of them is left to the library."""
+    odd, points = np.ones(PAGE, bool), _page_points(page)
+    odd[np.array(points, np.int64) - page * PAGE] = False
+    block = [chr(x) for x in points if x != 0x7C]
+    theirs = library.normalize_str("|".join(block)).split("|") if block else []
+    for char, said in zip(block, theirs):
+        if unicodedata.category(char) == "Cn":
+            odd[ord(char) - page * PAGE] = True
+        elif said != _normalize(char) and not (said == " " and char.isspace()):
+            odd[ord(char) - page * PAGE] = True
     return odd
 
 
@@ -102,11 +112,23 @@ class Transducer:
         self.special_re = regex.compile("|".join(map(regex.escape, self.specials)))
         self.max_states = max_states
         self.library = Tokenizer.from_file(path)
-        self.classes = _class_table()
-        self.odd = _odd_table(self.library.normalizer)
+        self.classes = np.full(0x110000, _OTHER, np.uint8)
+        self.odd = np.zeros(0x110000, bool)
+        self.pages = np.zeros(0x110000 // PAGE, bool)
         self._compile_vocabulary(model)
         self._reset()
 
+    def _know(self, points: np.ndarray) -> None:
+        """Fill the tables for the pages of some code points."""
+        pages = points >> 12
+        if self.pages[pages].all():
+            return
+        for page in np.unique(pages[~self.pages[pages]]).tolist():
+            here = slice(page * PAGE, (page + 1) * PAGE)
+            self.classes[here] = _page_classes(page)
+            self.odd[here] = _page_odd(self.library.normalizer, page)
+            self.pages[page] = True
+
     # -- vocabulary ---------------------------------------------------------
 
     def _compile_vocabulary(self, model: dict) -> None:
@@ -202,6 +224,16 @@ class Transducer:
             self._grow(len(self.next), 2 * self.next.shape[1])
         return self.column[data].astype(np.uint8)
 
+    def _state(self, key: tuple) -> int:
+        """The number of a state, a new one where it has none."""
+        number = 1 if key == self.keys[1] else self.ids.get(key)
+        if number is None:
+            number = self.ids[key] = len(self.keys)
+            self.keys.append(key)
+            if number >= len(self.next):
+                self._grow(len(self.next) * 3 // 2, self.next.shape[1])
+        return number
+
     def _step(self, state: int, byte: int) -> None:
         """Compile one transition."""
         entries, here, ended, moved = self.keys[state], None, None, []
@@ -218,12 +250,7 @@ class Transducer:
         if here is None or ended is None:
             raise ValueError(f"byte {byte} has no encoding in this vocabulary")
         key = tuple((n, t, c - ended) for n, t, c in (*moved, here))
-        target = self.ids.get(key)
-        if target is None:
-            target = self.ids[key] = len(self.keys)
-            self.keys.append(key)
-            if target >= len(self.next):
-                self._grow(len(self.next) * 3 // 2, self.next.shape[1])
+        target = self._state(key)
         self.next[state, self.column[byte]] = target
         self.delta[state, self.column[byte]] = ended  # relative to the last total
 
@@ -242,13 +269,26 @@ class Transducer:
 
     # -- runs ---------------------------------------------------------------
 
-    def run(self, data: np.ndarray, first: np.ndarray, width: int = 96) -> np.ndarray:
-        """Change of the total at each byte; ``first`` marks words' first bytes."""
-        if len(self.keys) > self.max_states:
-            self._reset()
+    def run(self, data: np.ndarray, first: np.ndarray, width: int = 96, piece: int = 1 << 19) -> np.ndarray:
+        """Change of the total at each byte; ``first`` marks words' first bytes.
+
+        Data of more than ``piece`` bytes are run in pieces, of which each is entered
+        in the state that the one before left, so tables can be rebuilt inside a word.
+        """
+        out, left = [np.zeros(0, np.int8)], self.keys[1]
+        piece = max(1, piece // width) * width  # whole chunks, so that exits are states of the data
+        for start in range(0, len(data), piece):
+            if len(self.keys) > self.max_states:
+                self._reset()
+            entry = self._state(left)
+            change, end = self._run(data[start : start + piece], first[start : start + piece], width, entry)
+            out.append(change)
+            left = self.keys[end]
+        return np.concatenate(out)
+
+    def _run(self, data: np.ndarray, first: np.ndarray, width: int, entry: int) -> tuple[np.ndarray, int]:
+        """Changes, and the state after the last byte."""
         n = len(data)
-        if not n:
-            return np.zeros(0, np.int8)
         rows = -(-n // width)
         grid = np.zeros(rows * width, np.uint8)
         grid[:n] = self._columns(data)
@@ -261,22 +301,40 @@ class Transducer:
         for k in range(width):
             state[flags[k]] = 1
             state, out[k] = self._advance(state, grid[k])
-        # Compose: a chunk's head runs from the exit state of the chunk before.
         head = np.where(flags.any(0), flags.argmax(0), width)
         todo = np.flatnonzero(head > 0)
-        while len(todo):
-            # A run of chunks without a first byte is entered one after another.
-            ready = todo[state[todo - 1] != 0]
-            at = state[ready - 1]
-            open_ended = head[ready] == width
-            for k in range(int(head[ready].max())):
-                live = head[ready] > k
-                new, d = self._advance(at[live], grid[k, ready[live]])
-                at[live] = new
-                out[k, ready[live]] = d
-            state[ready[open_ended]] = at[open_ended]
-            todo = np.setdiff1d(todo, ready, assume_unique=True)
-        return out.T.reshape(-1)[:n]
+        before = np.concatenate([[np.int32(entry)], state])
+        self._compose(grid, before, todo[head[todo] == width])
+        at = before[todo]
+        for k in range(int(head[todo].max(initial=0))):
+            live = head[todo] > k
+            at[live], out[k, todo[live]] = self._advance(at[live], grid[k, todo[live]])
+        return out.T.reshape(-1)[:n], int(before[-1])
+
+    def _compose(self, grid: np.ndarray, before: np.ndarray, inside: np.ndarray) -> None:
+        """States in which the chunks after those ``inside`` long words are entered."""
+        if not len(inside):
+            return
+        _, same = np.unique(grid[:, inside], axis=1, return_inverse=True)
+        chunks, same = inside.tolist(), same.ravel().tolist()
+        known: list[dict[int, int]] = [{} for _ in range(max(same) + 1)]
+        usual = [1] * len(known)  # a guess at the exit where an entry is missing
+        while True:
+            missing, last, end = {}, -2, 0
+            for chunk, kind in zip(chunks, same):
+                entry = end if chunk == last + 1 else int(before[chunk])
+                end = known[kind].get(entry, 0)
+                if not end:
+                    missing.setdefault((kind, entry), chunk)
+                    end = usual[kind]
+                before[chunk + 1], last = end, chunk
+            if not missing:
+                return
+            at, columns = np.array([e for _, e in missing], np.int32), grid[:, list(missing.values())]
+            for k in range(len(grid)):
+                at, _ = self._advance(at, columns[k])
+            for (kind, entry), end in zip(missing, at.tolist()):
+                known[kind][entry] = usual[kind] = end
 
     def _segments(self, text: str) -> tuple[list[str], int]:
         if "<|" not in text:
@@ -289,7 +347,12 @@ class Transducer:
         added = np.zeros(len(batch), np.int64)
         parts, owner = [], []
         for i, text in enumerate(batch):
-            if not text.isascii() and self.odd[_points(text)].any():
+            ours = text.isascii()
+            if not ours:
+                points = _points(text)
+                self._know(points)
+                ours = not self.odd[points].any()
+            if not ours:
                 added[i] = len(self.library.encode(text, add_special_tokens=False).ids)
                 continue
             segments, added[i] = self._segments(text)
@@ -302,6 +365,7 @@ class Transducer:
         if not whole:
             return added
         points = _points(whole)
+        self._know(points)
         kind = self.classes[points]
         doc = np.repeat(np.asarray(owner, np.int64), sizes)
         first = np.empty(len(points), bool)

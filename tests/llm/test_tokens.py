@@ -51,7 +51,32 @@ def test_transducer(library):
     data = np.frombuffer(("thequickbrown" * 40).encode(), np.uint8)
     first = np.zeros(len(data), bool)
     first[[0, 200, 411]] = True
-    assert {int(machine.run(data, first, w).sum()) for w in (1, 3, 7, 64, 600)} == {int(machine.run(data, first, 1000).sum())}
+    assert {int(machine.run(data, first, w, piece).sum()) for w in (1, 3, 7, 64, 600) for piece in (1, 100, 5000)} == {int(machine.run(data, first, 1000).sum())}
+
+
+def test_transducer_of_long_words(library):
+    """Words of many chunks: random ones, repeated pieces that never forget where they
+    began, and mixtures; with few states the tables are rebuilt inside a word."""
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    made = ["".join(rng.choices(letters, k=20_000)), "x" + "a" * 30_001, "q" + "abc" * 9_000 + " " + "bca" * 9_000, "-" * 20_000]
+    made += ["".join(rng.choices(["the", "ing", "a", "ation", "漢字", "é"], k=9_000)), "ab" * 5_000 + "<|endoftext|>" + "ba" * 5_000]
+    expected = [len(e.ids) for e in library.encode_batch(made, add_special_tokens=False)]
+    machine = Transducer(PATH)
+    assert machine.counts(made).tolist() == expected
+    assert [int(machine.counts([x])[0]) for x in made] == expected
+    small = Transducer(PATH, max_states=500)
+    run = small.run
+    small.run = lambda data, first: run(data, first, 32, 700)
+    assert small.counts(made).tolist() == expected
+
+
+def test_tables_of_code_points_are_made_by_page(library):
+    machine = Transducer(PATH)
+    assert not machine.pages.any()
+    for text in ("plain", "Ünïcode ΣΑΣ", "漢字 かな", "\U0001f600 \U000e0041", "\u0378 unassigned", ""):
+        assert machine.counts([text]).tolist() == [len(library.encode(text, add_special_tokens=False).ids)]
+    assert 0 < machine.pages.sum() < 10
 
 
 def test_encoder(library):
