@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import contextlib
 import dataclasses
+import functools
 import hashlib
 import http.server
 import io
@@ -816,6 +817,22 @@ def forget_cascade(spark: SparkSession, d: str) -> DataFrame:
     return store.chunks().select("path", F.col("ord").cast("long").alias("ord"))
 
 
+@query(f"""
+    WITH {_INGESTED},
+    one AS (SELECT path, sha256(coalesce(text, '')) AS sha256, n AS chunks FROM n WHERE lang <> 'de' AND n > 0),
+    two AS (SELECT path, CASE WHEN lang = 'es' THEN sha256(sha256(coalesce(text, ''))) ELSE sha256(coalesce(text, '')) END AS sha256, n AS chunks FROM n WHERE n > 0),
+    three AS (SELECT * FROM two WHERE NOT path ILIKE '%SRC1_/%')
+    SELECT 1 AS version, * FROM one UNION ALL SELECT 2, * FROM two UNION ALL SELECT 3, * FROM three UNION ALL SELECT 4, * FROM three
+""")
+def store_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of each version of a store: two batches, a removal and a merge."""
+    store, _ = _ingested(spark, d)
+    store.forget("SRC1_/")
+    store.compact(whole=True)
+    held = [store.documents(version=v).select(F.lit(v).alias("version"), "path", "sha256", F.col("chunks").cast("long").alias("chunks")) for v in store.versions()]
+    return functools.reduce(DataFrame.unionByName, held)
+
+
 @query(f"""
     SELECT path, printf('%5d chunks  %s  %s', chunks, strftime(TIMESTAMP '2024-03-01 10:05:59' + to_minutes(CAST(doc_id AS INTEGER)), '%Y-%m-%d %H:%M'), path) AS line
     FROM (SELECT {_SQL_PATH} AS path, doc_id, length(text) % 7 AS chunks FROM documents WHERE source IS NOT NULL AND text IS NOT NULL)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import ssl
+import time
 import urllib.request
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -142,25 +143,38 @@ class VectorCache:
         return f"{self.root}/{hashlib.sha256(model.encode()).hexdigest()[:16]}"
 
     def rows(self, model: str) -> DataFrame:
-        """``hash, model, vector`` of a model, one row a hash."""
-        schema = "hash string, model string, vector array<float>"
+        """``hash, model, vector`` of a model, one row a hash: the one added last."""
+        schema = "hash string, model string, vector array<float>, seq long"
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self._folder(model))
         if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return self.spark.createDataFrame([], schema)
+            return self.spark.createDataFrame([], schema).drop("seq")
         held = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(self._folder(model))
-        return held.where(F.col("model") == model).dropDuplicates(["hash"])
+        last = F.max_by("vector", F.coalesce("seq", F.lit(0)))
+        return held.where(F.col("model") == model).groupBy("hash").agg(F.lit(model).alias("model"), last.alias("vector"))
+
+    def add(self, model: str, vectors: DataFrame) -> None:
+        """Commit ``hash, model, vector``, which count from now on."""
+        vectors.withColumn("seq", F.lit(time.time_ns())).write.parquet(f"{self._folder(model)}/{uuid.uuid4().hex}")
 
     def fill(self, texts: DataFrame, embedder: Embedder, on_commit: Callable[[int, int], None] | None = None) -> DataFrame:
         """Vectors of all of ``texts(hash, text)``, in commits of about
         ``rows_per_commit``; ``on_commit`` is told how many are done and there are."""
-        from .scratch import materialize
+        from .scratch import fresh_path, materialize
 
         missing = materialize(cache_misses(texts.select("hash", "text"), self.rows(embedder.model), embedder.model), "missing")
-        count = missing.count()
-        parts = -(-count // self.rows_per_commit)
+        parts = -(-missing.count() // self.rows_per_commit)
+        if parts > 1:
+            # Dealt once, so that a commit reads its own texts only.
+            folder = fresh_path(self.spark, "missing-parts")
+            part = F.pmod(F.xxhash64("hash"), F.lit(parts)).cast("int").alias("part")
+            missing.select("hash", "text", part).hint("rebalance", "part").write.partitionBy("part").parquet(folder)
         for k in range(parts):
-            part = missing.where(F.pmod(F.xxhash64("hash"), F.lit(parts)) == k)
-            embed(part, embedder).write.parquet(f"{self._folder(embedder.model)}/{uuid.uuid4().hex}")
+            if parts > 1:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/part={k}")
+                held = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+                missing = self.spark.read.schema("hash string, text string").parquet(f"{folder}/part={k}") if held else None
+            if missing is not None:
+                self.add(embedder.model, embed(missing, embedder))
             if on_commit:
                 on_commit(k + 1, parts)
         return self.rows(embedder.model).join(texts.select("hash").distinct(), "hash", "left_semi")

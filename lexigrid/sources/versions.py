@@ -13,6 +13,14 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+class Taken(RuntimeError):
+    """Another write published this version first."""
+
+
+class Conflict(RuntimeError):
+    """Another write changed what this one was based on; it can be run again."""
+
+
 class Versions:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -43,4 +51,4 @@ class Versions:
         out.close()
         target = self._path(f"versions/{number:012d}")
         if fs.exists(target) or not fs.rename(ready, target):
-            raise RuntimeError(f"another write published version {number} of {self.root}")
+            raise Taken(f"another write published version {number} of {self.root}")
