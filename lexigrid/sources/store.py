@@ -224,7 +224,7 @@ class Store(Versions):
                 if at:
                     one = {"folder": folder, "rows": held.get(b, 0), "gone": dead.get(b, 0)}
                     folders[b] = [*folders[b][: at[0]], *([one] if one["rows"] or one["gone"] else []), *folders[b][at[0] + len(run) :]]
-            return {**now, "folders": folders}
+            return {**now, "folders": {b: x for b, x in folders.items() if x}}
 
         self._publish_change(change)
         return len(runs)
