@@ -236,13 +236,15 @@ def do_dupcheck(s: Session) -> None:
     job = job.overridden(include=[x if "://" in x else str(base / x) for x in job.include])
     cache = embed.VectorCache(s.spark, job.cache_file or f"{Path(args.job).resolve()}.vectors") if job.cache else None
     say = lambda text: print(text, file=sys.stderr)
-    text = "\n".join(dupcheck.run(s.spark, job, s.embedder(), cache, say, s["dupcheck_max_memory_mb"] << 20))
+    lines = dupcheck.stream(s.spark, job, s.embedder(), cache, say, s["dupcheck_max_memory_mb"] << 20)
     if job.output_file:
         path = Path(report.report_path(job.output_file, job.output))
-        path.write_text(text + "\n")
+        with path.open("w") as f:
+            f.writelines(line + "\n" for line in lines)
         print(f"wrote {path}", file=sys.stderr)
     else:
-        print(text)
+        for line in lines:
+            print(line)
 
 
 def parser() -> argparse.ArgumentParser:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,12 +63,13 @@ def check(found: DataFrame, job: Job, embedder: embed.Embedder | None = None, ca
     return located_pairs(materialize(gated, "gated"), classes, members)
 
 
-def run(
+def lines(
     spark: SparkSession, job: Job, embedder: embed.Embedder | None = None, cache: embed.VectorCache | None = None,
     say: Callable[[str], None] | None = None, budget_bytes: int | None = None,
-) -> list[str]:
-    """A report's lines; ``say`` is told what was read and found, before any limit.
-    A task's similarities fit ``budget_bytes``, 0 or None for the usual bound."""
+) -> DataFrame:
+    """``number, line`` of a report; ``say`` is told what was read and found, before
+    any limit.  A task's similarities fit ``budget_bytes``, 0 or None for the usual
+    bound.  :func:`.report.save` writes the lines in order, as a folder."""
     job.check()
     found = units(spark, job)
     counted = found.agg(F.countDistinct("path").alias("files"), F.count("*").alias("units")).first()
@@ -83,18 +84,17 @@ def run(
         groups = materialize(clusters(pairs.select(F.col("i").alias("a"), F.col("j").alias("b"))), "clusters")
         if say:
             say(f"{groups.select('cluster_id').distinct().count()} clusters")
-        lines = R.cluster_lines(groups, found, job.output)
-        rows = lines.orderBy("number", "node")
-        out, last = [], 0
-        for r in rows.toLocalIterator():
-            if job.top_n and r["number"] > job.top_n:
-                break
-            if r["number"] != last:
-                last = r["number"]
-                out.append(f"### Cluster {last} ({r['cluster_size']} matches)" if job.output == "markdown" else f"cluster {last} ({r['cluster_size']} matches):")
-            out.append(r["line"])
-        return out
-    best = R.ranked(R.with_refs(pairs, found), job.top_n)
-    if job.output == "json":
-        return [R.pairs_json(best).first()["report"]]
-    return [*R.PAIR_HEAD[job.output], *(r["line"] for r in best.select(R.pair_line(job.output).alias("line")).toLocalIterator())]
+        return R.cluster_report(groups, found, job.output, job.top_n)
+    return R.pair_report(R.ranked(R.with_refs(pairs, found), job.top_n), job.output)
+
+
+def stream(spark: SparkSession, job: Job, *args, **kwargs) -> Iterator[str]:
+    """The lines of :func:`lines`, of which the driver holds a partition at a time."""
+    held = materialize(lines(spark, job, *args, **kwargs), "report")
+    return (r["line"] for r in held.sort("number").toLocalIterator())
+
+
+def run(spark: SparkSession, job: Job, *args, **kwargs) -> list[str]:
+    """A small report as a list of lines; one of pairs as JSON is one line."""
+    held = list(stream(spark, job, *args, **kwargs))
+    return ["".join(held)] if job.output == "json" and job.report != "clusters" else held

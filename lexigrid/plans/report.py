@@ -16,7 +16,9 @@ ACCEPTED = {"text": (".txt", ".text"), "json": (".json",), "markdown": (".md", "
 PAIR_HEAD = {
     "text": (),
     "markdown": ("| similarity | structural | distinct | a | b |", "|---|---|---|---|---|"),
+    "json": ('{"pairs":[',),
 }
+PAIR_END = {"json": ("]}",)}
 
 
 def with_refs(pairs: DataFrame, units: DataFrame) -> DataFrame:
@@ -55,11 +57,26 @@ def pair_json() -> Column:
     )
 
 
-def pairs_json(pairs: DataFrame) -> DataFrame:
-    """One row ``report``: all pairs, most similar first, for a report's size."""
-    row = F.struct((-F.col("similarity")).alias("s"), "i", "j", pair_json().alias("json"))
-    inner = F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["json"]), ",")
-    return pairs.agg(F.concat(F.lit('{"pairs":['), inner, F.lit("]}")).alias("report"))
+def pair_report(pairs: DataFrame, output: str) -> DataFrame:
+    """``number, line`` of a report, most similar pair first; a row a line, so that no
+    task holds a whole report.  The lines of JSON are one object together."""
+    at = numbered(pairs, "number", F.desc("similarity"), "i", "j")
+    body = F.concat(F.when(F.col("number") > 0, ",").otherwise(""), pair_json()) if output == "json" else pair_line(output)
+    head, end = PAIR_HEAD[output], PAIR_END.get(output, ())
+    fixed = [(k - len(head), line) for k, line in enumerate(head)] + [((1 << 62) + k, line) for k, line in enumerate(end)]
+    return at.select("number", body.alias("line")).unionByName(pairs.sparkSession.createDataFrame(fixed, "number long, line string"))
+
+
+def cluster_report(members: DataFrame, units: DataFrame, output: str = "text", top_n: int | None = None) -> DataFrame:
+    """``number, line``: each cluster's title and members, largest cluster first."""
+    lines = cluster_lines(members, units, output)
+    if top_n:
+        lines = lines.where(F.col("number") <= top_n)
+    title = ("### Cluster %d (%d matches)") if output == "markdown" else "cluster %d (%d matches):"
+    titles = lines.select("number", "cluster_size").distinct()
+    titles = titles.select("number", F.lit(-1).cast("long").alias("node"), F.format_string(title, "number", "cluster_size").alias("line"))
+    both = lines.select("number", F.col("node").cast("long").alias("node"), "line").unionByName(titles)
+    return numbered(both.withColumnRenamed("number", "cluster"), "number", "cluster", "node").select("number", "line")
 
 
 def cluster_lines(members: DataFrame, units: DataFrame, output: str = "text") -> DataFrame:
