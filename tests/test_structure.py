@@ -2,12 +2,14 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lexigrid.operators.components import clusters, components
-from lexigrid.operators.structure import gate, score_pairs, shapes, shapes_of_arrays
-from lexigrid.plans import report
+from lexigrid.operators.structure import gate, score_pairs, shapes, shapes_of_arrays, similar_gated, similar_scored
+from lexigrid.operators.vectors import similar_pairs
+from lexigrid.plans import catalogue, report
 
 HEAD = "function_definition primitive_type function_declarator identifier parameter_list ("
 PARAMS = "parameter_declaration primitive_type identifier , parameter_declaration primitive_type identifier )"
@@ -124,3 +126,35 @@ def test_report_path():
     assert report.report_path("r.markdown", "markdown") == "r.markdown"
     assert report.report_path("r.out", "json") == "r.out"
     assert report.report_path("r", "text") == "r"
+
+
+@pytest.mark.parametrize("many,weighted,located,callers", [(150, True, True, True), (150, False, False, True), (20, True, True, False)])
+def test_pairs_are_judged_where_vectors_meet(spark, many, weighted, located, callers):
+    """The same as joins of pairs with shapes and units, which may be missing or null."""
+    rng, draw = random.Random(many), np.random.default_rng(many)
+    names = ["f", "g", "h", "", None]
+    rows = [
+        (k, rng.choice(["p", "q", None]), rng.choice([1, 4, None]), rng.choice([3, 9]), rng.choice(names), rng.choice([None, [], rng.choices(names, k=3)]), rng.choices("abcde", k=rng.choice([0, 1, 9, 30])))
+        for k in range(many) if k % 10
+    ]
+    units = spark.createDataFrame(rows, "unit_id long, path string, start int, end int, name string, idents array<string>, types array<string>")
+    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(draw.normal(size=(many, 4)))], "vec_id long, embedding array<double>")
+    shape, pairs = shapes_of_arrays(units), similar_pairs(vectors, 0.5)
+
+    def held(df):
+        return {(r["i"], r["j"]): [r[c] if r[c] is None else pytest.approx(r[c]) for c in ("similarity", "structural", "structural_plain", "distinct")] for r in df.collect()}
+
+    options = {"block": 30, "cell_rows": 20, "tile_rows": 70}
+    want = held(score_pairs(pairs, shape, weighted))
+    assert held(similar_scored(vectors, 0.5, shape, weighted)) == held(similar_scored(vectors, 0.5, shape, weighted, **options)) == want
+    args = (units, shape, 0.3, 0.02, callers, weighted, located)
+    want = held(gate(pairs, *args))
+    assert 0 < len(want) < pairs.count()
+    assert held(similar_gated(vectors, 0.5, *args)) == held(similar_gated(vectors, 0.5, *args, **options)) == want
+
+
+@pytest.mark.parametrize("name", ["gated_pairs", "structural_scores"])
+def test_pairs_are_not_shuffled(spark, sf, name):
+    """Their number may grow as the square of the vectors'."""
+    plan = catalogue.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "GroupsInArrow" in plan and "Exchange" not in plan.split("GroupsInArrow")[0]
