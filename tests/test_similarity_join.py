@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from lexigrid.operators.vectors import plan_join, similar_pairs
+from lexigrid.operators.vectors import _tiles, plan_join, similar_pairs
 
 
 def vectors(seed, groups=12, each=40, dim=16, spread=0.02, unit=True, noise=60):
@@ -66,3 +66,20 @@ def test_no_rows(spark):
     assert similar_pairs(none, 0.5).count() == similar_pairs(none, 0.5, block=0 + 1).count() == 0
     plan = plan_join(none, 0.5)
     assert plan.blocks == 0 and plan.skipped() == 0
+
+
+def test_small_blocks_meet_in_tiles(spark):
+    """A row is sent once a tile, not once a block; what is left out stays so."""
+    rows = vectors(8)
+    plan = plan_join(table(spark, rows), 0.97, block=10, cell_rows=40)
+    tiles = {r["block"]: r["tile"] for r in _tiles(plan.bounds, 200).collect()}
+    sizes = {r["block"]: r["n"] for r in plan.bounds.collect()}
+    held = {}
+    for block, tile in tiles.items():
+        held[tile] = held.get(tile, 0) + sizes[block]
+    assert set(tiles) == set(sizes) and len(tiles) > 5 * len(held) > 5
+    assert max(held.values()) < 200 + max(sizes.values())
+    assert [tiles[b] for b in sorted(tiles)] == sorted(tiles.values())
+    for tile_rows in (30, 200, 10_000):
+        got = similar_pairs(table(spark, rows), 0.97, block=10, cell_rows=40, tile_rows=tile_rows).collect()
+        assert len(got) == len({(r["i"], r["j"]) for r in got}) and {(r["i"], r["j"]) for r in got} == expected(rows, 0.97)
