@@ -32,6 +32,9 @@ MOST_CELLS, SAMPLE, ASKED = 1024, 16_384, 256
 NUMBERS, WORDS = 4, 256
 #: Rows of a part of a cell, queries of a block, and queries that are scored at once.
 PART_ROWS, QUERY_BLOCK, AT_ONCE = 100_000, 1024, 32
+#: Rows that are encoded at once, and queries whose cells, up to MOST_CELLS each with the
+#: vector beside it, leave a task at once.
+ENCODED, MET = 1024, 16
 #: What sums in doubles may be off, for each unit of lengths multiplied.
 _SLACK = 1e-9
 
@@ -81,6 +84,10 @@ class Model:
         return Model(held["centres"], held["books"], int(held["probes"]))
 
 
+def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(s, rows) for s in range(0, len(batch), rows))
+
+
 def _nearest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.argmin((centres * centres).sum(1) - 2 * rows @ centres.T, axis=1)
 
@@ -148,8 +155,8 @@ class InvertedFile(Versions):
         sent = self.spark.sparkContext.broadcast(model)
 
         def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if len(batch):
+            for whole in batches:
+                for batch in _slices(whole, ENCODED):
                     cell, codes, off, far = sent.value.encode(_matrix(batch.column("embedding")))
                     raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(codes.shape[1]), len(batch), [None, pa.py_buffer(np.ascontiguousarray(codes))])
                     columns = [batch.column("vec_id"), batch.column("embedding"), pa.array(cell, pa.int64()), raw.cast(pa.binary()), pa.array(off), pa.array(far)]
@@ -221,8 +228,8 @@ class InvertedFile(Versions):
         sent = self.spark.sparkContext.broadcast(model)
 
         def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if len(batch):
+            for whole in batches:
+                for batch in _slices(whole, MET):
                     own, c = _matrix(batch.column("embedding")), sent.value.centres
                     floors, products = batch.column("floor").to_pylist(), own @ c.T
                     hits = [np.flatnonzero(chosen(q, c, p, f)) for q, p, f in zip(own, products, floors)]
