@@ -248,14 +248,14 @@ class Store(Versions):
             incoming = incoming.withColumn("error", F.lit(None).cast("string"))
         one = incoming.groupBy("path").agg(F.max(F.struct("sha256", "text", "error")).alias("x")).select("path", "x.*")
         seen = with_status(one, self.documents(version=base))
-        work = seen.where("status <> 'unchanged'") if not force else seen
-        cut = work.withColumn("parts", T.chunk(F.col("text"), size, overlap)).withColumn("chunks", F.coalesce(F.size("parts"), F.lit(0)))
-        cut = materialize(cut.select("path", "sha256", "status", "parts", F.greatest("chunks", F.lit(0)).alias("chunks")), "ingest-cut")
         failed = F.col("error").isNotNull()
         skipped = (F.col("status") == "unchanged") & ~F.lit(force)
-        status = F.when(failed, "error").when(~skipped & (F.coalesce("chunks", F.lit(0)) == 0), "empty").otherwise(F.col("status"))
-        report = seen.select("path", "status", "error").join(cut.select("path", "chunks"), "path", "left")
-        report = report.select("path", status.alias("status"), F.coalesce("chunks", F.lit(0)).alias("chunks"), F.col("error").alias("message"))
+        # Written with the documents that are left as they are, so that texts are shuffled once.
+        cut = seen.withColumn("parts", F.when(~skipped, T.chunk(F.col("text"), size, overlap)))
+        chunks = F.greatest(F.coalesce(F.size("parts"), F.lit(0)), F.lit(0))
+        cut = materialize(cut.select("path", "sha256", "status", "error", "parts", chunks.alias("chunks")), "ingest-cut")
+        status = F.when(failed, "error").when(~skipped & (F.col("chunks") == 0), "empty").otherwise(F.col("status"))
+        report = cut.select("path", status.alias("status"), "chunks", F.col("error").alias("message"))
         report = materialize(report, "ingest")
         full = cut.where("chunks > 0")
         if not full.isEmpty():

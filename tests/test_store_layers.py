@@ -143,3 +143,20 @@ def test_cache_reads_each_missing_text_once_and_the_last_vector_wins(spark, tmp_
     cache.add("hash-64", later)
     found = {r["hash"]: r["vector"] for r in cache.rows("hash-64").collect()}
     assert len(found) == 10 and found[later.first()["hash"]] == [1.0]
+
+
+def test_texts_are_grouped_once(spark, tmp_path, monkeypatch):
+    """The report of a batch comes from what was written of it, not from the texts again."""
+    from lexigrid.sources import store as module
+
+    plans, write = {}, module.materialize
+
+    def held(df, tag):
+        plans[tag] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, tag)
+
+    monkeypatch.setattr(module, "materialize", held)
+    rows = spark.createDataFrame([("a", "1", "one"), ("b", "2", ""), ("a", "0", "less")], "path string, sha256 string, text string")
+    report = module.Store(spark, f"file://{tmp_path}/store").ingest(rows)
+    assert sorted(map(tuple, report.collect())) == [("a", "new", 1, None), ("b", "empty", 0, None)]
+    assert "Exchange" in plans["ingest-cut"] and "Exchange" not in plans["ingest"]
