@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lexigrid.operators import inverted
 from lexigrid.sources import code, embed
@@ -43,3 +44,31 @@ def test_units(spark, tasks):
     batch = pa.record_batch({"path": [f"{k}.py" for k in range(2000)], "content": [source] * 2000})
     out = list(tasks[0]([batch]))
     assert max(map(len, out)) <= code.UNITS_AT_ONCE + 2 and sum(map(len, out)) == 4000
+
+
+def test_words_of_a_batch_are_hashed_once(monkeypatch):
+    hashed, plain = [], embed.hashlib.blake2b
+    monkeypatch.setattr(embed.hashlib, "blake2b", lambda raw, **kwargs: (hashed.append(raw), plain(raw, **kwargs))[1])
+    got = np.array(embed.HashEmbedder(dim=8).embed(["b a A b", "a c", ""]))
+    assert sorted(hashed) == [b"a", b"b", b"c"]
+    want = np.zeros((3, 8))
+    for k, words in enumerate(("baab", "ac", "")):
+        for word in words:
+            h = int.from_bytes(plain(word.encode(), digest_size=8).digest(), "little")
+            want[k, h % 8] += 1 if h >> 63 else -1
+    assert got == pytest.approx(want / np.maximum(1e-9, np.linalg.norm(want, axis=1))[:, None], abs=1e-6)
+
+
+def test_a_commit_is_read_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(embed, "SPLIT_BYTES", 1 << 20, raising=False)
+    words = F.expr("concat_ws(' ', transform(sequence(1, 300), k -> sha2(concat(id, '.', k), 256)))")
+    texts = spark.range(1200).select(words.alias("text")).withColumn("hash", embed.text_hash())
+    read, plain = [], embed.embed
+    monkeypatch.setattr(embed, "embed", lambda texts, embedder: (read.append(texts), plain(texts, embedder))[1])
+    spark.conf.set("spark.sql.files.openCostInBytes", "1024")
+    try:
+        assert embed.VectorCache(spark, f"file://{tmp_path}/c", 700).fill(texts, embed.HashEmbedder()).count() == 1200
+        held = [[r[1] for r in rows.groupBy(F.spark_partition_id()).count().collect()] for rows in read]
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sum(map(sum, held)) == 1200 and all(len(rows) > 1 for rows in held)
