@@ -52,6 +52,8 @@ TERM_BLOCK = 256
 SPAN, BLOCK_CELLS = 16, 1 << 22
 #: Arrays that are added at once.
 FAN = 256
+#: Rows of a run that are added one after another.
+RUN = 16
 
 
 def places(sequence: list[int]) -> dict[int, int]:
@@ -153,6 +155,25 @@ def _added(rows: DataFrame, kind: str) -> DataFrame:
     return rows.select("block", "part")
 
 
+def run_sums(matrix: np.ndarray, at: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Sums of the rows ``at`` of a matrix over runs that begin at ``start``.
+
+    One place of all runs is added at a time, and long runs in pieces first, which for
+    wide rows takes a fraction of the time of ``np.add.reduceat``.
+    """
+    size = np.diff(start, append=len(at))
+    if size.max(initial=0) > RUN:
+        pieces = -(-size // RUN)
+        first = np.cumsum(pieces) - pieces
+        piece = np.repeat(start - RUN * first, pieces) + RUN * np.arange(pieces.sum())
+        return run_sums(run_sums(matrix, at, piece), np.arange(len(piece)), first)
+    out = matrix.take(at[start], axis=0)
+    for k in range(1, int(size.max(initial=0))):
+        more = np.flatnonzero(size > k)
+        out[more] += matrix.take(at[start[more] + k], axis=0)
+    return out
+
+
 class _Rows:
     """The passages' cells of one row of sequences."""
 
@@ -168,7 +189,8 @@ class _Rows:
         self.owner, self.first = np.repeat(np.arange(len(cells)), cells), first_cell
         used = np.flatnonzero(weight[self.number] > 0)
         # A word counts once a cell.
-        both = np.unique(cell[used] * len(weight) + self.number[used])
+        both = np.sort(cell[used] * len(weight) + self.number[used])
+        both = both[np.diff(both, prepend=-1) > 0]
         self.cell, self.term = both // len(weight), both % len(weight)
 
     def project(self, basis: np.ndarray) -> np.ndarray:
@@ -176,7 +198,7 @@ class _Rows:
         out = np.zeros((self.cells, basis.shape[1]), np.float32)
         if len(self.cell):
             start = np.flatnonzero(np.diff(self.cell, prepend=-1))
-            out[self.cell[start]] = np.add.reduceat(basis[self.term], start)
+            out[self.cell[start]] = run_sums(basis, self.term, start)
         return out
 
     def passages(self, cells: np.ndarray, width: int) -> np.ndarray:
@@ -296,7 +318,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, near: float = NEAR) -> Dat
                 order = np.argsort(own.term, kind="stable")
                 term = own.term[order]
                 start = np.flatnonzero(np.diff(term, prepend=-1))
-                total[term[start]] += np.add.reduceat(y[own.cell[order]], start)
+                total[term[start]] += run_sums(y, own.cell[order], start)
         if not seen:
             return
         total *= weight[:, None]

@@ -760,3 +760,14 @@ def test_pipeline(spark, sf):
     assert pieces.select("doc_id").distinct().count() == docs.count()
     rows = pipeline.run(spark, sf)
     assert rows.count() > 0
+
+
+def test_sums_of_runs_of_passages():
+    from lexigrid.llm.decontamination import RUN, run_sums
+
+    rng = np.random.default_rng(5)
+    sizes = np.array([1, RUN, RUN + 1, 3, RUN * RUN * 2 + 5, 2, RUN * 2])
+    matrix, at = rng.integers(-9, 9, (50, 6)).astype(np.float32), rng.integers(0, 50, sizes.sum())
+    want = [matrix[part].sum(0) for part in np.split(at, np.cumsum(sizes)[:-1])]
+    assert run_sums(matrix, at, np.cumsum(sizes) - sizes).tolist() == np.array(want).tolist()
+    assert run_sums(matrix, at[:0], np.zeros(0, np.int64)).shape == (0, 6)
