@@ -44,3 +44,14 @@ def test_reports_of_clusters(spark):
     assert lines[0] == "cluster 1 (3 matches):" and lines[4] == "cluster 2 (2 matches):" and len(lines) == 7
     assert [line.split("/f")[1][0] for line in lines if "/f" in line] == ["5", "6", "7", "0", "1"]
     assert len(report.cluster_report(members, units, "markdown", 1).collect()) == 4
+
+
+def test_pairs_of_a_saved_report_are_found_once(spark, sf, monkeypatch):
+    """Ranging reads its rows twice, so they are written before."""
+    from lexigrid.plans import catalogue
+
+    ranged, plain = [], catalogue.numbered
+    monkeypatch.setattr(catalogue, "numbered", lambda df, *args, **kwargs: (ranged.append(df), plain(df, *args, **kwargs))[1])
+    lines = catalogue.report_sink(spark, sf).count()
+    assert lines == ranged[0].count()
+    assert "FlatMap" not in ranged[0]._jdf.queryExecution().executedPlan().toString()
