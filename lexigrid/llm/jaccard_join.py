@@ -9,11 +9,12 @@ a longer prefix is read more, but only what shares ``l`` tokens of it is verifie
 Two documents are compared at the lesser ``l`` of both.
 
 Documents with equal sets are one class.  Tokens are met within bands of sizes.  The classes with a token are paired if they
-are few; more meet a few of their own first, those are verified and joined, and then only
-members outside a token's largest group meet the others, in blocks, where sizes and
-parity bitmaps, which bound the overlap from above, leave out most pairs.  What is
-left is counted and verified on full sets.  So nothing is lost, and a group of near
-copies costs its size.
+are few; more meet in blocks, where sizes and parity bitmaps, which bound the overlap
+from above, leave out most pairs.  Very many meet a few of their own first, those are
+verified and joined, and then only members outside a token's largest group meet the
+others.  What is left is counted, held against the bitmaps where it was not yet, and
+verified on full sets, which are made of no other documents.  So nothing is lost, and a
+group of near copies costs its size.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,16 +49,18 @@ class Sizes(NamedTuple):
     #: A token that more windows hold comes last.
     hot: int = 1024
     #: Classes of a token that are paired.
-    few: int = 64
+    few: int = 16
     #: Members of a block of a larger group.
     block: int = 2048
     #: Members that all of a larger group meet first, and with how many of these one
     #: is verified.
     pivots: int = 4
     stars: int = 3
+    #: Classes of a token of which no more meet in blocks at once.
+    starred: int = 64
 
 
-#: Bits of the table by which texts are looked up: 2 MB.
+#: Bits of the table by which texts and tokens are looked up: 2 MB.
 MARKS = 1 << 24
 #: Tokens read in a verification for each that is read in a prefix.
 VERIFY = 1 / 16
@@ -80,8 +83,8 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
 
 
 def sketch(docs: DataFrame, percent: int) -> DataFrame:
-    """``doc_id, n_shingles, set_key, text_key, first_tokens`` of every row; the key
-    of the set is null without words."""
+    """``doc_id, n_shingles, set_key, text_key, first_tokens, parities`` of every row;
+    the key of the set is null without words."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, values in slices(batch, size=1 << 19):
@@ -89,12 +92,13 @@ def sketch(docs: DataFrame, percent: int) -> DataFrame:
                 n = np.array([len(s) for s in sets], np.int64)
                 windows = [s[:w] for s, w in zip(sets, window_size(n, percent).tolist())]
                 keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+                bits = pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(part.start, len(values)), pa.array(n), pa.array(keys, pa.binary()), batch.column("text_key").slice(part.start, len(values)), _lists(windows)],
-                    ["doc_id", "n_shingles", "set_key", "text_key", "first_tokens"],
+                    [batch.column("doc_id").slice(part.start, len(values)), pa.array(n), pa.array(keys, pa.binary()), batch.column("text_key").slice(part.start, len(values)), _lists(windows), bits],
+                    ["doc_id", "n_shingles", "set_key", "text_key", "first_tokens", "parities"],
                 )
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, text_key long, first_tokens array<long>")
+    return _keyed(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, text_key long, first_tokens array<long>, parities binary")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -109,33 +113,35 @@ def bitmap(tokens: np.ndarray) -> bytes:
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node, n, tokens, parities`` of the classes ``wanted(node, rep, text_key)``,
-    each from one row with that id and text."""
+    """``node, n, tokens`` of the classes ``wanted(node, rep, text_key)``, each from one
+    row with that id and text."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, values in slices(batch, size=1 << 19):
                 sets = shingle_sets(values, SHINGLE)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("node").slice(part.start, len(values)), pa.array([len(s) for s in sets], pa.int64()), _lists(sets), pa.array([bitmap(s) for s in sets], pa.binary())],
-                    ["node", "n", "tokens", "parities"],
-                )
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(part.start, len(values)), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)], ["node", "n", "tokens"])
 
     keys = ["rep", "text_key"]
+    wanted = materialize(wanted.select("node", *keys), "wanted")
     place = F.pmod(F.xxhash64("rep"), F.lit(MARKS))
     named = _keyed(docs).where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "rep")
-    rows = named.where(_marked(wanted.select(place.alias("p")))(place)).join(wanted.select("node", *keys), keys)
-    return rows.dropDuplicates(keys).select("node", "text").mapInArrow(run, "node long, n long, tokens array<long>, parities binary")
+    rows = named.where(_marked(wanted.select(place.alias("p")))(place)).join(wanted, keys)
+    return rows.dropDuplicates(keys).select("node", "text").mapInArrow(run, "node long, n long, tokens array<long>")
 
 
-def _marked(places: DataFrame) -> Callable[[Column], Column]:
-    """Whether a place below MARKS is one of ``places(p)``; of them a bit each is sent
-    to the tasks.  It keeps most texts that are not asked for out of a join, and none
-    that is."""
+def _marks(places: DataFrame) -> Broadcast:
+    """A table of MARKS bits, of which those at ``places(p)`` are set, for the tasks."""
     words = places.select(F.expr("p div 64").alias("w"), F.expr("shiftleft(1L, CAST(p % 64 AS INT))").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v"))
     # At most MARKS / 64 rows.
     held, table = words.toArrow(), np.zeros(MARKS >> 6, np.int64)
     table[held.column("w").to_numpy()] = held.column("v").to_numpy()
-    sent = places.sparkSession.sparkContext.broadcast(table)
+    return places.sparkSession.sparkContext.broadcast(table)
+
+
+def _marked(places: DataFrame) -> Callable[[Column], Column]:
+    """Whether a place below MARKS is one of ``places(p)``.  It keeps most texts that
+    are not asked for out of a join, and none that is."""
+    sent = _marks(places)
 
     @F.pandas_udf("boolean")
     def marked(p: pd.Series) -> pd.Series:
@@ -145,6 +151,26 @@ def _marked(places: DataFrame) -> Callable[[Column], Column]:
     return marked
 
 
+def _met(classes: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``node, n, width, pos, token`` of ``tokens(token)`` in the windows of classes;
+    most others are left out before anything is shuffled."""
+    sent = _marks(tokens.select(F.pmod("token", F.lit(MARKS)).alias("p")))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column("first_tokens")
+            width, token = held.value_lengths().to_numpy().astype(np.int64), held.flatten().to_numpy()
+            owner, place = np.repeat(np.arange(len(width)), width), token & (MARKS - 1)
+            at = np.flatnonzero(sent.value[place >> 6] >> (place & 63) & 1)
+            own = owner[at]
+            pos = at - (np.cumsum(width) - width)[own]
+            columns = (batch.column("node").to_numpy()[own], batch.column("n").to_numpy()[own], width[own], pos, token[at])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["node", "n", "width", "pos", "token"])
+
+    rows = classes.select("node", "n", "first_tokens").mapInArrow(run, "node long, n long, width long, pos long, token long")
+    return rows.join(tokens, "token")
+
+
 def choose(n: np.ndarray, window: np.ndarray, owner: np.ndarray, pos: np.ndarray, df: np.ndarray, percent: int, hot_over: int) -> tuple[np.ndarray, np.ndarray]:
     """Each set's ``l``, and each token's level: the least ``l`` whose prefix holds it.
 
@@ -222,7 +248,7 @@ def prefixes(docs: DataFrame, classes: DataFrame, percent: int, hot: int) -> Dat
     begun = materialize(_prefixes(whole, percent, hot), "begun")
     # Tokens of theirs that others may hold in their windows, each alone.
     late = materialize(begun.select("token").distinct().join(often, "token", "left_anti"), "late")
-    met = spread.join(late, "token").withColumn("df", F.lit(1).cast("long")).select(*seen.columns)
+    met = _met(classes, late).withColumn("df", F.lit(1).cast("long")).select(*seen.columns)
     held = seen.unionAll(met).join(short.select("node"), "node", "left_anti")
     return _prefixes(held, percent, hot).unionAll(begun)
 
@@ -247,20 +273,23 @@ def most_apart(total: np.ndarray, percent: int) -> np.ndarray:
     return total - 2 * -(-percent * total // (100 + percent))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose full sets are similar; those whose parities are too
-    far apart are left out first."""
+    far apart are left out first, and texts are read of the others alone."""
     def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
             apart = _apart(batch.column("parities_a").to_pylist(), batch.column("parities_b").to_pylist())
             yield batch.select(["a", "b"]).filter(pa.array(apart <= most_apart(total, percent)))
 
-    def of(side: str, *columns: str) -> DataFrame:
-        return sets.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns))
+    def of(rows: DataFrame, side: str, *columns: str) -> DataFrame:
+        return rows.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns))
 
-    looked = pairs.join(of("a", "n", "parities"), "a").join(of("b", "n", "parities"), "b").mapInArrow(near, "a long, b long")
-    both = looked.join(of("a", "tokens"), "a").join(of("b", "tokens"), "b")
+    looked = pairs.join(of(classes, "a", "n", "parities"), "a").join(of(classes, "b", "n", "parities"), "b")
+    looked = materialize(looked.mapInArrow(near, "a long, b long"), "near")
+    nodes = looked.select(F.col("a").alias("node")).union(looked.select("b")).distinct()
+    sets = materialize(_whole_sets(docs, classes.join(nodes, "node")), "sets")
+    both = looked.join(of(sets, "a", "tokens"), "a").join(of(sets, "b", "tokens"), "b")
     both = both.select("a", "b", F.size("tokens_a").alias("x"), F.size("tokens_b").alias("y"), F.size(F.array_intersect("tokens_a", "tokens_b")).alias("both"))
     return both.where(100 * F.col("both").cast("long") >= percent * (F.col("x") + F.col("y") - F.col("both")).cast("long")).select("a", "b")
 
@@ -300,11 +329,13 @@ def possible_pairs(left: dict, right: dict, percent: int) -> tuple[np.ndarray, n
 
 def _block_pairs(placed: DataFrame, percent: int) -> DataFrame:
     """``a, b, weight, need`` from blocks ``group, low, high`` of two sides; ``weight``
-    is of the tokens in the group that both prefixes share."""
+    is of the tokens in the group that both prefixes share.  Rows of side 2 are on the
+    second, and those outside on the first too."""
     def meet(block: pa.Table) -> pa.Table:
-        sides = []
-        for k in range(2):
-            part = block.filter(pc.equal(block.column("side"), k)).combine_chunks()
+        sides, side = [], block.column("side").to_numpy()
+        first = (side == 0) | ((side == 2) & block.column("outside").to_numpy())
+        for held in (first, side > 0):
+            part = block.filter(pa.array(held)).combine_chunks()
             side = {c: part.column(c).to_numpy() for c in ("node", "n", "need", "known", "outside")}
             parities = np.empty(len(part), object)
             parities[:] = part.column("parities").to_pylist()
@@ -329,21 +360,22 @@ def _block_pairs(placed: DataFrame, percent: int) -> DataFrame:
     return placed.groupBy("group", "low", "high").applyInArrow(meet, "a long, b long, weight long, need long")
 
 
-def _large_groups(large: DataFrame, sets: DataFrame, percent: int, sizes: Sizes) -> tuple[DataFrame, DataFrame]:
-    """Verified links of stars, and ``a, b, weight, need`` of what may be similar
-    besides, of buckets with many classes.
+def _large_groups(large: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, sizes: Sizes) -> tuple[DataFrame, DataFrame]:
+    """Verified links of stars, of buckets with very many classes, and ``a, b, weight,
+    need`` of what may be similar besides, of buckets with many.
 
     Buckets with the same first pivot, which all hold it, are one group.
     """
     least = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n")).alias(f"p{k}") for k in range(sizes.pivots)]
-    pivots = materialize(large.where("own").groupBy("bucket").agg(*least), "pivots")
+    pivots = materialize(large.where("own").groupBy("bucket").agg(F.max("members").alias("members"), *least), "pivots")
+    most = F.col("members") > sizes.starred
     every = F.array_distinct(F.array(*(F.struct(f"p{k}.node", f"p{k}.n") for k in range(sizes.pivots))))
-    stars = pivots.select("bucket", F.explode(every).alias("p")).select("bucket", F.col("p.node").alias("b"), F.col("p.n").alias("m"))
-    near = large.join(stars, "bucket").where((F.col("node") != F.col("b")) & _similar_sizes(F.col("n"), F.col("m"), percent))
+    stars = pivots.where(most).select("bucket", F.explode(every).alias("p")).select("bucket", F.col("p.node").alias("b"), F.col("p.n").alias("m"))
+    near = large.where(most).join(stars, "bucket").where((F.col("node") != F.col("b")) & _similar_sizes(F.col("n"), F.col("m"), percent))
     order = Window.partitionBy("node").orderBy(F.desc("shared"), "b")
     stars = near.groupBy("node", "b").agg(F.sum("weight").alias("shared")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= sizes.stars)
     stars = materialize(stars.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct(), "star-pairs")
-    links = materialize(_verified(stars, sets, percent), "stars")
+    links = materialize(_verified(stars, docs, classes, percent), "stars")
 
     placed = large.join(pivots.select("bucket", F.col("p0.node").alias("group")), "bucket")
     marked = placed.groupBy("group", "node", "n", "need").agg(F.collect_list(F.struct("bucket", "level", "own", "weight")).alias("marks"))
@@ -353,7 +385,7 @@ def _large_groups(large: DataFrame, sets: DataFrame, percent: int, sizes: Sizes)
     largest = groups.groupBy("group").agg(F.max_by("known", F.struct("c", "known")).alias("main"), F.sum("c").alias("members"), (F.sum("c") - F.max("c")).alias("rest"))
     largest = materialize(largest.where("rest > 0"), "largest")
     both = labelled.join(largest, "group").withColumn("outside", F.col("known") != F.col("main"))
-    both = both.join(sets.select("node", "parities"), "node")
+    both = both.join(classes.select("node", "parities"), "node")
     zero = F.lit(0)
     blocks, rest_blocks = (F.ceil(F.col(c) / sizes.block).cast("int") for c in ("members", "rest"))
     columns = ["group", "node", "n", "need", "known", "outside", "parities", "marks"]
@@ -361,8 +393,9 @@ def _large_groups(large: DataFrame, sets: DataFrame, percent: int, sizes: Sizes)
     def own(count: Column) -> Column:
         return F.pmod(F.xxhash64("node"), count).cast("int")
 
-    first = both.where("outside").select(*columns, own(rest_blocks).alias("low"), F.explode(F.sequence(zero, blocks - 1)).alias("high"), zero.alias("side"))
-    second = both.select(*columns, F.explode(F.sequence(zero, rest_blocks - 1)).alias("low"), own(blocks).alias("high"), F.lit(1).alias("side"))
+    # A group of one block is sent once.
+    first = both.where("outside").where(blocks > 1).select(*columns, own(rest_blocks).alias("low"), F.explode(F.sequence(zero, blocks - 1)).alias("high"), zero.alias("side"))
+    second = both.select(*columns, F.explode(F.sequence(zero, rest_blocks - 1)).alias("low"), own(blocks).alias("high"), F.when(blocks > 1, 1).otherwise(2).alias("side"))
     return links, _block_pairs(first.unionAll(second), percent)
 
 
@@ -378,9 +411,9 @@ def join(docs: DataFrame, percent: int = 90, sizes: Sizes = Sizes()) -> DataFram
     """
     sketched = materialize(sketch(docs, percent), "sketch")
     known = sketched.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    rep = F.min(F.struct("doc_id", "text_key", "n_shingles", "first_tokens")).alias("x")
+    rep = F.min(F.struct("doc_id", "text_key", "n_shingles", "first_tokens", "parities")).alias("x")
     classes = known.groupBy("set_key").agg(rep, F.count("*").alias("copies")).select(
-        "set_key", F.col("x.doc_id").alias("rep"), "x.text_key", F.col("x.n_shingles").alias("n"), "x.first_tokens", "copies"
+        "set_key", F.col("x.doc_id").alias("rep"), "x.text_key", F.col("x.n_shingles").alias("n"), "x.first_tokens", "x.parities", "copies"
     )
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     links = materialize(_links(docs, classes, percent, sizes), "links")
@@ -407,24 +440,20 @@ def _links(docs: DataFrame, classes: DataFrame, percent: int, sizes: Sizes) -> D
     buckets = groups.groupBy("members", "who").agg(F.min("bucket").alias("bucket"), F.count("*").alias("weight"))
     buckets = materialize(buckets.select("bucket", "members", "weight"), "buckets")
     placed = materialize(rows.join(buckets, "bucket"), "placed")
-    few, large = placed.where(F.col("members") <= sizes.few), placed.where(F.col("members") > sizes.few).drop("members")
+    few, large = placed.where(F.col("members") <= sizes.few), placed.where(F.col("members") > sizes.few)
 
     a, b = few.alias("a"), few.alias("b")
     levels = F.greatest("a.level", "b.level") <= F.least("a.need", "b.need")
     meet = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.node") < F.col("b.node")) & levels & (F.col("a.own") | F.col("b.own")) & _similar_sizes(F.col("a.n"), F.col("b.n"), percent)
     pairs = a.join(b, meet).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.weight").alias("weight"), F.least("a.need", "b.need").alias("need"))
-    if large.isEmpty():
-        enough = materialize(_enough(pairs), "candidates")
-        nodes = enough.select(F.col("a").alias("node")).union(enough.select("b")).distinct()
-        return _verified(enough, materialize(_whole_sets(docs, classes.join(nodes, "node")), "sets"), percent)
-    # A pair may share tokens of both kinds.  With too few of the first kind it is one
-    # of large groups too, or nothing.
-    pairs = materialize(pairs.groupBy("a", "b").agg(F.sum("weight").alias("weight"), F.min("need").alias("need")), "pairs")
-    full = pairs.where("weight >= need")
-    nodes = full.select(F.col("a").alias("node")).union(full.select("b")).union(large.select("node")).distinct()
-    sets = materialize(_whole_sets(docs, classes.join(nodes, "node")), "sets")
-    links, more = _large_groups(large, sets, percent, sizes)
-    return links.unionAll(_verified(materialize(_enough(pairs.unionAll(more)), "candidates"), sets, percent))
+    links = None
+    if not large.isEmpty():
+        # A pair may share tokens of both kinds.  With too few of the first kind it is
+        # one of large groups too, or nothing.
+        links, more = _large_groups(large, docs, classes, percent, sizes)
+        pairs = pairs.unionAll(more)
+    found = _verified(materialize(_enough(pairs), "candidates"), docs, classes, percent)
+    return found if links is None else links.unionAll(found)
 
 
 def _banded(rows: DataFrame, percent: int) -> DataFrame:

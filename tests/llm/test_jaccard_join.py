@@ -77,6 +77,57 @@ def test_join(spark, percent, sizes):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == joined(docs, percent)
 
 
+STARRED = SMALL._replace(few=1, starred=2)
+
+
+@pytest.mark.parametrize("percent,sizes", [(90, STARRED), (80, STARRED._replace(block=2, pivots=2)), (90, SMALL._replace(hot=1, block=100))])
+def test_join_of_starred_groups(spark, percent, sizes):
+    docs = corpus(percent + sizes.block)
+    got = jaccard_join.join(table(spark, docs), percent, sizes)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == joined(docs, percent)
+
+
+def alike(groups, copies, length=120, changed=4):
+    """Groups of texts with a few words of their own each, nearly similar, of which the
+    first two are."""
+    rng = random.Random(6)
+    docs = []
+    for g in range(groups):
+        text = [f"g{g}w{k}" for k in range(length)]
+        for c in range(copies):
+            own = list(text)
+            for k in range(changed if c > 1 else 1):
+                own[1 + (rng.randrange(length // changed - 3) + k * (length // changed))] = f"own{c}x{k}"
+            docs.append((len(docs), " ".join(own)))
+    return docs
+
+
+def test_what_is_nearly_similar_is_not_verified(spark, monkeypatch):
+    """Its texts are not read, and pairs of a group do not grow with its square."""
+    rows = {}
+
+    def counted(df, tag, keep=jaccard_join.materialize):
+        held = keep(df, tag)
+        rows[tag] = rows.get(tag, 0) + held.count()
+        return held
+
+    monkeypatch.setattr(jaccard_join, "materialize", counted)
+    docs = alike(groups=3, copies=50)
+    got = jaccard_join.join(table(spark, docs), 90)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == joined(docs, 90)
+    assert 0 < rows["candidates"] <= 10 * len(docs)
+    assert rows["sets"] <= len(docs) // 4
+
+
+def test_windows_that_hold_what_few_ask_for(spark):
+    """Rows of windows are those asked for, not all that any window holds."""
+    windows = [(k, 9, [100 * k + j for j in range(20)]) for k in range(30)]
+    classes = spark.createDataFrame(windows, "node long, n long, first_tokens array<long>")
+    wanted = spark.createDataFrame([(-5,), (7,), (1203,), (2919,)], "token long")
+    met = jaccard_join._met(classes, wanted)
+    assert sorted(tuple(r) for r in met.select("node", "n", "width", "pos", "token").collect()) == [(0, 9, 20, 7, 7), (12, 9, 20, 3, 1203), (29, 9, 20, 19, 2919)]
+
+
 def test_join_of_an_empty_table(spark):
     assert jaccard_join.join(table(spark, EDGES).where("false")).count() == 0
     assert {tuple(r) for r in jaccard_join.join(table(spark, [(1, None), (2, " ")])).collect()} == {(1, 0, 1), (2, 0, 2)}
