@@ -1,6 +1,7 @@
 """Layers of the store: what a batch writes, merges, versions, and two writers."""
 
 import random
+import time
 from pathlib import Path
 
 import pytest
@@ -160,3 +161,46 @@ def test_texts_are_grouped_once(spark, tmp_path, monkeypatch):
     report = module.Store(spark, f"file://{tmp_path}/store").ingest(rows)
     assert sorted(map(tuple, report.collect())) == [("a", "new", 1, None), ("b", "empty", 0, None)]
     assert "Exchange" in plans["ingest-cut"] and "Exchange" not in plans["ingest"]
+
+
+def _distinct(spark, d, of):
+    return spark.read.parquet(f"{d}/documents.parquet").where("text IS NOT NULL").where(of).select("text").distinct()
+
+
+def test_the_resumed_cache_commits_by_hundreds(spark, sf, monkeypatch):
+    """Commits are as many as the texts need, not as few for any table."""
+    from lexigrid.plans import catalogue
+
+    said, plain = [], embed.VectorCache.fill
+    monkeypatch.setattr(embed.VectorCache, "fill", lambda self, texts, embedder: plain(self, texts, embedder, lambda k, n: said.append((k, n))))
+    for d in (sf, "/root/testdata/sf0.01"):
+        said.clear()
+        every, some = _distinct(spark, d, "true").count(), _distinct(spark, d, "lang = 'en'").count()
+        assert catalogue.cache_resume(spark, d).count() == every
+        assert said == [(k + 1, n) for n in (-(-some // 100), -(-(every - some) // 100)) for k in range(n)]
+
+
+def test_a_round_has_a_task_for_each_commit_which_keeps_what_others_lose(spark, tmp_path):
+    class Failing(embed.HashEmbedder):
+        def embed(self, texts):
+            if self.bad in texts:
+                # By then the round's other commits are done.
+                time.sleep(5)
+                raise OSError("stopped")
+            return embed.HashEmbedder.embed(self, texts)
+
+    texts = spark.range(70).select(F.col("id").cast("string").alias("text")).withColumn("hash", embed.text_hash())
+    part = F.pmod(F.xxhash64("hash"), F.lit(7)).alias("part")
+    sizes = {r["part"]: r["count"] for r in texts.groupBy(part).count().collect()}
+    failing, said = Failing(), []
+    failing.bad = texts.where(part == 4).first()["text"]
+    cache = embed.VectorCache(spark, f"file://{tmp_path}/c", rows_per_commit=10)
+    with pytest.raises(Exception, match="stopped"):
+        cache.fill(texts, failing, lambda k, n: said.append((k, n)))
+    assert said == [(k, 7) for k in (1, 2, 3)]
+    assert cache.rows("hash-64").count() == 70 - sizes[4]
+    failing.bad, said = None, []
+    assert cache.fill(texts, failing, lambda k, n: said.append((k, n))).count() == 70
+    assert said == [(k, -(-sizes[4] // 10)) for k in range(1, -(-sizes[4] // 10) + 1)]
+    held = [n for _, n in spark.read.option("recursiveFileLookup", "true").parquet(cache._folder("hash-64")).groupBy(F.col("_metadata.file_path")).count().collect()]
+    assert max(held) <= max(sizes.values()) and sum(held) == 70
